@@ -72,19 +72,44 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def bounded_sample(rows: DataFrame, by: str, per_class: int, key: str = "doc_id") -> DataFrame:
-    """About ``per_class`` rows of each value of ``by`` (all of them where there are fewer), chosen by the hash of
-    ``key``. Only the counts per class reach the driver; the share to keep is decided there. Same rows give
-    the same sample. At most 1,000 classes are accepted."""
-    counts = rows.groupBy(by).count().limit(1001).collect()
+def labelled_pieces(
+    rows: DataFrame, label: str, per_class: int, cut: Callable[[str, int], list[str]], text_col: str = "text"
+) -> list[tuple[int, object, list[str]]]:
+    """(hash of the text, label, pieces of the text) of a bounded sample of labelled rows, in order of the hash.
+
+    About ``per_class`` rows of each label are taken (all of them where there are fewer), by the hash of the text;
+    ``cut(text, hash)`` gives their pieces, a bounded number of bounded length. Copies of a text count once, with the largest
+    of their labels, and are put together before anything reaches the driver. At most 1,000 labels are accepted.
+    """
+    rows = rows.where(F.col(label).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label).alias("label"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("label").count().limit(1001).collect()
     if len(counts) > 1000:
-        raise ValueError(f"{by} has over 1,000 values")
-    share = None
-    for value, n in counts:
-        part = F.col(by).eqNullSafe(F.lit(value))
-        keep = F.when(part, F.lit(min(1.0, per_class / max(n, 1))))
-        share = keep if share is None else share.when(part, F.lit(min(1.0, per_class / max(n, 1))))
-    if share is None:
-        return rows.limit(0)
-    unit = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) / float(1 << 20)
-    return rows.where(unit < share)
+        raise ValueError(f"{label} has over 1,000 values")
+    if not counts:
+        return []
+    share = F.coalesce(*(F.when(F.col("label") == r["label"], F.lit(min(1.0, per_class / r["count"]))) for r in counts))
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    sample = hashed.where(F.pmod(F.col("hash"), F.lit(1 << 20)) / float(1 << 20) < share).select("hash", "label", "text")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            pieces = [cut(text, h) for h, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.list_(pa.string()))], names=["hash", "label", "pieces"])
+
+        return step
+
+    kind = sample.schema["label"].dataType.simpleString()
+    cut_rows = arrow_map(sample, make, f"hash bigint, label {kind}, pieces array<string>")
+    one = cut_rows.groupBy("hash").agg(F.max(F.struct("label", "pieces")).alias("x")).select("hash", "x.*")
+    return sorted((r["hash"], r["label"], r["pieces"]) for r in one.collect())
+
+
+def word_windows(text: str, size: int, most: int, seed: int) -> list[str]:
+    """At most ``most`` of the text's successive windows of ``size`` words, evenly spread from a seeded beginning."""
+    words = text.split()
+    starts = range(0, max(len(words), 1), size)
+    if len(starts) > most:
+        step = len(starts) / most
+        shift = (seed % 997) / 997 * step
+        starts = [starts[int(shift + k * step) % len(starts)] for k in range(most)]
+    return [" ".join(words[i : i + size]) for i in starts]

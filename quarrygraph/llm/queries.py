@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm import license_scan, packing, secret_scan, url_filter
+from quarrygraph.llm import langid, license_scan, packing, secret_scan, toxicity, url_filter
+from quarrygraph.llm.common import crc_mod
 
 #: The tokenizer file of the packing query.
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,10 +25,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit_languages(langid.training_rows(docs))
+    return langid.identify(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    rows = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where(crc_mod(F.col("doc_id"), 5) != 0), "doc_id")
+    model = toxicity.fit_toxicity(rows)
+    return toxicity.score_toxicity(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_read(spark, sf_dir, "documents"))
     kinds = tuple(r.kind for r in secret_scan.BASE)
@@ -52,7 +66,9 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op4_language_id": op4_language_id,
         "op6_url_filters": op6_url_filters,
+        "op7_toxicity": op7_toxicity,
         "op9_secret_scans": op9_secret_scans,
         "op10_license_scans": op10_license_scans,
     }
