@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quarrygraph.llm.common import arrow_map, labelled_pieces, word_windows
 from quarrygraph.llm.subword import SubwordModel, train
 
-#: Words of a window; windows of one training document; character n-grams.
-WINDOW, MOST, ORDERS = 8, 24, (3, 4, 5, 6)
+#: Words of a window; windows of one sampled document, and of those in one training pass; character n-grams.
+WINDOW, MOST, PASS, ORDERS = 8, 96, 24, (3, 4, 5, 6)
 
 
 @dataclass
@@ -60,8 +60,8 @@ def _platt(lead: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, fl
 
 
 def fit_toxicity(rows: DataFrame, label_col: str = "toxic", text_col: str = "text", per_class: int = 3000) -> ToxicityModel:
-    """Fit on at most about ``per_class`` rows of each label (0 and 1), with at most ``MOST`` windows of each; a fifth of the
-    rows is held back to calibrate."""
+    """Fit on at most about ``per_class`` rows of each label (0 and 1), with at most ``MOST`` windows of each;
+    a fifth of the rows is held back to calibrate."""
     found = [(h, int(y), p) for h, y, p in labelled_pieces(rows.where(F.col(label_col).isin(0, 1)), label_col, per_class, _cut, text_col)]
     kept, back = [r for i, r in enumerate(found) if i % 5], [r for i, r in enumerate(found) if not i % 5]
     if len({y for _, y, _ in kept}) < 2:
@@ -69,16 +69,19 @@ def fit_toxicity(rows: DataFrame, label_col: str = "toxic", text_col: str = "tex
     texts = [p for _, _, pieces in kept for p in pieces]
     y = np.array([label for _, label, pieces in kept for _ in pieces])
     of = np.array([i for i, (_, _, pieces) in enumerate(kept) for _ in pieces])
-    model = train(texts, list(y), ORDERS, epochs=2)
-    z = model.score_texts(texts)[0]
-    lead = z[:, 1] - z[:, 0]
-    order = np.lexsort((-lead, of))
-    first = np.searchsorted(of[order], of[order])
-    top = np.zeros(len(order), bool)
-    top[order] = np.arange(len(order)) - first < 2
-    chosen = [(texts[i], int(y[i])) for i in np.flatnonzero((y == 0) | top)]
+    nth = np.arange(len(of)) - np.searchsorted(of, of)
+    spread = nth * PASS // np.bincount(of)[of] != (nth - 1) * PASS // np.bincount(of)[of]  # at most PASS of each document
+    first = np.flatnonzero(spread)
+    model = train([texts[i] for i in first], list(y[first]), ORDERS, epochs=2)
+    z = np.concatenate([model.score_texts(texts[i : i + 4096])[0] for i in range(0, len(texts), 4096)])
+    order = np.lexsort((z[:, 0] - z[:, 1], of))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+    # the most toxic windows of toxic documents; of clean ones those that look most toxic, and others
+    use = np.flatnonzero(np.where(y == 1, place < 2, (place < 6) | spread))
+    chosen = [(texts[i], int(y[i])) for i in use]
     # a window may also be one word over and over: single words of clean windows, so that none of them counts for much
-    chosen += [(words[i % len(words)], 0) for i in np.flatnonzero(y == 0) if (words := texts[i].split())]
+    chosen += [(words[i % len(words)], 0) for i in use if y[i] == 0 and (words := texts[i].split())]
     model = train([t for t, _ in chosen], [label for _, label in chosen], ORDERS, epochs=3)
     out = ToxicityModel(model)
     if len({label for _, label, _ in back}) == 2:
