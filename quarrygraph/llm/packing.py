@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,13 +45,14 @@ class UnitEncoder:
     looked up in bounded caches, and the tokenizer's BPE model runs on new words only. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 800_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, "rb") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -71,17 +73,20 @@ class UnitEncoder:
             other = [c for c in range(256) if c not in set(plain)]
             self.alphabet = dict(zip(plain, map(chr, plain), strict=True)) | {c: chr(256 + i) for i, c in enumerate(other)}
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            alphabet = self.alphabet
-            found = np.array([t.id for t in self.model.tokenize("".join([alphabet[b] for b in word.encode()]))], self.dtype).tobytes()
-            if len(word) <= self.longest:
-                self.words[word] = found
-        return found
+    def _bpe(self, word: str) -> bytes:
+        data = word.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(data)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        return b"".join(map(self._word, self.find(unit)))
+        words, out = self.words, []
+        for word in self.find(unit):
+            found = words.get(word)
+            if found is None:
+                found = self._bpe(word)
+                if len(word) <= self.longest:
+                    words[word] = found
+            out.append(found)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.byte_level:
@@ -97,7 +102,7 @@ class UnitEncoder:
             split.append((parts[0], parts[1:]))
         for part in set().union(*(rest for _, rest in split)) - units.keys():
             if len(part) <= self.longest:
-                units[part] = self._unit(" " + part)
+                units[part] = self._bpe(" " + part) if part.isalpha() else self._unit(" " + part)
         out = []
         for head, rest in split:
             try:
