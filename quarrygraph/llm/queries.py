@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm import decontaminate, langid, license_scan, packing, secret_scan, toxicity, url_filter
+from quarrygraph.llm import decontaminate, jaccard_join, langid, license_scan, packing, secret_scan, toxicity, url_filter
 from quarrygraph.llm.common import crc_mod
 
 #: The tokenizer file of the packing query.
@@ -35,6 +35,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_url_filters": op6_url_filters,
         "op7_toxicity": op7_toxicity,
         "op9_secret_scans": op9_secret_scans,
