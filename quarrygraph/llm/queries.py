@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm import decontaminate, jaccard_join, langid, license_scan, packing, secret_scan, toxicity, url_filter
+from quarrygraph.llm import ann, decontaminate, jaccard_join, langid, license_scan, packing, secret_scan, toxicity, url_filter
 from quarrygraph.llm.common import crc_mod
 
 #: The tokenizer file of the packing query.
@@ -50,6 +50,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_read(spark, sf_dir, "documents"))
     kinds = tuple(r.kind for r in secret_scan.BASE)
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jaccard_join": op5_jaccard_join,
         "op6_url_filters": op6_url_filters,
         "op7_toxicity": op7_toxicity,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_secret_scans": op9_secret_scans,
         "op10_license_scans": op10_license_scans,
     }
