@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm import ann, decontaminate, jaccard_join, langid, license_scan, packing, secret_scan, toxicity, url_filter
+from quarrygraph.llm import ann, decontaminate, jaccard_join, langid, license_scan, packing, secret_scan, suffix_dedup, toxicity, url_filter
 from quarrygraph.llm.common import crc_mod
 
 #: The tokenizer file of the packing query.
@@ -25,6 +25,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -78,6 +82,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_jaccard_join": op5_jaccard_join,
