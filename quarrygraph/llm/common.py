@@ -73,23 +73,29 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 
 def labelled_pieces(
-    rows: DataFrame, label: str, per_class: int, cut: Callable[[str, int], list[str]], text_col: str = "text"
+    rows: DataFrame, label: str, per_class: int, cut: Callable[[str, int], list[str]], text_col: str = "text", docs: DataFrame | None = None, id_col: str = "doc_id"
 ) -> list[tuple[int, object, list[str]]]:
     """(hash of the text, label, pieces of the text) of a bounded sample of labelled rows, in order of the hash.
 
-    About ``per_class`` rows of each label are taken (all of them where there are fewer), by the hash of the text;
+    About ``per_class`` rows of each label are taken (all of them where there are fewer), by the hash of the text, or of the
+    id where ``rows`` has ids and labels only and the texts are those of ``docs``;
     ``cut(text, hash)`` gives their pieces, a bounded number of bounded length. Copies of a text count once, with the largest
     of their labels, and are put together before anything reaches the driver. At most 1,000 labels are accepted.
     """
-    rows = rows.where(F.col(label).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label).alias("label"), F.col(text_col).alias("text"))
+    own = [] if docs is not None else [F.col(text_col).alias("text")]
+    rows = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), *own, *([F.col(id_col).alias("_id")] if docs is not None else []))
     counts = rows.groupBy("label").count().limit(1001).collect()
     if len(counts) > 1000:
         raise ValueError(f"{label} has over 1,000 values")
     if not counts:
         return []
     share = F.coalesce(*(F.when(F.col("label") == r["label"], F.lit(min(1.0, per_class / r["count"]))) for r in counts))
-    hashed = rows.withColumn("hash", F.xxhash64("text"))
-    sample = hashed.where(F.pmod(F.col("hash"), F.lit(1 << 20)) / float(1 << 20) < share).select("hash", "label", "text")
+    chosen = lambda of: F.pmod(F.xxhash64(of), F.lit(1 << 20)) / float(1 << 20) < share
+    if docs is None:
+        sample = rows.where(chosen("text"))
+    else:  # about per_class short rows of each label: small enough for a broadcast, so no text is shuffled
+        sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(rows.where(chosen("_id"))), "_id")
+    sample = sample.where("text is not null").select(F.xxhash64("text").alias("hash"), "label", "text")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -49,8 +49,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where(crc_mod(F.col("doc_id"), 5) != 0), "doc_id")
-    model = toxicity.fit_toxicity(rows)
+    model = toxicity.fit_toxicity(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
     return toxicity.score_toxicity(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 

@@ -59,10 +59,10 @@ def _platt(lead: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, fl
     return max(float(w[0]), 1e-3) / scale, float(w[1])
 
 
-def fit_toxicity(rows: DataFrame, label_col: str = "toxic", text_col: str = "text", per_class: int = 3000) -> ToxicityModel:
-    """Fit on at most about ``per_class`` rows of each label (0 and 1), with at most ``MOST`` windows of each;
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000) -> ToxicityModel:
+    """Fit on at most about ``per_class`` rows of each label (0 and 1) in ``labels``, with at most ``MOST`` windows of each;
     a fifth of the rows is held back to calibrate."""
-    found = [(h, int(y), p) for h, y, p in labelled_pieces(rows.where(F.col(label_col).isin(0, 1)), label_col, per_class, _cut, text_col)]
+    found = [(h, int(y), p) for h, y, p in labelled_pieces(labels.where(F.col(label_col).isin(0, 1)), label_col, per_class, _cut, text_col, docs, id_col)]
     kept, back = [r for i, r in enumerate(found) if i % 5], [r for i, r in enumerate(found) if not i % 5]
     if len({y for _, y, _ in kept}) < 2:
         return ToxicityModel(None, share=float(bool(kept) and kept[0][1]))
