@@ -1,11 +1,473 @@
-"""The registered queries over the reference model and their SQL."""
+"""The registered queries over the reference model, and for each the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from pathlib import Path
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarrygraph.functions.text import line_count, node_key, word_count
+from quarrygraph.operators import chunking, context, graph, hybrid, loading, resolve, triage, vector
+from quarrygraph.plans import star
+from quarrygraph.session import table
+from quarrygraph.sources import python_repo, shared
+from quarrygraph.streaming import intake
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# Vectors. The query vector is that of vec_id 0.
+
+_COS = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0))"
+_TOP = f"select vec_id, label, {_COS} as s from embeddings"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    v = table(spark, sf_dir, "embeddings")
+    return v, v.where("vec_id = 0").select("embedding").first()[0]
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("vector_topk", f"select vec_id, label, round(s, 6) as score from ({_TOP}) order by s desc, vec_id limit 10")
+def vector_topk(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    return _scores(vector.top_k(v, q, 10))
+
+
+@query("vector_topk_prefilter", f"select vec_id, label, round(s, 6) as score from ({_TOP} where label in (1, 3)) order by s desc, vec_id limit 10")
+def vector_topk_prefilter(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    return _scores(vector.top_k(v, q, 10, types=[1, 3]))
+
+
+@query("vector_topk_postfilter", f"select vec_id, label, round(s, 6) as score from (select * from ({_TOP}) order by s desc, vec_id limit 40) where label in (1, 3) order by s desc, vec_id limit 20")
+def vector_topk_postfilter(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    return _scores(vector.top_k_then_filter(v, q, 20, [1, 3]))
+
+
+@query("vector_threshold", f"select vec_id, label, round(s, 6) as score from ({_TOP}) where s >= 0.3 order by s desc, vec_id limit 5")
+def vector_threshold(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    return _scores(vector.above_threshold(v, q, 0.3))
+
+
+@query("vector_normalize", "select vec_id, round(embedding[1]::double / n, 6) as first_part, round(list_sum(list_transform(embedding, lambda x: x::double / n)), 5) as total from (select *, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings)")
+def vector_normalize(spark, sf_dir):
+    n = table(spark, sf_dir, "embeddings").select("vec_id", vector.normalized(F.col("embedding")).alias("v"))
+    return n.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first_part"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("vector_batch_topk", """select query_id, rank::int as rank, vec_id, round(s, 6) as score from (select *, row_number() over (partition by query_id order by s desc, vec_id) as rank from
+ (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as s from embeddings q join embeddings e on q.vec_id % 50 = 0 and q.vec_id <> e.vec_id)) where rank <= 5""")
+def vector_batch_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return vector.batch_top_k(v, v.where("vec_id % 50 = 0"), 5).withColumn("score", F.round("score", 6))
+
+
+@query("vector_rerank", f"select vec_id, label, round(s, 6) as score from ({_TOP} where label = 2) order by s desc, vec_id limit 8")
+def vector_rerank(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    return _scores(vector.rerank(v.where("label = 2"), v, q, 8))
+
+
+# Graph.
+
+_N, _E = star.NODES_SQL, star.EDGES_SQL
+_SEEDS = "select 'supplier:1' as id union all select 'part:1'"
+_BALL = f"""with recursive e as (select distinct type, source, target from ({_E})), both_ways as (select source as u, target as v from e union select target, source from e),
+ ball as (select id, 0 as hop from ({_SEEDS}) union select v, hop + 1 from ball join both_ways on u = id where hop < 2), near as (select id, min(hop) as hop from ball group by id)"""
+
+
+def _seeds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("supplier:1",), ("part:1",)], "id string")
+
+
+@query("node_ids", "select c_custkey, md5('customer:a/b:' || c_name || ':' || c_nationkey) as node_id, md5('method:a/b:' || c_mktsegment || ':' || c_name || ':' || c_nationkey) as method_id from customer")
+def node_ids(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    path = F.lit("a\\b")
+    return c.select("c_custkey", node_key(F.lit("customer"), path, None, F.col("c_name"), F.col("c_nationkey")).alias("node_id"), node_key(F.lit("method"), path, F.col("c_mktsegment"), F.col("c_name"), F.col("c_nationkey")).alias("method_id"))
+
+
+@query("node_type_counts", f"select type, count(*) as n from ({_N}) group by type")
+def node_type_counts(spark, sf_dir):
+    return graph.type_counts(star.nodes(spark, sf_dir))
+
+
+@query("edge_type_counts", f"select type, count(*) as n from ({_E}) group by type")
+def edge_type_counts(spark, sf_dir):
+    return graph.type_counts(star.edges(spark, sf_dir))
+
+
+@query("graph_stats", f"""select type as key, count(*) as value from ({star.FILE_NODES_SQL}) group by 1 union all select 'total_elements', count(*) from documents
+ union all select 'with_full_context', count(*) filter (full_context <> '') from ({star.FILE_NODES_SQL}) union all select 'with_summary', count(*) filter (summary <> '') from ({star.FILE_NODES_SQL})
+ union all select 'total_relationships', count(*) from ({_E}) union all select type, count(*) from ({_E}) group by 1""")
+def graph_stats(spark, sf_dir):
+    return graph.statistics(star.file_nodes(spark, sf_dir), star.edges(spark, sf_dir))
+
+
+@query("edge_dedup", f"select type, source, target, min(ord) as ord from ({_E}) group by 1, 2, 3")
+def edge_dedup(spark, sf_dir):
+    return graph.distinct_edges(star.edges(spark, sf_dir))
+
+
+@query("edge_multiset", f"select type, source, target, count(*) as copies from ({_E}) group by 1, 2, 3 having count(*) > 1")
+def edge_multiset(spark, sf_dir):
+    return star.edges(spark, sf_dir).groupBy("type", "source", "target").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+@query("nhop_nodes", f"{_BALL} select id, hop::int as hop from near where id in (select id from ({_N}))")
+def nhop_nodes(spark, sf_dir):
+    return graph.n_hop(_seeds(spark), star.nodes(spark, sf_dir), star.edges(spark, sf_dir), 2)[0]
+
+
+@query("nhop_edges", f"{_BALL} select e.type, e.source, e.target from e where source in (select id from near where hop < 2) or target in (select id from near where hop < 2)")
+def nhop_edges(spark, sf_dir):
+    return graph.n_hop(_seeds(spark), star.nodes(spark, sf_dir), star.edges(spark, sf_dir), 2)[1]
+
+
+@query("induced_subgraph", f"with k as (select id from ({_N}) where type in ('region', 'nation', 'supplier')) select type, source, target from ({_E}) where source in (select id from k) and target in (select id from k)")
+def induced_subgraph(spark, sf_dir):
+    return graph.induced(star.edges(spark, sf_dir), star.nodes(spark, sf_dir).where("type in ('region', 'nation', 'supplier')")).select("type", "source", "target")
+
+
+@query("node_neighbors", f"""with e as ({_E}) select id, (select count(*) from e where target = id) as n_in, (select count(*) from e where source = id) as n_out, coalesce((select min(source) from e where target = id), '') as first_in,
+ coalesce((select min(target) from e where source = id and type = 'in_nation'), '') as nation from ({_N})""")
+def node_neighbors(spark, sf_dir):
+    n = graph.neighbours(star.nodes(spark, sf_dir), star.edges(spark, sf_dir))
+    return n.select("id", F.size("incoming").cast("long").alias("n_in"), F.size("outgoing").cast("long").alias("n_out"), F.coalesce(F.array_min("incoming.id"), F.lit("")).alias("first_in"),
+                    F.coalesce(F.array_min(F.transform(F.filter("outgoing", lambda e: e["type"] == "in_nation"), lambda e: e["id"])), F.lit("")).alias("nation"))
+
+
+@query("related_expand", """select 'customer:' || c_custkey as id, coalesce(string_agg('orders:' || o_orderkey || '=' || 'orders: ' || o_orderstatus, ',' order by o_orderkey), '') as related
+ from customer left join orders on o_custkey = c_custkey group by c_custkey""")
+def related_expand(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    lists = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    lists = table(spark, sf_dir, "customer").join(lists, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"), F.transform(F.coalesce("k", F.array().cast("array<bigint>")), lambda k: F.concat(F.lit("orders:"), k.cast("string"))).alias("related_elements"))
+    out = graph.related(star.nodes(spark, sf_dir).withColumn("summary", F.lit("")), lists)
+    return out.select("id", F.array_join(F.transform("related_elements", lambda e: F.concat_ws("=", e["id"], e["summary"])), ",").alias("related"))
+
+
+@query("bounded_path", f"""with e as (select *, row_number() over (order by type, source) as k from ({_E}) where type in ('in_region', 'in_nation')), w as (select source as u, target as v, k from e union all select target, source, k from e),
+ p as (select s.id as start_id, w.v as end_id from ({_N}) s join w on w.u = s.id where s.type = 'nation' union all select s.id, b.v from ({_N}) s join w a on a.u = s.id join w b on b.u = a.v and b.k <> a.k where s.type = 'nation')
+ select start_id, count(*) as n_paths, count(distinct end_id) as n_ends from p group by 1""")
+def bounded_path(spark, sf_dir):
+    e = star.edges(spark, sf_dir).where("type in ('in_region', 'in_nation')").withColumn("ord", F.xxhash64("type", "source"))
+    p = graph.paths_up_to_two(star.nodes(spark, sf_dir).where("type = 'nation'"), e)
+    return p.groupBy(F.col("start").alias("start_id")).agg(F.count(F.lit(1)).alias("n_paths"), F.countDistinct("end").alias("n_ends"))
+
+
+@query("edge_domain_check", f"""select type, source_type, count(*) as n from (select e.type, split_part(source, ':', 1) as source_type, split_part(target, ':', 1) as target_type from ({_E}) e)
+ where not (type, source_type, target_type) in (('in_region', 'nation', 'region'), ('in_nation', 'customer', 'nation'), ('contains_part', 'orders', 'part')) group by 1, 2""")
+def edge_domain_check(spark, sf_dir):
+    allowed = spark.createDataFrame([("in_region", "nation", "region"), ("in_nation", "customer", "nation"), ("contains_part", "orders", "part")], "type string, source_type string, target_type string")
+    return graph.outside_domain(star.edges(spark, sf_dir), star.nodes(spark, sf_dir), allowed).groupBy("type", "source_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("graph_retrieve", f"""with recursive e as (select distinct type, source, target from ({_E})), both_ways as (select source as u, target as v from e union select target, source from e),
+ seeds as (select 'part:' || vec_id as id from (select vec_id from ({_TOP}) where vec_id > 0 order by s desc, vec_id limit 3)), ball as (select id, 0 as hop from seeds union select v, hop + 1 from ball join both_ways on u = id where hop < 2)
+ select 'part:' || vec_id as id, round(s, 6) as score from ({_TOP}) where 'part:' || vec_id in (select id from ball) and vec_id > 0 order by s desc, vec_id limit 10""")
+def graph_retrieve(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    v = v.where("vec_id > 0").withColumn("id", F.concat(F.lit("part:"), F.col("vec_id").cast("string")))
+    seeds = vector.top_k(v, q, 3).select("id")
+    reached, _ = graph.n_hop(seeds, star.nodes(spark, sf_dir), star.edges(spark, sf_dir), 2)
+    best = vector.top_k(v.join(reached, "id", "left_semi"), q, 10)
+    return best.select("id", F.round("score", 6).alias("score"))
+
+
+# Chunks.
+
+@query("chunk_pack", """with recursive d as (select source, doc_id, length(text)::bigint as size, row_number() over (partition by source order by doc_id) as k from documents),
+ p as (select source, doc_id, k, 0 as g, size as cur, size > 1500 as closed from d where k = 1 union all
+ select d.source, d.doc_id, d.k, case when d.size > 1500 or p.closed or p.cur + d.size > 1500 then g + 1 else g end, case when d.size > 1500 or p.closed or p.cur + d.size > 1500 then d.size else p.cur + d.size end, d.size > 1500
+ from p join d on d.source = p.source and d.k = p.k + 1) select source, doc_id, g::int as group_no from p""")
+def chunk_pack(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    return chunking.packed(d, "source", "doc_id", F.length("text")).select("source", "doc_id", F.col("group").alias("group_no"))
+
+
+@query("chunk_classify", f"""select ord, case when full_context = '' then null when length(full_context) > 3000 then summary else full_context end as content, '# File: ' || name || chr(10) || chr(10) ||
+ case when docstring <> '' then '\"\"\"' || docstring || '\"\"\"' || chr(10) || chr(10) else '' end || 'Summary: ' || summary || chr(10) as header from ({star.FILE_NODES_SQL})""")
+def chunk_classify(spark, sf_dir):
+    n = star.file_nodes(spark, sf_dir)
+    return n.select("ord", chunking.class_content(F.col("full_context"), F.col("summary")).alias("content"), chunking.header_content(F.col("name"), F.col("docstring"), F.col("summary")).alias("header"))
+
+
+# Hybrid retrieval: the 30 longest documents as graph hits, the 20 nearest vectors' documents as chunk hits.
+
+_KG = "select source as file_path, 'n' || (doc_id % 5) as name, lang as type, substr(text, 1, 50) as content, '' as summary, doc_id as ord from (select * from documents order by n_chars desc, doc_id limit 30)"
+_HITS = f"select 'c' || v.vec_id as chunk_id, d.source as file_path, ['q', 'n' || (d.doc_id % 5), 'n' || (d.doc_id % 3)] as names, s as score, rank from (select *, row_number() over (order by s desc, vec_id) as rank from ({_TOP}) order by s desc, vec_id limit 20) v join documents d on d.doc_id = v.vec_id"
+_MERGED = f"""with kg as ({_KG}), hits as ({_HITS}), g as (select file_path, name, arg_max(content, ord) as content, min(ord) as place from kg group by 1, 2),
+ m as (select chunk_id, rank, score, h.file_path, n.name, row_number() over (partition by chunk_id order by n.pos) as first from hits h, (select unnest([1, 2, 3]) as pos) p, lateral (select h.names[p.pos] as name, p.pos) n join g on g.file_path = h.file_path and g.name = n.name),
+ sc as (select file_path, name, arg_max(score, rank) as score from m where first = 1 group by 1, 2),
+ merged as (select case when sc.score is null then 'kg' else 'both' end as source, g.name, g.file_path, 0.5 * 1.0 + 0.5 * coalesce(sc.score, 0) as combined, 0 as kind, place from g left join sc using (file_path, name)
+ union all select 'vector', array_to_string(names, ', '), file_path, 0.5 * score, 1, rank from hits where chunk_id not in (select chunk_id from m))"""
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kg = docs.orderBy(F.desc("n_chars"), "doc_id").limit(30).select(
+        F.col("source").alias("file_path"), F.concat(F.lit("n"), (F.col("doc_id") % 5).cast("string")).alias("name"), F.col("lang").alias("type"), F.substring("text", 1, 50).alias("content"), F.lit("").alias("summary"), F.col("doc_id").alias("ord"))
+    v, q = _vectors(spark, sf_dir)
+    top = vector.top_k(v, q, 20)
+    nth = F.row_number().over(hybrid.Window.orderBy(F.desc("score"), "vec_id"))
+    name = lambda m: F.concat(F.lit("n"), (F.col("doc_id") % m).cast("string"))
+    hits = top.withColumn("rank", nth).join(docs, F.col("doc_id") == F.col("vec_id")).select(
+        F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.col("source").alias("file_path"), F.lit("mixed").alias("chunk_type"), F.substring("text", 1, 50).alias("content"), F.array(F.lit("q"), name(5), name(3)).alias("element_names"), "score", "rank")
+    return hybrid.merge(kg, hits)
+
+
+@query("hybrid_merge", f"{_MERGED} select source, name, file_path, round(combined, 6) as combined_score from merged")
+def hybrid_merge(spark, sf_dir):
+    return _merged(spark, sf_dir).select("source", "name", "file_path", F.round("combined_score", 6).alias("combined_score"))
+
+
+@query("hybrid_topk", f"{_MERGED} select source, name, file_path, round(combined, 6) as combined_score from merged order by combined desc, kind, place limit 10")
+def hybrid_topk(spark, sf_dir):
+    return hybrid.best(_merged(spark, sf_dir)).select("source", "name", "file_path", F.round("combined_score", 6).alias("combined_score"))
+
+
+@query("hybrid_enrich", f"{_MERGED}, n as (select source as file_path, 'n' || (doc_id % 50) as name, doc_id as ord, doc_id % 100 as line from documents) select m.source, m.name, m.file_path, case when m.source <> 'vector' then (select arg_min(line, ord) from n where n.file_path = m.file_path and contains(n.name, m.name)) end::int as line_number from merged m")
+def hybrid_enrich(spark, sf_dir):
+    nodes = table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.concat(F.lit("n"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.col("doc_id").alias("ord"), (F.col("doc_id") % 100).cast("int").alias("line_number"), F.lit("").alias("docstring"), F.lit("").alias("signature"))
+    return hybrid.enrich(_merged(spark, sf_dir), nodes).select("source", "name", "file_path", "line_number")
+
+
+@query("format_context", f"""{_MERGED} select place::int as place, '## Result ' || place || ' (Score: ' || printf('%.3f', combined) || ')' || chr(10) || '**Source:** ' || source || ' | **Type:** x | **Name:** ' || name || chr(10) || '**File:** ' || file_path || chr(10) || chr(10)
+ || '**Summary:** s' || chr(10) || chr(10) || '```python' || chr(10) || 'code' || chr(10) || '```' || chr(10) || chr(10) || repeat('-', 60) || chr(10) || chr(10) as text from (select * exclude (place), row_number() over (order by combined desc, kind, place) as place from merged) where place <= 10""")
+def format_context(spark, sf_dir):
+    return hybrid.formatted(hybrid.best(_merged(spark, sf_dir)).withColumns({"type": F.lit("x"), "summary": F.lit("s"), "content": F.lit("code")}))
+
+
+# Loading.
+
+_F = star.FILE_NODES_SQL
+_KEY = f"""case when id <> '' then id when type = 'file' then 'file:' || p when type = 'class' and name <> '' then 'class:' || p || ':' || name when type in ('method', 'attribute') and name <> '' and parent is not null then type || ':' || p || ':' || parent || ':' || name || ':' || line_number
+ when type = 'function' and name <> '' then 'function:' || p || ':' || name || ':' || line_number when type = 'generated_description' and name <> '' then 'desc:' || p || ':' || name || ':' || line_number end"""
+_KEYED = f"select *, {_KEY} as key from (select *, replace(file_path, '\\', '/') as p from ({_F}))"
+
+
+@query("validate_nodes", f"select ord, type <> '' and name <> '' as valid from ({_F})")
+def validate_nodes(spark, sf_dir):
+    return star.file_nodes(spark, sf_dir).select("ord", loading.is_valid().alias("valid"))
+
+
+@query("unique_keys", f"select ord, coalesce(key, '?') as unique_key, coalesce(replace(replace(replace(key, ':', '_'), '/', '_'), '.', '_'), '?') as store_key from ({_KEYED})")
+def unique_keys(spark, sf_dir):
+    n = star.file_nodes(spark, sf_dir)
+    k = n.withColumn("k", loading.unique_key(n)).withColumn("k", F.when(~F.contains("k", F.lit(":unknown_")), F.col("k")))
+    return k.select("ord", F.coalesce("k", F.lit("?")).alias("unique_key"), F.coalesce(loading.store_key(F.col("k")), F.lit("?")).alias("store_key"))
+
+
+@query("rel_collection", f"select type, (case type when 'in_region' then 'In_Region' when 'in_nation' then 'In_Nation' when 'placed_by' then 'Placed_By' when 'contains_part' then 'Contains_Part' else 'Supplied_By' end) as collection, upper(type) as label, count(*) as n from ({_E}) group by 1")
+def rel_collection(spark, sf_dir):
+    k = F.col("type")
+    return graph.type_counts(star.edges(spark, sf_dir)).select("type", loading.edge_collection(k).alias("collection"), loading.relation_label(k).alias("label"), "n")
+
+
+@query("dedup_first_wins", "select min(doc_id) as doc_id, arg_min(source, doc_id) as source from documents group by text")
+def dedup_first_wins(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("key"))
+    return loading.first_of_each(d, "key", "doc_id").select("doc_id", "source")
+
+
+@query("stored_documents", f"""select key as unique_key, ord from (select *, row_number() over (partition by type, replace(replace(replace(key, ':', '_'), '/', '_'), '.', '_') order by ord) as nth from ({_KEYED}) where type <> '' and name <> '' and key is not null) where nth = 1""")
+def stored_documents(spark, sf_dir):
+    return loading.documents(star.file_nodes(spark, sf_dir)).where(~F.contains("unique_key", F.lit(":unknown_"))).select("unique_key", "ord")
+
+
+_RICH = "select o_orderkey, o_custkey from orders join customer on c_custkey = o_custkey where c_acctbal > 0"
+
+
+def _rich(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    nodes = orders.select(key("o", "o_orderkey").alias("unique_key"), F.lit("File").alias("collection")).unionByName(customers.select(key("c", "c_custkey").alias("unique_key"), F.lit("Class").alias("collection")))
+    nodes = nodes.withColumn("_key", loading.store_key(F.col("unique_key"))).withColumn("original_id", F.lit(None).cast("string"))
+    return orders.select(F.lit("placed_by").alias("type"), key("o", "o_orderkey").alias("source"), key("c", "o_custkey").alias("target")), nodes
+
+
+@query("resolve_edges", f"select 'File/o' || o_orderkey as _from, 'Class/c' || o_custkey as _to, 'placed_by' as type, 'Placed_By' as collection from ({_RICH})")
+def resolve_edges(spark, sf_dir):
+    return loading.resolve(*_rich(spark, sf_dir))[0]
+
+
+@query("unresolved_edges", f"select 'placed_by' as type, 'o' || o_orderkey as source, 'c' || o_custkey as target from orders where o_orderkey not in (select o_orderkey from ({_RICH}))")
+def unresolved_edges(spark, sf_dir):
+    return loading.resolve(*_rich(spark, sf_dir))[1]
+
+
+@query("matched_edges", f"select 'placed_by' as type, 'o' || o_orderkey as source, 'c' || o_custkey as target from ({_RICH})")
+def matched_edges(spark, sf_dir):
+    return loading.matched_edges(*_rich(spark, sf_dir)).select("type", "source", "target")
+
+
+@query("field_coverage", "select source, count(*) as total, count(quality) as with_quality, count(toxic) as with_toxic from documents left join labels using (doc_id) group by source")
+def field_coverage(spark, sf_dir):
+    return loading.coverage(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left"), "source", ["quality", "toxic"])
+
+
+@query("collection_counts", f"select case type when 'class' then 'Class' when 'function' then 'Function' when 'method' then 'Method' when 'attribute' then 'Attribute' when 'file' then 'File' when 'generated_description' then 'Generated_Description' else '' end as collection, count(*) as n from ({_F}) group by 1")
+def collection_counts(spark, sf_dir):
+    return loading.counts(star.file_nodes(spark, sf_dir).select(loading.collection(F.col("type")).alias("collection")), "collection")
+
+
+# Text.
+
+_COUNT = "((length(text) - length(replace(text, '{0}', ''))) / length('{0}'))::int"
+
+
+@query("file_summary", f"select doc_id, 'File: ' || source || ' (' || len(string_split(text, chr(10))) || ' lines)' || chr(10) || 'Description: ' || lang || chr(10) || 'Contains: ' || {_COUNT.format('the ')} || ' classes, ' || {_COUNT.format('of ')} || ' functions/methods' as summary from documents")
+def file_summary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", python_repo.file_summary(F.col("source"), F.col("lang"), F.col("text"), "the ", "of ").alias("summary"))
+
+
+@query("file_metadata", "select doc_id, length(text)::int as file_size, len(string_split(text, chr(10)))::int as num_lines from documents")
+def file_metadata(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("file_size"), line_count(F.col("text")).alias("num_lines"))
+
+
+@query("word_count", r"select doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::int as n_words from documents")
+def words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n_words"))
+
+
+@query("describe_heuristics", f"""select ord, 'This ' || type || ' named ''' || name || ''' contains ' || len(string_split(full_context, chr(10))) || ' lines of code. ' || case when contains(full_context, 'the ') then 'It returns a value. ' else '' end
+ || case when contains(full_context, 'of ') and type = 'method' then 'It operates on instance data. ' else '' end || case when contains(full_context, 'and ') then 'This is a constructor method. ' else '' end as description from ({_F})""")
+def describe_heuristics(spark, sf_dir):
+    n = star.file_nodes(spark, sf_dir)
+    return n.select("ord", context.described(F.col("type"), F.col("name"), F.col("full_context"), "the ", "of ", "and ").alias("description"))
+
+
+@query("embed_text_select", f"""select ord, case when regexp_replace(t, '\\s', '', 'g') <> '' then t end as text from (select ord, case when type = 'generated_description' then nullif(docstring, '') when type in ('class', 'method', 'function') then coalesce(nullif(full_context, ''), nullif(summary, ''), nullif(docstring, ''))
+ when type = 'file' then coalesce(nullif(summary, ''), nullif(docstring, '')) end as t from ({_F}))""")
+def embed_text_select(spark, sf_dir):
+    return star.file_nodes(spark, sf_dir).select("ord", loading.embedding_text().alias("text"))
+
+
+@query("import_resolve", """with n as (select p_brand as file_path, p_name as name, p_partkey as k from part), l as (select file_path, name, min(k) as k from n group by 1, 2), g as (select name, arg_min(k, struct_pack(f := file_path, k := k)) as k from n group by 1)
+ select s_suppkey, coalesce(l.k, g.k) as target from (select s_suppkey, p_brand as file_path, p_name as name from supplier join part on p_partkey = s_suppkey * 3) u left join l using (file_path, name) left join g using (name)""")
+def import_resolve(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    nodes = part.select(F.col("p_brand").alias("file_path"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("pos"), F.lit("function").alias("type"))
+    uses = table(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey") * 3).select(F.col("p_brand").alias("file_path"), F.lit(None).cast("string").alias("base"), F.col("p_name").alias("used"), F.col("s_suppkey").cast("string").alias("user_id"))
+    imports = part.select(F.col("p_brand").alias("file_path"), F.lit("-").alias("alias"), F.lit("x.-").alias("full_name")).distinct()
+    return resolve.usage_edges(nodes, imports, uses).select(F.col("source").cast("long").alias("s_suppkey"), F.col("target").cast("long").alias("target"))
+
+
+# Triage.
+
+_R = star.REPORTS_SQL
+
+
+@query("trace_parse", f"""select event_id, regexp_extract(stack_trace, 'File "([^"]+)", line (\\d+)', 1) as primary_file, coalesce(try_cast(regexp_extract(stack_trace, 'File "([^"]+)", line (\\d+)', 2) as int), 0) as primary_line,
+ regexp_extract(stack_trace, 'in (\\w+)', 1) as primary_function, regexp_extract(stack_trace, '(?m)(\\w+Error): (.+)$', 1) as error_type from ({_R})""")
+def trace_parse(spark, sf_dir):
+    return star.reports(spark, sf_dir).select("event_id", *(c.alias(k) for k, c in triage.trace_fields(F.col("stack_trace")).items()))
+
+
+@query("error_search_query", f"""select event_id, array_to_string(list_concat(list_filter(string_split(lower(error_message), ' '), lambda w: contains(w, 'error') or contains(w, 'exception')), list_filter([replace(string_split(file_path, '/')[-1], '.py', ''), substr(context, 1, 50)], lambda x: x is not null))[1:5], ' ') as query from ({_R})""")
+def error_search_query(spark, sf_dir):
+    return star.reports(spark, sf_dir).select("event_id", triage.search_query(F.col("error_message"), F.col("file_path"), F.col("context")).alias("query"))
+
+
+_LINES = f"select conv_id, turn, list_transform(string_split(response, chr(10)), lambda x: trim(x)) as l from ({star.REPLIES_SQL})"
+_STRIP = "list_transform(list_filter(l, lambda x: length(x) > 10 and {0}), lambda x: ltrim(x, '0123456789.-*• '))"
+
+
+@query("extract_fixes", f"""select conv_id, turn, array_to_string(({_STRIP.format("(regexp_matches(x, '^([1-5][.]|[-*•])') or regexp_matches(lower(x), 'fix:|change:|update:'))")})[1:10], '|') as fixes from ({_LINES})""")
+def extract_fixes(spark, sf_dir):
+    return star.replies(spark, sf_dir).select("conv_id", "turn", F.array_join(triage.fixes(F.col("response")), "|").alias("fixes"))
+
+
+@query("extract_steps", f"""select conv_id, turn, array_to_string({_STRIP.format("regexp_matches(x, '^([1-9][.]|[-*•]|Step|STEP)')")}, '|') as steps from ({_LINES})""")
+def extract_steps(spark, sf_dir):
+    return star.replies(spark, sf_dir).select("conv_id", "turn", F.array_join(triage.steps(F.col("response")), "|").alias("steps"))
+
+
+@query("fenced_json", f"""select event_id, case when event_id % 3 = 2 then 'other' else 'debug' end as classification, case when event_id % 3 = 2 then 0.5 else 0.9 end::double as confidence from ({_R})""")
+def fenced_json(spark, sf_dir):
+    body = F.lit('{"classification": "debug", "confidence": 0.9, "reasoning": "r", "key_indicators": ["a"]}')
+    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("text ```json\n"), body, F.lit("\n``` more"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```\n"), body, F.lit("```"))).otherwise("not json {")
+    return star.reports(spark, sf_dir).select("event_id", triage.parsed_reply(reply).alias("r")).select("event_id", "r.classification", "r.confidence")
+
+
+_CLASS = "case event_id % 5 when 0 then 'debug' when 1 then 'network' when 2 then 'authentication' when 3 then 'environment' else 'other' end"
+
+
+@query("classify_route", f"select event_id, {_CLASS} as classification, case when event_id % 5 = 0 then 'retrieval' else 'general' end as route from ({_R})")
+def classify_route(spark, sf_dir):
+    r = star.reports(spark, sf_dir).withColumn("classification", triage.classified(F.col("error_message")))
+    return r.select("event_id", "classification", triage.route(F.col("classification")).alias("route"))
+
+
+@query("retry_states", f"select event_id, case when event_id % 7 = 0 then 0 when event_id % 5 < 3 then event_id % 5 + 1 else 3 end::int as retries, case when event_id % 7 = 0 then 'similar_ticket' when event_id % 5 < 3 then 'fixed' else 'gave_up' end as status from ({_R})")
+def retry_states(spark, sf_dir):
+    r = star.reports(spark, sf_dir).select("event_id", (F.col("event_id") % 7 == 0).alias("similar"))
+    return intake.retry(r, "similar", lambda df: df.withColumn("passed", F.col("event_id") % 5 < F.col("retries"))).select("event_id", "retries", "status")
+
+
+@query("stream_error_intake", "select event_type, count(*) as n from events group by event_type")
+def stream_error_intake(spark, sf_dir):
+    target = f"{shared.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = intake.file_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
+    intake.run_available(stream, lambda batch, n: batch.select("event_id", "event_type").write.mode("overwrite").parquet(f"{target}/batch={n}"), f"{target}-state")
+    return spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+FIXTURES = Path(__file__).resolve().parents[2] / "fixtures" / "sample_project"
+
+
+def _project(spark: SparkSession, loads: bool = False) -> dict[str, DataFrame]:
+    return python_repo.repository(python_repo.python_files(spark, str(FIXTURES), ("__pycache__",)), f"{FIXTURES}/", loads)
+
+
+@query("ast_extract")
+def ast_extract(spark, sf_dir):
+    return _project(spark)["nodes"].select(F.replace("file_path", F.lit(f"{FIXTURES}/"), F.lit("")).alias("path"), "type", "name", "parent", "line_number")
+
+
+@query("usage_edges")
+def usage_edges(spark, sf_dir):
+    found = _project(spark)
+    names = found["nodes"].select("id", "name")
+    edges = resolve.usage_edges(found["nodes"], found["imports"], found["uses"])
+    return edges.join(names.select(F.col("id").alias("source"), F.col("name").alias("user")), "source").join(names.select(F.col("id").alias("target"), F.col("name").alias("used")), "target").select("type", "user", "used")
+
+
+@query("repo_chunks")
+def repo_chunks(spark, sf_dir):
+    found = _project(spark)
+    nodes = context.with_contexts(found["nodes"], found["class_names"])
+    ranked = nodes.withColumn("ord", F.col("pos").cast("long"))
+    return chunking.chunks(ranked).select("chunk_id", "chunk_type", F.array_join("element_names", ",").alias("names"), "start_line", "end_line", F.length("content").alias("size"))
