@@ -195,7 +195,7 @@ def edge_domain_check(spark, sf_dir):
 
 @query("graph_retrieve", f"""with recursive e as (select distinct type, source, target from ({_E})), both_ways as (select source as u, target as v from e union select target, source from e),
  seeds as (select 'part:' || vec_id as id from (select vec_id from ({_TOP}) where vec_id > 0 order by s desc, vec_id limit 3)), ball as (select id, 0 as hop from seeds union select v, hop + 1 from ball join both_ways on u = id where hop < 2)
- select 'part:' || vec_id as id, round(s, 6) as score from ({_TOP}) where 'part:' || vec_id in (select id from ball) and vec_id > 0 order by s desc, vec_id limit 10""")
+ select 'part:' || vec_id as id, round(s, 6) as score from ({_TOP}) where 'part:' || vec_id in (select id from ball) and 'part:' || vec_id in (select id from ({_N})) and vec_id > 0 order by s desc, vec_id limit 10""")
 def graph_retrieve(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
     v = v.where("vec_id > 0").withColumn("id", F.concat(F.lit("part:"), F.col("vec_id").cast("string")))
