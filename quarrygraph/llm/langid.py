@@ -49,7 +49,7 @@ def _cut(text: str, seed: int) -> list[str]:
     return [w for size, most in ((60, 2), (12, 3), (3, 2)) for w in word_windows(text, size, most, seed)]
 
 
-def fit_languages(docs: DataFrame, per_class: int = 2000, lang_col: str = "lang", text_col: str = "text", tail: float = 0.001) -> LanguageModel:
+def fit_languages(docs: DataFrame, per_class: int = 1000, lang_col: str = "lang", text_col: str = "text", tail: float = 0.001) -> LanguageModel:
     """Fit on at most about ``per_class`` rows of each language (chosen by the hash of their text) of ``docs``; a fifth
     of them is held back to calibrate. Rejection is set so that at most ``tail`` of held-back pieces are near it."""
     rows = labelled_pieces(docs, lang_col, per_class, _cut, text_col)

@@ -128,17 +128,15 @@ def train(
     """Embeddings and softmax trained jointly by minibatch SGD with a linearly falling rate. Texts without n-grams are left out."""
     classes = sorted(set(labels))
     y = np.array([classes.index(x) for x in labels])
-    block = Block.of(texts)
-    of = np.repeat(np.arange(len(texts)), np.diff(np.append(block.starts, len(block.codes))))
-    at, text = [], []
-    for bucket in block.grams(orders, bits):
-        ok = bucket < 1 << bits
-        at.append(bucket[ok].astype(np.int32))
-        text.append(of[ok].astype(np.int32))
-    at, text = np.concatenate(at), np.concatenate(text)
-    order = np.argsort(text, kind="stable")
-    at, text = at[order], text[order]
-    n = np.bincount(text, minlength=len(texts))
+    at, n = [], np.zeros(len(texts), np.int64)
+    for first in range(0, len(texts), 1024):  # a block at a time: only the bucket numbers stay in memory
+        block = Block.of(texts[first : first + 1024])
+        of = np.repeat(np.arange(len(block.starts), dtype=np.int32), np.diff(np.append(block.starts, len(block.codes))))
+        found = [(bucket[ok].astype(np.int32), of[ok]) for bucket in block.grams(orders, bits) for ok in (bucket < 1 << bits,)]
+        text = np.concatenate([t for _, t in found])
+        at.append(np.concatenate([b for b, _ in found])[np.argsort(text, kind="stable")])
+        n[first : first + 1024] = np.bincount(text, minlength=len(block.starts))
+    at = np.concatenate(at) if at else np.zeros(0, np.int32)
     ends = np.cumsum(n)
     seen = np.zeros((1 << bits) + 1, bool)
     seen[at] = True
