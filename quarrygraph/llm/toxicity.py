@@ -34,8 +34,9 @@ class ToxicityModel:
         """0 to 1; 0 for texts without words."""
         if self.model is None:
             return np.full(len(texts), self.share)
-        z = self.slope * self.model.best_window(texts, WINDOW) + self.shift
-        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        lead = self.model.best_window(texts, WINDOW)
+        z = np.where(np.isfinite(lead), self.slope * lead + self.shift, 0)
+        return np.where(np.isfinite(lead), 1 / (1 + np.exp(-np.clip(z, -700, 700))), 0.0)
 
 
 def _cut(text: str, seed: int) -> list[str]:
