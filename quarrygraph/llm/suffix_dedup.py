@@ -48,7 +48,8 @@ def _documents(texts: list[str], least: int) -> Iterator[tuple[np.ndarray, bytes
     h, first, *_ = word_hashes(texts)
     runs = h.copy()
     for j in range(1, K):
-        runs[: len(h) - j] = mix(runs[: len(h) - j] * _ODD + h[j:], j)
+        m = max(0, len(h) - j)
+        runs[:m] = mix(runs[:m] * _ODD + h[j:], j)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         own, none = h[a:b], np.zeros(0, np.int64)
         if a == b:
@@ -203,6 +204,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     every = materialize(_anchors(docs, least, id_col, text_col), "suffixes")
     rows, kept = every.where("kind = 0").select("_id", "cls", "n"), every.where("kind = 1").select("cls", "suffix", "at")
     shared = kept.groupBy("suffix").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y").select("suffix")
+    # written before the join: a side that is an aggregate keeps Spark from splitting a frequent suffix of the other side
+    shared = materialize(shared, "shared")
     wanted = materialize(kept.join(shared, "suffix").groupBy("cls").agg(F.collect_set("at").alias("wanted")), "wanted")
     of_class = rows.where(F.col("n") >= least).groupBy("cls").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     of_class = materialize(of_class.join(wanted.select("cls", F.lit(True).alias("partly")), "cls", "left"), "of-class")
