@@ -3,13 +3,14 @@
 Documents with equal shingle sets form a class, found by a digest; all that follows is about classes. A class with n
 shingles can only be linked to one that shares T = ceil(n * threshold) of them. Shingles are put into one order for the whole
 corpus: rare ones first, then frequent ones by how many documents hold them (their inverted lists are the long ones). By
-DivideSkip, T - 1 lists of a class, those of its most frequent shingles, aren't merged: a linked class must occur in at
-least one of the other n - T + 1 short lists. The short lists are merged by their shingle in Spark's sort-merge join, and
-candidates' counts are completed by binary probes of the sorted shingles of both.
+DivideSkip, T - c lists of a class, those of its most frequent shingles, aren't merged: a linked class must occur in at
+least c of the other n - T + c short lists. The short lists are merged by their shingle in Spark's sort-merge join, the
+occurrences are counted, and the counts of candidates with c are completed by binary probes of the sorted shingles of both.
 
 Lists can be as long as a group of near copies, and no pair for each two of its members is ever made while one link already
-connects them: rounds of stars link every member of a list to one pivot; what has come together counts as one from then
-on; only lists with several components go on, and pairs across components are searched in full at the end.
+connects them: rounds of stars link the members of each class's rarest shared lists to one pivot of the list; what has come
+together counts as one from then on; only lists with several components go on, and pairs across components are searched in
+full, in all lists, at the end.
 """
 
 from __future__ import annotations
@@ -25,11 +26,16 @@ from quarrygraph.llm.shingles import digest, shingle_sets
 
 #: Shingles that get an exact place among the frequent ones: 8 bytes each reach every task. More of them only make
 #: the order less sharp; results don't depend on it.
-FREQUENT = 300_000
+FREQUENT = 500_000
 #: Shingles whose counts a task adds up at a time, and the least count that it hands on.
-CHUNK, HANDED_ON = 2_000_000, 3
-#: Star rounds go on while pairs across components exceed this many times the postings.
-PAIRS_PER_POSTING, ROUNDS = 2, 6
+CHUNK, HANDED_ON = 3_000_000, 2
+#: c: occurrences in short lists that make a candidate.
+MERGED = 3
+#: Star rounds over the first lists of each class, taken if any list is longer than ``LONG``; further ones over all lists, while
+#: pairs across components exceed so many times the postings.
+STARS, FIRST_LISTS, LONG, PAIRS_PER_POSTING, ROUNDS = 2, 6, 64, 8, 6
+#: Hash buckets of wanted ids, broadcast to drop other documents before their texts are shuffled: at most so many numbers.
+BUCKETS = 1 << 19
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -94,7 +100,7 @@ def _classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
 def frequent_shingles(counted: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, rank by count of each) of at most ``most`` shingles with the highest counts."""
-    totals = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > HANDED_ON)
+    totals = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * HANDED_ON)
     levels = sorted(totals.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect(), reverse=True)
     least, held = None, 0
     for level, count in levels:
@@ -123,8 +129,8 @@ def _postings(docs: DataFrame, k: int, percent: int, hashes: np.ndarray, rank: n
             shingle, cls, size, place = [], [], [], []
             for s in shingle_sets([t or "" for t in batch.column(0).to_pylist()], k):
                 n = len(s)
-                lists = n - least_overlap(n, percent) + 1
-                # any other set of this size range differs by at least one shingle: too few for a link of small ones
+                lists = min(n, n - least_overlap(n, percent) + MERGED)
+                # another set differs by one shingle at least: too much for a link of small ones
                 if not n or n * 100 < percent * (n + 1) and (n - 1) * 100 < percent * n:
                     continue
                 key = digest(s)
@@ -154,7 +160,7 @@ def _possible(percent: int):
     """Whether two sets can be linked, by their sizes and the places of a shared shingle in their orders."""
     a, b = F.col("na").cast("long"), F.col("nb").cast("long")
     sizes = F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    shared = F.least(a - F.col("pa"), b - F.col("pb"))  # this shingle and those behind it
+    shared = F.least(a - F.col("pa"), b - F.col("pb")) + (MERGED - 1)  # this shingle, those behind it, and earlier ones
     return sizes & (shared * (100 + percent) >= (a + b) * percent)
 
 
@@ -181,19 +187,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ha", "hb"), make, "a binary, b binary")
 
 
-def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(a row per document row: id, cls, n; the component of each class that has links: node, label). Both are written tables."""
-    every = materialize(_classes(docs, k, id_col, text_col), "classes")
-    rows = every.where("kind = 0").select("_id", "cls", "n")
-    hashes, rank = frequent_shingles(every.where("kind = 1"))
-    postings = materialize(_postings(docs, k, percent, hashes, rank, text_col).distinct(), "postings")
-    lists = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    lists = materialize(postings.join(lists.select("shingle"), "shingle"), "lists")
-    discard(postings)
-
-    # the sets of classes in lists with others, from one document of each class
-    wanted = rows.join(lists.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("_id").alias("_id")).where("_id is not null")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(wanted.select("_id"), "_id")
+def _sets_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(cls, hashes) of the classes in ``pairs``, from the text of one document of each; a written table."""
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = materialize(rows.groupBy("cls").agg(F.min("_id").alias("_id")).join(classes, "cls").where("_id is not null").select("_id"), "wanted")
+    bucket = F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)).alias("bucket")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    near = texts.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").join(wanted, "_id")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -202,39 +202,65 @@ def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
 
         return step
 
-    sets = materialize(arrow_map(texts.select("text"), make, "cls binary, hashes binary").groupBy("cls").agg(F.first("hashes").alias("hashes")), "sets")
+    # repeated ids with several texts give sets beside the wanted ones, and equal sets more than once
+    return materialize(arrow_map(near.select("text"), make, "cls binary, hashes binary").join(classes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
+
+def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(a row per document row: id, cls, n; the component of each class that has links: node, label). Both are written tables."""
+    every = materialize(_classes(docs, k, id_col, text_col), "classes")
+    rows = every.where("kind = 0").select("_id", "cls", "n")
+    hashes, rank = frequent_shingles(every.where("kind = 1"))
+    postings = materialize(_postings(docs, k, percent, hashes, rank, text_col), "postings")
+    # lists of several classes, of which one can be the smaller set of a link: its shared shingle comes early in its order
+    early = F.col("place") < F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent / (100 + percent)) - 1e-9) + MERGED
+    key = F.xxhash64("cls")
+    # written before the join: a side that is an aggregate keeps Spark from splitting the other side's long lists
+    several = postings.groupBy("shingle").agg(F.min(key).alias("x"), F.max(key).alias("y"), F.max(early).alias("early"), F.count(F.lit(1)).alias("members")).where("x != y and early").select("shingle", "members")
+    several = materialize(several, "several")
+    # the shared lists of each class, the rarest first
+    posts = F.array_sort(F.collect_set(F.struct("place", "shingle"))).alias("posts")
+    lists = materialize(postings.join(several.select("shingle"), "shingle").groupBy("cls", "n").agg(posts), "lists")
+    discard(postings)
     labels, tried = None, None
-    count = lists.count()
+    longest, count = several.agg(F.max("members"), F.sum("members")).first()
+    stars = STARS if (longest or 0) > LONG else 0
     for turn in range(ROUNDS + 1):
-        if labels is None:
-            open_lists = lists.withColumn("label", F.col("cls"))
-        else:
-            named = lists.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            still = named.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("shingle")
-            open_lists = named.join(still, "shingle")
-        open_lists = materialize(open_lists, "open")
-        sizes = open_lists.groupBy("shingle", "label").count().groupBy("shingle").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        across = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        last = turn == ROUNDS or across <= PAIRS_PER_POSTING * max(count, 1000)
+        of_class = lists.withColumn("label", F.col("cls"))
+        if labels is not None:
+            of_class = lists.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        used = F.slice("posts", 1, FIRST_LISTS) if turn < stars else F.col("posts")
+        named = materialize(of_class.select("cls", "n", "label", F.explode(used).alias("p")).select("cls", "n", "label", "p.*"), "named")
+        still = named.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("shingle")
+        open_lists = materialize(named.join(materialize(still, "still"), "shingle"), "open")
+        discard(named)
+        last = turn == ROUNDS
+        if turn >= stars and not last:
+            sizes = open_lists.groupBy("shingle", "label").count().groupBy("shingle").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
+            last = (sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0) <= PAIRS_PER_POSTING * max(count or 0, 1000)
         left = open_lists.select("shingle", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
         if last:
             right = open_lists.select("shingle", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
             pairs = left.join(right, "shingle").where("a < b and la != lb")
         else:
             pivot = open_lists.groupBy("shingle").agg(F.min_by(F.struct("cls", "n", "place", "label"), F.xxhash64("cls", F.lit(turn))).alias("p"))
-            pairs = left.join(pivot, "shingle").select("b", "nb", "pb", "lb", F.col("p.cls").alias("a"), F.col("p.n").alias("na"), F.col("p.place").alias("pa"), F.col("p.label").alias("la"))
+            pairs = left.join(materialize(pivot, "pivots"), "shingle").select("b", "nb", "pb", "lb", F.col("p.cls").alias("a"), F.col("p.n").alias("na"), F.col("p.place").alias("pa"), F.col("p.label").alias("la"))
             pairs = pairs.where("a != b and la != lb")
-        pairs = pairs.where(_possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        merged = pairs.where(_possible(percent)).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.least(F.min("na"), F.min("nb")).alias("n"))
+        # (a pivot need not be the same in all lists of a pair, so stars don't count)
+        enough = F.least(F.lit(MERGED), F.ceil(F.col("n") * percent / 100.0)) if last else F.lit(1)
+        pairs = merged.where(F.col("m") >= enough).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        sets = _sets_of(pairs, rows, docs, k, id_col, text_col)
         links = materialize(_verified(pairs, sets, percent), "links")
+        discard(sets)
         discard(open_lists)
         known = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = connected_components(known)
         if last:
             discard(lists)
-            discard(sets)
             return rows, labels
         tried = pairs if tried is None else materialize(tried.unionByName(pairs), "tried")
 
@@ -244,14 +270,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     Two documents are linked when their sets' intersection has at least ``percent`` hundredths of their union. A null or
     empty text, or one of white space, has no shingles and is linked with nothing; its component is its own id. Repeated
-    rows give repeated rows; rows with a null id take part as links and have the least id of their component (null if
-    there is none). An empty table gives no rows. Only the two named columns are read.
+    rows give repeated rows. A row with a null id is linked with equal sets only, and has the least id among them (null
+    if there is none). An empty table gives no rows. Only the two named columns are read.
     """
     rows, labels = link_classes(docs, k, percent, id_col, text_col)
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("least"))
     named = least.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = materialize(named, "named")
-    own = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    own = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "own")
     of = materialize(named.join(own, "label").select("cls", "component_id"), "components")
     out = rows.join(of, "cls", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out

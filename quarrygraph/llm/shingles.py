@@ -53,7 +53,8 @@ def shingle_sets(texts: list[str], k: int = 3) -> list[np.ndarray]:
     h, first, *_ = word_hashes(texts)
     runs = h.copy()
     for j in range(1, k):
-        runs[: len(runs) - j] = mix(runs[: len(runs) - j] * _ODD + h[j:], j)
+        m = max(0, len(runs) - j)
+        runs[:m] = mix(runs[:m] * _ODD + h[j:], j)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= k:
