@@ -37,7 +37,7 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 #: Further labels: short notices and key phrases of licence texts, positions counted in words.
 TEMPLATES = (
     Template("mit", (("permission is hereby granted free of charge", 0), ("to deal in the software without restriction", 22),
-                     ("the above copyright notice and this permission notice shall be included", 57), ("the software is provided as is", 75)), slack=14),
+                     ("the above copyright notice and this permission notice shall be included", 57), ("the software is provided as is", 75)), share=0.4, slack=14),
     Template("apache-2", (("licensed under the apache license version 2 0", 0),)),
     Template("bsd", (("redistribution and use in source and binary forms with or without modification are permitted", 0),
                      ("redistributions of source code must retain the above copyright notice", 21)), slack=14),
@@ -76,7 +76,7 @@ def _phrases(base: dict[str, str], templates: tuple[Template, ...]) -> list[str]
 
 
 def licence_idf(docs: DataFrame, phrases: list[str], text_col: str = "text") -> dict[str, float]:
-    """ln((1 + N) / (1 + df)) of every word of the phrases, over all rows of ``docs``: one row per licence word (there
+    """1 + ln((1 + N) / (1 + df)) of every word of the phrases, over all rows of ``docs``: one row per licence word (there
     are as many as the phrases have) reaches the driver."""
     wanted = {w.encode() for p in phrases for w in p.split()}
 
@@ -93,7 +93,7 @@ def licence_idf(docs: DataFrame, phrases: list[str], text_col: str = "text") ->
     counted = arrow_map(docs.select(text_col), make, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     df = {r["word"]: r["n"] for r in counted.collect()}
     total = df.get("", 0)
-    return {w.decode(): math.log((1 + total) / (1 + df.get(w.decode(), 0))) for w in wanted}
+    return {w.decode(): 1 + math.log((1 + total) / (1 + df.get(w.decode(), 0))) for w in wanted}
 
 
 class PhraseIndex:
