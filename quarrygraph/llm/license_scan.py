@@ -37,7 +37,7 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 #: Further labels: short notices and key phrases of licence texts, positions counted in words.
 TEMPLATES = (
     Template("mit", (("permission is hereby granted free of charge", 0), ("to deal in the software without restriction", 22),
-                     ("the above copyright notice and this permission notice shall be included", 57), ("the software is provided as is", 75)), share=0.4, slack=14),
+                     ("the above copyright notice and this permission notice shall be included", 57), ("the software is provided as is", 75)), share=0.3, slack=14),
     Template("apache-2", (("licensed under the apache license version 2 0", 0),)),
     Template("bsd", (("redistribution and use in source and binary forms with or without modification are permitted", 0),
                      ("redistributions of source code must retain the above copyright notice", 21)), slack=14),
