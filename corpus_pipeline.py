@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
 1. language ID: documents that the model rejects go (:func:`quarrygraph.llm.langid.keep_identified`);
-2. n-gram Jaccard join: one document of each group of near copies stays, the one with the least id;
+2. n-gram Jaccard join: one document of each group of near copies (five-word shingles, Jaccard 0.80) stays, the one with
+   the least id;
 3. benchmark decontamination: documents that hold passages of the benchmark go;
 4. secret scans: secrets are replaced by their kind in the text, and n_chars follows; every document stays;
 5. packing: the documents' pieces in sequences of 1024 tokens.
@@ -21,6 +22,8 @@ from quarrygraph.llm.common import materialize
 TOKENIZER = "byte_bpe_50k.json"
 #: What the last stage returns of each piece.
 PACKED = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
+#: Words of a shingle and hundredths of similarity from which documents are near copies. The query op5_jaccard_join has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +31,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one_of_each(docs)
+    return jaccard_join.keep_one_of_each(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,3 +201,22 @@ def test_pipeline(spark, tmp_path):
     assert all(kept[i].text == texts[i] for i in kept if i != 124)
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in packed} == set(kept)
+
+
+@pytest.mark.parametrize("seed, most", [(0, 8), (1, 0)])
+def test_jaccard_components_of_the_pipeline(spark, seed, most, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_POSTING", most)
+    monkeypatch.setattr(jaccard_join, "LONG", 8)
+    texts = corpus(seed)
+    rows = jaccard_join.jaccard_components(frame(spark, texts).repartition(3), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == _components(texts, 5, 80)
+
+
+def test_pipeline_joins_near_copies_of_five_words(spark, tmp_path):
+    base = [f"w{i}" for i in range(100)]
+    near, far = list(base), list(base)
+    near[30] = near[60] = "other"  # five words: 86 / 106 = 0.81, three words: 92 / 104 = 0.88
+    far[20] = far[50] = far[80] = "else"  # five words: 81 / 111 = 0.73
+    docs = frame(spark, [" ".join(x) for x in (base, near, far)])
+    kept = corpus_pipeline.join_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2]
