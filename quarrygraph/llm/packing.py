@@ -42,7 +42,8 @@ class UnitEncoder:
 
     With a byte-level BPE (as checked here), a space between two characters that aren't white space always begins a
     token: the ids of a text are those of the units split at such spaces, one after the other. Units and words are then
-    looked up in bounded caches, and the tokenizer's BPE model runs on new words only. Any other tokenizer encodes whole texts.
+    looked up in bounded caches, and the tokenizer's BPE model runs on new words only. Texts that hold one of the file's
+    added tokens, such as ``<|endoftext|>``, go to the tokenizer whole; so do all texts of any other tokenizer.
     """
 
     def __init__(self, path: str, limit: int = 800_000, longest: int = 64):
@@ -50,7 +51,6 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, "rb") as f:
@@ -66,6 +66,7 @@ class UnitEncoder:
         if self.byte_level:
             import regex
 
+            self.added = [a["content"] for a in spec.get("added_tokens") or () if a["content"]]
             self.model = self.tokenizer.model
             self.find = regex.compile(_WORDS).findall
             # the alphabet of byte-level BPE: printable Latin-1 characters stand for themselves, the others follow from 256
@@ -88,9 +89,20 @@ class UnitEncoder:
             out.append(found)
         return b"".join(out)
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.byte_level:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return self._whole(texts)
+        special = [i for i, text in enumerate(texts) if any(a in text for a in self.added)]
+        if special:
+            ids = dict(zip(special, self._whole([texts[i] for i in special]), strict=True))
+            rest = iter(self._units_of([text for i, text in enumerate(texts) if i not in ids]))
+            return [ids[i] if i in ids else next(rest) for i in range(len(texts))]
+        return self._units_of(texts)
+
+    def _units_of(self, texts: list[str]) -> list[bytes]:
         for cache in (self.units, self.words):
             if len(cache) > self.limit:
                 cache.clear()

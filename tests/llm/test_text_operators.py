@@ -31,6 +31,19 @@ def test_unit_encoder_equals_tokenizer():
         assert [list(np.frombuffer(x, encoder.dtype)) for x in encoder.encode(texts)] == expected
 
 
+def test_unit_encoder_keeps_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "no token here", "<|endoftext|><|endoftext|>", "<|endoftext| >", "", "x<|endoftext|>\n\n y  ", "it's <|endoftext|>'s end"]
+    expected = [e.ids for e in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    assert expected[0] == [64, 220, 50256, 275]
+    encoder = packing.UnitEncoder(TOKENIZER)
+    assert [list(np.frombuffer(x, encoder.dtype)) for x in encoder.encode(texts)] == expected
+    docs = documents(spark, texts)
+    for p in packing.pack_documents(docs, TOKENIZER, window=64).collect():
+        assert np.frombuffer(p.ids, "<u4").tolist() == [*expected[p.doc_id], 0][p.start : p.start + p.length]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_plan_equals_best_fit_decreasing(seed):
     rng = random.Random(seed)
