@@ -24,6 +24,8 @@ from quarrygraph.llm.shingles import mix, word_hashes
 
 #: Words that a kept suffix must begin with in all documents that share it.
 K = 20
+#: Sorted records that a task compares at a time; results don't depend on it.
+SORTED_ROWS = 4096
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -126,14 +128,20 @@ _RECORD = "suffix bigint, cls binary, at int, after binary, before binary"
 
 def _neighbours(records: DataFrame, least: int) -> DataFrame:
     """For sorted records: kind 0, a match (cls, at, start, end in words, other class) of each with its nearest neighbours of
-    another class; kind 1, the first and last run of each partition, to be compared with those of other partitions."""
+    another class; kind 1, the first and last run of each partition, to be compared with those of other partitions; kind 2,
+    the record after the first run and the one before the last, which those runs are compared with where they go on in
+    another partition. ``silent`` records get no matches of their own."""
     side = least - K
     fields = ["suffix", "cls", "at", "after", "before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last run so far, whose next one isn't known yet, and the record before it
         held: pa.Table | None = None
+        context: pa.Table | None = None
 
-        def compared(t: pa.Table) -> tuple[pa.RecordBatch, int, int]:
+        def compared(t: pa.Table, old: int, known: int) -> tuple[pa.RecordBatch, np.ndarray]:
+            """Matches and the first record of each run. The first ``known`` records had been compared with the run before
+            them, the first ``old`` with the run behind them too."""
             n = t.num_rows
             suffix, cls = t["suffix"].to_numpy(), np.array(t["cls"].to_pylist(), object)
             wide = [np.frombuffer(b"".join(t[c].to_pylist()), "<u4").reshape(n, side) for c in ("after", "before")]
@@ -142,11 +150,11 @@ def _neighbours(records: DataFrame, least: int) -> DataFrame:
             new[1:] = (suffix[1:] != suffix[:-1]) | (cls[1:] != cls[:-1])
             begin = np.flatnonzero(new)
             of = np.cumsum(new) - 1
-            i = np.arange(n)
+            i, own = np.arange(n), ~t["silent"].to_numpy()
             follow = np.append(begin[1:], n)[of]  # the first record of the next run
             prior = begin[of] - 1  # the last one of the run before
             out = []
-            for other, ok in ((follow, follow < n), (prior, prior >= 0)):
+            for other, ok in ((follow, (follow < n) & (i >= old) & own), (prior, (prior >= 0) & (i >= known) & own)):
                 a, b = i[ok], other[ok]
                 same = suffix[a] == suffix[b]
                 a, b = a[same], b[same]
@@ -157,37 +165,48 @@ def _neighbours(records: DataFrame, least: int) -> DataFrame:
             nothing = [pa.nulls(len(a), x) for x in (pa.int64(), pa.binary(), pa.binary())]
             columns = [pa.array(np.zeros(len(a), np.int8)), nothing[0], pa.array(list(cls[a]), pa.binary()), pa.array(at[a].astype(np.int32)), nothing[1], nothing[2],
                        pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(list(cls[b]), pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["kind", *fields, "start", "end", "other"]), int(begin[1]) if len(begin) > 1 else n, int(begin[-1])
+            return pa.RecordBatch.from_arrays(columns, names=["kind", *fields, "start", "end", "other"]), begin
 
-        def edge(t: pa.Table) -> pa.RecordBatch:
+        def edge(t: pa.Table, kind: int) -> pa.RecordBatch:
             t = t.combine_chunks()
             n = t.num_rows
-            columns = [pa.array(np.ones(n, np.int8)), *(t[c].combine_chunks() for c in fields), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+            columns = [pa.array(np.full(n, kind, np.int8)), *(t[c].combine_chunks() for c in fields), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["kind", *fields, "start", "end", "other"])
 
-        started = False
+        opening = True  # in the partition's first run
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            matches, first, last = compared(t)
+            if not batch.num_rows:
+                continue
+            parts = [x for x in (context, held) if x is not None]
+            old, known = context.num_rows if context is not None else 0, sum(x.num_rows for x in parts)
+            t = pa.concat_tables([*parts, pa.Table.from_batches([batch])])
+            matches, begin = compared(t, old, known)
             yield matches
-            if not started:
-                yield edge(t.slice(0, first))
-                started = True
+            if opening:
+                first = int(begin[1]) if len(begin) > 1 else t.num_rows
+                if first > known:
+                    yield edge(t.slice(known, first - known), 1)
+                if len(begin) > 1:
+                    yield edge(t.slice(first, 1), 2)
+                    opening = False
+            last = int(begin[-1])
+            context = t.slice(last - 1, 1).combine_chunks() if last else None
             held = t.slice(last).combine_chunks()
-        if held is not None:
-            yield edge(held)
+        if not opening:
+            yield edge(context, 2)
+            yield edge(held, 1)
 
-    small_batches(records.sparkSession, 4096)
+    small_batches(records.sparkSession, SORTED_ROWS)
     return records.mapInArrow(run, f"kind tinyint, {_RECORD}, start bigint, end bigint, other binary")
 
 
 def _matches(records: DataFrame, least: int, order: list[str]) -> DataFrame:
     keys = ["suffix", *order, "cls", "at"]
-    found = materialize(_neighbours(records.repartitionByRange(*keys).sortWithinPartitions(*keys), least), "neighbours")
+    ordered = records.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    found = materialize(_neighbours(ordered.withColumn("silent", F.lit(False)), least), "neighbours")
     columns = ["cls", "start", "end", "other"]
-    # two runs of each partition at most: as many rows as there are partitions, and a document's repeats
-    edges = found.where("kind = 1").select("suffix", "cls", "at", "after", "before").distinct()
+    # two runs of each partition at most and two records beside: some rows for each partition, and a document's repeats
+    edges = found.where("kind > 0").groupBy("suffix", "cls", "at", "after", "before").agg((F.min("kind") == 2).alias("silent"))
     between = _neighbours(edges.repartition(1).sortWithinPartitions(*keys), least)
     return found.where("kind = 0").select(*columns).unionByName(between.where("kind = 0").select(*columns))
 

@@ -134,6 +134,52 @@ def test_repeated_passages(spark):
     assert suffix_dedup.repeated_passages(frame(spark, ["", None, "short text"] * 3)).count() == 0
 
 
+def _runs_compared(records, least, order):
+    """(cls, start, end, other) of each record with the last one of the run before it and the first one of the run behind."""
+    rows = sorted(records, key=lambda r: (r["suffix"], *(r[c] for c in order), r["cls"], r["at"]))
+    runs, out = [], set()
+    for r in rows:
+        if runs and (runs[-1][0]["suffix"], runs[-1][0]["cls"]) == (r["suffix"], r["cls"]):
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+
+    def alike(a, b):
+        pairs = zip(np.frombuffer(a, "<u4").tolist(), np.frombuffer(b, "<u4").tolist(), strict=True)
+        return next((i for i, (x, y) in enumerate(pairs) if x != y or not x), len(a) // 4)
+
+    for k, run in enumerate(runs):
+        for r in run:
+            for o in [*(x[-1] for x in runs[max(k - 1, 0) : k]), *(x[0] for x in runs[k + 1 : k + 2])]:
+                after, before = alike(r["after"], o["after"]), alike(r["before"], o["before"])
+                if o["suffix"] == r["suffix"] and after + before + suffix_dedup.K >= least:
+                    out.add((r["cls"], r["at"] - before, r["at"] + suffix_dedup.K + after, o["cls"]))
+    return out
+
+
+@pytest.mark.parametrize("batch, partitions", [(3, 1), (5, 1), (3, 23), (4096, 23)])
+def test_neighbours_over_borders(spark, batch, partitions, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SORTED_ROWS", batch)
+    rng = np.random.default_rng(4)
+    base, records = rng.integers(1, 1 << 32, (2, 30)).astype("<u4"), []
+    for at in range(400):  # long runs of few classes that share their passages in different lengths
+        sides = base.copy()
+        for side in sides:
+            side[rng.integers(8, 31) :] = rng.integers(1, 4)
+        cls = b"a" if rng.random() < 0.85 else bytes([98 + int(rng.integers(0, 3))])
+        records.append({"suffix": at // 150, "cls": cls, "at": 100 + at, "after": sides[0].tobytes(), "before": sides[1].tobytes()})
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        table = spark.createDataFrame([tuple(r.values()) for r in records], suffix_dedup._RECORD)
+        found = suffix_dedup._matches(table, 50, ["after", "before"]).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert {(bytes(r.cls), r.start, r.end, bytes(r.other)) for r in found} == _runs_compared(records, 50, ["after", "before"])
+
+
 def _brute(ids, x, k, every):
     out = {}
     for i, q in zip(ids, x, strict=True):
