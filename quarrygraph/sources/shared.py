@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The session's spark.checkpoint.dir. Where it is unset, a temporary folder, if the whole session runs on this machine;
+    a cluster's executors couldn't see that, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None)
         if not found:
             found = shared_dir.own = tempfile.mkdtemp(prefix="quarry-")
@@ -19,7 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet and read back: its lineage ends, and its rows survive lost executors."""
+    """``df`` written as Parquet in the shared folder and read back: its lineage ends, and its rows survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that no later plan reads. Other frames, and None, are left alone."""
+    for df in tables:
+        path = getattr(df, "_quarry_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
