@@ -1,63 +1,54 @@
-"""Helpers shared by the training-data operators: shared storage, batch limits, bounded sampling."""
+"""Helpers shared by the training-data operators: written tables, bounded batches, bounded sampling."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: whole texts of up to about 100 kB each then stay within some tens of MB.
-BATCH_ROWS = 256
+from quarrygraph.sources.shared import discard, materialize, shared_dir  # noqa: F401
 
+#: Rows, and bytes of their columns, that a step works on at a time: what comes in larger batches is cut up.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(shared_dir, "own", None)
-        if not found:
-            found = shared_dir.own = tempfile.mkdtemp(prefix="quarry-")
-    return found.rstrip("/")
 
+def cut_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and about ``size`` bytes; a longer row makes a piece of its own.
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there, and the
-    rows survive the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quarry_path = path
-    return out
+    Spark itself fills a batch with no more than spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), so both sides
+    hold a bounded number of bytes without any setting of ours in the session."""
+    for batch in batches:
+        at, weight = 0, _row_bytes(batch)
+        ends = np.cumsum(weight)
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            n = int(np.searchsorted(ends, done + size, "right")) - at
+            n = max(1, min(n, rows, batch.num_rows - at))
+            yield batch.slice(at, n)
+            at += n
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that no later plan reads."""
-    path = getattr(df, "_quarry_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, since one row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the strings and binaries of each row."""
+    total = np.full(batch.num_rows, 8, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return total
 
 
 def arrow_map(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema, rows: int = BATCH_ROWS
 ) -> DataFrame:
-    """``mapInArrow`` with a function made once per task by ``make``; it turns a batch into a batch or None."""
-    small_batches(df.sparkSession, rows)
+    """``mapInArrow`` with a function made once per task by ``make``; it turns a batch of bounded size into a batch or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
-        for batch in batches:
+        for batch in cut_batches(batches, rows):
             if step is None:
                 step = make()
             out = step(batch)

@@ -1,39 +1,45 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
 Documents with equal shingle sets form a class, found by a digest; all that follows is about classes. A class with n
-shingles can only be linked to one that shares T = ceil(n * threshold) of them. Shingles are put into one order for the whole
-corpus: rare ones first, then frequent ones by how many documents hold them (their inverted lists are the long ones). By
-DivideSkip, T - c lists of a class, those of its most frequent shingles, aren't merged: a linked class must occur in at
-least c of the other n - T + c short lists. The short lists are merged by their shingle in Spark's sort-merge join, the
-occurrences are counted, and the counts of candidates with c are completed by binary probes of the sorted shingles of both.
-
-Lists can be as long as a group of near copies, and no pair for each two of its members is ever made while one link already
-connects them: rounds of stars link the members of each class's rarest shared lists to one pivot of the list; what has come
-together counts as one from then on; only lists with several components go on, and pairs across components are searched in
-full, in all lists, at the end.
+shingles can only be linked to one that shares T of them. Shingles are put into one order for the whole corpus: rare ones
+first, then frequent ones by how many documents hold them (their inverted lists are the long ones). By DivideSkip, the T - 1
+longest lists of a class aren't merged: a linked class must occur in one of its short lists. The short lists are merged
+by their shingle in Spark's sort-merge join, and the occurrences in the long lists are found by binary probes of the sorted
+shingles of both classes.
+
+A list can be as long as a group of near copies, so lists that would make many pairs are split by a pivot first:
+
+* The pivot p of a list is the class with the most frequent shingles, in a group of near copies its centre. Every class x of
+  the list is compared with p, and from then on stands for its difference D(x) from p: the shingles that only one of both has.
+* Linked sets x and y differ by K(x, y) = |x| + |y| - 2 T(x, y) shingles at most. So if they aren't both linked with p, their
+  differences share (|D(x)| + |D(y)| - K(x, y)) / 2 elements at least, and one at least. (If |D(x)| + |D(y)| <= K(x, y), both are
+  linked with p: |K(x, y) - K(x, p)| <= ||y| - |p|| <= |D(y)|.)
+* That is the T-occurrence search again, over the lists of (p, element of the difference): what a group has in common is gone
+  from the lists, and what only few have comes first in their order. Classes that are linked with one pivot count as one
+  from then on. With p = {} the first lists are the same thing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import arrow_map, discard, materialize
+from quarrygraph.llm.common import arrow_map, cut_batches, discard, materialize
 from quarrygraph.llm.components import connected_components
-from quarrygraph.llm.shingles import digest, shingle_sets
+from quarrygraph.llm.shingles import digest, mix, shingle_sets
 
 #: Shingles that get an exact place among the frequent ones: 8 bytes each reach every task. More of them only make
 #: the order less sharp; results don't depend on it.
 FREQUENT = 500_000
 #: Shingles whose counts a task adds up at a time, and the least count that it hands on.
 CHUNK, HANDED_ON = 3_000_000, 2
-#: c: occurrences in short lists that make a candidate.
-MERGED = 3
-#: Star rounds over the first lists of each class, taken if any list is longer than ``LONG``; further ones over all lists, while
-#: pairs across components exceed so many times the postings.
-STARS, FIRST_LISTS, LONG, PAIRS_PER_POSTING, ROUNDS = 2, 6, 64, 8, 6
+#: Lists are merged once that tries at most so many pairs for each of their rows, or when a round of pivots (of so many at most)
+#: has left more than a quarter of the pairs.
+PAIRS_PER_ROW, ROUNDS = 8, 4
 #: Hash buckets of wanted ids, broadcast to drop other documents before their texts are shuffled: at most so many numbers.
 BUCKETS = 1 << 19
 
@@ -44,62 +50,46 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def _classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """kind 0: a row per document (id, cls, n); kind 1: shingles that several documents of a chunk hold, with their counts."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def make():
-        held, known, size = [], set(), 0
-
-        def frequent() -> tuple[np.ndarray, np.ndarray]:
-            nonlocal held, size
-            hashes, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            held, size = [], 0
-            known.clear()
-            return hashes[n >= HANDED_ON], n[n >= HANDED_ON]
-
-        def step(batch: pa.RecordBatch | None) -> pa.RecordBatch:
-            nonlocal size
-            ids, cls, n = pa.array([], pa.int64()), [], []
-            if batch is not None:
-                ids = batch.column(0)
-                for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], k):
-                    key = digest(s) if len(s) else None
-                    cls.append(key)
-                    n.append(len(s))
-                    if key is not None and key not in known:
-                        known.add(key)
-                        held.append(s)
-                        size += len(s)
-            hashes, counts = frequent() if size > CHUNK or batch is None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            m = len(hashes)
-            columns = [
-                pa.array([0] * len(cls) + [1] * m, pa.int8()), pa.concat_arrays([ids, pa.nulls(m, ids.type)]) if len(cls) else pa.nulls(m, None),
-                pa.array(cls + [None] * m, pa.binary()), pa.concat_arrays([pa.array(n, pa.int64()), pa.array(counts, pa.int64())]),
-                pa.concat_arrays([pa.nulls(len(cls), pa.int64()), pa.array(hashes.view(np.int64))]),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["kind", "_id", "cls", "n", "shingle"])
-
-        return step
-
+    """kind 0: a row per document (id, hash of the text, cls, n); kind 1: shingles that several documents of a chunk hold, with
+    their counts."""
     id_type = docs.schema[id_col].dataType
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        step = make()
-        for batch in batches:
-            yield step(batch)
-        last = step(None)
-        yield last.set_column(1, "_id", pa.nulls(last.num_rows, to_arrow_type(id_type)))
+        names, types = ("kind", "_id", "text_hash", "cls", "n", "shingle"), (pa.int8(), to_arrow_type(id_type), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        held, known, size = [], set(), 0
 
-    from quarrygraph.llm.common import small_batches
+        def frequent() -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            hashes, n = hashes[n >= HANDED_ON], n[n >= HANDED_ON]
+            columns = [pa.array([1] * len(n), types[0]), *(pa.nulls(len(n), t) for t in types[1:4]), pa.array(n), pa.array(hashes.view(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in cut_batches(batches):
+            cls, n = [], []
+            for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], k):
+                key = digest(s) if len(s) else None
+                cls.append(key)
+                n.append(len(s))
+                if key is not None and key not in known:
+                    known.add(key)
+                    held.append(s)
+                    size += len(s)
+            columns = [pa.array([0] * len(n), types[0]), batch.column(0), batch.column(2), pa.array(cls, types[3]), pa.array(n, types[4]), pa.nulls(len(n), types[5])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if size > CHUNK:
+                yield frequent()
+                held, size = [], 0
+                known.clear()
+        yield frequent()
 
-    small_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(run, f"kind tinyint, _id {kind}, cls binary, n bigint, shingle bigint")
+    return named.mapInArrow(run, f"kind tinyint, _id {id_type.simpleString()}, text_hash bigint, cls binary, n bigint, shingle bigint")
 
 
-def frequent_shingles(counted: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, rank by count of each) of at most ``most`` shingles with the highest counts."""
+def frequent_shingles(counted: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes, rank by count of each, counts) of at most ``most`` shingles with the highest counts."""
     totals = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * HANDED_ON)
     levels = sorted(totals.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect(), reverse=True)
     least, held = None, 0
@@ -108,28 +98,48 @@ def frequent_shingles(counted: DataFrame, most: int = FREQUENT) -> tuple[np.ndar
             break
         held, least = held + count, level
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     table = totals.where(F.col("n") >= least).select("shingle", "n").toArrow()
     hashes, n = table["shingle"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
     rank = np.empty(len(n), np.int64)
     rank[np.lexsort((hashes, n))] = np.arange(len(n))
-    return hashes, rank
+    return hashes, rank, n
 
 
-def _postings(docs: DataFrame, k: int, percent: int, hashes: np.ndarray, rank: np.ndarray, text_col: str) -> DataFrame:
-    """(shingle, cls, n, place) of the short lists of every class, once per task. ``place``: of the shingle in the order."""
-    short_order = rank.astype(np.int32)
+def overlap(a, b, percent: int):
+    """The least number of shared shingles of linked sets with ``a`` and ``b`` shingles."""
+    return -(-(a + b) * percent // (100 + percent))
+
+
+class Order:
+    """The order of all shingles: those that aren't frequent, by hash, then the frequent ones by count."""
+
+    def __init__(self, hashes: np.ndarray, rank: np.ndarray, counts: np.ndarray):
+        self.hashes, self.rank, self.weight = hashes, rank.astype(np.int32), np.log2(counts + 1).astype(np.float32)
+
+    def places(self, s: np.ndarray) -> tuple[np.ndarray, float]:
+        """(indices that put the sorted ``s`` into the order, mean weight of its shingles)."""
+        if not len(self.hashes) or not len(s):
+            return np.arange(len(s)), 0.0
+        at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
+        known = self.hashes[at] == s
+        return np.argsort(np.where(known, self.rank[at], -1), kind="stable"), float(np.where(known, self.weight[at], 0).mean())
+
+
+def _postings(docs: DataFrame, k: int, percent: int, order: Order, text_col: str) -> DataFrame:
+    """(shingle, cls, n, place, score) of the short lists of every class, once per task. ``place``: of the shingle in the order;
+    ``score``: how frequent the shingles of the class are."""
 
     def make():
         known: set[bytes] = set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            shingle, cls, size, place = [], [], [], []
+            shingle, cls, size, place, scores = [], [], [], [], []
             for s in shingle_sets([t or "" for t in batch.column(0).to_pylist()], k):
                 n = len(s)
-                lists = min(n, n - least_overlap(n, percent) + MERGED)
+                lists = n - least_overlap(n, percent) + 1
                 # another set differs by one shingle at least: too much for a link of small ones
                 if not n or n * 100 < percent * (n + 1) and (n - 1) * 100 < percent * n:
                     continue
@@ -138,30 +148,108 @@ def _postings(docs: DataFrame, k: int, percent: int, hashes: np.ndarray, rank: n
                     continue
                 if len(known) < 1_000_000:
                     known.add(key)
-                order = np.full(n, -1, np.int64)
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-                    order = np.where(hashes[at] == s, short_order[at], -1)
-                chosen = s[np.argsort(order, kind="stable")[:lists]]
-                shingle.append(chosen)
+                places, score = order.places(s)
+                shingle.append(s[places[:lists]])
                 cls += [key] * lists
                 size += [n] * lists
+                scores += [score] * lists
                 place.append(np.arange(lists))
             many = np.concatenate(shingle) if shingle else np.zeros(0, np.uint64)
-            columns = [pa.array(many.view(np.int64)), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array(np.concatenate(place) if place else [], pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, names=["shingle", "cls", "n", "place"])
+            columns = [pa.array(many.view(np.int64)), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array(np.concatenate(place) if place else [], pa.int32()), pa.array(scores, pa.float32())]
+            return pa.RecordBatch.from_arrays(columns, names=["shingle", "cls", "n", "place", "score"])
 
         return step
 
-    return arrow_map(docs.select(text_col), make, "shingle bigint, cls binary, n int, place int")
+    return arrow_map(docs.select(text_col), make, "shingle bigint, cls binary, n int, place int, score float")
+
 
+#: Columns of a list's row. ``rest``: size of the difference from the pivot; ``place``: of the list's element in it; ``known``: a
+#: class that this one is known to be linked with, by its hash, of ``weight``.
+_ROW = ("key", "cls", "n", "rest", "place", "score", "known", "weight")
 
-def _possible(percent: int):
-    """Whether two sets can be linked, by their sizes and the places of a shared shingle in their orders."""
-    a, b = F.col("na").cast("long"), F.col("nb").cast("long")
-    sizes = F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    shared = F.least(a - F.col("pa"), b - F.col("pb")) + (MERGED - 1)  # this shingle, those behind it, and earlier ones
-    return sizes & (shared * (100 + percent) >= (a + b) * percent)
+
+def most_apart(n: int, percent: int) -> int:
+    """The most elements by which a set of n differs from a linked one, of whatever size."""
+    return n * (100 - percent) // percent
+
+
+def _leads(percent: int) -> Column:
+    """Whether an element comes in the first half of those that can be shared: of each pair one of both has it there."""
+    return 2 * F.col("place").cast("long") * percent <= F.col("n").cast("long") * (100 - percent)
+
+
+def _open(each: DataFrame, percent: int) -> DataFrame:
+    """(key, members, pairs) of the lists that make pairs of classes not known to be linked; a written table."""
+    of_known = each.groupBy("key", "known").agg(F.count(F.lit(1)).alias("n"), F.sum(_leads(percent).cast("long")).alias("leaders"))
+    pairs = F.sum("leaders") * F.sum("n") - F.sum(F.col("leaders") * F.col("n"))
+    return materialize(of_known.groupBy("key").agg(F.sum("n").alias("members"), pairs.alias("pairs")).where("pairs > 0"), "open")
+
+
+def _with_pivots(lists: DataFrame, percent: int) -> DataFrame:
+    """(cls, n, score, known, weight, pivots) of the classes that are to be compared with the pivots of their lists; a written table."""
+    best = F.max_by(F.struct(F.col("cls").alias("pivot"), F.col("n").alias("size"), F.col("score").alias("new_weight")), F.struct("score", -F.col("n"), "cls")).alias("p")
+    cells = materialize(lists.where(_leads(percent)).groupBy("key").agg(best), "cells")
+    same = [F.max(c).alias(c) for c in ("n", "score", "known", "weight")]  # of a class, not of a list
+    found = lists.join(cells, "key").where(F.col("cls") != F.col("p.pivot")).groupBy("cls").agg(*same, F.collect_set("p").alias("pivots"))
+    out = materialize(found, "pairs")
+    discard(cells)
+    return out
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, order: Order) -> DataFrame:
+    """A row for each class and pivot: whether they are linked, the size of their difference and the keys of the lists of the
+    pivot and an element of it, in order, as many as a link needs; a written table."""
+    same = ["cls", "pivot", "size", "new_weight", "n", "score", "known", "weight"]
+    each = pairs.select("cls", "n", "score", "known", "weight", F.explode("pivots").alias("p")).select("*", "p.*")
+    held = each.join(sets.select("cls", "hashes"), "cls").join(sets.select(F.col("cls").alias("pivot"), F.col("hashes").alias("base")), "pivot")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            linked, apart, keys = [], [], []
+            for pivot, x, p in zip(batch.column(1).to_pylist(), batch.column(8), batch.column(9), strict=True):
+                x, p = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(p, x), len(p) - 1)
+                both = p[at] == x
+                gone = np.ones(len(p), bool)
+                gone[at[both]] = False
+                own, lost = x[~both], p[gone]
+                # what the class adds, rare ones first, then what it lacks, frequent ones first
+                difference = np.concatenate([own[order.places(own)[0]], lost[order.places(lost)[0][::-1]]])
+                d = len(difference)
+                linked.append(d <= len(x) + len(p) - 2 * overlap(len(x), len(p), percent))
+                # another one, if this one is linked with the pivot, is not
+                share = max(1, (d - abs(len(x) - len(p)) + 2) // 2 if linked[-1] else d - most_apart(len(x), percent))
+                apart.append(d)
+                keys.append(mix(difference[: max(0, d - share + 1)] ^ np.uint64(int.from_bytes(pivot[:8], "little")), 7).view(np.int64))
+            ends = np.zeros(len(keys) + 1, np.int32)
+            np.cumsum([len(x) for x in keys], out=ends[1:])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            return pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array(linked), pa.array(apart, pa.int32()), lists], names=[*same, "linked", "rest", "keys"])
+
+        return step
+
+    schema = "cls binary, pivot binary, size int, new_weight float, n int, score float, known bigint, weight float, linked boolean, rest int, keys array<bigint>"
+    return materialize(arrow_map(held.select(*same, "hashes", "base"), make, schema), "compared")
+
+
+def _knows(compared: DataFrame) -> DataFrame:
+    """(cls, known, weight): of itself and the pivots that it is linked with, the one with the most frequent shingles; a written table."""
+    found = F.max(F.when(F.col("linked"), F.struct(F.col("new_weight").alias("weight"), F.xxhash64("pivot").alias("known")))).alias("found")
+    own = F.max(F.struct("weight", "known")).alias("own")
+    better = F.coalesce(F.col("found.weight") >= F.col("own.weight"), F.lit(False))
+    pick = lambda c: F.when(better, F.col(f"found.{c}")).otherwise(F.col(f"own.{c}")).alias(c)
+    return materialize(compared.groupBy("cls").agg(found, own).select("cls", pick("known"), pick("weight")), "knows")
+
+
+def _merged(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the classes that meet in a list where their differences can still share as much as a link needs."""
+    side = lambda x: lists.select("key", _leads(percent).alias("leads" + x), *(F.col(c).alias(c + x) for c in ("cls", "n", "rest", "place", "known")))
+    na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
+    apart = na + nb - 2 * F.ceil((na + nb) * percent / F.lit(100 + percent) - 1e-9)
+    shared = F.least(F.col("resta") - F.col("placea"), F.col("restb") - F.col("placeb"))
+    possible = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (2 * shared >= F.col("resta") + F.col("restb") - apart)
+    pairs = side("a").join(side("b"), "key").where("clsa < clsb and knowna != knownb and (leadsa or leadsb)").where(possible)
+    return materialize(pairs.select(F.col("clsa").alias("a"), F.col("clsb").alias("b")).distinct(), "candidates")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,15 +258,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             good = np.zeros(batch.num_rows, bool)
-            last, held = None, None
-            for i, (a, x, y) in enumerate(zip(batch.column(0), batch.column(2), batch.column(3), strict=True)):
-                if a.as_py() != last:
-                    last, held = a.as_py(), np.frombuffer(x.as_py(), np.uint64)
-                other = np.frombuffer(y.as_py(), np.uint64)
-                small, large = (held, other) if len(held) <= len(other) else (other, held)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                small, large = sorted((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)), key=len)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                shared = int((large[at] == small).sum())
-                good[i] = 100 * shared >= percent * (len(held) + len(other) - shared)
+                good[i] = int((large[at] == small).sum()) >= overlap(len(small), len(large), percent)
             return batch.filter(pa.array(good)).select([0, 1])
 
         return step
@@ -187,82 +270,80 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ha", "hb"), make, "a binary, b binary")
 
 
-def _sets_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(cls, hashes) of the classes in ``pairs``, from the text of one document of each; a written table."""
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = materialize(rows.groupBy("cls").agg(F.min("_id").alias("_id")).join(classes, "cls").where("_id is not null").select("_id"), "wanted")
-    bucket = F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)).alias("bucket")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    near = texts.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").join(wanted, "_id")
+def _sets_of(classes: DataFrame, rows: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(cls, hashes) of the ``classes``, from the texts of documents in the hash buckets of one id of each; a written table."""
+    bucket = lambda of: F.pmod(F.xxhash64(of), F.lit(BUCKETS)).alias("bucket")
+    wanted = rows.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("_id").alias("_id")).select(bucket("_id")).distinct()
+    near = docs.select(bucket(id_col), F.col(text_col).alias("text")).join(F.broadcast(wanted), "bucket", "left_semi")
 
     def make():
+        known: set[bytes] = set()
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = shingle_sets([t or "" for t in batch.column(0).to_pylist()], k)
-            return pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "hashes"])
+            cls, sets = [], []
+            for s in shingle_sets([t or "" for t in batch.column(0).to_pylist()], k):
+                key = digest(s)
+                if key not in known:
+                    if len(known) < 1_000_000:
+                        known.add(key)
+                    cls.append(key)
+                    sets.append(s.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "hashes"])
 
         return step
 
-    # repeated ids with several texts give sets beside the wanted ones, and equal sets more than once
-    return materialize(arrow_map(near.select("text"), make, "cls binary, hashes binary").join(classes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    # the buckets hold other documents too, and equal sets more than once
+    found = arrow_map(near.select("text"), make, "cls binary, hashes binary").join(classes, "cls", "left_semi")
+    return materialize(found.groupBy("cls").agg(F.first("hashes").alias("hashes")), "sets")
 
 
 def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(a row per document row: id, cls, n; the component of each class that has links: node, label). Both are written tables."""
+    """(a row per document row: id, text_hash, cls, n; the component of each class that has links: node, label). Both are
+    written tables."""
     every = materialize(_classes(docs, k, id_col, text_col), "classes")
-    rows = every.where("kind = 0").select("_id", "cls", "n")
-    hashes, rank = frequent_shingles(every.where("kind = 1"))
-    postings = materialize(_postings(docs, k, percent, hashes, rank, text_col), "postings")
-    # lists of several classes, of which one can be the smaller set of a link: its shared shingle comes early in its order
-    early = F.col("place") < F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent / (100 + percent)) - 1e-9) + MERGED
+    rows = every.where("kind = 0").select("_id", "text_hash", "cls", "n")
+    order = Order(*frequent_shingles(every.where("kind = 1")))
+    postings = materialize(_postings(docs, k, percent, order, text_col), "postings")
+    # lists of several classes, of which one has the shared shingle early in its order
     key = F.xxhash64("cls")
     # written before the join: a side that is an aggregate keeps Spark from splitting the other side's long lists
-    several = postings.groupBy("shingle").agg(F.min(key).alias("x"), F.max(key).alias("y"), F.max(early).alias("early"), F.count(F.lit(1)).alias("members")).where("x != y and early").select("shingle", "members")
+    several = postings.groupBy("shingle").agg(F.min(key).alias("x"), F.max(key).alias("y"), F.max(_leads(percent)).alias("leads")).where("x != y and leads").select("shingle")
     several = materialize(several, "several")
-    # the shared lists of each class, the rarest first
-    posts = F.array_sort(F.collect_set(F.struct("place", "shingle"))).alias("posts")
-    lists = materialize(postings.join(several.select("shingle"), "shingle").groupBy("cls", "n").agg(posts), "lists")
-    discard(postings)
-    labels, tried = None, None
-    longest, count = several.agg(F.max("members"), F.sum("members")).first()
-    stars = STARS if (longest or 0) > LONG else 0
+    posts = F.collect_set(F.struct(F.col("shingle").alias("key"), "place")).alias("posts")
+    shared = materialize(postings.join(several, "shingle").groupBy("cls", "n", "score").agg(posts), "shared")
+    discard(postings, several)
+    sets = _sets_of(shared.select("cls"), rows, docs, k, id_col, text_col)
+    lists = shared.select("cls", "n", "score", key.alias("known"), F.col("score").alias("weight"), F.col("n").alias("rest"), F.explode("posts").alias("p")).select("*", "p.*").select(*_ROW)
+    links, before = None, None
     for turn in range(ROUNDS + 1):
-        of_class = lists.withColumn("label", F.col("cls"))
-        if labels is not None:
-            of_class = lists.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        used = F.slice("posts", 1, FIRST_LISTS) if turn < stars else F.col("posts")
-        named = materialize(of_class.select("cls", "n", "label", F.explode(used).alias("p")).select("cls", "n", "label", "p.*"), "named")
-        still = named.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("shingle")
-        open_lists = materialize(named.join(materialize(still, "still"), "shingle"), "open")
-        discard(named)
-        last = turn == ROUNDS
-        if turn >= stars and not last:
-            sizes = open_lists.groupBy("shingle", "label").count().groupBy("shingle").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-            last = (sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0) <= PAIRS_PER_POSTING * max(count or 0, 1000)
-        left = open_lists.select("shingle", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-        if last:
-            right = open_lists.select("shingle", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
-            pairs = left.join(right, "shingle").where("a < b and la != lb")
-        else:
-            pivot = open_lists.groupBy("shingle").agg(F.min_by(F.struct("cls", "n", "place", "label"), F.xxhash64("cls", F.lit(turn))).alias("p"))
-            pairs = left.join(materialize(pivot, "pivots"), "shingle").select("b", "nb", "pb", "lb", F.col("p.cls").alias("a"), F.col("p.n").alias("na"), F.col("p.place").alias("pa"), F.col("p.label").alias("la"))
-            pairs = pairs.where("a != b and la != lb")
-        merged = pairs.where(_possible(percent)).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.least(F.min("na"), F.min("nb")).alias("n"))
-        # (a pivot need not be the same in all lists of a pair, so stars don't count)
-        enough = F.least(F.lit(MERGED), F.ceil(F.col("n") * percent / 100.0)) if last else F.lit(1)
-        pairs = merged.where(F.col("m") >= enough).select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        sets = _sets_of(pairs, rows, docs, k, id_col, text_col)
-        links = materialize(_verified(pairs, sets, percent), "links")
-        discard(sets)
-        discard(open_lists)
-        known = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = connected_components(known)
-        if last:
-            discard(lists)
-            return rows, labels
-        tried = pairs if tried is None else materialize(tried.unionByName(pairs), "tried")
+        still = _open(lists, percent)
+        members, pairs_left = still.agg(F.sum("members"), F.sum("pairs")).first()
+        if not members:
+            break
+        lists = materialize(lists.join(still.select("key"), "key").select(*_ROW), "lists")
+        discard(still)
+        if pairs_left <= PAIRS_PER_ROW * members or before is not None and pairs_left > before / 4 or turn == ROUNDS:
+            found = _verified(_merged(lists, percent), sets, percent)
+            links = found if links is None else links.union(found)
+            break
+        before, pairs = pairs_left, _with_pivots(lists, percent)
+        discard(lists)
+        compared = _compared(pairs, sets, percent, order)
+        discard(pairs)
+        found = compared.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+        links = found if links is None else links.union(found)
+        lists = compared.select("cls", "n", "score", "rest", F.posexplode("keys").alias("place", "key")).join(_knows(compared), "cls").select(*_ROW)
+    return rows, connected_components(links if links is not None else shared.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+
+
+def _components_of(rows: DataFrame, labels: DataFrame, least: Column) -> DataFrame:
+    """(cls, value) of every class: the least value of ``least`` over the rows of its component; a written table."""
+    own = rows.where("cls is not null").groupBy("cls").agg(F.min(least).alias("least"))
+    named = materialize(own.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "named")
+    of_label = materialize(named.groupBy("label").agg(F.min("least").alias("value")), "own")
+    out = materialize(named.join(of_label, "label").select("cls", "value"), "components")
+    discard(named, of_label, labels)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,21 +351,24 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     Two documents are linked when their sets' intersection has at least ``percent`` hundredths of their union. A null or
     empty text, or one of white space, has no shingles and is linked with nothing; its component is its own id. Repeated
-    rows give repeated rows. A row with a null id is linked with equal sets only, and has the least id among them (null
-    if there is none). An empty table gives no rows. Only the two named columns are read.
+    rows give repeated rows. A row with a null id is linked like any other, and has the least id of its component (null if
+    there is none). Very long texts are read whole. An empty table gives no rows. Only the two named columns are read.
     """
     rows, labels = link_classes(docs, k, percent, id_col, text_col)
-    least = rows.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("least"))
-    named = least.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = materialize(named, "named")
-    own = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "own")
-    of = materialize(named.join(own, "label").select("cls", "component_id"), "components")
-    out = rows.join(of, "cls", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out
+    of = _components_of(rows, labels, F.col("_id"))
+    component = F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("value"))
+    return rows.join(of, "cls", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each id that is the least of its component, and all rows with a null id, with all columns."""
-    kept = jaccard_components(docs, k, percent, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component, with all columns: that with the least id (of equal ids, the least hash of the text). Rows
+    with a null id and rows without words stay, all of them; so do texts of other components under the same id, while
+    repeated rows are one. Very long texts are read whole; an empty table stays empty.
+    """
+    rows, labels = link_classes(docs, k, percent, id_col, text_col)
+    one = _components_of(rows, labels, F.when(F.col("_id").isNotNull(), F.struct("_id", "text_hash"))).where("value is not null").select("value._id", "value.text_hash")
+    kept = materialize(one.distinct(), "kept")
+    stays = F.col(id_col).isNull() | F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit("^[ \\x09-\\x0D]*$"))
+    named = docs.where(~stays).withColumns({"_quarry_id": F.col(id_col), "_quarry_text": F.xxhash64(text_col)})
+    found = named.join(kept.toDF("_quarry_id", "_quarry_text"), ["_quarry_id", "_quarry_text"], "left_semi").dropDuplicates(["_quarry_id", "_quarry_text"])
+    return found.select(docs.columns).unionByName(docs.where(stays))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import arrow_map, discard, materialize, small_batches
+from quarrygraph.llm.common import arrow_map, cut_batches, discard, materialize
 from quarrygraph.llm.shingles import mix, word_hashes
 
 #: Words that a kept suffix must begin with in all documents that share it.
@@ -174,9 +174,7 @@ def _neighbours(records: DataFrame, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["kind", *fields, "start", "end", "other"])
 
         opening = True  # in the partition's first run
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in cut_batches(batches, SORTED_ROWS, 16 << 20):
             parts = [x for x in (context, held) if x is not None]
             old, known = context.num_rows if context is not None else 0, sum(x.num_rows for x in parts)
             t = pa.concat_tables([*parts, pa.Table.from_batches([batch])])
@@ -196,7 +194,6 @@ def _neighbours(records: DataFrame, least: int) -> DataFrame:
             yield edge(context, 2)
             yield edge(held, 1)
 
-    small_batches(records.sparkSession, SORTED_ROWS)
     return records.mapInArrow(run, f"kind tinyint, {_RECORD}, start bigint, end bigint, other binary")
 
 

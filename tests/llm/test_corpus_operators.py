@@ -72,8 +72,7 @@ def _components(texts, k=3, percent=90):
 
 @pytest.mark.parametrize("seed, most", [(0, 8), (1, 0)])
 def test_jaccard_components(spark, seed, most, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PAIRS_PER_POSTING", most)  # 0: every round is one of stars until the last
-    monkeypatch.setattr(jaccard_join, "LONG", 8)
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", most)  # 0: rounds of pivots until the last
     monkeypatch.setattr(jaccard_join, "CHUNK", 2000)
     texts = corpus(seed)
     rows = jaccard_join.jaccard_components(frame(spark, texts).repartition(3), 3, 90).collect()
@@ -251,8 +250,7 @@ def test_pipeline(spark, tmp_path):
 
 @pytest.mark.parametrize("seed, most", [(0, 8), (1, 0)])
 def test_jaccard_components_of_the_pipeline(spark, seed, most, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PAIRS_PER_POSTING", most)
-    monkeypatch.setattr(jaccard_join, "LONG", 8)
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", most)
     texts = corpus(seed)
     rows = jaccard_join.jaccard_components(frame(spark, texts).repartition(3), 5, 80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == _components(texts, 5, 80)
