@@ -16,7 +16,7 @@ A list can be as long as a group of near copies, so lists that would make many p
   linked with p: |K(x, y) - K(x, p)| <= ||y| - |p|| <= |D(y)|.)
 * That is the T-occurrence search again, over the lists of (p, element of the difference): what a group has in common is gone
   from the lists, and what only few have comes first in their order. Classes that are linked with one pivot count as one
-  from then on. With p = {} the first lists are the same thing.
+  from then on. With p = {} the first lists are the same thing. Lists that are still long get a pivot again.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ from quarrygraph.llm.shingles import digest, mix, shingle_sets
 FREQUENT = 500_000
 #: Shingles whose counts a task adds up at a time, and the least count that it hands on.
 CHUNK, HANDED_ON = 3_000_000, 2
-#: Lists are merged once that tries at most so many pairs for each of their rows, or when a round of pivots (of so many at most)
-#: has left more than a quarter of the pairs.
-PAIRS_PER_ROW, ROUNDS = 8, 4
+#: A list is merged if that tries at most so many pairs for each of its rows; the others get a pivot, until a round of pivots (of so
+#: many at most) has left more than a quarter of the pairs.
+PAIRS_PER_ROW, ROUNDS = 16, 4
 #: Hash buckets of wanted ids, broadcast to drop other documents before their texts are shuffled: at most so many numbers.
 BUCKETS = 1 << 19
 
@@ -312,28 +312,38 @@ def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
     posts = F.collect_set(F.struct(F.col("shingle").alias("key"), "place")).alias("posts")
     shared = materialize(postings.join(several, "shingle").groupBy("cls", "n", "score").agg(posts), "shared")
     discard(postings, several)
-    sets = _sets_of(shared.select("cls"), rows, docs, k, id_col, text_col)
     lists = shared.select("cls", "n", "score", key.alias("known"), F.col("score").alias("weight"), F.col("n").alias("rest"), F.explode("posts").alias("p")).select("*", "p.*").select(*_ROW)
-    links, before = None, None
+    nothing = shared.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    candidates, links, sets, before = nothing, nothing, None, None
     for turn in range(ROUNDS + 1):
         still = _open(lists, percent)
-        members, pairs_left = still.agg(F.sum("members"), F.sum("pairs")).first()
-        if not members:
+        many = F.col("pairs") > F.lit(PAIRS_PER_ROW) * F.col("members")
+        of_all, of_long = still.agg(F.sum("pairs"), F.sum(F.when(many, F.col("pairs")))).first()
+        if not of_all:
+            discard(still)
             break
-        lists = materialize(lists.join(still.select("key"), "key").select(*_ROW), "lists")
+        split = bool(of_long) and turn < ROUNDS and (before is None or of_long <= before / 4)
+        before = of_long
+        lists = materialize(lists.join(still.select("key", (many if split else F.lit(False)).alias("long")), "key").select(*_ROW, "long"), "lists")
         discard(still)
-        if pairs_left <= PAIRS_PER_ROW * members or before is not None and pairs_left > before / 4 or turn == ROUNDS:
-            found = _verified(_merged(lists, percent), sets, percent)
-            links = found if links is None else links.union(found)
+        candidates = candidates.union(_merged(lists.where("not long"), percent))
+        long = lists.where("long")
+        if sets is None:  # what comes in later rounds has been in a long list before
+            sets = _sets_of(candidates.select("a").union(candidates.select("b")).union(long.select("cls")).distinct().toDF("cls"), rows, docs, k, id_col, text_col)
+        if not split:
+            discard(lists)
             break
-        before, pairs = pairs_left, _with_pivots(lists, percent)
+        pairs = _with_pivots(long, percent)
         discard(lists)
         compared = _compared(pairs, sets, percent, order)
         discard(pairs)
-        found = compared.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-        links = found if links is None else links.union(found)
+        links = links.union(compared.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
         lists = compared.select("cls", "n", "score", "rest", F.posexplode("keys").alias("place", "key")).join(_knows(compared), "cls").select(*_ROW)
-    return rows, connected_components(links if links is not None else shared.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    if sets is not None:
+        links = links.union(_verified(candidates.distinct(), sets, percent))
+    labels = connected_components(links)
+    discard(shared, sets)
+    return rows, labels
 
 
 def _components_of(rows: DataFrame, labels: DataFrame, least: Column) -> DataFrame:
