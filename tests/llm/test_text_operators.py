@@ -116,7 +116,7 @@ def test_segment_search_equals_edit_distance(seed):
     rng = random.Random(seed)
     letters = lambda n: "".join(rng.choice("abcd") for _ in range(n))
     pattern = letters(rng.randint(24, 64))
-    block = decontaminate.Block.of([(0, decontaminate.normalize([pattern])[0][1:-1])], 9)
+    block = decontaminate.Block.of([(0, decontaminate.normalize(pattern))], 9)
     hidden = list(pattern)
     for _ in range(rng.randint(0, 9)):
         at, kind = rng.randrange(len(hidden)), rng.choice("sid")
@@ -142,6 +142,76 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(docs, bench.limit(0)).count() == 0 and decontaminate.find_contamination(docs.limit(0), bench).count() == 0
 
 
+def _normal(text):
+    return " ".join("".join(c.lower() if c.isalnum() else " " for c in text or "").split())
+
+
+def test_contamination_of_a_batch_is_that_of_its_texts(monkeypatch):
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "x1", "Zeta,", "the", "of"]
+    prose = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", "s", "7"]) for _ in range(n))
+    items = [prose(rng.choice([3, 6, 12, 40])) for _ in range(25)] + ["x1", "of the x1"]
+    texts = ["", "x1", " X1! ", "of the x1"]
+    for item in items:  # quotations that straddle two texts, parts, edits
+        cut = rng.randrange(len(item))
+        texts += [prose(5) + " " + item[:cut], item[cut:] + " " + prose(5), item[-20:], prose(9) + " " + item + " " + prose(3), item.replace("beta", "betta", 2)]
+    block = decontaminate.Block.of([(i, decontaminate.normalize(x)) for i, x in enumerate(items)], 9)
+    alone = {i: [f[1:] for f in decontaminate.search(block, [t])] for i, t in enumerate(texts)}
+    assert sum(map(len, alone.values())) > 60
+    for stretch in (1 << 20, 50):
+        monkeypatch.setattr(decontaminate, "STRETCH", stretch)
+        for _ in range(3):
+            order = rng.sample(range(len(texts)), len(texts))
+            found = defaultdict(list)
+            for t, *rest in decontaminate.search(block, [texts[i] for i in order]):
+                found[order[t]].append(tuple(rest))
+            assert {i: sorted(found[i]) for i in alone} == {i: sorted(x) for i, x in alone.items()}
+
+
+def _held_share(item, text, q=9, word=64, least=24):
+    """The share of a normalized item in a normalized text, by plain loops."""
+    if len(item) < q:
+        return float(bool(item) and item == text)
+    text = f" {text} "
+    if len(item) < least:
+        return float(f" {item} " in text)
+    parts, held = np.array_split(np.arange(len(item)), -(-len(item) // word)), set()
+    for part in parts:
+        piece, n = item[part[0] : part[-1] + 1], max(1, len(part) // q)
+        if _least_edits(piece, text) > n - 1:
+            continue
+        held |= set(part.tolist())
+        for k in range(n):
+            start = k * len(piece) // n
+            for m in re.finditer(f"(?={re.escape(piece[start : start + q])})", text):
+                i, j = part[0] + start, m.start()
+                if _least_edits(piece, text[max(0, j - start - n + 1) : j - start + len(piece) + n - 1]) > n - 1:
+                    continue
+                a = z = 0
+                while i - a > 0 and j - a > 0 and item[i - a - 1] == text[j - a - 1]:
+                    a += 1
+                while i + z < len(item) and j + z < len(text) and item[i + z] == text[j + z]:
+                    z += 1
+                held |= set(range(i - a, i + z))
+    return len(held) / len(item)
+
+
+def test_contamination_equals_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcde fgh") for _ in range(n)).strip() or "a"
+    items = [letters(rng.choice([5, 15, 40, 70, 150, 260])) for _ in range(14)] + ["", None]
+    texts = ["", None, "a"]
+    for item in items[:14]:
+        a, b = sorted(rng.sample(range(len(item) + 1), 2))
+        texts += [letters(30) + " " + item[a:b] + " " + letters(30), letters(20) + " " + item + "; " + letters(5), item[len(item) // 4 : len(item) * 3 // 4 + 1], "".join(c for c in item if rng.random() > 0.04)]
+    texts += texts[5:9]
+    documents(spark, texts).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id): r.share for r in queries.op3_decontamination(spark, str(tmp_path)).collect()}
+    expected = {(d, i): s for d, t in enumerate(texts) for i, x in enumerate(items) if (s := _held_share(_normal(x), _normal(t))) >= 0.4}
+    assert len(found) > 30 and found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found)
+
+
 @pytest.fixture(scope="module")
 def two_languages(spark):
     rng = random.Random(1)
