@@ -6,8 +6,9 @@ keep the same suffix in every document. Suffixes that begin alike in several cla
 (and once more by the words before, read backwards); neighbours of different classes are compared and the match is
 extended to the left and right, at most to ``least`` words on a side: longer matches are the union of those of their suffixes.
 
-A passage of ``2 * least - K`` words that two classes share is always found; shorter ones, from ``least`` words, unless other
-classes share more with it both before and behind.
+A neighbour shares the most words on one side only. Where a suffix could share more windows of ``least`` words than those of its
+matches, by the words that its neighbours of both orders share with it, the windows in question are looked up by their hashes
+among all suffixes that begin alike. So every passage of ``least`` words that two classes share is found.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from quarrygraph.llm.shingles import mix, word_hashes
 K = 20
 #: Sorted records that a task compares at a time; results don't depend on it.
 SORTED_ROWS = 4096
+#: Hash buckets of suffixes, broadcast to drop other records before they are shuffled: at most so many numbers.
+BUCKETS = 1 << 19
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,7 +67,7 @@ def _documents(texts: list[str], least: int) -> Iterator[tuple[np.ndarray, bytes
 
 
 def _anchors(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """kind 0: (id, cls, n words) per document; kind 1: (cls, suffix hash, position), once per task and class."""
+    """kind 0: (id, hash of id and text, cls, n words) per document; kind 1: (cls, suffix hash, position), once per task and class."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -84,13 +87,14 @@ def _anchors(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFra
                 hashes.append(np.concatenate([np.zeros(1, np.int64), runs.view(np.int64)[:m]]))
                 at.append(np.concatenate([np.full(1, -1), places[:m]]))
             place = np.concatenate(at)
-            columns = [pa.array(place >= 0).cast(pa.int8()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(cls, pa.binary()), pa.array(n, pa.int64()),
+            rows = pa.array(rows, pa.int64())
+            columns = [pa.array(place >= 0).cast(pa.int8()), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(cls, pa.binary()), pa.array(n, pa.int64()),
                        pa.array(np.concatenate(hashes)), pa.array(place.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, names=["kind", "_id", "cls", "n", "suffix", "at"])
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "_id", "doc_key", "cls", "n", "suffix", "at"])
 
         return step
 
-    return arrow_map(docs.select(id_col, text_col), make, f"kind tinyint, _id {kind}, cls binary, n bigint, suffix bigint, at int")
+    return arrow_map(docs.select(id_col, text_col, F.xxhash64(id_col, text_col)), make, f"kind tinyint, _id {kind}, doc_key bigint, cls binary, n bigint, suffix bigint, at int")
 
 
 def _contexts(texts: DataFrame, least: int) -> DataFrame:
@@ -126,11 +130,13 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _RECORD = "suffix bigint, cls binary, at int, after binary, before binary"
 
 
-def _neighbours(records: DataFrame, least: int) -> DataFrame:
+def _neighbours(records: DataFrame, least: int, order: list[str]) -> DataFrame:
     """For sorted records: kind 0, a match (cls, at, start, end in words, other class) of each with its nearest neighbours of
     another class; kind 1, the first and last run of each partition, to be compared with those of other partitions; kind 2,
     the record after the first run and the one before the last, which those runs are compared with where they go on in
-    another partition. ``silent`` records get no matches of their own."""
+    another partition; kind 3, records that may share more windows than their matches hold: start is how many words on the
+    side of the order the neighbours share, end the windows that matches hold (bit j: the one with j words behind the suffix).
+    ``silent`` records get none of their own."""
     side = least - K
     fields = ["suffix", "cls", "at", "after", "before"]
 
@@ -153,7 +159,8 @@ def _neighbours(records: DataFrame, least: int) -> DataFrame:
             i, own = np.arange(n), ~t["silent"].to_numpy()
             follow = np.append(begin[1:], n)[of]  # the first record of the next run
             prior = begin[of] - 1  # the last one of the run before
-            out = []
+            out, bits = [], np.uint64(1) << np.arange(side + 1, dtype=np.uint64)
+            reach, windows = np.full(n, -1, np.int64), np.zeros(n, np.uint64)
             for other, ok in ((follow, (follow < n) & (i >= old) & own), (prior, (prior >= 0) & (i >= known) & own)):
                 a, b = i[ok], other[ok]
                 same = suffix[a] == suffix[b]
@@ -161,10 +168,15 @@ def _neighbours(records: DataFrame, least: int) -> DataFrame:
                 r, before = _alike(wide[0][a], wide[0][b]), _alike(wide[1][a], wide[1][b])
                 good = r + before + K >= least
                 out.append((a[good], b[good], at[a[good]] - before[good], at[a[good]] + K + r[good]))
+                reach[a] = np.maximum(reach[a], r if order[0] == "after" else before)
+                windows[a[good]] |= (bits[r] * np.uint64(2) - np.uint64(1) - (bits[side - before] - np.uint64(1)))[good]
+            # all windows that the neighbours on this side allow
+            allowed = bits[reach] * np.uint64(2) - np.uint64(1) if order[0] == "after" else bits[side] * np.uint64(2) - bits[side - np.maximum(reach, 0)]
+            left = np.flatnonzero((reach >= 0) & (allowed & ~windows != 0))
             a, b, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
-            nothing = [pa.nulls(len(a), x) for x in (pa.int64(), pa.binary(), pa.binary())]
-            columns = [pa.array(np.zeros(len(a), np.int8)), nothing[0], pa.array(list(cls[a]), pa.binary()), pa.array(at[a].astype(np.int32)), nothing[1], nothing[2],
-                       pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(list(cls[b]), pa.binary())]
+            own = np.concatenate([a, left])
+            columns = [pa.array(np.repeat([0, 3], [len(a), len(left)]).astype(np.int8)), pa.array(suffix[own]), pa.array(list(cls[own]), pa.binary()), pa.array(at[own].astype(np.int32)), *[pa.nulls(len(own), pa.binary())] * 2,
+                       pa.array(np.concatenate([start, reach[left]]).astype(np.int64)), pa.array(np.concatenate([end, windows[left].view(np.int64)]).astype(np.int64)), pa.array(list(cls[b]) + [None] * len(left), pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["kind", *fields, "start", "end", "other"]), begin
 
         def edge(t: pa.Table, kind: int) -> pa.RecordBatch:
@@ -197,15 +209,63 @@ def _neighbours(records: DataFrame, least: int) -> DataFrame:
     return records.mapInArrow(run, f"kind tinyint, {_RECORD}, start bigint, end bigint, other binary")
 
 
-def _matches(records: DataFrame, least: int, order: list[str]) -> DataFrame:
+def _compared(records: DataFrame, least: int, order: list[str]) -> DataFrame:
+    """The matches of neighbours in this order (kind 0), and the records that may share more (kind 3)."""
     keys = ["suffix", *order, "cls", "at"]
     ordered = records.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    found = materialize(_neighbours(ordered.withColumn("silent", F.lit(False)), least), "neighbours")
-    columns = ["cls", "start", "end", "other"]
+    found = materialize(_neighbours(ordered.withColumn("silent", F.lit(False)), least, order), "neighbours")
     # two runs of each partition at most and two records beside: some rows for each partition, and a document's repeats
-    edges = found.where("kind > 0").groupBy("suffix", "cls", "at", "after", "before").agg((F.min("kind") == 2).alias("silent"))
-    between = _neighbours(edges.repartition(1).sortWithinPartitions(*keys), least)
-    return found.where("kind = 0").select(*columns).unionByName(between.where("kind = 0").select(*columns))
+    edges = found.where("kind in (1, 2)").groupBy("suffix", "cls", "at", "after", "before").agg((F.min("kind") == 2).alias("silent"))
+    between = _neighbours(edges.repartition(1).sortWithinPartitions(*keys), least, order)
+    return found.where("kind in (0, 3)").unionByName(between.where("kind in (0, 3)")).drop("after", "before")
+
+
+def _matches(records: DataFrame, least: int, order: list[str]) -> DataFrame:
+    """(cls, start, end, other) of the matches of neighbours in this order."""
+    return _compared(records, least, order).where("kind = 0").select("cls", "start", "end", "other")
+
+
+def _open_windows(after: DataFrame, before: DataFrame, side: int) -> DataFrame:
+    """(suffix, windows) in question: within the words that neighbours on either side share, and not in a match; a written table."""
+    of = lambda df, a, b: df.where("kind = 3").select("suffix", "cls", "at", a.alias("after"), b.alias("before"), F.col("end").alias("held"))
+    none, reach = F.lit(None).cast("long"), F.col("start")
+    each = of(after, reach, none).unionByName(of(before, none, reach)).groupBy("suffix", "cls", "at").agg(F.max("after").alias("after"), F.max("before").alias("before"), F.bit_or("held").alias("held"))
+    power = lambda n: F.expr(f"shiftleft(1L, cast({n} as int))")
+    allowed = (power("after + 1") - 1).bitwiseAND(F.bitwise_not(power(f"{side} - before") - 1))
+    left = allowed.bitwiseAND(F.bitwise_not("held"))
+    # a side without a row allows all, and what it allows is in its matches
+    return materialize(each.where(f"after is not null and before is not null and after + before >= {side}").select("suffix", left.alias("windows")).where("windows != 0").groupBy("suffix").agg(F.bit_or("windows").alias("windows")), "windows")
+
+
+def _window_matches(records: DataFrame, windows: DataFrame, least: int) -> DataFrame:
+    """(cls, start, end, other) of the windows in question that several classes hold."""
+    side = least - K
+    bucket = F.pmod(F.col("suffix"), F.lit(BUCKETS)).alias("bucket")
+    near = records.withColumn("bucket", bucket).join(F.broadcast(windows.select(bucket).distinct()), "bucket", "left_semi").join(windows, "suffix")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = batch.num_rows
+            wide = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(n, side).astype(np.uint64) for c in (3, 4)]
+            suffix, at, wanted = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64), batch.column(5).to_numpy()
+            rows, hashes, begins = [], [], []
+            for j in range(side + 1):
+                words = np.concatenate([wide[1][:, : side - j], wide[0][:, :j]], axis=1)
+                i = np.flatnonzero((wanted >> j & 1 == 1) & (words != 0).all(axis=1))
+                h = mix(suffix[i].view(np.uint64), j)
+                for c in range(side):
+                    h = mix(h * _ODD + words[i, c], 1)
+                rows.append(i)
+                hashes.append(h.view(np.int64))
+                begins.append(at[i] - (side - j))
+            of = pa.array(np.concatenate(rows))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column(1).take(of), pa.array(np.concatenate(begins))], names=["window", "cls", "start"])
+
+        return step
+
+    found = materialize(arrow_map(near.select("suffix", "cls", "at", "after", "before", "windows"), make, "window bigint, cls binary, start bigint", SORTED_ROWS), "found")
+    several = materialize(found.groupBy("window").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y"), "several")
+    return found.join(several, "window").select("cls", "start", (F.col("start") + least).alias("end"), F.when(F.col("cls") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("other"))
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,22 +275,29 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     Words are separated by white space and lower-cased (A-Z). Of equal word sequences of ``least`` words or more, every copy
     is one whole stretch; its other_id is the least id of the copies (for that one itself: its own). A passage that only
     one document repeats within itself isn't reported. Null and empty texts, and those with fewer words, have no
-    rows; nor has an empty table. Rows with a null id can match others and are reported with it. Other columns aren't read.
+    rows; nor has an empty table. Rows with a null id can match others and are reported with it; repeated rows are copies. Very long
+    texts are read whole. ``least`` is 21 to 82 words. Other columns aren't read.
     """
+    if not K < least <= K + 62:
+        raise ValueError(f"least must be over {K} and at most {K + 62}")
     every = materialize(_anchors(docs, least, id_col, text_col), "suffixes")
-    rows, kept = every.where("kind = 0").select("_id", "cls", "n"), every.where("kind = 1").select("cls", "suffix", "at")
+    rows, kept = every.where("kind = 0").select("_id", "doc_key", "cls", "n"), every.where("kind = 1").select("cls", "suffix", "at")
     shared = kept.groupBy("suffix").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y").select("suffix")
     # written before the join: a side that is an aggregate keeps Spark from splitting a frequent suffix of the other side
     shared = materialize(shared, "shared")
     wanted = materialize(kept.join(shared, "suffix").groupBy("cls").agg(F.collect_set("at").alias("wanted")), "wanted")
-    of_class = rows.where(F.col("n") >= least).groupBy("cls").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    of_class = rows.where(F.col("n") >= least).groupBy("cls").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("doc_key").alias("doc_key"))
     of_class = materialize(of_class.join(wanted.select("cls", F.lit(True).alias("partly")), "cls", "left"), "of-class")
-    chosen = of_class.where("partly and first is not null").join(wanted, "cls").select("first", "wanted")
-    texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(chosen, "first").select("text", "wanted")
+    chosen = of_class.where("partly").join(wanted, "cls").select("doc_key", "wanted")
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("doc_key"), F.col(text_col).alias("text")).join(chosen, "doc_key").select("text", "wanted")
     records = materialize(_contexts(texts, least), "contexts")
-    matches = _matches(records, least, ["after", "before"]).unionByName(_matches(records, least, ["before", "after"]))
+    discard(shared, wanted)
+    after, before = _compared(records, least, ["after", "before"]), _compared(records, least, ["before", "after"])
+    windows = _open_windows(after, before, least - K)
+    columns = ["cls", "start", "end", "other"]
+    matches = after.where("kind = 0").select(*columns).unionByName(before.where("kind = 0").select(*columns)).unionByName(_window_matches(records, windows, least))
     spans = materialize(matches.groupBy("cls", "start", "end").agg(F.min("other").alias("other")), "spans")
-    discard(records)
+    discard(records, windows)
 
     grouped = spans.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("start", "end", "other"))).alias("spans"))
 
