@@ -2,10 +2,10 @@
 
 Documents with equal shingle sets form a class, found by a digest; all that follows is about classes. A class with n
 shingles can only be linked to one that shares T of them. Shingles are put into one order for the whole corpus: rare ones
-first, then frequent ones by how many documents hold them (their inverted lists are the long ones). By DivideSkip, the T - 1
-longest lists of a class aren't merged: a linked class must occur in one of its short lists. The short lists are merged
-by their shingle in Spark's sort-merge join, and the occurrences in the long lists are found by binary probes of the sorted
-shingles of both classes.
+first, then frequent ones by how many documents hold them (their inverted lists are the long ones). By DivideSkip, the T - c
+longest lists of a class aren't merged: a linked class must occur in c of its short lists. The short lists are merged by
+their shingle in Spark's sort-merge join, occurrences are counted, and those in the long lists are found by binary probes of
+the sorted shingles of both classes.
 
 A list can be as long as a group of near copies, so lists that would make many pairs are split by a pivot first:
 
@@ -37,9 +37,12 @@ from quarrygraph.llm.shingles import digest, mix, shingle_sets
 FREQUENT = 500_000
 #: Shingles whose counts a task adds up at a time, and the least count that it hands on.
 CHUNK, HANDED_ON = 3_000_000, 2
+#: c: occurrences in merged lists that make a candidate (fewer, where a link needs fewer). A pair that also meets in a list with a
+#: pivot is found behind it.
+MERGED = 3
 #: A list is merged if that tries at most so many pairs for each of its rows; the others get a pivot, until a round of pivots (of so
 #: many at most) has left more than a quarter of the pairs.
-PAIRS_PER_ROW, ROUNDS = 16, 4
+PAIRS_PER_ROW, ROUNDS = 64, 4
 #: Hash buckets of wanted ids, broadcast to drop other documents before their texts are shuffled: at most so many numbers.
 BUCKETS = 1 << 19
 
@@ -139,7 +142,7 @@ def _postings(docs: DataFrame, k: int, percent: int, order: Order, text_col: str
             shingle, cls, size, place, scores = [], [], [], [], []
             for s in shingle_sets([t or "" for t in batch.column(0).to_pylist()], k):
                 n = len(s)
-                lists = n - least_overlap(n, percent) + 1
+                lists = min(n, n - least_overlap(n, percent) + MERGED)
                 # another set differs by one shingle at least: too much for a link of small ones
                 if not n or n * 100 < percent * (n + 1) and (n - 1) * 100 < percent * n:
                     continue
@@ -163,9 +166,9 @@ def _postings(docs: DataFrame, k: int, percent: int, order: Order, text_col: str
     return arrow_map(docs.select(text_col), make, "shingle bigint, cls binary, n int, place int, score float")
 
 
-#: Columns of a list's row. ``rest``: size of the difference from the pivot; ``place``: of the list's element in it; ``known``: a
+#: Columns of a list's row. ``of``: the pivot, by its hash; ``rest``: size of the difference from the pivot; ``place``: of the list's element in it; ``known``: a
 #: class that this one is known to be linked with, by its hash, of ``weight``.
-_ROW = ("key", "cls", "n", "rest", "place", "score", "known", "weight")
+_ROW = ("key", "of", "cls", "n", "rest", "place", "score", "known", "weight")
 
 
 def most_apart(n: int, percent: int) -> int:
@@ -174,8 +177,8 @@ def most_apart(n: int, percent: int) -> int:
 
 
 def _leads(percent: int) -> Column:
-    """Whether an element comes in the first half of those that can be shared: of each pair one of both has it there."""
-    return 2 * F.col("place").cast("long") * percent <= F.col("n").cast("long") * (100 - percent)
+    """Whether an element comes in the first half of those that can be shared: of each pair, one has its first MERGED ones there."""
+    return 2 * (F.col("place").cast("long") - (MERGED - 1)) * percent <= F.col("n").cast("long") * (100 - percent)
 
 
 def _open(each: DataFrame, percent: int) -> DataFrame:
@@ -220,7 +223,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, order: Order) ->
                 # another one, if this one is linked with the pivot, is not
                 share = max(1, (d - abs(len(x) - len(p)) + 2) // 2 if linked[-1] else d - most_apart(len(x), percent))
                 apart.append(d)
-                keys.append(mix(difference[: max(0, d - share + 1)] ^ np.uint64(int.from_bytes(pivot[:8], "little")), 7).view(np.int64))
+                keys.append(mix(difference[: max(0, d - share + MERGED) if share <= d else 0] ^ np.uint64(int.from_bytes(pivot[:8], "little")), 7).view(np.int64))
             ends = np.zeros(len(keys) + 1, np.int32)
             np.cumsum([len(x) for x in keys], out=ends[1:])
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
@@ -242,14 +245,16 @@ def _knows(compared: DataFrame) -> DataFrame:
 
 
 def _merged(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the classes that meet in a list where their differences can still share as much as a link needs."""
-    side = lambda x: lists.select("key", _leads(percent).alias("leads" + x), *(F.col(c).alias(c + x) for c in ("cls", "n", "rest", "place", "known")))
+    """(a, b) of the classes that occur together in MERGED of the lists of one pivot, or in as many as a link of theirs needs."""
+    side = lambda x: lists.select("key", _leads(percent).alias("leads" + x), *(F.col(c).alias(c + x) for c in ("of", "cls", "n", "rest", "place", "known")))
     na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
     apart = na + nb - 2 * F.ceil((na + nb) * percent / F.lit(100 + percent) - 1e-9)
-    shared = F.least(F.col("resta") - F.col("placea"), F.col("restb") - F.col("placeb"))
-    possible = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (2 * shared >= F.col("resta") + F.col("restb") - apart)
-    pairs = side("a").join(side("b"), "key").where("clsa < clsb and knowna != knownb and (leadsa or leadsb)").where(possible)
-    return materialize(pairs.select(F.col("clsa").alias("a"), F.col("clsb").alias("b")).distinct(), "candidates")
+    twice = F.col("resta") + F.col("restb") - apart  # what they need to share
+    shared = F.least(F.col("resta") - F.col("placea"), F.col("restb") - F.col("placeb")) + (MERGED - 1)  # this one, those behind it, and earlier ones
+    possible = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (2 * shared >= twice)
+    pairs = side("a").join(side("b"), "key").where("clsa < clsb and knowna != knownb and (leadsa or leadsb) and ofa = ofb").where(possible)
+    counted = pairs.groupBy("ofa", F.col("clsa").alias("a"), F.col("clsb").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.max(twice).alias("twice"))
+    return materialize(counted.where((F.col("m") >= MERGED) | (2 * F.col("m") >= F.col("twice"))).select("a", "b").distinct(), "candidates")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -312,7 +317,7 @@ def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
     posts = F.collect_set(F.struct(F.col("shingle").alias("key"), "place")).alias("posts")
     shared = materialize(postings.join(several, "shingle").groupBy("cls", "n", "score").agg(posts), "shared")
     discard(postings, several)
-    lists = shared.select("cls", "n", "score", key.alias("known"), F.col("score").alias("weight"), F.col("n").alias("rest"), F.explode("posts").alias("p")).select("*", "p.*").select(*_ROW)
+    lists = shared.select(F.lit(0).cast("long").alias("of"), "cls", "n", "score", key.alias("known"), F.col("score").alias("weight"), F.col("n").alias("rest"), F.explode("posts").alias("p")).select("*", "p.*").select(*_ROW)
     nothing = shared.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     candidates, links, sets, before = nothing, nothing, None, None
     for turn in range(ROUNDS + 1):
@@ -338,7 +343,7 @@ def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
         compared = _compared(pairs, sets, percent, order)
         discard(pairs)
         links = links.union(compared.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
-        lists = compared.select("cls", "n", "score", "rest", F.posexplode("keys").alias("place", "key")).join(_knows(compared), "cls").select(*_ROW)
+        lists = compared.select(F.xxhash64("pivot").alias("of"), "cls", "n", "score", "rest", F.posexplode("keys").alias("place", "key")).join(_knows(compared), "cls").select(*_ROW)
     if sets is not None:
         links = links.union(_verified(candidates.distinct(), sets, percent))
     labels = connected_components(links)
