@@ -41,7 +41,7 @@ class Block:
         """For each order, the bucket of the n-gram that begins at each position; 2 ** bits where none begins.
 
         An n-gram lies within a word, or holds the edge before or after it too."""
-        out = np.empty(len(self.codes), np.int64)
+        out = np.empty(len(self.codes), np.int32)
         for n in orders:
             m = len(self.codes) - n + 1
             out[:] = 1 << bits
@@ -61,6 +61,10 @@ class Block:
         return np.flatnonzero(self.letter[1:] & ~self.letter[:-1])
 
 
+#: Positions whose class scores are held at a time.
+STRETCH = 1 << 16
+
+
 @dataclass
 class SubwordModel:
     """``table``: class scores of each bucket, the last row zero. ``seen``: buckets that training met."""
@@ -72,36 +76,35 @@ class SubwordModel:
     orders: tuple[int, ...]
     bits: int
 
-    def per_position(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums of class scores, numbers of n-grams and numbers of seen n-grams of the n-grams that begin at each position."""
-        score = np.zeros((len(block.codes), len(self.classes)), np.float32)
-        n = np.zeros(len(block.codes), np.int16)
-        known = np.zeros(len(block.codes), np.int16)
-        for bucket in block.grams(self.orders, self.bits):
-            score += self.table[bucket]
-            n += bucket < 1 << self.bits
-            known += self.seen[bucket]
-        return score, n, known
-
     def score_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class scores of each text, its number of n-grams, the share of them that training met)."""
+        """(class scores of each text, its number of n-grams, the share of them that training met). Summed up a stretch of
+        positions at a time, so that memory doesn't grow with characters times classes."""
         block = Block.of(texts)
-        score, n, known = self.per_position(block)
-        total = np.add.reduceat(score, block.starts, axis=0, dtype=np.float64)
-        count = np.add.reduceat(n, block.starts, dtype=np.int64)
-        met = np.add.reduceat(known, block.starts, dtype=np.int64)
+        total = np.zeros((len(texts), len(self.classes)))
+        count, met = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for bucket in block.grams(self.orders, self.bits):
+            for k in range(0, len(bucket), STRETCH):
+                part = bucket[k : k + STRETCH]
+                first, last = np.searchsorted(block.starts, [k, k + len(part) - 1], "right") - 1
+                of, begin = np.arange(first, last + 1), np.maximum(block.starts[first : last + 1] - k, 0)
+                total[of] += np.add.reduceat(self.table[part], begin, axis=0, dtype=np.float64)
+                count[of] += np.add.reduceat(part < 1 << self.bits, begin, dtype=np.int64)
+                met[of] += np.add.reduceat(self.seen[part], begin, dtype=np.int64)
         return total / np.maximum(count, 1)[:, None] + self.bias, count, met / np.maximum(count, 1)
 
     def best_window(self, texts: list[str], words: int) -> np.ndarray:
         """The largest lead of class 1 over class 0 of any ``words`` successive words of each text (-inf without words)."""
         block = Block.of(texts)
-        score, n, _ = self.per_position(block)
-        lead = score[:, 1].astype(np.float64) - score[:, 0]
+        ahead = self.table[:, 1] - self.table[:, 0]
+        lead, n = np.zeros(len(block.codes), np.float32), np.zeros(len(block.codes), np.int8)
+        for bucket in block.grams(self.orders, self.bits):
+            lead += ahead[bucket]
+            n += bucket < 1 << self.bits
         at = block.words()
         out = np.full(len(texts), -np.inf)
         if not len(at):
             return out
-        sums = np.concatenate([[0.0], np.cumsum(np.add.reduceat(lead, at))])
+        sums = np.concatenate([[0.0], np.cumsum(np.add.reduceat(lead, at, dtype=np.float64))])
         counts = np.concatenate([[0], np.cumsum(np.add.reduceat(n, at, dtype=np.int64))])
         first = np.searchsorted(at, block.starts)  # the first word of each text
         of = np.searchsorted(block.starts, at, "right") - 1

@@ -27,6 +27,8 @@ from quarrygraph.llm.shingles import mix, word_hashes
 K = 20
 #: Sorted records that a task compares at a time; results don't depend on it.
 SORTED_ROWS = 4096
+#: Runs on either side that a suffix is compared with while the next ones leave windows in question. It only saves lookups.
+NEAR_RUNS = 10
 #: Hash buckets of suffixes, broadcast to drop other records before they are shuffled: at most so many numbers.
 BUCKETS = 1 << 19
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -135,8 +137,8 @@ def _neighbours(records: DataFrame, least: int, order: list[str]) -> DataFrame:
     another class; kind 1, the first and last run of each partition, to be compared with those of other partitions; kind 2,
     the record after the first run and the one before the last, which those runs are compared with where they go on in
     another partition; kind 3, records that may share more windows than their matches hold: start is how many words on the
-    side of the order the neighbours share, end the windows that matches hold (bit j: the one with j words behind the suffix).
-    ``silent`` records get none of their own."""
+    side of the order the neighbours share, end the windows that matches hold (bit j: the one with j words behind the suffix);
+    kind 4, matches with neighbours further off that hold more of these. ``silent`` records get none of their own."""
     side = least - K
     fields = ["suffix", "cls", "at", "after", "before"]
 
@@ -173,9 +175,27 @@ def _neighbours(records: DataFrame, least: int, order: list[str]) -> DataFrame:
             # all windows that the neighbours on this side allow
             allowed = bits[reach] * np.uint64(2) - np.uint64(1) if order[0] == "after" else bits[side] * np.uint64(2) - bits[side - np.maximum(reach, 0)]
             left = np.flatnonzero((reach >= 0) & (allowed & ~windows != 0))
+            more = []
+            for step in (x for d in range(2, NEAR_RUNS + 1) for x in (d, -d)):
+                run_at = of[left] + step
+                ok = (run_at >= 0) & (run_at < len(begin))
+                a = left[ok]
+                b = begin[run_at[ok]] if step > 0 else begin[run_at[ok] + 1] - 1
+                ok = (suffix[a] == suffix[b]) & (cls[a] != cls[b])
+                a, b = a[ok], b[ok]
+                r, before = _alike(wide[0][a], wide[0][b]), _alike(wide[1][a], wide[1][b])
+                held = bits[r] * np.uint64(2) - np.uint64(1) - (bits[side - before] - np.uint64(1))
+                good = (r + before + K >= least) & (held & ~windows[a] & allowed[a] != 0)
+                a, b = a[good], b[good]
+                windows[a] |= held[good]
+                more.append((a, b, at[a] - before[good], at[a] + K + r[good]))
+                left = left[allowed[left] & ~windows[left] != 0]
             a, b, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
+            more = [np.concatenate(x) for x in zip(*more, strict=True)]
+            kinds = np.repeat([0, 4, 3], [len(a), len(more[0]), len(left)]).astype(np.int8)
+            a, b, start, end = (np.concatenate(x) for x in zip((a, b, start, end), more, strict=True))
             own = np.concatenate([a, left])
-            columns = [pa.array(np.repeat([0, 3], [len(a), len(left)]).astype(np.int8)), pa.array(suffix[own]), pa.array(list(cls[own]), pa.binary()), pa.array(at[own].astype(np.int32)), *[pa.nulls(len(own), pa.binary())] * 2,
+            columns = [pa.array(kinds), pa.array(suffix[own]), pa.array(list(cls[own]), pa.binary()), pa.array(at[own].astype(np.int32)), *[pa.nulls(len(own), pa.binary())] * 2,
                        pa.array(np.concatenate([start, reach[left]]).astype(np.int64)), pa.array(np.concatenate([end, windows[left].view(np.int64)]).astype(np.int64)), pa.array(list(cls[b]) + [None] * len(left), pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["kind", *fields, "start", "end", "other"]), begin
 
@@ -210,14 +230,14 @@ def _neighbours(records: DataFrame, least: int, order: list[str]) -> DataFrame:
 
 
 def _compared(records: DataFrame, least: int, order: list[str]) -> DataFrame:
-    """The matches of neighbours in this order (kind 0), and the records that may share more (kind 3)."""
+    """The matches of neighbours in this order (kinds 0 and 4), and the records that may share more (kind 3)."""
     keys = ["suffix", *order, "cls", "at"]
     ordered = records.repartitionByRange(*keys).sortWithinPartitions(*keys)
     found = materialize(_neighbours(ordered.withColumn("silent", F.lit(False)), least, order), "neighbours")
     # two runs of each partition at most and two records beside: some rows for each partition, and a document's repeats
     edges = found.where("kind in (1, 2)").groupBy("suffix", "cls", "at", "after", "before").agg((F.min("kind") == 2).alias("silent"))
     between = _neighbours(edges.repartition(1).sortWithinPartitions(*keys), least, order)
-    return found.where("kind in (0, 3)").unionByName(between.where("kind in (0, 3)")).drop("after", "before")
+    return found.where("kind in (0, 3, 4)").unionByName(between.where("kind in (0, 3, 4)")).drop("after", "before")
 
 
 def _matches(records: DataFrame, least: int, order: list[str]) -> DataFrame:
@@ -226,7 +246,7 @@ def _matches(records: DataFrame, least: int, order: list[str]) -> DataFrame:
 
 
 def _open_windows(after: DataFrame, before: DataFrame, side: int) -> DataFrame:
-    """(suffix, windows) in question: within the words that neighbours on either side share, and not in a match; a written table."""
+    """(suffix, cls, at, windows) in question: within the words that neighbours on either side share, and not in a match; a written table."""
     of = lambda df, a, b: df.where("kind = 3").select("suffix", "cls", "at", a.alias("after"), b.alias("before"), F.col("end").alias("held"))
     none, reach = F.lit(None).cast("long"), F.col("start")
     each = of(after, reach, none).unionByName(of(before, none, reach)).groupBy("suffix", "cls", "at").agg(F.max("after").alias("after"), F.max("before").alias("before"), F.bit_or("held").alias("held"))
@@ -234,14 +254,11 @@ def _open_windows(after: DataFrame, before: DataFrame, side: int) -> DataFrame:
     allowed = (power("after + 1") - 1).bitwiseAND(F.bitwise_not(power(f"{side} - before") - 1))
     left = allowed.bitwiseAND(F.bitwise_not("held"))
     # a side without a row allows all, and what it allows is in its matches
-    return materialize(each.where(f"after is not null and before is not null and after + before >= {side}").select("suffix", left.alias("windows")).where("windows != 0").groupBy("suffix").agg(F.bit_or("windows").alias("windows")), "windows")
+    return materialize(each.where(f"after is not null and before is not null and after + before >= {side}").select("suffix", "cls", "at", left.alias("windows")).where("windows != 0"), "windows")
 
 
-def _window_matches(records: DataFrame, windows: DataFrame, least: int) -> DataFrame:
-    """(cls, start, end, other) of the windows in question that several classes hold."""
-    side = least - K
-    bucket = F.pmod(F.col("suffix"), F.lit(BUCKETS)).alias("bucket")
-    near = records.withColumn("bucket", bucket).join(F.broadcast(windows.select(bucket).distinct()), "bucket", "left_semi").join(windows, "suffix")
+def _window_hashes(records: DataFrame, side: int) -> DataFrame:
+    """(window, cls, start, bucket) of the records' ``windows`` that lie within their texts."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -263,8 +280,20 @@ def _window_matches(records: DataFrame, windows: DataFrame, least: int) -> DataF
 
         return step
 
-    found = materialize(arrow_map(near.select("suffix", "cls", "at", "after", "before", "windows"), make, "window bigint, cls binary, start bigint", SORTED_ROWS), "found")
+    found = arrow_map(records.select("suffix", "cls", "at", "after", "before", "windows"), make, "window bigint, cls binary, start bigint", SORTED_ROWS)
+    return found.withColumn("bucket", F.pmod(F.col("window"), F.lit(BUCKETS)))
+
+
+def _window_matches(records: DataFrame, windows: DataFrame, least: int) -> DataFrame:
+    """(cls, start, end, other) of the windows in question that several classes hold."""
+    of_suffix = materialize(windows.groupBy("suffix").agg(F.bit_or("windows").alias("windows")), "of-suffix")
+    bucket = F.pmod(F.col("suffix"), F.lit(BUCKETS)).alias("bucket")
+    near = records.withColumn("bucket", bucket).join(F.broadcast(of_suffix.select(bucket).distinct()), "bucket", "left_semi").drop("bucket").join(of_suffix, "suffix")
+    near = materialize(near.join(windows.select("suffix", "cls", "at", F.col("windows").alias("asked")), ["suffix", "cls", "at"], "left"), "near")
+    asked = _window_hashes(near.where("asked is not null").withColumn("windows", F.col("asked")), least - K).select("bucket").distinct()
+    found = materialize(_window_hashes(near, least - K).join(F.broadcast(asked), "bucket", "left_semi").drop("bucket"), "found")
     several = materialize(found.groupBy("window").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y"), "several")
+    discard(of_suffix, near)
     return found.join(several, "window").select("cls", "start", (F.col("start") + least).alias("end"), F.when(F.col("cls") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("other"))
 
 
@@ -295,7 +324,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     after, before = _compared(records, least, ["after", "before"]), _compared(records, least, ["before", "after"])
     windows = _open_windows(after, before, least - K)
     columns = ["cls", "start", "end", "other"]
-    matches = after.where("kind = 0").select(*columns).unionByName(before.where("kind = 0").select(*columns)).unionByName(_window_matches(records, windows, least))
+    matches = after.where("kind != 3").select(*columns).unionByName(before.where("kind != 3").select(*columns)).unionByName(_window_matches(records, windows, least))
     spans = materialize(matches.groupBy("cls", "start", "end").agg(F.min("other").alias("other")), "spans")
     discard(records, windows)
 
