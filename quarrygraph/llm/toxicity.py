@@ -2,7 +2,7 @@
 
 A few toxic words in a long document vanish in the document's mean, so means are taken over windows of successive
 words, and a document's score is that of its most toxic window. Labels are given for documents: training first takes every
-window of a toxic document as toxic, then again only those that the first model finds most toxic.
+window of a toxic document as toxic, then, several times over, only those that the model so far finds most toxic.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from quarrygraph.llm.subword import SubwordModel, train
 
 #: Words of a window; windows of one sampled document, and of those in one training pass; character n-grams.
 WINDOW, MOST, PASS, ORDERS = 8, 96, 24, (3, 4, 5, 6)
+#: Rounds of choosing windows; steps of the first training and of each round's, at least, and passes over the windows at least.
+ROUNDS, STEPS, PASSES, STEP_TEXTS = 3, 4000, 2, 32
 
 
 @dataclass
@@ -60,6 +62,11 @@ def _platt(lead: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, fl
     return max(float(w[0]), 1e-3) / scale, float(w[1])
 
 
+def _trained(texts: list[str], labels: list[int]) -> SubwordModel:
+    """A model of as many steps whatever the number of texts, and more for many."""
+    return train(texts, labels, ORDERS, epochs=max(PASSES, -(-STEPS * STEP_TEXTS // max(len(texts), 1))), batch=STEP_TEXTS)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000) -> ToxicityModel:
     """Fit on at most about ``per_class`` rows of each label (0 and 1) in ``labels``, with at most ``MOST`` windows of each;
     a fifth of the rows is held back to calibrate."""
@@ -73,17 +80,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     nth = np.arange(len(of)) - np.searchsorted(of, of)
     spread = nth * PASS // np.bincount(of)[of] != (nth - 1) * PASS // np.bincount(of)[of]  # at most PASS of each document
     first = np.flatnonzero(spread)
-    model = train([texts[i] for i in first], list(y[first]), ORDERS, epochs=2)
-    z = np.concatenate([model.score_texts(texts[i : i + 4096])[0] for i in range(0, len(texts), 4096)])
-    order = np.lexsort((z[:, 0] - z[:, 1], of))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order)) - np.searchsorted(of[order], of[order])
-    # the most toxic windows of toxic documents; of clean ones those that look most toxic, and others
-    use = np.flatnonzero(np.where(y == 1, place < 2, (place < 6) | spread))
-    chosen = [(texts[i], int(y[i])) for i in use]
-    # a window may also be one word over and over: single words of clean windows, so that none of them counts for much
-    chosen += [(words[i % len(words)], 0) for i in use if y[i] == 0 and (words := texts[i].split())]
-    model = train([t for t, _ in chosen], [label for _, label in chosen], ORDERS, epochs=3)
+    model = _trained([texts[i] for i in first], list(y[first]))
+    for _ in range(ROUNDS):
+        z = np.concatenate([model.score_texts(texts[i : i + 4096])[0] for i in range(0, len(texts), 4096)])
+        order = np.lexsort((z[:, 0] - z[:, 1], of))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        # the most toxic windows of toxic documents; of clean ones those that look most toxic, and others
+        use = np.flatnonzero(np.where(y == 1, place < 2, (place < 6) | spread))
+        chosen = [(texts[i], int(y[i])) for i in use]
+        # a window may also be one word over and over: single words of clean windows, so that none of them counts for much
+        chosen += [(words[i % len(words)], 0) for i in use if y[i] == 0 and (words := texts[i].split())]
+        model = _trained([t for t, _ in chosen], [label for _, label in chosen])
     out = ToxicityModel(model)
     if len({label for _, label, _ in back}) == 2:
         lead = model.best_window([" \n ".join(pieces) for *_, pieces in back], WINDOW)
@@ -97,7 +105,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     A null or empty text, or one without letters, has score 0. Without labelled rows of both kinds the score of every text
     is the one label that was seen (0 without any). Repeated rows give repeated rows; an empty table gives no rows.
-    Only the two named columns are read.
+    Very long texts are read whole. Only the two named columns are read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
