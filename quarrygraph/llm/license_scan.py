@@ -1,6 +1,6 @@
 """License scans through a positional index of rare licence words.
 
-A licence is described by templates, each a list of key phrases with their word positions in the licence's text. Every
+A licence is described by templates, each its text or notice with key phrases at their word positions, some mandatory. Every
 phrase is indexed under its rarest word: the one with the highest inverse document frequency over all documents of the
 corpus. A file's words are looked up in that index; each posting (phrase, offset) fixes where the phrase must begin, and
 the words there are compared. Phrases of one template whose places agree on where the licence begins are then put together.
@@ -9,6 +9,7 @@ the words there are compared. Phrases of one template whose places agree on wher
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -21,43 +22,61 @@ from quarrygraph.llm.common import arrow_map
 
 @dataclass(frozen=True)
 class Template:
-    """``phrases``: (words, position of the first word in the licence). ``slack``: words by which places may be off.
-    The label is given when phrases with at least ``share`` of the IDF weight agree and all of ``mandatory`` are there."""
+    """A licence's notice or text as words, its key phrases in brackets, mandatory ones begun by ``!``.
+
+    The label is given when phrases with at least ``share`` of the IDF weight agree on where the text begins, within ``slack``
+    words for each phrase between, and all mandatory ones are there."""
 
     label: str
-    phrases: tuple[tuple[str, int], ...]
-    mandatory: tuple[int, ...] = (0,)
+    text: str
     share: float = 0.5
     slack: int = 6
 
+    def phrases(self) -> list[tuple[str, int, bool]]:
+        """(words, position of the first one, whether it is mandatory) of each key phrase; the first one is, if none is marked."""
+        out, at = [], 0
+        for i, part in enumerate(self.text.replace("]", "[").split("[")):
+            words = part.lstrip("!").split()
+            if i % 2:
+                out.append((" ".join(words), at, part.startswith("!")))
+            at += len(words)
+        return out if any(m for *_, m in out) else [(p, at, i == 0) for i, (p, at, _) in enumerate(out)]
+
 
 #: The base phrases of the query's contract.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Further labels: short notices and key phrases of licence texts, positions counted in words.
+#: Wording of public licence texts and of their usual notices.
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the [!{name}] [as published by the free software foundation] [!either version {version} of the license] or at your option any later version this program is distributed in the hope that it will be useful [but without any warranty without even the implied warranty of merchantability]"
+_BSD = "[!redistribution and use in source and binary forms with or without modification are permitted] provided that the following conditions are met 1 [redistributions of source code must retain the above copyright notice] this list of conditions and the following disclaimer 2 [redistributions in binary form must reproduce the above copyright notice]"
 TEMPLATES = (
-    Template("mit", (("permission is hereby granted free of charge", 0), ("to deal in the software without restriction", 22),
-                     ("the above copyright notice and this permission notice shall be included", 57), ("the software is provided as is", 75)), share=0.3, slack=14),
-    Template("apache-2", (("licensed under the apache license version 2 0", 0),)),
-    Template("bsd", (("redistribution and use in source and binary forms with or without modification are permitted", 0),
-                     ("redistributions of source code must retain the above copyright notice", 21)), slack=14),
-    Template("isc", (("permission to use copy modify and or distribute this software for any purpose", 0),)),
-    Template("gpl", (("gnu general public license", 0),)),
-    Template("gpl-2", (("gnu general public license version 2", 0),)),
-    Template("gpl-3", (("gnu general public license version 3", 0),)),
-    Template("gpl-3", (("gnu general public license as published by the free software foundation", 0), ("either version 3 of the license", 11))),
-    Template("lgpl", (("gnu lesser general public license", 0),)),
-    Template("agpl", (("gnu affero general public license", 0),)),
-    Template("mpl-2", (("mozilla public license version 2 0", 0),)),
-    Template("mpl-2", (("mozilla public license v 2 0", 0),)),
-    Template("cc-by", (("creative commons attribution", 0),)),
-    Template("cc-by", (("licensed under cc by", 0),)),
-    Template("cc-by-sa", (("cc by sa", 0),)),
-    Template("cc-by-nd", (("cc by nd", 0),)),
-    Template("cc-by-nc", (("creative commons attribution noncommercial", 0),)),
-    Template("cc0", (("cc0 1 0 universal", 0),)),
-    Template("unlicense", (("this is free and unencumbered software released into the public domain", 0),)),
-    Template("proprietary", (("all rights reserved", 0),)),
+    Template("mit", "[!permission is hereby granted free of charge] to any person obtaining a copy of this software and associated documentation files the software [to deal in the software without restriction] including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions [the above copyright notice and this permission notice shall be included] in all copies or substantial portions of the software [the software is provided as is]", share=0.3, slack=14),
+    Template("apache-2", "[!licensed under the apache license version 2 0]"),
+    Template("apache-2", "licensed under the [!apache license version 2 0] the license [you may not use this file except in compliance with the license] you may obtain a copy of the license at http www apache org licenses license 2 0 [unless required by applicable law or agreed to in writing] software distributed under the license is [distributed on an as is basis]", slack=10),
+    Template("bsd", _BSD, share=0.3, slack=14),
+    Template("bsd-3", _BSD + " this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 [!neither the name of]", slack=16),
+    Template("isc", "[!permission to use copy modify and or distribute this software for any purpose] with or without fee is hereby granted provided that [the above copyright notice and this permission notice appear in all copies]", share=0.3, slack=10),
+    Template("zlib", "[!this software is provided as is without any express or implied warranty] in no event will the authors be held liable for any damages arising from the use of this software [permission is granted to anyone to use this software for any purpose] including commercial applications and to alter it and redistribute it freely", slack=10),
+    Template("bsl-1", "[!boost software license version 1 0]"),
+    Template("gpl", "[!gnu general public license]"),
+    Template("gpl-2", "[!gnu general public license version 2]"),
+    Template("gpl-3", "[!gnu general public license version 3]"),
+    Template("gpl-2", _GPL.format(name="gnu general public license", version="2"), slack=10),
+    Template("gpl-3", _GPL.format(name="gnu general public license", version="3"), slack=10),
+    Template("lgpl", "[!gnu lesser general public license]"),
+    Template("agpl", "[!gnu affero general public license]"),
+    Template("mpl-2", "[!mozilla public license version 2 0]"),
+    Template("mpl-2", "[this source code form is subject to the terms of] the [!mozilla public license v 2 0] [if a copy of the mpl was not distributed with this file]"),
+    Template("epl-2", "[!eclipse public license v 2 0]"),
+    Template("epl-2", "[!eclipse public license version 2 0]"),
+    Template("cc-by", "[!creative commons attribution]"),
+    Template("cc-by", "[!licensed under cc by]"),
+    Template("cc-by-sa", "[!cc by sa]"),
+    Template("cc-by-nd", "[!cc by nd]"),
+    Template("cc-by-nc", "[!creative commons attribution noncommercial]"),
+    Template("cc0", "[!cc0 1 0 universal]"),
+    Template("unlicense", "[!this is free and unencumbered software released into the public domain] anyone is free to copy modify publish use compile sell or distribute this software", share=0.3),
+    Template("proprietary", "[!all rights reserved]"),
 )
 
 SCHEMA = "{id} {type}, n_words bigint, places array<struct<start:bigint,label:string>>, labels array<string>, score double"
@@ -72,7 +91,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _phrases(base: dict[str, str], templates: tuple[Template, ...]) -> list[str]:
-    return list(dict.fromkeys([*base, *(p for t in templates for p, _ in t.phrases)]))
+    return list(dict.fromkeys([*base, *(p for t in templates for p, *_ in t.phrases())]))
 
 
 def licence_idf(docs: DataFrame, phrases: list[str], text_col: str = "text") -> dict[str, float]:
@@ -108,7 +127,7 @@ class PhraseIndex:
             offset = max(range(len(words)), key=lambda k: (idf[words[k].decode()], -k))
             self.postings[words[offset]].append((i, offset))
         self.base = {number[p]: label for p, label in base.items()}
-        self.templates = [(t, [(number[p], at) for p, at in t.phrases]) for t in templates]
+        self.templates = [(t, [(number[p], at, must) for p, at, must in t.phrases()]) for t in templates]
 
     def places(self, words: list[bytes]) -> dict[int, list[int]]:
         """Where each phrase that occurs starts, all its places in order."""
@@ -121,15 +140,24 @@ class PhraseIndex:
                     found[phrase].append(start)
         return found
 
-    def template_score(self, t: Template, phrases: list[tuple[int, int]], found: dict[int, list[int]]) -> float:
+    def template_score(self, t: Template, phrases: list[tuple[int, int, bool]], found: dict[int, list[int]]) -> float:
         """The largest share of the template's weight whose places agree on one beginning; 0 if it falls short."""
-        total, best = sum(self.weight[p] for p, _ in phrases), 0.0
-        first = phrases[t.mandatory[0]]
-        for start in found.get(first[0], ()):
-            begin = start - first[1]
-            held = {k for k, (p, at) in enumerate(phrases) if any(abs(s - begin - at) <= t.slack * (1 + k) for s in found.get(p, ()))}
-            if held.issuperset(t.mandatory):
-                best = max(best, sum(self.weight[phrases[k][0]] for k in held) / total if total else 1.0)
+        must = [k for k, (*_, m) in enumerate(phrases) if m]
+        if not all(phrases[k][0] in found for k in must):
+            return 0.0
+        total, best = sum(self.weight[p] for p, *_ in phrases), 0.0
+        first = phrases[must[0]]
+        for start in found[first[0]]:
+            begin, held = start - first[1], 0.0
+            for k, (p, at, m) in enumerate(phrases):
+                starts, slack = found.get(p, ()), t.slack * abs(k - must[0])
+                i = bisect_left(starts, begin + at - slack)
+                if i < len(starts) and starts[i] <= begin + at + slack:
+                    held += self.weight[p]
+                elif m:
+                    break
+            else:
+                best = max(best, held / total if total else 1.0)
         return best if best >= t.share else 0.0
 
 
@@ -140,8 +168,8 @@ def scan_licenses(
     (sorted, distinct: of base phrases and templates) and ``score``: 1 with a base phrase, else the largest share of a
     template's IDF weight that was found, 0 without any.
 
-    A null or empty text has no words, places or labels; repeated rows give repeated rows; an empty table gives
-    no rows. Only the two named columns are read.
+    A null or empty text has no words, places or labels; very long texts are read whole, in time that grows as they do;
+    repeated rows give repeated rows; an empty table gives no rows. Only the two named columns are read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     idf = licence_idf(docs, _phrases(base, templates), text_col)

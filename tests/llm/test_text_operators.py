@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from hashlib import sha256
 from zlib import crc32
@@ -311,6 +312,29 @@ def test_licenses(spark, tmp_path):
     assert license_scan.scan_licenses(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_every_template_is_found_in_its_own_words(spark):
+    texts = [t.text.replace("[", "").replace("]", "").replace("!", "") for t in license_scan.TEMPLATES]
+    rows = {r.doc_id: r.labels for r in license_scan.scan_licenses(documents(spark, texts)).collect()}
+    assert all(t.label in rows[i] for i, t in enumerate(license_scan.TEMPLATES))
+    # the mandatory phrases alone, in the other order and far off, don't make a label
+    gpl = "either version 3 of the license " + "word " * 40 + "gnu general public license"
+    assert license_scan.scan_licenses(documents(spark, [gpl])).first().labels == ["gpl"]
+
+
+def test_repeated_phrases_take_time_in_proportion():
+    idf = defaultdict(lambda: 1.0)
+    index = license_scan.PhraseIndex(license_scan.BASE, license_scan.TEMPLATES, idf)
+    t, phrases = index.templates[0]
+    text = t.text.replace("[", "").replace("]", "").replace("!", "")
+    steps = []
+    for n in (1000, 8000):
+        found = index.places(license_scan.words_of((text + " ") * n))
+        begun = time.perf_counter()
+        assert index.template_score(t, phrases, found) == 1
+        steps.append(time.perf_counter() - begun)
+    assert steps[1] < 30 * steps[0]
+
+
 def _judge(url):
     host, path = "", ""
     if url and "://" in url:
