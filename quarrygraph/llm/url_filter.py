@@ -38,29 +38,44 @@ RULES = (
     UrlRule("net/fr/", "block"),
 )
 
-#: The labelled URL table: (host and path, 1 for block). Invented names in the manner of public blocklist categories.
-LABELLED = tuple((u, 1) for u in (
-    "casino-royal.example/slots", "win-casino.example/bonus", "best-casino-online.example/en/12", "m.casino-jackpot.example/play",
-    "free-bets-now.example/odds", "bet-online.example/sports", "www.sports-bets.example/en/4", "poker-bets.example/table/9",
-    "adult-cams.example/live", "xxx-adult.example/video/3", "adult-dating.example/join", "blog.adult-stories.example/en/8", "adult-x-videos.example/5",
-    "cheap-pills-online.example/buy", "pills-discount.example/order", "cheap-meds.example/viagra", "www.cheap-pharmacy.example/pills/2", "buy-cheap-pills.example/en/6",
-    "ads-server.example/click", "track-ads.example/pixel", "ads.tracking.example/banner/1", "adserver-track.example/redirect", "m.ads-network.example/en/3", "click-track.example/c",
-    "spam-links.example/farm", "link-farm.example/seo", "seo-spam.example/backlinks", "spam-blog.example/post/7", "content-farm-spam.example/en/1", "farm-of-spam.example/9",
-    "malware-download.example/exe", "free-crack-keygen.example/download", "warez-crack.example/serial", "phish-login.example/verify-account", "torrent-warez.example/get",
-    "payday-loan-fast.example/apply", "get-rich-quick.example/money", "miracle-diet-pills.example/offer", "replica-watches-cheap.example/sale", "lottery-win-prize.example/claim",
-)) + tuple((u, 0) for u in (
-    "www.city-library.example/catalog/12", "blog.river-garden.example/en/44", "university-press.example/journals/5", "docs.open-software.example/guide/install",
-    "news.daily-herald.example/world/2021", "recipes.home-kitchen.example/soup/3", "museum-of-art.example/exhibits", "m.weather-station.example/forecast",
-    "school-district.example/calendar", "www.hiking-trails.example/maps/8", "encyclopedia.example/wiki/Physics", "health-institute.example/research/9",
-    "community-forum.example/thread/77", "photography-notes.example/en/21", "history-archive.example/letters/1890", "train-timetable.example/de/berlin",
-    "stationery.example/products/pens", "www.theatre-season.example/fr/billets", "mathematics-lectures.example/lecture/4", "local-government.example/services",
-    "blog.nation-stories.example/en/653", "m.thetherin.example/de/12", "www.attention.example/es/70", "ration-tension.example/en/5", "another-reader.example/fr/9",
-    "theatre.example/en/1", "mention.example/en/853/", "thandthe.example/en/618", "www.thanend.example/de/3", "blog.thereat.example/en/27", "thering-the.example/en/190",
-    "m.nationble.example/en/148", "station-the.example/fr/55", "inthere.example/es/22", "www.ingthen.example/en/687", "blog.thorough.example/de/956", "m.thither.example/en/606",
-    "bread-bakery.example/de/brot", "open-data-portal.example/datasets", "classical-music.example/concerts/6",
-))
-
-BUCKETS = 1 << 14
+#: Words of the hosts that block lists name, by category, and of ordinary sites. Hosts of the table are made of them.
+BLOCK_WORDS = (
+    "casino poker slots jackpot roulette blackjack bets betting wager lottery gambling win-prize "  # gambling
+    "porn xxx adult escort cams nude sex hentai webcam-girls erotic "  # adult
+    "viagra cialis pills pharmacy meds steroids weightloss diet-pills painkillers "  # drugs
+    "warez crack keygen serials torrent cracked-games nulled pirated "  # piracy
+    "phishing malware spyware trojan verify-account login-update exploit botnet "  # attacks
+    "ads adserver ad-track tracking tracker popunder clicks banner-ads affiliate doubleclick pixel-track "  # advertising
+    "spam backlinks linkfarm seo-links content-farm clickbait spam-blog link-exchange traffic-bot "  # spam
+    "payday loans quick-cash get-rich forex-bonus replica-watches fake-id miracle-cure crypto-double"  # fraud
+).split()
+CLEAN_WORDS = (
+    "library museum university school college academy news herald tribune weather garden recipes kitchen bakery "
+    "hiking travel maps history archive music theatre cinema orchestra forum wiki encyclopedia research institute "
+    "journal docs guide software data-portal physics mathematics chemistry biology hospital clinic dental police council government "
+    "parliament railway airport harbour timetable football cricket cycling sailing photography painting ceramics furniture "
+    "stationery bookshop florist veterinary wildlife forest river mountain valley westfield brookdale harrington lindqvist moreau "
+    "takahashi oliveira novak petersen attention station tradition theory another mention nation reading ending winning"
+).split()
+
+
+def labelled_table(block: list[str] = BLOCK_WORDS, clean: list[str] = CLEAN_WORDS) -> tuple[tuple[str, int], ...]:
+    """(host and path, 1 for block): every word in some hosts, with the same affixes and paths for both labels."""
+    affixes = ("{a}", "{a}-online", "best-{a}", "www.{a}{b}", "m.my{a}", "{b}-and-{a}", "free-{a}", "blog.{a}-club", "the{a}", "{a}24", "{a}{b}")
+    paths = ("", "/", "/en/12", "/index.html", "/de/a/3", "/page/7?x", "/fr/88/", "/es/new")
+    rows = []
+    for words, label in ((block, 1), (clean, 0)):
+        for i, a in enumerate(words):
+            for k in range(7):
+                n = i + 3 * k
+                rows.append((affixes[n % len(affixes)].format(a=a, b=words[(i * 7 + k + 1) % len(words)]) + (".example", ".example.org", ".example.net")[n % 3] + paths[n // 2 % len(paths)], label))
+    return tuple(rows)
+
+
+#: The labelled URL table.
+LABELLED = labelled_table()
+
+BUCKETS = 1 << 17
 
 
 def host_of(url: Column) -> Column:
@@ -97,8 +112,9 @@ def features(host: str, path: str, orders: tuple[int, ...] = (3, 4, 5)) -> np.nd
     return np.unique(np.array(out, np.int64))
 
 
-def fit(labelled: tuple[tuple[str, int], ...] = LABELLED, epochs: int = 200, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic regression, by full-batch gradient descent over the small labelled table."""
+def fit(labelled: tuple[tuple[str, int], ...] = LABELLED, epochs: int = 300, rate: float = 0.1, l2: float = 1e-3, clean_weight: float = 2.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic regression, by full-batch gradient descent over the small labelled table. A clean row counts
+    ``clean_weight`` times, so that hosts that resemble neither kind pass."""
     rows = []
     for url, _ in labelled:
         host, slash, path = url.partition("/")
@@ -106,12 +122,13 @@ def fit(labelled: tuple[tuple[str, int], ...] = LABELLED, epochs: int = 200, rat
     y = np.array([label for _, label in labelled], float)
     at, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     scale = 1 / np.sqrt(np.bincount(of, minlength=len(rows)))
+    counts = np.where(y == 1, 1.0, clean_weight)
     w, b = np.zeros(BUCKETS), 0.0
     for _ in range(epochs):
         p = 1 / (1 + np.exp(-(np.bincount(of, w[at], len(rows)) * scale + b)))
-        error = (p - y) * scale
-        w -= rate * (np.bincount(at, error[of], BUCKETS) + l2 * w)
-        b -= rate * (p - y).mean()
+        error = (p - y) * counts
+        w -= rate * (np.bincount(at, (error * scale)[of], BUCKETS) * 100 / len(y) + l2 * w)
+        b -= rate * error.mean()
     return w, b
 
 
@@ -122,7 +139,8 @@ def judge_urls(
     ``block`` where the model's score is 0.5 or more, else ``allow``) and the model's score, 0 to 1.
 
     A null URL, or one without ``://``, has an empty host and path, fits no rule and gets the model's verdict on
-    empty strings. Repeated rows give repeated rows; an empty table gives no rows. Only the two named columns are read.
+    empty strings. Very long URLs are read whole. Repeated rows give repeated rows; an empty table gives no rows. Only the
+    two named columns are read.
     """
     weights, bias = fit(labelled)
     weights = weights.astype(np.float32)

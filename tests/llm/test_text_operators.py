@@ -358,3 +358,16 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
     assert [rows[i].verdict for i in (14, 15, 16)] == ["block", "block", "allow"]
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_url_model_on_hosts_unlike_the_table(spark):
+    bad = ["megacasino777", "hotpokerroom", "cheapviagrastore", "livesexcams", "torrentz-cracked", "bestpillshop", "sportsbetting24", "slotsville", "adtracking-cdn", "spammy-links",
+           "paydayloansfast", "xxxvideos4u", "jackpotcity", "malwaredrop", "keygenz", "escortguide", "adserver7", "viagra-now", "lotterywinner", "phishingkit"]
+    good = ["oakwood-elementary", "stmaryshospital", "bluewater-sailing", "cityofarlington", "smith-family", "greenfields-dairy", "quantumlectures", "oldtownlibrary", "marathon-club", "jazzquartet",
+            "puppetmuseum", "northshorenews", "villagebakery", "birdwatchers", "cartography-notes", "emilywrites", "bergenrail", "opensourcedocs", "stadtarchiv", "universite-lyon"]
+    pages = spark.createDataFrame([(i, f"http://{h}.example.org/en/{i}") for i, h in enumerate(bad + good)], "page_id long, url string")
+    found = {r.page_id: r.verdict == "block" for r in url_filter.judge_urls(pages, rules=()).collect()}
+    right = sum(found[i] == (i < len(bad)) for i in found)
+    assert right >= 0.8 * len(found)
+    long = spark.createDataFrame([(0, "http://" + "casino." * 5000 + "example.org/" + "x" * 200_000)], "page_id long, url string")
+    assert url_filter.judge_urls(long).count() == 1
