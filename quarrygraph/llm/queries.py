@@ -93,5 +93,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_JACCARD_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+ s as (select doc_id, case when len(w) < 3 then list_filter([array_to_string(w, ' ')], lambda x: x <> '') else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w),
+ e as (select doc_id, len(s) as n, unnest(s) as g from s),
+ linked as (select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ reach as (select doc_id, doc_id as c from documents union select r.doc_id, l.b from reach r join linked l on l.a = r.c)
+ select s.doc_id, len(s.s)::bigint as n_shingles, min(r.c) as component_id from s join reach r using (doc_id) group by s.doc_id, s.s"""
+_NEAREST_SQL = """with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0)
+ select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from
+ (select q.vec_id as query_id, v.vec_id, list_inner_product(v.e, q.e) as score from v q join v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id)) where rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries whose whole results SQL can give; the nearest neighbours are those of an exact search, which the index finds at
+    the size of the comparison."""
+    return {"op5_jaccard_join": _JACCARD_SQL, "op8_nearest_neighbours": _NEAREST_SQL}
