@@ -290,11 +290,12 @@ def _window_matches(records: DataFrame, windows: DataFrame, least: int) -> DataF
     bucket = F.pmod(F.col("suffix"), F.lit(BUCKETS)).alias("bucket")
     near = records.withColumn("bucket", bucket).join(F.broadcast(of_suffix.select(bucket).distinct()), "bucket", "left_semi").drop("bucket").join(of_suffix, "suffix")
     near = materialize(near.join(windows.select("suffix", "cls", "at", F.col("windows").alias("asked")), ["suffix", "cls", "at"], "left"), "near")
-    asked = _window_hashes(near.where("asked is not null").withColumn("windows", F.col("asked")), least - K).select("bucket").distinct()
-    found = materialize(_window_hashes(near, least - K).join(F.broadcast(asked), "bucket", "left_semi").drop("bucket"), "found")
+    asked = materialize(_window_hashes(near.where("asked is not null").withColumn("windows", F.col("asked")), least - K), "asked")
+    found = _window_hashes(near, least - K).join(F.broadcast(asked.select("bucket").distinct()), "bucket", "left_semi")
     several = materialize(found.groupBy("window").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y"), "several")
     discard(of_suffix, near)
-    return found.join(several, "window").select("cls", "start", (F.col("start") + least).alias("end"), F.when(F.col("cls") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("other"))
+    # only for those that ask: the others' matches hold all the windows that they share
+    return asked.join(several, "window").select("cls", "start", (F.col("start") + least).alias("end"), F.when(F.col("cls") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("other"))
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
