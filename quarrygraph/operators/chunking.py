@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.functions.text import first_truthy, truthy
 from quarrygraph.schemas import MAX_CHUNK
+from quarrygraph.sources.shared import materialize
 
 
 def pack_groups(sizes: Column, most: int = MAX_CHUNK) -> Column:
@@ -77,9 +78,13 @@ def chunks(nodes: DataFrame, most: int = MAX_CHUNK, overlap: int = 100) -> DataF
         "file_path", F.lit(2).alias("kind"), "ord", header_content(F.col("name"), F.col("docstring"), F.col("summary")).alias("content"), F.lit("file_section").alias("chunk_type"),
         F.lit(1).alias("start_line"), F.lit(50).alias("end_line"), F.array(F.lit("module")).alias("element_names"), F.create_map(F.lit("file_name"), "name").alias("metadata"))
     every = of_class.unionByName(of_functions).unionByName(headers)
-    # the running number: counts per file first, so that no task orders all chunks
-    files = every.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
-    before = files.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file_path", "before")
+    # the running number: counts per file first, files in ranges of paths, and the counts of whole ranges before each
+    files = every.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("file_path").withColumn("part", F.spark_partition_id())
+    files = materialize(files, "files")
+    parts = files.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each partition
+    ahead = parts.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "ahead")
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = files.withColumn("within", within).join(F.broadcast(ahead), "part").select("file_path", (F.col("ahead") + F.col("within")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("file_path").orderBy("kind", "ord"))
     return every.withColumn("nth", nth).join(before, "file_path").select(
         F.concat(F.lit("chunk_"), (F.col("before") + F.col("nth") - 1).cast("string")).alias("chunk_id"), "content", "chunk_type", "file_path", "start_line", "end_line", "element_names", "metadata")

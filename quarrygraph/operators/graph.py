@@ -75,6 +75,21 @@ def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("incoming", empty).alias("incoming"), F.coalesce("outgoing", empty).alias("outgoing"))
 
 
+def neighbour_counts(nodes: DataFrame, edges: DataFrame, least_of: str) -> DataFrame:
+    """(id, n_in, n_out, first_in, first_of): how many edges come in and go out, the least source, and the least target over
+    edges of type ``least_of``. Sums and minima are taken before the shuffle, so hubs make no long rows."""
+    into = edges.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("n_in"), F.min("source").alias("first_in"))
+    out = edges.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n_out"), F.min(F.when(F.col("type") == least_of, F.col("target"))).alias("first_of"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return nodes.select("id").join(into, "id", "left").join(out, "id", "left").select("id", n("n_in"), n("n_out"), "first_in", "first_of")
+
+
+def related_rows(nodes: DataFrame, lists: DataFrame) -> DataFrame:
+    """(owner, pos, id, name, type, summary) of ``lists`` (owner, pos, id), a row for each element: no owner's list is gathered."""
+    named = nodes.select("id", "name", "type", F.coalesce(F.nullif("summary", F.lit("")), F.concat_ws(": ", "type", "name")).alias("summary"))
+    return lists.join(named, "id").select("owner", "pos", "id", "name", "type", "summary")
+
+
 def related(nodes: DataFrame, lists: DataFrame) -> DataFrame:
     """For ``lists`` (id, related_elements): the elements as (id, name, type, summary) in order, missing ones left out, the
     summary falling back to ``type: name``."""

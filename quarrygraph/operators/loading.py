@@ -97,6 +97,13 @@ def resolve(edges: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where(found).select("_from", "_to", "type", edge_collection(F.col("type")).alias("collection")), both.where(~found).select(*edges.columns)
 
 
+def unresolved_ratio(edges: DataFrame, stored: DataFrame) -> DataFrame:
+    """(type, unresolved, total, ratio) of the edge types that have unresolved edges."""
+    total = edges.groupBy("type").agg(F.count(F.lit(1)).alias("total"))
+    lost = resolve(edges, stored)[1].groupBy("type").agg(F.count(F.lit(1)).alias("unresolved"))
+    return lost.join(total, "type").select("type", "unresolved", "total", (F.col("unresolved") / F.col("total")).alias("ratio"))
+
+
 def matched_edges(edges: DataFrame, nodes: DataFrame, key: str = "unique_key") -> DataFrame:
     """Edges whose ends both are nodes, duplicates kept; others give no row."""
     ids = nodes.select(key).distinct()

@@ -22,7 +22,7 @@ def trace_fields(trace: Column) -> dict[str, Column]:
     """primary_file, primary_line, primary_function and error_type; empty or 0 where the trace has none."""
     frame = r'File "([^"]+)", line (\d+)'
     return {
-        "primary_file": F.regexp_extract(trace, frame, 1), "primary_line": F.coalesce(F.expr("null").cast("int"), F.try_to_number(truthy(F.regexp_extract(trace, frame, 2)), F.lit("999999999")).cast("int"), F.lit(0)),
+        "primary_file": F.regexp_extract(trace, frame, 1), "primary_line": F.coalesce(F.try_to_number(truthy(F.regexp_extract(trace, frame, 2)), F.lit("999999999")).cast("int"), F.lit(0)),
         "primary_function": F.regexp_extract(trace, r"in (\w+)", 1), "error_type": F.regexp_extract(trace, r"(?m)(\w+Error): (.+)$", 1),
     }
 

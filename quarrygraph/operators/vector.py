@@ -74,9 +74,10 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     schema = f"query_id {kind}, query array<double>"
 
     def block(rows: list) -> DataFrame:
-        q = F.broadcast(spark.createDataFrame(rows, schema))
-        pairs = vectors.select(id_col, vector_col).join(q, (F.col(id_col) != F.col("query_id")) & (F.size(vector_col) == F.size("query")))
-        pairs = pairs.select("query_id", id_col, cosine(F.col(vector_col), F.col("query")).alias("score")).where(F.col("score").isNotNull())
+        q = F.broadcast(spark.createDataFrame(rows, schema).withColumn("_q", norm(F.col("query"))))
+        sized = vectors.select(id_col, vector_col, norm(F.col(vector_col)).alias("_n")).where("_n > 0")  # once for each row, not for each pair
+        pairs = sized.join(q, (F.col(id_col) != F.col("query_id")) & (F.size(vector_col) == F.size("query")))
+        pairs = pairs.select("query_id", id_col, F.try_divide(dot(F.col(vector_col), F.col("query")), F.col("_n") * F.col("_q")).alias("score")).where(F.col("score").isNotNull())
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
         return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 

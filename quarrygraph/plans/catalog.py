@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.text import line_count, node_key, word_count
-from quarrygraph.operators import chunking, context, graph, hybrid, loading, resolve, triage, vector
+from quarrygraph.operators import chunking, context, graph, hybrid, loading, resolve, retrieval, triage, vector
 from quarrygraph.plans import star
 from quarrygraph.session import table
 from quarrygraph.sources import python_repo, shared
@@ -161,27 +161,23 @@ def induced_subgraph(spark, sf_dir):
 @query("node_neighbors", f"""with e as ({_E}) select id, (select count(*) from e where target = id) as n_in, (select count(*) from e where source = id) as n_out, coalesce((select min(source) from e where target = id), '') as first_in,
  coalesce((select min(target) from e where source = id and type = 'in_nation'), '') as nation from ({_N})""")
 def node_neighbors(spark, sf_dir):
-    n = graph.neighbours(star.nodes(spark, sf_dir), star.edges(spark, sf_dir))
-    return n.select("id", F.size("incoming").cast("long").alias("n_in"), F.size("outgoing").cast("long").alias("n_out"), F.coalesce(F.array_min("incoming.id"), F.lit("")).alias("first_in"),
-                    F.coalesce(F.array_min(F.transform(F.filter("outgoing", lambda e: e["type"] == "in_nation"), lambda e: e["id"])), F.lit("")).alias("nation"))
+    n = graph.neighbour_counts(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), "in_nation")
+    return n.select("id", "n_in", "n_out", F.coalesce("first_in", F.lit("")).alias("first_in"), F.coalesce("first_of", F.lit("")).alias("nation"))
 
 
-@query("related_expand", """select 'customer:' || c_custkey as id, coalesce(string_agg('orders:' || o_orderkey || '=' || 'orders: ' || o_orderstatus, ',' order by o_orderkey), '') as related
- from customer left join orders on o_custkey = c_custkey group by c_custkey""")
+@query("related_expand", """select 'customer:' || o_custkey as owner, o_orderkey as pos, 'orders:' || o_orderkey as id, 'orders: ' || o_orderstatus as summary
+ from orders join customer on o_custkey = c_custkey""")
 def related_expand(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    lists = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
-    lists = table(spark, sf_dir, "customer").join(lists, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"), F.transform(F.coalesce("k", F.array().cast("array<bigint>")), lambda k: F.concat(F.lit("orders:"), k.cast("string"))).alias("related_elements"))
-    out = graph.related(star.nodes(spark, sf_dir).withColumn("summary", F.lit("")), lists)
-    return out.select("id", F.array_join(F.transform("related_elements", lambda e: F.concat_ws("=", e["id"], e["summary"])), ",").alias("related"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey") == F.col("o_custkey"))
+    lists = orders.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("owner"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("id"))
+    return graph.related_rows(star.nodes(spark, sf_dir).withColumn("summary", F.lit("")), lists).select("owner", "pos", "id", "summary")
 
 
-@query("bounded_path", f"""with e as (select *, row_number() over (order by type, source) as k from ({_E}) where type in ('in_region', 'in_nation')), w as (select source as u, target as v, k from e union all select target, source, k from e),
+@query("bounded_path", f"""with e as (select *, row_number() over (order by type, source) as k from ({_E})), w as (select source as u, target as v, k from e union all select target, source, k from e),
  p as (select s.id as start_id, w.v as end_id from ({_N}) s join w on w.u = s.id where s.type = 'nation' union all select s.id, b.v from ({_N}) s join w a on a.u = s.id join w b on b.u = a.v and b.k <> a.k where s.type = 'nation')
  select start_id, count(*) as n_paths, count(distinct end_id) as n_ends from p group by 1""")
 def bounded_path(spark, sf_dir):
-    e = star.edges(spark, sf_dir).where("type in ('in_region', 'in_nation')").withColumn("ord", F.xxhash64("type", "source"))
+    e = star.edges(spark, sf_dir).withColumn("ord", F.xxhash64("type", "source", "target", "ord"))
     p = graph.paths_up_to_two(star.nodes(spark, sf_dir).where("type = 'nation'"), e)
     return p.groupBy(F.col("start").alias("start_id")).agg(F.count(F.lit(1)).alias("n_paths"), F.countDistinct("end").alias("n_ends"))
 
@@ -227,11 +223,12 @@ def chunk_classify(spark, sf_dir):
 
 _KG = "select source as file_path, 'n' || (doc_id % 5) as name, lang as type, substr(text, 1, 50) as content, '' as summary, doc_id as ord from (select * from documents order by n_chars desc, doc_id limit 30)"
 _HITS = f"select 'c' || v.vec_id as chunk_id, d.source as file_path, ['q', 'n' || (d.doc_id % 5), 'n' || (d.doc_id % 3)] as names, s as score, rank from (select *, row_number() over (order by s desc, vec_id) as rank from ({_TOP}) order by s desc, vec_id limit 20) v join documents d on d.doc_id = v.vec_id"
-_MERGED = f"""with kg as ({_KG}), hits as ({_HITS}), g as (select file_path, name, arg_max(content, ord) as content, min(ord) as place from kg group by 1, 2),
+_FUSION = """g as (select file_path, name, arg_max(content, ord) as content, min(ord) as place from kg group by 1, 2),
  m as (select chunk_id, rank, score, h.file_path, n.name, row_number() over (partition by chunk_id order by n.pos) as first from hits h, (select unnest([1, 2, 3]) as pos) p, lateral (select h.names[p.pos] as name, p.pos) n join g on g.file_path = h.file_path and g.name = n.name),
  sc as (select file_path, name, arg_max(score, rank) as score from m where first = 1 group by 1, 2),
  merged as (select case when sc.score is null then 'kg' else 'both' end as source, g.name, g.file_path, 0.5 * 1.0 + 0.5 * coalesce(sc.score, 0) as combined, 0 as kind, place from g left join sc using (file_path, name)
  union all select 'vector', array_to_string(names, ', '), file_path, 0.5 * score, 1, rank from hits where chunk_id not in (select chunk_id from m))"""
+_MERGED = f"with kg as ({_KG}), hits as ({_HITS}), {_FUSION}"
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,6 +266,76 @@ def format_context(spark, sf_dir):
     return hybrid.formatted(hybrid.best(_merged(spark, sf_dir)).withColumns({"type": F.lit("x"), "summary": F.lit("s"), "content": F.lit("code")}))
 
 
+# Retrieval as single calls. Even vectors belong to parts, odd ones to orders; documents are the texts and the chunks.
+
+_OWNER = "case when vec_id % 2 = 0 then 'part:' else 'orders:' end || vec_id"
+_NAMED = ("ASIA", "Supplier#000000001")
+_REACHED = f"""with recursive e as (select distinct type, source, target from ({_E})), both_ways as (select source as u, target as v from e union select target, source from e), vs as (select {_OWNER} as id, vec_id, s from ({_TOP})),
+ seeds as (select id from ({_N}) where name in {_NAMED} union select id from (select id from vs order by s desc, id limit 3)), ball as (select id, 0 as hop from seeds union select v, hop + 1 from ball join both_ways on u = id where hop < 2),
+ best as (select id, vec_id, s from vs where id in (select id from ball) and id in (select id from ({_N})) order by s desc, id limit 20)"""
+
+
+def _graph_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    v, q = _vectors(spark, sf_dir)
+    return v.select(F.concat(F.when(F.col("vec_id") % 2 == 0, "part:").otherwise("orders:"), F.col("vec_id").cast("string")).alias("id"), "embedding"), q
+
+
+def _subgraph(spark, sf_dir):
+    v, q = _graph_vectors(spark, sf_dir)
+    return retrieval.retrieve_subgraph(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), v, q, _NAMED, 3, 2, 20)
+
+
+@query("entity_retrieve_nodes", f"{_REACHED} select id, round(s, 6) as score from best")
+def entity_retrieve_nodes(spark, sf_dir):
+    return _subgraph(spark, sf_dir)[0].select("id", F.round("score", 6).alias("score"))
+
+
+@query("entity_retrieve_edges", f"{_REACHED} select type, source, target from e where source in (select id from best) and target in (select id from best)")
+def entity_retrieve_edges(spark, sf_dir):
+    return _subgraph(spark, sf_dir)[1]
+
+
+# The graph's parts and the chunks are documents here, with the names and files of those.
+
+_TEXTS = "select *, 'n' || (doc_id % 5) as name from documents"
+_BOTH = f"""with recursive e as (select distinct type, source, target from ({_E})), both_ways as (select source as u, target as v from e union select target, source from e), vs as (select 'part:' || vec_id as id, vec_id, s from ({_TOP})),
+ seeds as (select id from vs order by s desc, id limit 5), ball as (select id, 0 as hop from seeds union select v, hop + 1 from ball join both_ways on u = id where hop < 2),
+ best as (select id, vec_id, s from vs where id in (select id from ball) and vec_id in (select doc_id from documents) order by s desc, id limit 5),
+ kg as (select d.source as file_path, d.name, d.lang as type, d.text as content, d.source || ': ' || d.text as summary, row_number() over (order by s desc, id) as ord from best join ({_TEXTS}) d on d.doc_id = best.vec_id),
+ hits as (select 'c' || v.vec_id as chunk_id, d.source as file_path, [d.name, 'n' || (d.doc_id % 3)] as names, s as score, row_number() over (order by s desc, 'c' || v.vec_id) as rank from (select * from ({_TOP}) where vec_id in (select doc_id from documents) order by s desc, 'c' || vec_id limit 5) v join ({_TEXTS}) d on d.doc_id = v.vec_id),
+ {_FUSION.replace("[1, 2, 3]", "[1, 2]").replace("0.5 * 1.0 + 0.5 *", "0.6 * 1.0 + 0.4 *").replace("0.5 * score", "0.4 * score")}"""
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v, q = _vectors(spark, sf_dir)
+    docs, key = table(spark, sf_dir, "documents"), lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    name = lambda m: F.concat(F.lit("n"), (F.col("doc_id") % m).cast("string"))
+    nodes = docs.select(key("part:", "doc_id").alias("id"), name(5).alias("name"), F.col("lang").alias("type"), F.col("source").alias("file_path"), F.col("text").alias("full_context"), F.lit("").alias("source_code"),
+                        F.concat("source", F.lit(": "), "text").alias("summary"), F.col("doc_id").alias("ord"), (F.col("doc_id") % 100).cast("int").alias("line_number"), F.lit("").alias("docstring"), F.lit("").alias("signature"))
+    chunks = docs.join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select(
+        key("c", "doc_id").alias("chunk_id"), F.col("source").alias("file_path"), F.lit("mixed").alias("chunk_type"), F.col("text").alias("content"), F.array(name(5), name(3)).alias("element_names"), "embedding")
+    return retrieval.retrieve(nodes, star.edges(spark, sf_dir), v.select(key("part:", "vec_id").alias("id"), "embedding"), chunks, q, (), 5, 5, 2, 10, 0.6, 0.4)
+
+
+@query("hybrid_retrieve", f"{_BOTH} select source, name, file_path, round(combined, 6) as combined_score from merged order by combined desc, kind, place limit 10")
+def hybrid_retrieve(spark, sf_dir):
+    return _retrieved(spark, sf_dir)[0].select("source", "name", "file_path", F.round("combined_score", 6).alias("combined_score"))
+
+
+@query("hybrid_retrieve_counts", f"{_BOTH} select (select count(*) from kg) as kg_results, (select count(*) from hits) as vector_results, (select count(*) from merged) as merged_results, least((select count(*) from merged), 10) as final_results")
+def hybrid_retrieve_counts(spark, sf_dir):
+    return _retrieved(spark, sf_dir)[1]
+
+
+@query("code_context", f"""{_MERGED}, t as (select *, row_number() over (order by combined desc, kind, place) as nth from merged) select nth::int as nth, t.name, t.file_path as file, round(combined, 6) as score, substr(d.text, 1, 300) || '...' as content_preview from t join documents d on d.doc_id = t.nth where nth <= 10""")
+def code_context(spark, sf_dir):
+    """The hits' contents are the documents of their places' numbers, whole."""
+    nth = F.row_number().over(hybrid.Window.orderBy(F.desc("combined_score"), "kind", "place"))
+    hits = hybrid.best(_merged(spark, sf_dir)).withColumn("nth", nth).drop("content")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("nth"), F.col("text").alias("content"))
+    return retrieval.code_context(hits.join(texts, "nth")).select("nth", "name", "file", F.round("score", 6).alias("score"), "content_preview")
+
+
 # Loading.
 
 _F = star.FILE_NODES_SQL
@@ -327,6 +394,11 @@ def unresolved_edges(spark, sf_dir):
     return loading.resolve(*_rich(spark, sf_dir))[1]
 
 
+@query("unresolved_ratio", f"select 'placed_by' as type, count(*) as unresolved, (select count(*) from orders) as total, round(count(*) / (select count(*) from orders), 6) as ratio from orders where o_orderkey not in (select o_orderkey from ({_RICH}))")
+def unresolved_ratio(spark, sf_dir):
+    return loading.unresolved_ratio(*_rich(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
+
+
 @query("matched_edges", f"select 'placed_by' as type, 'o' || o_orderkey as source, 'c' || o_custkey as target from ({_RICH})")
 def matched_edges(spark, sf_dir):
     return loading.matched_edges(*_rich(spark, sf_dir)).select("type", "source", "target")
@@ -376,13 +448,15 @@ def embed_text_select(spark, sf_dir):
 
 
 @query("import_resolve", """with n as (select p_brand as file_path, p_name as name, p_partkey as k from part), l as (select file_path, name, min(k) as k from n group by 1, 2), g as (select name, arg_min(k, struct_pack(f := file_path, k := k)) as k from n group by 1)
- select s_suppkey, coalesce(l.k, g.k) as target from (select s_suppkey, p_brand as file_path, p_name as name from supplier join part on p_partkey = s_suppkey * 3) u left join l using (file_path, name) left join g using (name)""")
+ select u.p_partkey, coalesce(l.k, g.k) as target from (select a.p_partkey, a.p_brand as file_path, b.p_name as name from part a join part b on b.p_partkey = a.p_partkey + 1) u left join l using (file_path, name) left join g using (name)""")
 def import_resolve(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     nodes = part.select(F.col("p_brand").alias("file_path"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("pos"), F.lit("function").alias("type"))
-    uses = table(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey") * 3).select(F.col("p_brand").alias("file_path"), F.lit(None).cast("string").alias("base"), F.col("p_name").alias("used"), F.col("s_suppkey").cast("string").alias("user_id"))
-    imports = part.select(F.col("p_brand").alias("file_path"), F.lit("-").alias("alias"), F.lit("x.-").alias("full_name")).distinct()
-    return resolve.usage_edges(nodes, imports, uses).select(F.col("source").cast("long").alias("s_suppkey"), F.col("target").cast("long").alias("target"))
+    used = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("used"))
+    uses = part.join(used, "p_partkey").select(F.col("p_brand").alias("file_path"), F.lit(None).cast("string").alias("base"), "used", F.col("p_partkey").cast("string").alias("user_id"))
+    # every file imports the names that it uses: those that it doesn't define itself are found in other files
+    imports = uses.select("file_path", F.col("used").alias("alias"), F.concat(F.lit("x."), "used").alias("full_name")).distinct()
+    return resolve.usage_edges(nodes, imports, uses).select(F.col("source").cast("long").alias("p_partkey"), F.col("target").cast("long").alias("target"))
 
 
 # Triage.
@@ -422,6 +496,38 @@ def fenced_json(spark, sf_dir):
     return star.reports(spark, sf_dir).select("event_id", triage.parsed_reply(reply).alias("r")).select("event_id", "r.classification", "r.confidence")
 
 
+_EXPLAINED = f"select r.*, '1. Check ' || props || chr(10) || case when event_id % 2 = 0 then '- FIX: restart the job' || chr(10) else '' end || 'Step 2 look at ' || context as explanation from ({_R}) r"
+
+
+@query("debug_reply", f"""with r as ({_EXPLAINED}), code as (select event_id, d.source as file_path from ({_R}) r join documents d on d.doc_id % 500 = r.event_id % 1000), f as (select event_id, count(*) as n, array_to_string(list_sort(list(distinct file_path)), ',') as files from code group by 1)
+ select r.event_id, case r.event_id % 5 when 0 then 'debug' when 1 then 'network' when 2 then 'authentication' when 3 then 'environment' else 'other' end as error_classification, case when r.event_id % 5 = 4 then 0.5 else 0.9 end::double as confidence, f.n as relevant_code_count, f.files as relevant_files,
+ len(string_split(explanation, chr(10))) - 1 as suggested, len(string_split(explanation, chr(10))) as steps from r left join f using (event_id)""")
+def debug_reply(spark, sf_dir):
+    r = retrieval.classify_errors(star.reports(spark, sf_dir))
+    fix = F.when(F.col("event_id") % 2 == 0, F.lit("- FIX: restart the job\n")).otherwise("")
+    solved = r.withColumn("explanation", F.concat(F.lit("1. Check "), F.col("props"), F.lit("\n"), fix, F.lit("Step 2 look at "), F.col("context")))
+    code = star.reports(spark, sf_dir).select("event_id", (F.col("event_id") % 1000).alias("k")).join(table(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("k"), F.col("source").alias("file_path")), "k")
+    out = retrieval.debug_replies(solved, code)
+    return out.select("event_id", "error_classification", "confidence", "relevant_code_count", F.array_join("relevant_files", ",").alias("relevant_files"), F.size("suggested_fixes").cast("long").alias("suggested"), F.size("additional_steps").cast("long").alias("steps"))
+
+
+_CALLS = "select n_nationkey as u, r_regionkey + 100 as v from nation join region on r_regionkey = n_regionkey"
+
+
+@query("related_code", f"""with calls as ({_CALLS}), c as (select *, row_number() over (order by u, v) as k from calls), w as (select u, v, k from c union all select v, u, k from c), fn as (select n_nationkey as id, n_name as name, 'def ' || n_name as code, n_regionkey as file from nation union all select r_regionkey + 100, r_name, 'def ' || r_name, r_regionkey from region),
+ p as (select u as a, v as z from w union all select x.u, y.v from w x join w y on y.u = x.v and y.k <> x.k), rel as (select a, string_agg(fn.code, '|' order by fn.code) as related from p join fn on fn.id = p.z group by 1)
+ select event_id, 'f' || (event_id % 5) as file_path, fn.code as function_code, coalesce(rel.related, '') as related from ({_R}) r left join fn on fn.file = r.event_id % 5 and fn.name = (select n_name from nation where n_nationkey = r.event_id % 25) left join rel on rel.a = fn.id""")
+def related_code(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    functions = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("def "), "n_name").alias("code"), F.col("n_regionkey").alias("file")).unionByName(
+        region.select((F.col("r_regionkey") + 100).cast("long").alias("id"), F.col("r_name").alias("name"), F.concat(F.lit("def "), "r_name").alias("code"), F.col("r_regionkey").alias("file")))
+    path = lambda c: F.concat(F.lit("f"), c.cast("string")).alias("file_path")
+    calls = nation.select(F.col("n_nationkey").cast("long").alias("source"), (F.col("n_regionkey") + 100).cast("long").alias("target"), F.col("n_nationkey").alias("ord"))
+    reports = star.reports(spark, sf_dir).select("event_id", path(F.col("event_id") % 5), (F.col("event_id") % 25).alias("k")).join(nation.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("function_name")), "k")
+    out = retrieval.related_code(reports, region.select(path(F.col("r_regionkey"))), functions.select(path(F.col("file")), F.col("id").alias("function")), functions, calls)
+    return out.select("event_id", "file_path", "function_code", F.array_join("related", "|").alias("related"))
+
+
 _CLASS = "case event_id % 5 when 0 then 'debug' when 1 then 'network' when 2 then 'authentication' when 3 then 'environment' else 'other' end"
 
 
@@ -445,6 +551,17 @@ def stream_error_intake(spark, sf_dir):
     return spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stream_triage", f"select classification, route, primary_file <> '' as has_file, count(*) as n from (select {_CLASS} as classification, case when event_id % 5 = 0 then 'retrieval' else 'general' end as route, regexp_extract(stack_trace, 'File \"([^\"]+)\", line (\\d+)', 1) as primary_file from ({_R})) group by 1, 2, 3")
+def stream_triage(spark, sf_dir):
+    target = f"{shared.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = intake.triaged(star.reports_of(intake.file_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)))
+    columns = ["event_id", "classification", "route", "primary_file"]
+    intake.run_available(stream, lambda batch, n: batch.select(*columns).write.mode("overwrite").parquet(f"{target}/batch={n}"), f"{target}-state")
+    return spark.read.parquet(target).groupBy("classification", "route", (F.col("primary_file") != "").alias("has_file")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# The source tree of the fixtures, with what stands in it written out by hand.
+
 FIXTURES = Path(__file__).resolve().parents[2] / "fixtures" / "sample_project"
 
 
@@ -452,20 +569,30 @@ def _project(spark: SparkSession, loads: bool = False) -> dict[str, DataFrame]:
     return python_repo.repository(python_repo.python_files(spark, str(FIXTURES), ("__pycache__",)), f"{FIXTURES}/", loads)
 
 
-@query("ast_extract")
+@query("function_ingest", """select * from (values ('pkg/a.py', '__init__'), ('pkg/a.py', 'decorated'), ('pkg/a.py', 'deep'), ('pkg/a.py', 'doubled'), ('pkg/a.py', 'helper'), ('pkg/a.py', 'nested'), 
+ ('pkg/b.py', 'caller'), ('pkg/b.py', 'local'), ('pkg/dup.py', 'doubled'), ('pkg/dup.py', 'helper'), ('pkg/noimports.py', 'alone'), ('pkg/noimports.py', 'other')) t(path, function)""")
+def function_ingest(spark, sf_dir):
+    files, functions = python_repo.function_graph(python_repo.python_files(spark, str(FIXTURES), ("__pycache__",)), f"{FIXTURES}/")
+    return files.select("path").join(functions, "path", "left").select("path", F.col("name").alias("function"))
+
+
+@query("ast_extract", """select * from (values (1, 'Box', null, 'pkg/dup.py', 'class'), (1, 'a.py', null, 'pkg/a.py', 'file'), (1, 'alone', null, 'pkg/noimports.py', 'function'), (1, 'b.py', null, 'pkg/b.py', 'file'), (1, 'dup.py', null, 'pkg/dup.py', 'file'), (1, 'noimports.py', null, 'pkg/noimports.py', 'file'), 
+ (11, '__init__', 'Box', 'pkg/a.py', 'method'), (11, 'caller', null, 'pkg/b.py', 'function'), (15, 'doubled', 'Box', 'pkg/a.py', 'method'), (19, 'Inner', null, 'pkg/a.py', 'class'), (2, 'doubled', 'Box', 'pkg/dup.py', 'method'), (20, 'deep', 'Inner', 'pkg/a.py', 'method'), 
+ (24, 'helper', null, 'pkg/a.py', 'function'), (32, 'decorated', null, 'pkg/a.py', 'function'), (39, 'later', null, 'pkg/a.py', 'function'), (4, 'Box', null, 'pkg/a.py', 'class'), (5, 'other', null, 'pkg/noimports.py', 'function'), (6, 'helper', null, 'pkg/dup.py', 'function'), (7, 'local', null, 'pkg/b.py', 'function'), (7, 'size', 'Box', 'pkg/a.py', 'attribute')) t(line_number, name, parent, path, type)""")
 def ast_extract(spark, sf_dir):
     return _project(spark)["nodes"].select(F.replace("file_path", F.lit(f"{FIXTURES}/"), F.lit("")).alias("path"), "type", "name", "parent", "line_number")
 
 
-@query("usage_edges")
+@query("usage_edges", """select * from (values ('used_in', 'Box', 'caller'), ('used_in', 'alone', 'caller'), ('used_in', 'caller', 'caller'), ('used_in', 'helper', 'caller'), ('used_in', 'local', 'caller')) t(type, used, user_name)""")
 def usage_edges(spark, sf_dir):
     found = _project(spark)
     names = found["nodes"].select("id", "name")
     edges = resolve.usage_edges(found["nodes"], found["imports"], found["uses"])
-    return edges.join(names.select(F.col("id").alias("source"), F.col("name").alias("user")), "source").join(names.select(F.col("id").alias("target"), F.col("name").alias("used")), "target").select("type", "user", "used")
+    return edges.join(names.select(F.col("id").alias("source"), F.col("name").alias("user_name")), "source").join(names.select(F.col("id").alias("target"), F.col("name").alias("used")), "target").select("type", "user_name", "used")
 
 
-@query("repo_chunks")
+@query("repo_chunks", """select * from (values ('chunk_0', 'class', 22, 'Box', 659, 4), ('chunk_1', 'class', 22, 'Inner', 171, 19), ('chunk_2', 'mixed', 0, 'helper,decorated,later', 269, 0), 
+ ('chunk_3', 'file_section', 50, 'module', 206, 1), ('chunk_4', 'mixed', 0, 'local,caller', 209, 0), ('chunk_5', 'class', 4, 'Box', 156, 1), ('chunk_6', 'function', 0, 'helper', 45, 0), ('chunk_7', 'mixed', 0, 'alone,other', 94, 0)) t(chunk_id, chunk_type, end_line, names, size, start_line)""")
 def repo_chunks(spark, sf_dir):
     found = _project(spark)
     nodes = context.with_contexts(found["nodes"], found["class_names"])

@@ -61,19 +61,24 @@ def file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 0, F.md5(F.concat(F.lit("n"), F.col("doc_id").cast("string")))).otherwise("").alias("id"),
         F.element_at(kinds, (F.col("doc_id") % 7 + 1).cast("int")).alias("type"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.concat(F.lit("name"), (F.col("doc_id") % 97).cast("string"))).alias("name"),
         F.concat(F.lit("a\\b/"), F.col("source"), F.lit(".py")).alias("file_path"), F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("C"), (F.col("doc_id") % 4).cast("string"))).alias("parent"),
-        (F.col("doc_id") % 100).cast("int").alias("line_number"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 40)).otherwise("").alias("docstring"),
-        F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.substring("text", 1, 60)).alias("summary"), F.when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise("").alias("full_context"), F.col("doc_id").alias("ord"))
+        (F.col("doc_id") % 100).cast("int").alias("line_number"), F.coalesce("text", F.lit("")).alias("docstring"),
+        F.concat("source", F.lit(": "), F.coalesce("text", F.lit(""))).alias("summary"), F.coalesce("text", F.lit("")).alias("full_context"), F.col("doc_id").alias("ord"))
 
 
 FILE_NODES_SQL = r"""select case when doc_id % 3 = 0 then md5('n' || doc_id) else '' end as id, ['class','function','method','attribute','file','generated_description',''][doc_id % 7 + 1] as type,
  case when doc_id % 11 = 0 then '' else 'name' || (doc_id % 97) end as name, 'a\b/' || source || '.py' as file_path, case when doc_id % 5 = 0 then null else 'C' || (doc_id % 4) end as parent,
- (doc_id % 100)::int as line_number, case when doc_id % 2 = 0 then substr(text, 1, 40) else '' end as docstring, case when doc_id % 13 = 0 then ' ' else substr(text, 1, 60) end as summary,
- case when doc_id % 3 = 1 then text else '' end as full_context, doc_id as ord from documents"""
+ (doc_id % 100)::int as line_number, coalesce(text, '') as docstring, source || ': ' || coalesce(text, '') as summary,
+ coalesce(text, '') as full_context, doc_id as ord from documents"""
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events as reports, with traces made from their columns."""
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return reports_of(table(spark, sf_dir, "events"))
+
+
+def reports_of(events: DataFrame) -> DataFrame:
+    """The same for any table or stream of events."""
+    e = events.where("event_type = 'error'")
     user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
     kinds = F.element_at(F.array(*(F.lit(x) for x in ("ValueError: bad value", "Connection timed out", "Permission denied for token", "No module named pkg", "odd thing"))), (F.col("event_id") % 5 + 1).cast("int"))
     return e.select(
@@ -90,9 +95,9 @@ REPORTS_SQL = r"""select event_id, ['ValueError: bad value','Connection timed ou
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as model replies with lists."""
     c = table(spark, sf_dir, "conversations")
-    text = F.substring("text", 1, 30)
-    lines = F.concat(F.lit("1. First "), text, F.lit("\n  - bullet "), F.col("role"), F.lit(" step\n7. seventh "), text, F.lit("\nStep two: check\nplease FIX: the thing\n* x\n"), F.substring("text", 1, 25))
+    text = F.coalesce("text", F.lit(""))
+    lines = F.concat(F.lit("1. First "), text, F.lit("\n  - bullet "), F.col("role"), F.lit(" step\n7. seventh "), text, F.lit("\nStep two: check\nplease FIX: the thing\n* x\n"), text)
     return c.select("conv_id", "turn", lines.alias("response"))
 
 
-REPLIES_SQL = r"""select conv_id, turn, '1. First ' || substr(text, 1, 30) || chr(10) || '  - bullet ' || role || ' step' || chr(10) || '7. seventh ' || substr(text, 1, 30) || chr(10) || 'Step two: check' || chr(10) || 'please FIX: the thing' || chr(10) || '* x' || chr(10) || substr(text, 1, 25) as response from conversations"""
+REPLIES_SQL = r"""select conv_id, turn, '1. First ' || coalesce(text, '') || chr(10) || '  - bullet ' || role || ' step' || chr(10) || '7. seventh ' || coalesce(text, '') || chr(10) || 'Step two: check' || chr(10) || 'please FIX: the thing' || chr(10) || '* x' || chr(10) || coalesce(text, '') as response from conversations"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.functions.text import count_of, file_name, first_truthy, line_count, node_key, truthy
 from quarrygraph.schemas import EXCLUDED
+from quarrygraph.sources.shared import materialize
 
 ROWS = (
     "kind string, pos int, type string, name string, line_number int, end_line int, parent string, docstring string, "
@@ -104,6 +105,26 @@ class _Extract:
         yield from rows
 
 
+class _Functions:
+    def eval(self, content: str) -> Iterator[tuple]:
+        try:
+            found = dict.fromkeys(x.name for x in ast.walk(ast.parse(content or "")) if isinstance(x, ast.FunctionDef))
+        except (SyntaxError, ValueError, RecursionError):
+            yield None, False
+            return
+        yield None, True
+        for name in found:
+            yield name, True
+
+
+def function_graph(files: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame]:
+    """The minimal intake: (path, content) of every file that parses, with its path below ``root``; (path, name) of the functions it
+    contains at any depth, each name once. Files that don't parse are left out of both."""
+    table = F.udtf(_Functions, returnType="name string, ok boolean")
+    rows = materialize(files.lateralJoin(table(F.col("content").outer())).where("ok").select(F.replace("path", F.lit(root), F.lit("")).alias("path"), "name", F.when(F.col("name").isNull(), F.col("content")).alias("content")), "function-graph")
+    return rows.where("name is null").select("path", "content"), rows.where("name is not null").select("path", "name")
+
+
 def extracted(files: DataFrame, loads: bool = False) -> DataFrame:
     """The rows of all files, a row with ``error`` in place of those of a file that can't be parsed."""
     table = F.udtf(_Extract, returnType=ROWS)
@@ -112,7 +133,7 @@ def extracted(files: DataFrame, loads: bool = False) -> DataFrame:
 
 def repository(files: DataFrame, root: str = "", loads: bool = False) -> dict[str, DataFrame]:
     """``nodes`` without contexts, ``imports`` (the last of equal aliases), ``uses`` and ``errors`` of a repository."""
-    rows = extracted(files, loads)
+    rows = materialize(extracted(files, loads), "syntax")  # five tables are taken from it
     lines = F.split("content", "\n", -1)
     source = F.when(F.col("type") == "file", F.col("content")).when(F.col("type") == "attribute", F.lit("")).otherwise(
         F.array_join(F.slice(lines, F.col("line_number"), F.greatest(F.col("end_line") - F.col("line_number") + 1, F.lit(0))), "\n"))
