@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrygraph.llm import decontaminate, jaccard_join, langid, packing, secret_scan
-from quarrygraph.llm.common import materialize
+from quarrygraph.llm.common import discard, materialize
 
 #: The tokenizer file of the last stage.
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of ``sf_dir``, every stage's result written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # a table of ours, but for the input
     return STAGES[-1][1](spark, docs, sf_dir)
