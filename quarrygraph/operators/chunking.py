@@ -1,7 +1,9 @@
-"""Boundary-aware chunking of a code graph, all within array expressions and one window per file."""
+"""Boundary-aware chunking of a code graph: array expressions, ranges of items and one window per file."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,61 @@ def pack_groups(sizes: Column, most: int = MAX_CHUNK) -> Column:
     return F.aggregate(sizes, zero, step, lambda s: s["out"])
 
 
+def _after(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every size that the open group may have before these items (``most`` + 1: none is open): its size after them, and how
+    many groups they open."""
+    now, opened = np.arange(most + 2), np.zeros(most + 2, np.int64)
+    for size in sizes.tolist():
+        opens = now + size > most
+        opened += opens
+        now = np.where(opens, min(size, most + 1), now + size)
+    return now, opened
+
+
 def packed(items: DataFrame, by: str, order: str, size: Column, most: int = MAX_CHUNK) -> DataFrame:
-    """The items with their ``group`` within ``by``, packed greedily in ``order``. Only (order, size) is gathered per value of ``by``
-    (16 bytes an item); every item then finds its group by a join."""
-    gathered = items.select(by, F.struct(F.col(order).alias("o"), size.cast("bigint").alias("s")).alias("x")).groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    groups = gathered.select(by, F.explode(F.arrays_zip(F.col("x.o").alias("o"), pack_groups(F.col("x.s"), most).alias("group"))).alias("z"))
-    return items.join(groups.select(by, F.col("z.o").alias(order), F.col("z.group").alias("group")), [by, order])
+    """The items with their ``group`` within ``by``, packed greedily in ``order`` like :func:`pack_groups`; a null size counts as 0.
+
+    Items are sorted into ranges of (by, order), so that no value of ``by`` is gathered in one task. What a range does to the
+    group that is open before it is a table over that group's size; these tables, one for each range, give the
+    open group before every range, and each range is then packed on its own."""
+    sized = items.select(by, order, F.coalesce(size.cast("bigint"), F.lit(0)).alias("_size"))
+    ranges = materialize(sized.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+    def effect(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([by, order], na_position="first")
+        new = (rows[by] != rows[by].shift()) & ~(rows[by].isna() & rows[by].shift().isna())
+        begins = np.flatnonzero(new.to_numpy()[1:]) + 1
+        last = rows["_size"].to_numpy()[begins[-1] if len(begins) else 0 :]
+        now, opened = _after(last, most)
+        return pd.DataFrame({"_range": [rows["_range"].iloc[0]], "first": [rows[by].iloc[0]], "last": [rows[by].iloc[-1]], "whole": [not len(begins)], "now": [now.tolist()], "opened": [opened.tolist()]})
+
+    kind = items.schema[by].dataType.simpleString()
+    effects = ranges.groupBy("_range").applyInPandas(effect, f"_range int, first {kind}, last {kind}, whole boolean, now array<bigint>, opened array<bigint>")
+    before, at, group, value = [], most + 1, -1, None  # a row for each range
+    for r in effects.orderBy("_range").toLocalIterator():
+        if not before or r["first"] != value:
+            at, group = most + 1, -1
+        before.append((r["_range"], at, group))
+        if not r["whole"]:
+            at, group = most + 1, -1
+        at, group, value = r["now"][at], group + r["opened"][at], r["last"]
+    given = ranges.join(F.broadcast(items.sparkSession.createDataFrame(before, "_range int, _at bigint, _group bigint")), "_range")
+
+    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([by, order], na_position="first")
+        new = ((rows[by] != rows[by].shift()) & ~(rows[by].isna() & rows[by].shift().isna())).to_numpy()
+        at, group, out = int(rows["_at"].iloc[0]), int(rows["_group"].iloc[0]), []
+        for i, n in enumerate(rows["_size"].tolist()):
+            if i and new[i]:
+                at, group = most + 1, -1
+            opens = at + n > most
+            group += opens
+            at = min(n, most + 1) if opens else at + n
+            out.append(group)
+        return rows[[by, order]].assign(group=np.array(out, np.int32))
+
+    groups = given.groupBy("_range").applyInPandas(assign, f"{by} {kind}, {order} {items.schema[order].dataType.simpleString()}, group int")
+    return items.join(groups, [by, order])
 
 
 def class_content(full_context: Column, summary: Column, most: int = MAX_CHUNK) -> Column:

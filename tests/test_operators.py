@@ -150,3 +150,25 @@ def test_encoder(spark, project):
     nodes = context.with_contexts(project["nodes"], project["class_names"])
     rows = encode.embedded(nodes, dim=16).collect()
     assert all((r.embedding is None) == (r.type == "attribute") for r in rows)
+
+
+def test_packing_over_ranges_equals_one_scan(spark):
+    import random
+
+    from quarrygraph.operators import chunking
+
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), i, rng.choice([0, 1, 3, 9, 10, 11, 25, None])) for i in range(600)]
+    expected, state = {}, {}
+    for by, i, size in rows:
+        size = size or 0
+        group, held, closed = state.get(by, (-1, 0, True))
+        if size > 10 or closed or held + size > 10:
+            group, held = group + 1, size
+        else:
+            held += size
+        state[by] = group, held, size > 10
+        expected[i] = group
+    found = chunking.packed(spark.createDataFrame(rows, "by string, ord long, size long"), "by", "ord", chunking.F.col("size"), 10)
+    assert {r.ord: r.group for r in found.collect()} == expected
+    assert chunking.packed(spark.createDataFrame([], "by string, ord long, size long"), "by", "ord", chunking.F.col("size"), 10).count() == 0
