@@ -89,6 +89,35 @@ def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
+def test_pairs_of_a_group_grow_as_its_members(spark, k, percent, monkeypatch):
+    written, write = [], jaccard_join.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        if label in ("compared", "candidates"):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(vocabulary) for _ in range(100)]
+    for members in (300, 1200):
+        texts = []
+        for _ in range(members):  # near copies of one text with up to three edits
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                at, kind = rng.randrange(len(copy)), rng.choice("sid")
+                copy[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice(vocabulary)]
+            texts.append(" ".join(copy))
+        written.clear()
+        rows = jaccard_join.jaccard_components(frame(spark, texts), k, percent).collect()
+        assert sum(written) <= 6 * members
+        if members == 300:
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == _components(texts, k, percent)
+
+
 def test_components_of_paths_and_hubs(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     links = spark.createDataFrame(pairs, "a long, b long")
@@ -266,6 +295,12 @@ def test_pipeline(spark, tmp_path):
     assert {p.doc_id for p in packed} == set(kept)
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("seed, most", [(0, 8), (1, 0)])
 def test_jaccard_components_of_the_pipeline(spark, seed, most, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", most)

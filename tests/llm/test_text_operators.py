@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quarrygraph.llm import decontaminate, langid, license_scan, packing, queries, secret_scan, toxicity, url_filter
+from quarrygraph.llm import decontaminate, langid, license_scan, packing, queries, secret_scan, subword, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", None, "a  b\n c", " lead", "trail ", "é" * 3000, "x" * 20000, "word " * 4000, "same text here", "same text here", "　ideographic \u00a0 space", "<|endoftext|> it's"]
@@ -371,3 +371,53 @@ def test_url_model_on_hosts_unlike_the_table(spark):
     assert right >= 0.8 * len(found)
     long = spark.createDataFrame([(0, "http://" + "casino." * 5000 + "example.org/" + "x" * 200_000)], "page_id long, url string")
     assert url_filter.judge_urls(long).count() == 1
+
+
+def test_long_texts_and_repeated_rows_leave_settings_alone(spark, two_languages):
+    before = spark.conf.getAll if isinstance(spark.conf.getAll, dict) else spark.conf.getAll()
+    long = "the house of the thing with words " * 60_000  # 2 MB
+    docs = documents(spark, [*["the house and the thing"] * 20, long, *["der und nicht haus"] * 20, None, ""])
+    docs = docs.unionByName(docs)
+    n = docs.count()
+    model = langid.fit_languages(two_languages)
+    labels = two_languages.select("doc_id", (F.col("lang") == "yy").cast("int").alias("toxic"))
+    toxic = toxicity.fit_toxicity(two_languages, labels)
+    bench = spark.createDataFrame([(0, "the house of the thing with words the house of the thing with words")], "item_id long, text string")
+    assert langid.identify(docs, model).count() == toxicity.score_toxicity(docs, toxic).count() == n
+    assert secret_scan.scan_secrets(docs).count() == license_scan.scan_licenses(docs).count() == n
+    assert {r.doc_id for r in decontaminate.find_contamination(docs, bench).collect()} == {20} and decontaminate.drop_contaminated(docs, bench).count() == n - 2
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://"), F.substring("text", 1, 300_000)).alias("url"))
+    assert url_filter.judge_urls(pages).count() == n
+    assert packing.pack_documents(docs, TOKENIZER).select("doc_id").distinct().count() == n // 2
+    after = spark.conf.getAll if isinstance(spark.conf.getAll, dict) else spark.conf.getAll()
+    assert after == before
+    plain = spark.createDataFrame([("the house and the thing",), ("der und nicht haus",)], "text string")
+    cut = list(langid.arrow_map(plain.repartition(1), lambda: lambda b: b, "text string", rows=1).collect())
+    assert len(cut) == 2
+
+
+def test_scores_equal_plain_loops(spark, two_languages):
+    """Language probabilities and toxicity leads, added up n-gram by n-gram."""
+    model = langid.fit_languages(two_languages)
+    labels = two_languages.select("doc_id", (F.col("lang") == "yy").cast("int").alias("toxic"))
+    toxic = toxicity.fit_toxicity(two_languages, labels)
+    texts = ["the house of über wasser", "x", "Der thing, and nicht! 12 haus", "of of of the the und " * 9]
+
+    def grams(m, word):
+        block = subword.Block.of([word])
+        return [int(b) for bucket in block.grams(m.orders, m.bits) for b in bucket if b < 1 << m.bits]
+
+    def parts(text):
+        return re.findall(r"[^\W\d_]+", text)
+
+    for text in texts:
+        every = [b for w in parts(text) for b in grams(model.model, w)]
+        z = sum((model.model.table[b].astype(float) for b in every), np.zeros(2)) / max(len(every), 1) + model.model.bias
+        p = np.exp(z / model.heat - max(z / model.heat))
+        lang, score, _ = model.predict([text])[0]
+        assert abs(score - (p / p.sum()).max()) < 1e-5 and lang == model.model.classes[int(p.argmax())]
+        words = [grams(toxic.model, w) for w in parts(text)]
+        size = min(toxicity.WINDOW, len(words))
+        leads = [np.mean([toxic.model.table[b, 1] - toxic.model.table[b, 0] for w in words[i : i + size] for b in w]) for i in range(len(words) - size + 1)]
+        z = toxic.slope * (max(leads) + toxic.model.bias[1] - toxic.model.bias[0]) + toxic.shift
+        assert abs(toxic.score([text])[0] - 1 / (1 + np.exp(-z))) < 1e-4
