@@ -37,6 +37,19 @@ _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _UNSAFE = re.compile(r" \s|\s ")
 
 
+class _Units(dict):
+    """The ids of units behind a space; those that aren't known yet are encoded, and kept if they are short."""
+
+    def __init__(self, encoder: UnitEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.encoder._bpe(" " + part) if part.isalpha() else self.encoder._unit(" " + part)
+        if len(part) <= self.encoder.longest:
+            self[part] = found
+        return found
+
+
 class UnitEncoder:
     """Ids of whole texts, as little-endian integers, by a tokenizer file of the ``tokenizers`` library.
 
@@ -60,7 +73,7 @@ class UnitEncoder:
             (before.get("type"), before.get("add_prefix_space"), before.get("use_regex"), spec["model"]["type"]) == ("ByteLevel", False, True, "BPE")
             and spec.get("normalizer") is None and spec.get("truncation") is None and spec.get("padding") is None
         )
-        self.units: dict[str, bytes] = {}
+        self.units = _Units(self)
         self.words: dict[str, bytes] = {}
         self.limit, self.longest = limit, longest
         if self.byte_level:
@@ -112,16 +125,7 @@ class UnitEncoder:
             if not all(parts[1:]) or _UNSAFE.search(text):
                 parts = _SAFE.split(text)
             split.append((parts[0], parts[1:]))
-        for part in set().union(*(rest for _, rest in split)) - units.keys():
-            if len(part) <= self.longest:
-                units[part] = self._bpe(" " + part) if part.isalpha() else self._unit(" " + part)
-        out = []
-        for head, rest in split:
-            try:
-                out.append(self._unit(head) + b"".join(map(units.__getitem__, rest)))
-            except KeyError:
-                out.append(self._unit(head) + b"".join(units[p] if p in units else self._unit(" " + p) for p in rest))
-        return out
+        return [self._unit(head) + b"".join(map(units.__getitem__, rest)) for head, rest in split]
 
 
 class CapacityTree:
