@@ -110,3 +110,37 @@ def word_windows(text: str, size: int, most: int, seed: int) -> list[str]:
         shift = (seed % 997) / 997 * step
         starts = [starts[int(shift + k * step) % len(starts)] for k in range(most)]
     return [" ".join(words[i : i + size]) for i in starts]
+
+
+def streamed_sha256(df: DataFrame, key: list[str], order: list[Column | str], text: str, out: str, joint: str = "") -> DataFrame:
+    """(key, out): the hex SHA-256 of the texts of each key in ``order``, ``joint`` between them. A key's rows pass through one task, as
+    the digest needs them one after the other, but none is held. Null texts are left out."""
+    from hashlib import sha256
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(df.select(*key).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, any_ = None, None, False
+        for batch in cut_batches(batches, 4096):
+            rows = []
+            for *own, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != at:
+                    if at is not None:
+                        rows.append((*at, state.hexdigest()))
+                    at, state, any_ = own, sha256(), False
+                if value is not None:
+                    if any_:
+                        state.update(joint.encode())
+                    state.update(value.encode("utf-8", "surrogatepass"))
+                    any_ = True
+            yield _keyed(rows)
+        yield _keyed([(*at, state.hexdigest())] if at is not None else [])
+
+    def _keyed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * (len(kinds) + 1)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, kinds)), pa.array(columns[-1], pa.string())], names=[*key, out])  # noqa: B905
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema), f"{out} string"])
+    return df.repartition(*key).sortWithinPartitions(*key, *order).select(*key, text).mapInArrow(run, schema)

@@ -257,7 +257,7 @@ def _merged(lists: DataFrame, percent: int) -> DataFrame:
     return materialize(counted.where((F.col("m") >= MERGED) | (2 * F.col("m") >= F.col("twice"))).select("a", "b").distinct(), "candidates")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the overlap, found by binary probes of the smaller set in the larger."""
 
     def make():
@@ -275,7 +275,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ha", "hb"), make, "a binary, b binary")
 
 
-def _sets_of(classes: DataFrame, rows: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def sets_of(classes: DataFrame, rows: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(cls, hashes) of the ``classes``, from the texts of documents in the hash buckets of one id of each; a written table."""
     bucket = lambda of: F.pmod(F.xxhash64(of), F.lit(BUCKETS)).alias("bucket")
     wanted = rows.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("_id").alias("_id")).select(bucket("_id")).distinct()
@@ -334,7 +334,7 @@ def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
         candidates = candidates.union(_merged(lists.where("not long"), percent))
         long = lists.where("long")
         if sets is None:  # what comes in later rounds has been in a long list before
-            sets = _sets_of(candidates.select("a").union(candidates.select("b")).union(long.select("cls")).distinct().toDF("cls"), rows, docs, k, id_col, text_col)
+            sets = sets_of(candidates.select("a").union(candidates.select("b")).union(long.select("cls")).distinct().toDF("cls"), rows, docs, k, id_col, text_col)
         if not split:
             discard(lists)
             break
@@ -345,13 +345,13 @@ def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
         links = links.union(compared.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
         lists = compared.select(F.xxhash64("pivot").alias("of"), "cls", "n", "score", "rest", F.posexplode("keys").alias("place", "key")).join(_knows(compared), "cls").select(*_ROW)
     if sets is not None:
-        links = links.union(_verified(candidates.distinct(), sets, percent))
+        links = links.union(verified(candidates.distinct(), sets, percent))
     labels = connected_components(links)
     discard(shared, sets)
     return rows, labels
 
 
-def _components_of(rows: DataFrame, labels: DataFrame, least: Column) -> DataFrame:
+def components_of(rows: DataFrame, labels: DataFrame, least: Column) -> DataFrame:
     """(cls, value) of every class: the least value of ``least`` over the rows of its component; a written table."""
     own = rows.where("cls is not null").groupBy("cls").agg(F.min(least).alias("least"))
     named = materialize(own.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "named")
@@ -370,7 +370,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     there is none). Very long texts are read whole. An empty table gives no rows. Only the two named columns are read.
     """
     rows, labels = link_classes(docs, k, percent, id_col, text_col)
-    of = _components_of(rows, labels, F.col("_id"))
+    of = components_of(rows, labels, F.col("_id"))
     component = F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("value"))
     return rows.join(of, "cls", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -381,7 +381,7 @@ def keep_one_of_each(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     repeated rows are one. Very long texts are read whole; an empty table stays empty.
     """
     rows, labels = link_classes(docs, k, percent, id_col, text_col)
-    one = _components_of(rows, labels, F.when(F.col("_id").isNotNull(), F.struct("_id", "text_hash"))).where("value is not null").select("value._id", "value.text_hash")
+    one = components_of(rows, labels, F.when(F.col("_id").isNotNull(), F.struct("_id", "text_hash"))).where("value is not null").select("value._id", "value.text_hash")
     kept = materialize(one.distinct(), "kept")
     stays = F.col(id_col).isNull() | F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit("^[ \\x09-\\x0D]*$"))
     named = docs.where(~stays).withColumns({"_quarry_id": F.col(id_col), "_quarry_text": F.xxhash64(text_col)})
