@@ -8,7 +8,9 @@ each of which two sets share with a probability of their Jaccard similarity.
 Classes that share a band of ``ROWS`` registers meet in a list. At 0.8, the ``BANDS`` bands miss a pair with a probability of
 (1 - 0.8**4)**32, 5e-8; at 0.9, 2e-15. A list isn't turned into pairs: all its members are compared with its pivot first, the
 class with the most company, in a group of near copies its centre. What is linked then has one label, and members with one label
-need no comparison. The rest goes on with new labels and pivots until few pairs of different labels are left, and those are compared.
+need no comparison. The rest goes on with new labels and other pivots, now a random one in each list, so that a class meets as many as
+it has bands. Lists with few pairs of different labels are turned into pairs. Members that no pivot links are compared with all
+members of other labels in the end: where very many texts have 0.6 to 0.8 in common, and none is their centre, that is quadratic.
 Before a pair's sets are read, its similarity is estimated from the registers, corrected for those that are equal by their
 compression only; a pair goes if the estimate is six standard deviations below the threshold.
 """
@@ -31,8 +33,9 @@ REGISTERS, MANTISSA, BANDS, ROWS = 128, 10, 32, 4
 COLLISIONS = 0.169919487159739
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 DEVIATIONS = 6
-#: A list is turned into pairs if it has at most so many of different labels for each member; four times as many after each round.
-PAIRS_PER_ROW = 2
+#: A list is turned into pairs if it has at most so many of different labels for each member; four times as many from a round on that
+#: leaves more than the share ``SLOW`` of all such pairs.
+PAIRS_PER_ROW, SLOW = 2, 0.7
 _BITS = REGISTERS.bit_length() - 1
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _BITS)
 #: For each register, all registers in an order of its own.
@@ -163,18 +166,21 @@ def _labels(docs: DataFrame, rows: DataFrame, sketches: DataFrame, k: int, perce
     every = _lists(sketches)
     sets = sets_of(every.select("cls").distinct(), rows, docs, k, id_col, text_col)
     own = F.xxhash64("cls")  # the label of a class without links so far
-    lists, links, labels, allowed = every.withColumn("label", own), None, None, PAIRS_PER_ROW
+    lists, links, labels, allowed, before = every.withColumn("label", own), None, None, PAIRS_PER_ROW, None
     while True:
         still = _open(lists)
-        few, many = (F.col("pairs") <= F.lit(allowed) * F.col("members")), still.agg(F.sum("pairs")).first()[0]
+        many = still.agg(F.sum("pairs")).first()[0]
         if not many:
             discard(still)
             break
+        if before is not None and many > SLOW * before:
+            allowed *= 4
+        first, few, before = before is None, F.col("pairs") <= F.lit(allowed) * F.col("members"), many
         held = materialize(lists.join(still.select("key", few.alias("few")), "key"), "held")
         discard(still, lists)
         side = lambda x: held.where("few").select("key", F.col("cls").alias(x), F.col("label").alias(f"label{x}"))  # noqa: B023, E731
         short = side("a").join(side("b"), "key").where("a < b and labela != labelb").select("a", "b")
-        best = F.max_by(F.struct(F.col("cls").alias("b"), F.col("label").alias("labelb")), F.struct("company", "cls")).alias("p")
+        best = F.max_by(F.struct(F.col("cls").alias("b"), F.col("label").alias("labelb")), F.struct("company", "cls") if first else F.xxhash64("cls", "key")).alias("p")
         pivots = materialize(held.where("not few").groupBy("key").agg(best).select("key", "p.*"), "pivots")
         rest = materialize(held.where("not few").join(pivots, "key").where("cls != b"), "rest")
         pairs = materialize(short.union(rest.where("label != labelb").select(F.col("cls").alias("a"), "b")).distinct(), "pairs")
@@ -185,7 +191,6 @@ def _labels(docs: DataFrame, rows: DataFrame, sketches: DataFrame, k: int, perce
         new = rest.select("key", "cls", "company").join(labels.select(F.col("node").alias("cls"), F.xxhash64("label").alias("new")), "cls", "left")
         lists = materialize(new.select("key", "cls", "company", F.coalesce("new", own).alias("label")), "lists")
         discard(held, pivots, rest, pairs)
-        allowed *= 4
     discard(every, lists, sets)
     return labels if labels is not None else connected_components(sketches.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b")))
 

@@ -155,10 +155,10 @@ def test_near_duplicates_make_few_pairs(spark, monkeypatch):
     rng = random.Random(1)
     for n in (200, 800):
         centre = [f"c{i}" for i in range(150)]
-        texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in centre) for _ in range(n)]
+        texts = [" ".join(centre), *(" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.015 and i < 100 else w for i, w in enumerate(centre)) for _ in range(n))]
         made.clear()
-        assert {r.component_id for r in minhash_dedup.near_duplicates(documents(spark, texts), k=4).collect() if r.component_id == 0} == {0}
-        assert sum(made) < 40 * n, made
+        found = minhash_dedup.near_duplicates(documents(spark, texts), k=4).collect()
+        assert sum(r.component_id == 0 for r in found) > 0.95 * n and sum(made) < 20 * n, made
     # few words, many texts: hardly any of them are alike
     made.clear()
     texts = [" ".join(rng.choice("abcdef") for _ in range(30)) for _ in range(2000)]
