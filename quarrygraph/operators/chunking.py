@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from operator import ne
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from quarrygraph.functions.text import first_truthy, truthy
 from quarrygraph.schemas import MAX_CHUNK
-from quarrygraph.sources.shared import materialize
+from quarrygraph.sources.shared import free_names, materialize
 
 
 def pack_groups(sizes: Column, most: int = MAX_CHUNK) -> Column:
@@ -27,61 +32,114 @@ def pack_groups(sizes: Column, most: int = MAX_CHUNK) -> Column:
     return F.aggregate(sizes, zero, step, lambda s: s["out"])
 
 
-def _after(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every size that the open group may have before these items (``most`` + 1: none is open): its size after them, and how
-    many groups they open."""
-    now, opened = np.arange(most + 2), np.zeros(most + 2, np.int64)
-    for size in sizes.tolist():
-        opens = now + size > most
-        opened += opens
-        now = np.where(opens, min(size, most + 1), now + size)
-    return now, opened
+class _Table:
+    """What items do to the group that is open before them: for every size it may have (``most`` + 1: none is open), its size
+    after them and how many groups they open. Sizes that have become equal are one case from then on."""
+
+    def __init__(self, most: int):
+        self.most, self.of, self.ahead = most, np.arange(most + 2), np.zeros(most + 2, np.int64)
+        self.now, self.opened = np.arange(most + 2), np.zeros(most + 2, np.int64)
+
+    def add(self, size: int) -> None:
+        opens = self.now + size > self.most
+        self.opened += opens
+        self.now = np.where(opens, min(size, self.most + 1), self.now + size)
+        if len(self.now) > 8 and opens.any():
+            self.now, first, of = np.unique(self.now, return_index=True, return_inverse=True)
+            self.ahead += (self.opened - self.opened[first][of])[self.of]
+            self.opened, self.of = self.opened[first], of[self.of]
+
+    def after(self) -> tuple[list[int], list[int]]:
+        return self.now[self.of].tolist(), (self.opened[self.of] + self.ahead).tolist()
+
+
+def _greedy(at: int, group: int, sizes: list[int], new: list[bool], most: int) -> tuple[int, int, list[int]]:
+    """(size and number of the group open after the items, their groups); ``new``: items that begin a value."""
+    out, none = [], most + 1
+    for n, begins in zip(sizes, new, strict=True):
+        if begins:
+            at, group = none, -1
+        if at + n > most:
+            group, at = group + 1, n if n <= most else none
+        else:
+            at += n
+        out.append(group)
+    return at, group, out
 
 
 def packed(items: DataFrame, by: str, order: str, size: Column, most: int = MAX_CHUNK) -> DataFrame:
-    """The items with their ``group`` within ``by``, packed greedily in ``order`` like :func:`pack_groups`; a null size counts as 0.
-
-    Items are sorted into ranges of (by, order), so that no value of ``by`` is gathered in one task. What a range does to the
-    group that is open before it is a table over that group's size; these tables, one for each range, give the
-    open group before every range, and each range is then packed on its own."""
-    sized = items.select(by, order, F.coalesce(size.cast("bigint"), F.lit(0)).alias("_size"))
-    ranges = materialize(sized.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()), "ranges")
-
-    def effect(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([by, order], na_position="first")
-        new = (rows[by] != rows[by].shift()) & ~(rows[by].isna() & rows[by].shift().isna())
-        begins = np.flatnonzero(new.to_numpy()[1:]) + 1
-        last = rows["_size"].to_numpy()[begins[-1] if len(begins) else 0 :]
-        now, opened = _after(last, most)
-        return pd.DataFrame({"_range": [rows["_range"].iloc[0]], "first": [rows[by].iloc[0]], "last": [rows[by].iloc[-1]], "whole": [not len(begins)], "now": [now.tolist()], "opened": [opened.tolist()]})
-
-    kind = items.schema[by].dataType.simpleString()
-    effects = ranges.groupBy("_range").applyInPandas(effect, f"_range int, first {kind}, last {kind}, whole boolean, now array<bigint>, opened array<bigint>")
-    before, at, group, value = [], most + 1, -1, None  # a row for each range
-    for r in effects.orderBy("_range").toLocalIterator():
+    """The items, each row once and with all its columns, and their ``group`` within ``by``, packed greedily in ``order`` like
+    :func:`pack_groups`. A null size counts as 0; a null ``by`` is a value of its own; nulls in ``order`` come first, and rows of equal
+    order by size. An empty table stays empty; a column named ``group`` gives way.
+
+    Items are sorted over ranges of (by, order), so that no value of ``by`` is gathered in one task, and pass through it one batch
+    at a time. Only a range's first value may go on from the range before: its items wait. What a range of one value does to
+    the group open before it is a table over that group's size; these tables, one for each such range at most, give the
+    open group before every range, and the items that waited are packed from there."""
+    items = items.drop("group")
+    held, number, seq, waits, now, opened = free_names(items, "size", "range", "seq", "waits", "now", "opened")
+    keys = [F.col(f"`{c}`") for c in (by, order, held)]
+    sized = items.withColumn(held, F.coalesce(size.cast("bigint"), F.lit(0)))
+    at_by, at_size = sized.columns.index(by), sized.columns.index(held)
+    tail = [StructField("group", IntegerType()), StructField(number, IntegerType()), StructField(seq, LongType()), StructField(waits, BooleanType()), StructField(now, ArrayType(LongType())), StructField(opened, ArrayType(LongType()))]
+    fields = [StructField(f.name, f.dataType) for f in sized.schema]
+    lists = pa.list_(pa.int64())
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, total, table, value, alone, at, group, schema = TaskContext.get().partitionId(), 0, _Table(most), None, True, most + 1, -1, None
+        for batch in batches:
+            values, sizes = batch.column(at_by).to_pylist(), batch.column(at_size).to_pylist()
+            schema = batch.schema
+            if not values:
+                continue
+            new = [total > 0 and values[0] != value, *map(ne, values[1:], values)]
+            waiting = (new.index(True) if True in new else len(new)) if alone else 0
+            for n in sizes[:waiting]:
+                table.add(n)
+            alone = alone and waiting == len(new)
+            at, group, out = _greedy(at, group, sizes[waiting:], new[waiting:], most)
+            value = values[-1]
+            m = len(values)
+            columns = [pa.array([None] * waiting + out, pa.int32()), pa.array([task] * m, pa.int32()), pa.array(range(total, total + m), pa.int64()), pa.array([True] * waiting + [False] * (m - waiting)), pa.nulls(m, lists), pa.nulls(m, lists)]
+            total += m
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*schema.names, *(f.name for f in tail)])
+        if total:  # a last row about the range: its last value, and its table, or the open group's size and number
+            after, opens = table.after() if alone else ([at], [group])
+            own = [pa.array([value], f.type) if i == at_by else pa.nulls(1, f.type) for i, f in enumerate(schema)]
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(1, pa.int32()), pa.array([task], pa.int32()), pa.array([-1], pa.int64()), pa.array([alone]), pa.array([after], lists), pa.array([opens], lists)], names=[*schema.names, *(f.name for f in tail)])
+
+    done = materialize(sized.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(first, StructType([*fields, *tail])), "packed")
+    firsts = done.where(F.col(seq) == 0).select(number, F.col(f"`{by}`").alias("first"))
+    about = done.where(F.col(seq) == -1).select(number, F.col(f"`{by}`").alias("last"), waits, now, opened).join(firsts, number).orderBy(number)
+    before, at, group, value = [], most + 1, -1, None
+    for r in about.toLocalIterator():  # a row for each range
         if not before or r["first"] != value:
             at, group = most + 1, -1
-        before.append((r["_range"], at, group))
-        if not r["whole"]:
-            at, group = most + 1, -1
-        at, group, value = r["now"][at], group + r["opened"][at], r["last"]
-    given = ranges.join(F.broadcast(items.sparkSession.createDataFrame(before, "_range int, _at bigint, _group bigint")), "_range")
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([by, order], na_position="first")
-        new = ((rows[by] != rows[by].shift()) & ~(rows[by].isna() & rows[by].shift().isna())).to_numpy()
-        at, group, out = int(rows["_at"].iloc[0]), int(rows["_group"].iloc[0]), []
-        for i, n in enumerate(rows["_size"].tolist()):
-            if i and new[i]:
-                at, group = most + 1, -1
-            opens = at + n > most
-            group += opens
-            at = min(n, most + 1) if opens else at + n
-            out.append(group)
-        return rows[[by, order]].assign(group=np.array(out, np.int32))
-
-    groups = given.groupBy("_range").applyInPandas(assign, f"{by} {kind}, {order} {items.schema[order].dataType.simpleString()}, group int")
-    return items.join(groups, [by, order])
+        before.append((r[number], at, group))
+        at, group = (r[now][at], group + r[opened][at]) if r[waits] else (r[now][0], r[opened][0])
+        value = r["last"]
+    entered, open_at, open_group = free_names(done, "entered", "open_at", "open_group")
+    given = done.where(F.col(waits) & (F.col(seq) >= 0)).join(F.broadcast(items.sparkSession.createDataFrame(before, f"{entered} int, {open_at} bigint, {open_group} bigint")), F.col(number) == F.col(entered))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at, group = None, most + 1, -1
+        for batch in batches:
+            tasks, n = batch.column(len(fields)).to_pylist(), 0
+            out = []
+            while n < len(tasks):  # stretches of one range
+                end = n + 1
+                while end < len(tasks) and tasks[end] == tasks[n]:
+                    end += 1
+                if tasks[n] != task:
+                    task, at, group = tasks[n], batch.column(len(fields) + 1)[n].as_py(), batch.column(len(fields) + 2)[n].as_py()
+                at, group, more = _greedy(at, group, batch.column(at_size)[n:end].to_pylist(), [False] * (end - n), most)
+                out += more
+                n = end
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(out, pa.int32())], names=[*batch.schema.names[: len(fields)], "group"])
+
+    quoted = [f"`{f.name}`" for f in fields]
+    waited = given.repartition(number).sortWithinPartitions(number, seq).select(*quoted, number, open_at, open_group).mapInArrow(again, StructType([*fields, tail[0]]))
+    return done.where(~F.col(waits) & (F.col(seq) >= 0)).select(*quoted, "group").unionByName(waited).drop(held)
 
 
 def class_content(full_context: Column, summary: Column, most: int = MAX_CHUNK) -> Column:

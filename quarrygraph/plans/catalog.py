@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.text import line_count, node_key, word_count
 from quarrygraph.operators import chunking, context, graph, hybrid, loading, resolve, retrieval, triage, vector
-from quarrygraph.plans import star
+from quarrygraph.plans import source_tree, star
 from quarrygraph.session import table
-from quarrygraph.sources import python_repo, shared
+from quarrygraph.sources import python_repo, shared, store
 from quarrygraph.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,8 +207,8 @@ def graph_retrieve(spark, sf_dir):
  select d.source, d.doc_id, d.k, case when d.size > 1500 or p.closed or p.cur + d.size > 1500 then g + 1 else g end, case when d.size > 1500 or p.closed or p.cur + d.size > 1500 then d.size else p.cur + d.size end, d.size > 1500
  from p join d on d.source = p.source and d.k = p.k + 1) select source, doc_id, g::int as group_no from p""")
 def chunk_pack(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return chunking.packed(d, "source", "doc_id", F.length("text")).select("source", "doc_id", F.col("group").alias("group_no"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("size"))
+    return chunking.packed(d, "source", "doc_id", F.col("size")).select("source", "doc_id", F.col("group").alias("group_no"))
 
 
 @query("chunk_classify", f"""select ord, case when full_context = '' then null when length(full_context) > 3000 then summary else full_context end as content, '# File: ' || name || chr(10) || chr(10) ||
@@ -560,41 +559,112 @@ def stream_triage(spark, sf_dir):
     return spark.read.parquet(target).groupBy("classification", "route", (F.col("primary_file") != "").alias("has_file")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# The source tree of the fixtures, with what stands in it written out by hand.
+# Source code: a tree of files derived from suppliers and nations.
 
-FIXTURES = Path(__file__).resolve().parents[2] / "fixtures" / "sample_project"
+_PY = f"(select {source_tree.PATH_SQL} as path, * from supplier)"
+_INIT = "(select 'n' || n_nationkey || '/__init__.py' as path, * from nation)"
 
 
-def _project(spark: SparkSession, loads: bool = False) -> dict[str, DataFrame]:
-    return python_repo.repository(python_repo.python_files(spark, str(FIXTURES), ("__pycache__",)), f"{FIXTURES}/", loads)
+def _project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    found, root = source_tree.repository(spark, sf_dir)
+    below = lambda df: df.withColumn("path", F.replace("file_path", F.lit(root), F.lit("")))
+    return found | {"nodes": below(found["nodes"]), "errors": below(found["errors"])}
 
 
-@query("function_ingest", """select * from (values ('pkg/a.py', '__init__'), ('pkg/a.py', 'decorated'), ('pkg/a.py', 'deep'), ('pkg/a.py', 'doubled'), ('pkg/a.py', 'helper'), ('pkg/a.py', 'nested'), 
- ('pkg/b.py', 'caller'), ('pkg/b.py', 'local'), ('pkg/dup.py', 'doubled'), ('pkg/dup.py', 'helper'), ('pkg/noimports.py', 'alone'), ('pkg/noimports.py', 'other')) t(path, function)""")
+@query("scan_files", f"select path, strlen({source_tree.MODULE_SQL}) as size from {_PY} union all select path, strlen({source_tree.PACKAGE_SQL}) from {_INIT} union all select 'n' || n_nationkey || '/broken.py', 7 from nation")
+def scan_files(spark, sf_dir):
+    found, root = source_tree.written(spark, sf_dir)
+    return found.select(F.replace("path", F.lit(root), F.lit("")).alias("path"), F.octet_length("content").cast("long").alias("size"))
+
+
+@query("function_ingest", f"select path, unnest(['total', 'order_' || s_suppkey]) as function from {_PY} union all select path, 'base_' || n_nationkey from {_INIT}")
 def function_ingest(spark, sf_dir):
-    files, functions = python_repo.function_graph(python_repo.python_files(spark, str(FIXTURES), ("__pycache__",)), f"{FIXTURES}/")
+    found, root = source_tree.written(spark, sf_dir)
+    files, functions = python_repo.function_graph(found, root)
     return files.select("path").join(functions, "path", "left").select("path", F.col("name").alias("function"))
 
 
-@query("ast_extract", """select * from (values (1, 'Box', null, 'pkg/dup.py', 'class'), (1, 'a.py', null, 'pkg/a.py', 'file'), (1, 'alone', null, 'pkg/noimports.py', 'function'), (1, 'b.py', null, 'pkg/b.py', 'file'), (1, 'dup.py', null, 'pkg/dup.py', 'file'), (1, 'noimports.py', null, 'pkg/noimports.py', 'file'), 
- (11, '__init__', 'Box', 'pkg/a.py', 'method'), (11, 'caller', null, 'pkg/b.py', 'function'), (15, 'doubled', 'Box', 'pkg/a.py', 'method'), (19, 'Inner', null, 'pkg/a.py', 'class'), (2, 'doubled', 'Box', 'pkg/dup.py', 'method'), (20, 'deep', 'Inner', 'pkg/a.py', 'method'), 
- (24, 'helper', null, 'pkg/a.py', 'function'), (32, 'decorated', null, 'pkg/a.py', 'function'), (39, 'later', null, 'pkg/a.py', 'function'), (4, 'Box', null, 'pkg/a.py', 'class'), (5, 'other', null, 'pkg/noimports.py', 'function'), (6, 'helper', null, 'pkg/dup.py', 'function'), (7, 'local', null, 'pkg/b.py', 'function'), (7, 'size', 'Box', 'pkg/a.py', 'attribute')) t(line_number, name, parent, path, type)""")
+_LINE = source_tree.MODULE_LINES
+_ELEMENTS = f"""select path, 'file' as type, 's' || s_suppkey || '.py' as name, null as parent, {_LINE["file"]} as line_number, 'Supplier ' || s_suppkey || ' of nation ' || s_nationkey || '.' as docstring from {_PY}
+ union all select path, 'class', 'Supplier' || s_suppkey, null, {_LINE["class"]}, 'Reached by ' || s_name || '.' from {_PY} union all select path, 'attribute', 'nation', 'Supplier' || s_suppkey, {_LINE["attribute"]}, null from {_PY}
+ union all select path, 'method', 'total', 'Supplier' || s_suppkey, {_LINE["method"]}, 'Sums up.' from {_PY} union all select path, 'function', 'order_' || s_suppkey, null, {_LINE["function"]}, null from {_PY}
+ union all select path, 'file', '__init__.py', null, 1, null from {_INIT} union all select path, 'function', 'base_' || n_nationkey, null, 1, null from {_INIT}"""
+
+
+@query("ast_extract", f"select path, type, name, parent, line_number::int as line_number, docstring from ({_ELEMENTS})")
 def ast_extract(spark, sf_dir):
-    return _project(spark)["nodes"].select(F.replace("file_path", F.lit(f"{FIXTURES}/"), F.lit("")).alias("path"), "type", "name", "parent", "line_number")
+    return _project(spark, sf_dir)["nodes"].select("path", "type", "name", "parent", "line_number", "docstring")
+
+
+@query("parse_errors", "select 'n' || n_nationkey || '/broken.py' as path, 'SyntaxError' as problem from nation")
+def parse_errors(spark, sf_dir):
+    return _project(spark, sf_dir)["errors"].select("path", F.split_part("error", F.lit(":"), F.lit(1)).alias("problem"))
 
 
-@query("usage_edges", """select * from (values ('used_in', 'Box', 'caller'), ('used_in', 'alone', 'caller'), ('used_in', 'caller', 'caller'), ('used_in', 'helper', 'caller'), ('used_in', 'local', 'caller')) t(type, used, user_name)""")
+@query("structural_edges", f"""select 'defines_class' as type, 's' || s_suppkey || '.py' as source, 'Supplier' || s_suppkey as target from supplier union all select 'defines_function', 's' || s_suppkey || '.py', 'order_' || s_suppkey from supplier
+ union all select 'has_method', 'Supplier' || s_suppkey, 'total' from supplier union all select 'has_attribute', 'Supplier' || s_suppkey, 'nation' from supplier union all select 'defines_function', '__init__.py', 'base_' || n_nationkey from nation""")
+def structural_edges(spark, sf_dir):
+    nodes = _project(spark, sf_dir)["nodes"]
+    names = nodes.select("id", "name")
+    return _named_ends(resolve.structural_edges(nodes), names, "source", "target")
+
+
+def _named_ends(edges: DataFrame, names: DataFrame, source: str, target: str) -> DataFrame:
+    """Edges with the names of their ends in place of the ids."""
+    end = lambda c: names.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    return edges.join(end("source"), "source").join(end("target"), "target").select("type", F.col("source_name").alias(source), F.col("target_name").alias(target))
+
+
+@query("usage_edges", """select 'used_in' as type, 'total' as user_name, 'base_' || s_nationkey as used from supplier join nation on n_nationkey = s_nationkey union all select 'used_in', 'order_' || s_suppkey, 'Supplier' || s_suppkey from supplier""")
 def usage_edges(spark, sf_dir):
-    found = _project(spark)
-    names = found["nodes"].select("id", "name")
-    edges = resolve.usage_edges(found["nodes"], found["imports"], found["uses"])
-    return edges.join(names.select(F.col("id").alias("source"), F.col("name").alias("user_name")), "source").join(names.select(F.col("id").alias("target"), F.col("name").alias("used")), "target").select("type", "user_name", "used")
+    found = _project(spark, sf_dir)
+    return _named_ends(resolve.usage_edges(found["nodes"], found["imports"], found["uses"]), found["nodes"].select("id", "name"), "user_name", "used")
+
 
+@query("module_usage_edges", """select 'imports' as type, 'total' as user_name, 'base_' || s_nationkey as used from supplier join nation on n_nationkey = s_nationkey union all select 'used_in', 'order_' || s_suppkey, 'Supplier' || s_suppkey from supplier""")
+def module_usage_edges(spark, sf_dir):
+    """Imports followed to the module's own file, which is a package's ``__init__.py`` here."""
+    found, root = source_tree.repository(spark, sf_dir)
+    edges = resolve.usage_edges(found["nodes"], found["imports"], found["uses"], by_module=True, root=root.rstrip("/"))
+    return _named_ends(edges, found["nodes"].select("id", "name"), "user_name", "used")
 
-@query("repo_chunks", """select * from (values ('chunk_0', 'class', 22, 'Box', 659, 4), ('chunk_1', 'class', 22, 'Inner', 171, 19), ('chunk_2', 'mixed', 0, 'helper,decorated,later', 269, 0), 
- ('chunk_3', 'file_section', 50, 'module', 206, 1), ('chunk_4', 'mixed', 0, 'local,caller', 209, 0), ('chunk_5', 'class', 4, 'Box', 156, 1), ('chunk_6', 'function', 0, 'helper', 45, 0), ('chunk_7', 'mixed', 0, 'alone,other', 94, 0)) t(chunk_id, chunk_type, end_line, names, size, start_line)""")
+
+_OF_CLASS = f"""'# Class: Supplier' || s_suppkey || chr(10) || '\"\"\"Reached by ' || s_name || '.\"\"\"' || chr(10) || chr(10) || '## Class Definition:' || chr(10) || {source_tree.CLASS_SQL} || chr(10) || chr(10) || '## Attributes (1):' || chr(10) || '- nation' || chr(10) || chr(10)
+ || '## Methods (1):' || chr(10) || chr(10) || '### total:' || chr(10) || '\"\"\"Sums up.\"\"\"' || chr(10) || {source_tree.METHOD_SQL} || chr(10)"""
+_OF_FILE = f"""'# File: s' || s_suppkey || '.py' || chr(10) || chr(10) || '\"\"\"Supplier ' || s_suppkey || ' of nation ' || s_nationkey || '.\"\"\"' || chr(10) || chr(10) || 'Summary: File: s' || s_suppkey || '.py (' || (length(m) - length(replace(m, chr(10), '')) + 1) || ' lines)' || chr(10)
+ || 'Description: Supplier ' || s_suppkey || ' of nation ' || s_nationkey || '.' || chr(10) || 'Contains: 1 classes, 2 functions/methods' || chr(10)"""
+
+
+@query("repo_chunks", f"""with m as (select *, {source_tree.MODULE_SQL} as m from {_PY}), c as (select path, 0 as kind, 'class' as chunk_type, 'Supplier' || s_suppkey as names, {_LINE["class"]} as start_line, {_LINE["class"]} + 8 as end_line, {_OF_CLASS} as content from m
+ union all select path, 1, 'function', 'order_' || s_suppkey, 0, 0, '# Function: order_' || s_suppkey || chr(10) || {source_tree.FUNCTION_SQL} from m union all select path, 2, 'file_section', 'module', 1, 50, {_OF_FILE} from m
+ union all select path, 1, 'function', 'base_' || n_nationkey, 0, 0, '# Function: base_' || n_nationkey || chr(10) || {source_tree.PACKAGE_FUNCTION_SQL} from {_INIT})
+ select 'chunk_' || (row_number() over (order by path, kind) - 1) as chunk_id, chunk_type, names, start_line, end_line, md5(content) as content from c""")
 def repo_chunks(spark, sf_dir):
-    found = _project(spark)
+    found = _project(spark, sf_dir)
     nodes = context.with_contexts(found["nodes"], found["class_names"])
     ranked = nodes.withColumn("ord", F.col("pos").cast("long"))
-    return chunking.chunks(ranked).select("chunk_id", "chunk_type", F.array_join("element_names", ",").alias("names"), "start_line", "end_line", F.length("content").alias("size"))
+    return chunking.chunks(ranked).select("chunk_id", "chunk_type", F.array_join("element_names", ",").alias("names"), "start_line", "end_line", F.md5("content").alias("content"))
+
+
+# Exports: what is written as JSON arrays and read again.
+
+@query("export_nodes", f"select ord, id, name, type, replace(file_path, '\\', '/') as file_path, docstring, md5(full_context) as full_context, 0 as embedded from ({_F})")
+def export_nodes(spark, sf_dir):
+    nodes = _exported(spark, sf_dir)[0]
+    return nodes.select("ord", "id", "name", "type", "file_path", "docstring", F.md5("full_context").alias("full_context"), F.size("embedding").alias("embedded"))
+
+
+@query("export_edges", f"select coalesce(type, 'UNKNOWN') as type, source, target, row_number() over (order by type, source, target) - 1 as ord from (select distinct nullif(type, 'in_region') as type, source, target from ({_E}))")
+def export_edges(spark, sf_dir):
+    """Edges without a type come back as UNKNOWN, and without a place in the order with that in the array."""
+    return _exported(spark, sf_dir)[1].select("type", "source", "target", "ord")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    folder = f"{shared.shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    edges = star.edges(spark, sf_dir).select(F.nullif("type", F.lit("in_region")).alias("type"), "source", "target").distinct()
+    nodes = star.file_nodes(spark, sf_dir)
+    if "embedding" not in nodes.columns:
+        nodes = nodes.withColumn("embedding", F.lit(None).cast("array<float>"))
+    store.write_export(nodes, edges.orderBy(F.asc_nulls_last("type"), "source", "target"), folder)
+    return store.read_export(spark, folder)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.functions.text import count_of, file_name, first_truthy, line_count, node_key, truthy
 from quarrygraph.schemas import EXCLUDED
+from quarrygraph.sources import folders
 from quarrygraph.sources.shared import materialize
 
 ROWS = (
@@ -20,12 +21,8 @@ _FIELDS = ("kind", "pos", "type", "name", "line_number", "end_line", "parent", "
 
 
 def python_files(spark: SparkSession, path: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """(path, content) of all .py files below ``path`` whose full path holds none of ``excluded``."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.py").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-    for pattern in excluded:
-        files = files.where(~F.contains("path", F.lit(pattern)))
-    return files
+    """(path, content) of all .py files below ``path`` whose full path holds none of ``excluded``; ``__init__.py`` is one of them."""
+    return folders.read_files(folders.walk(spark, path, excluded, ".py"))
 
 
 def _row(**values) -> tuple:

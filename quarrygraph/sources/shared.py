@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that aren't columns of ``df``, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: its lineage ends, and its rows survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
@@ -38,3 +51,14 @@ def discard(*tables: DataFrame | None) -> None:
             spark = df.sparkSession
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the sum of ``value`` over the rows before each in ``order``: within ranges of rows, and over the ranges before
+    (a row for each). Rows of equal order are added up in some order."""
+    part, ahead = free_names(df, "part", "ahead")
+    held = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    sums = held.groupBy(part).agg(F.sum(value).alias(ahead))
+    before = sums.select(part, F.coalesce(F.sum(ahead).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(ahead))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn(out, within).join(F.broadcast(before), part).withColumn(out, F.col(out) + F.col(ahead)).drop(part, ahead)

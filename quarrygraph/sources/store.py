@@ -1,4 +1,4 @@
-"""Reading exports, and writing and reading graphs, chunks and vectors as Parquet."""
+"""Reading and writing exports, and graphs, chunks and vectors as Parquet."""
 
 from __future__ import annotations
 
@@ -8,23 +8,34 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.schemas import EDGES, NODES
+from quarrygraph.schemas import EDGE_ENDS, EDGE_TYPES, EDGES, EMBEDDING_DIM, NODE_TYPES, NODES, SIMILARITY
+from quarrygraph.sources.json_array import read_json_array, write_json_array
 
 
 def read_export(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of nodes.json and relationships.json, each one JSON array; edges without a type are UNKNOWN."""
-    read = lambda name, schema: spark.read.schema(schema).option("multiLine", True).json(f"{folder}/{name}")
+    """(nodes, edges) of nodes.json and relationships.json, each one JSON array; edges without a type are UNKNOWN, and ``ord`` is
+    the place in the array where a row has none."""
+    read = lambda name, schema: read_json_array(spark, f"{folder}/{name}", schema).withColumn("ord", F.coalesce("ord", "place")).drop("place")
     edges = read("relationships.json", EDGES).withColumn("type", F.coalesce("type", F.lit("UNKNOWN")))
     return read("nodes.json", NODES), edges
 
 
 def write_export(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """Nodes and edges as JSON lines, with forward slashes in paths and an empty array for a missing embedding."""
+    """nodes.json and relationships.json as JSON arrays, in the order of ``ord`` where there is such a column, with forward slashes in
+    paths and an empty array for a missing embedding; schema.json with the types and fields, index_config.json with what is looked up by."""
     out = nodes.withColumn("file_path", F.replace("file_path", F.lit("\\"), F.lit("/")))
     if "embedding" in nodes.columns:
         out = out.withColumn("embedding", F.coalesce("embedding", F.array().cast("array<float>")))
-    out.write.mode("overwrite").json(f"{folder}/nodes")
-    edges.write.mode("overwrite").json(f"{folder}/relationships")
+    ordered = lambda df: df.orderBy("ord") if "ord" in df.columns else df
+    write_json_array(ordered(out), f"{folder}/nodes.json")
+    write_json_array(ordered(edges), f"{folder}/relationships.json")
+    spark = nodes.sparkSession
+    fields = [(f.name, f.dataType.simpleString()) for f in out.schema]
+    ends = [(kind, list(a), list(b)) for kind, (a, b) in EDGE_ENDS.items()]
+    described = [("node_types", "types", list(NODE_TYPES)), ("edge_types", "types", list(EDGE_TYPES)), *(("node_field", name, [kind]) for name, kind in fields), *(("edge_ends", kind, [f"{x}->{y}" for x in a for y in b]) for kind, a, b in ends)]
+    write_json_array(spark.createDataFrame(described, "kind string, name string, content array<string>").coalesce(1), f"{folder}/schema.json")
+    indexes = [("vector", "embedding", {"dimension": str(EMBEDDING_DIM), "similarity": SIMILARITY}), *(("lookup", c, {}) for c in ("id", "name", "type", "file_path")), *(("full_text", c, {}) for c in ("name", "docstring", "summary", "llm_description"))]
+    write_json_array(spark.createDataFrame(indexes, "kind string, field string, options map<string,string>").coalesce(1), f"{folder}/index_config.json")
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str, by_type: tuple[str, ...] = ()) -> None:

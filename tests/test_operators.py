@@ -1,12 +1,15 @@
 """Small hand-checked fixtures for the rules that the big tables don't reach."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarrygraph.operators import chunking, context, encode, graph, hybrid, loading, resolve, triage, vector
-from quarrygraph.plans import catalog
 from quarrygraph.sources import python_repo, store
 
+FIXTURES = Path(__file__).resolve().parents[1] / "fixtures" / "sample_project"
+
 
 def values(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
@@ -103,8 +106,8 @@ def test_triage_text(spark):
 
 @pytest.fixture(scope="module")
 def project(spark):
-    files = python_repo.python_files(spark, str(catalog.FIXTURES), ("__pycache__",))
-    return python_repo.repository(files, f"{catalog.FIXTURES}/")
+    files = python_repo.python_files(spark, str(FIXTURES), ("__pycache__",))
+    return python_repo.repository(files, f"{FIXTURES}/")
 
 
 def test_extraction(project):
