@@ -17,11 +17,14 @@ A list can be as long as a group of near copies, so lists that would make many p
 * That is the T-occurrence search again, over the lists of (p, element of the difference): what a group has in common is gone
   from the lists, and what only few have comes first in their order. Classes that are linked with one pivot count as one
   from then on. With p = {} the first lists are the same thing. Lists that are still long get a pivot again.
+
+Where texts have few different words, lists are long without a centre, and pivots don't split them. Such lists are split into chains:
+by the next element that their classes share, and the one behind that, which are among the first ones in each class's order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,10 @@ CHUNK, HANDED_ON = 3_000_000, 2
 #: pivot is found behind it.
 MERGED = 3
 #: A list is merged if that tries at most so many pairs for each of its rows; the others get a pivot, until a round of pivots (of so
-#: many at most) has left more than a quarter of the pairs.
-PAIRS_PER_ROW, ROUNDS = 64, 4
+#: many at most) has left more than a quarter of the pairs. What is left then is split into chains.
+PAIRS_PER_ROW, ROUNDS = 16, 4
+#: Elements of a chain at most, and pairs for each row up to which a chain's list is turned into pairs.
+LEVELS, CHAIN_PAIRS = 8, 2
 #: Hash buckets of wanted ids, broadcast to drop other documents before their texts are shuffled: at most so many numbers.
 BUCKETS = 1 << 19
 
@@ -199,7 +204,24 @@ def _with_pivots(lists: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int, order: Order) -> DataFrame:
+def _difference(x: np.ndarray, p: np.ndarray, percent: int, order: Order) -> tuple[np.ndarray, int, bool]:
+    """(the elements by which x differs from the pivot p, in order; how many of them any class has to share that is linked with x,
+    but not with p if x is; whether x and p are linked). With an empty p: the shingles of x, and what any link has to share."""
+    if not len(p):
+        return x[order.places(x)[0]], least_overlap(len(x), percent), False
+    at = np.minimum(np.searchsorted(p, x), len(p) - 1)
+    both = p[at] == x
+    gone = np.ones(len(p), bool)
+    gone[at[both]] = False
+    own, lost = x[~both], p[gone]
+    # what the class adds, rare ones first, then what it lacks, frequent ones first
+    difference = np.concatenate([own[order.places(own)[0]], lost[order.places(lost)[0][::-1]]])
+    d = len(difference)
+    linked = d <= len(x) + len(p) - 2 * overlap(len(x), len(p), percent)
+    return difference, max(1, (d - abs(len(x) - len(p)) + 2) // 2 if linked else d - most_apart(len(x), percent)), linked
+
+
+def compare(pairs: DataFrame, sets: DataFrame, percent: int, order: Order) -> DataFrame:
     """A row for each class and pivot: whether they are linked, the size of their difference and the keys of the lists of the
     pivot and an element of it, in order, as many as a link needs; a written table."""
     same = ["cls", "pivot", "size", "new_weight", "n", "score", "known", "weight"]
@@ -210,18 +232,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, order: Order) ->
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             linked, apart, keys = [], [], []
             for pivot, x, p in zip(batch.column(1).to_pylist(), batch.column(8), batch.column(9), strict=True):
-                x, p = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(p, x), len(p) - 1)
-                both = p[at] == x
-                gone = np.ones(len(p), bool)
-                gone[at[both]] = False
-                own, lost = x[~both], p[gone]
-                # what the class adds, rare ones first, then what it lacks, frequent ones first
-                difference = np.concatenate([own[order.places(own)[0]], lost[order.places(lost)[0][::-1]]])
+                difference, share, near = _difference(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64), percent, order)
                 d = len(difference)
-                linked.append(d <= len(x) + len(p) - 2 * overlap(len(x), len(p), percent))
-                # another one, if this one is linked with the pivot, is not
-                share = max(1, (d - abs(len(x) - len(p)) + 2) // 2 if linked[-1] else d - most_apart(len(x), percent))
+                linked.append(near)
                 apart.append(d)
                 keys.append(mix(difference[: max(0, d - share + MERGED) if share <= d else 0] ^ np.uint64(int.from_bytes(pivot[:8], "little")), 7).view(np.int64))
             ends = np.zeros(len(keys) + 1, np.int32)
@@ -244,12 +257,16 @@ def _knows(compared: DataFrame) -> DataFrame:
     return materialize(compared.groupBy("cls").agg(found, own).select("cls", pick("known"), pick("weight")), "knows")
 
 
+def _apart(na: Column, nb: Column, percent: int) -> Column:
+    """By how many elements linked classes with na and nb shingles differ at most."""
+    return na + nb - 2 * F.ceil((na + nb) * percent / F.lit(100 + percent) - 1e-9)
+
+
 def _merged(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the classes that occur together in MERGED of the lists of one pivot, or in as many as a link of theirs needs."""
     side = lambda x: lists.select("key", _leads(percent).alias("leads" + x), *(F.col(c).alias(c + x) for c in ("of", "cls", "n", "rest", "place", "known")))
     na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
-    apart = na + nb - 2 * F.ceil((na + nb) * percent / F.lit(100 + percent) - 1e-9)
-    twice = F.col("resta") + F.col("restb") - apart  # what they need to share
+    twice = F.col("resta") + F.col("restb") - _apart(na, nb, percent)  # what they need to share
     shared = F.least(F.col("resta") - F.col("placea"), F.col("restb") - F.col("placeb")) + (MERGED - 1)  # this one, those behind it, and earlier ones
     possible = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (2 * shared >= twice)
     pairs = side("a").join(side("b"), "key").where("clsa < clsb and knowna != knownb and (leadsa or leadsb) and ofa = ofb").where(possible)
@@ -257,6 +274,65 @@ def _merged(lists: DataFrame, percent: int) -> DataFrame:
     return materialize(counted.where((F.col("m") >= MERGED) | (2 * F.col("m") >= F.col("twice"))).select("a", "b").distinct(), "candidates")
 
 
+def _prefixes(rows: DataFrame, sets: DataFrame, percent: int, order: Order) -> DataFrame:
+    """(cls, of, share, elements): the first elements of a class's difference from the pivot ``of`` in order, as many as chains of
+    ``LEVELS`` can reach, and how many a link shares; a written table."""
+    wanted = rows.select("cls", "of").distinct()
+    bases = sets.select(F.xxhash64("cls").alias("of"), F.col("hashes").alias("base")).join(wanted.select("of").distinct(), "of", "left_semi")
+    held = wanted.join(sets.select("cls", "hashes"), "cls").join(bases, "of", "left").select("cls", "of", "hashes", F.coalesce("base", F.lit(b"")).alias("base"))
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            shares, elements = [], []
+            for x, p in zip(batch.column(2), batch.column(3), strict=True):
+                difference, share, _ = _difference(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64), percent, order)
+                shares.append(share)
+                elements.append(difference[: max(0, len(difference) - share) + MERGED + LEVELS].view(np.int64))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.int32()), pa.array(elements, pa.list_(pa.int64()))], names=["cls", "of", "share", "elements"])
+
+        return step
+
+    return materialize(arrow_map(held, make, "cls binary, of bigint, share int, elements array<bigint>"), "prefixes")
+
+
+def _chained(lists: DataFrame, sets: DataFrame, percent: int, order: Order) -> DataFrame:
+    """(a, b) of the classes that may be linked, of lists that no pivot splits.
+
+    A list's classes share its element. Those of a link share the next one too, as many as they need, and it is among the
+    first ones behind: so the list is split by what comes next in each class's order, which gives chains of two elements, then
+    of three and so on. Each chain's list is shorter, unless its classes have more in common. A list is turned into pairs when it
+    has few for its members. A pair that meets in such a list may share up to MERGED - 1 elements before it; those
+    with more of them are found by the counts of the short lists. Classes that may share no more than the chain holds are paired there."""
+    prefixes = _prefixes(lists, sets, percent, order)
+    rows = lists.select("key", "of", "cls", "n", "rest", "place", "known").join(prefixes.select("cls", "of", "share"), ["cls", "of"])
+    columns = ("key", "of", "cls", "n", "rest", "place", "known", "share")
+    out, held = None, None
+    for level in range(1, LEVELS + 1):
+        rows = materialize(rows.select(*columns), "chains")
+        discard(held)
+        held = rows
+        by_known = rows.groupBy("key", "of", "known").agg(F.count(F.lit(1)).alias("n"))
+        sums = by_known.groupBy("key", "of").agg(F.sum("n").alias("members"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0")
+        still = materialize(sums.select("key", "of", (F.col("pairs") > CHAIN_PAIRS * F.col("members")).alias("long")), "open-chains")
+        marked = rows.join(still, ["key", "of"])
+        last = level == LEVELS
+        short = marked if last else marked.where(~F.col("long") | (F.col("share") < level + MERGED))
+        side = lambda x: short.select("key", *(F.col(c).alias(c + x) for c in ("of", "cls", "n", "rest", "place", "known", "long")))  # noqa: B023, E731
+        na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
+        shared = F.least(F.col("resta") - F.col("placea"), F.col("restb") - F.col("placeb")) + (MERGED + level - 2)
+        possible = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (2 * shared >= F.col("resta") + F.col("restb") - _apart(na, nb, percent))
+        found = materialize(side("a").join(side("b"), "key").where("clsa < clsb and knowna != knownb and ofa = ofb").where(possible).select(F.col("clsa").alias("a"), F.col("clsb").alias("b")).distinct(), "candidates")
+        out = found if out is None else out.union(found)
+        if last or still.where("long").limit(1).count() == 0:
+            discard(still)
+            break
+        window = F.col("rest") - F.col("share") - F.col("place") + (level + MERGED - 1)
+        following = marked.where("long").join(prefixes.select("cls", "of", "elements"), ["cls", "of"]).select(*columns, F.posexplode(F.slice("elements", F.col("place") + 2, F.greatest(window, F.lit(0)))).alias("step", "element"))
+        rows = following.withColumns({"key": F.xxhash64("key", "element"), "place": F.col("place") + F.col("step") + 1})
+    discard(held, prefixes)
+    return out
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the overlap, found by binary probes of the smaller set in the larger."""
 
@@ -302,50 +378,68 @@ def sets_of(classes: DataFrame, rows: DataFrame, docs: DataFrame, k: int, id_col
     return materialize(found.groupBy("cls").agg(F.first("hashes").alias("hashes")), "sets")
 
 
-def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(a row per document row: id, text_hash, cls, n; the component of each class that has links: node, label). Both are
-    written tables."""
-    every = materialize(_classes(docs, k, id_col, text_col), "classes")
-    rows = every.where("kind = 0").select("_id", "text_hash", "cls", "n")
-    order = Order(*frequent_shingles(every.where("kind = 1")))
-    postings = materialize(_postings(docs, k, percent, order, text_col), "postings")
-    # lists of several classes, of which one has the shared shingle early in its order
-    key = F.xxhash64("cls")
-    # written before the join: a side that is an aggregate keeps Spark from splitting the other side's long lists
-    several = postings.groupBy("shingle").agg(F.min(key).alias("x"), F.max(key).alias("y"), F.max(_leads(percent)).alias("leads")).where("x != y and leads").select("shingle")
-    several = materialize(several, "several")
-    posts = F.collect_set(F.struct(F.col("shingle").alias("key"), "place")).alias("posts")
-    shared = materialize(postings.join(several, "shingle").groupBy("cls", "n", "score").agg(posts), "shared")
-    discard(postings, several)
-    lists = shared.select(F.lit(0).cast("long").alias("of"), "cls", "n", "score", key.alias("known"), F.col("score").alias("weight"), F.col("n").alias("rest"), F.explode("posts").alias("p")).select("*", "p.*").select(*_ROW)
-    nothing = shared.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    candidates, links, sets, before = nothing, nothing, None, None
-    for turn in range(ROUNDS + 1):
+def links_of(lists: DataFrame, candidates: DataFrame, links: DataFrame, sets_with: Callable[[DataFrame], DataFrame], percent: int, order: Order, turns: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
+    """(links (a, b) of the classes in the lists, as many as their components need, with the given ``links`` and those of the
+    ``candidates``; the sets (cls, hashes) of classes, by ``sets_with`` of those that need any). ``turns``: rounds of pivots at most."""
+    sets, before = None, None
+    for turn in range(turns + 1):
         still = _open(lists, percent)
         many = F.col("pairs") > F.lit(PAIRS_PER_ROW) * F.col("members")
         of_all, of_long = still.agg(F.sum("pairs"), F.sum(F.when(many, F.col("pairs")))).first()
         if not of_all:
             discard(still)
             break
-        split = bool(of_long) and turn < ROUNDS and (before is None or of_long <= before / 4)
+        split = bool(of_long) and turn < turns and (before is None or of_long <= before / 4)
         before = of_long
-        lists = materialize(lists.join(still.select("key", (many if split else F.lit(False)).alias("long")), "key").select(*_ROW, "long"), "lists")
+        lists = materialize(lists.join(still.select("key", many.alias("long")), "key").select(*_ROW, "long"), "lists")
         discard(still)
         candidates = candidates.union(_merged(lists.where("not long"), percent))
         long = lists.where("long")
-        if sets is None:  # what comes in later rounds has been in a long list before
-            sets = sets_of(candidates.select("a").union(candidates.select("b")).union(long.select("cls")).distinct().toDF("cls"), rows, docs, k, id_col, text_col)
+        if sets is None:
+            sets = sets_with(candidates.select("a").union(candidates.select("b")).union(long.select("cls")).toDF("cls"))
         if not split:
+            if of_long:
+                candidates = candidates.union(_chained(long, sets, percent, order))
             discard(lists)
             break
         pairs = _with_pivots(long, percent)
         discard(lists)
-        compared = _compared(pairs, sets, percent, order)
+        compared = compare(pairs, sets, percent, order)
         discard(pairs)
         links = links.union(compared.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
-        lists = compared.select(F.xxhash64("pivot").alias("of"), "cls", "n", "score", "rest", F.posexplode("keys").alias("place", "key")).join(_knows(compared), "cls").select(*_ROW)
+        lists = difference_lists(compared)
     if sets is not None:
         links = links.union(verified(candidates.distinct(), sets, percent))
+    return links, sets
+
+
+def difference_lists(compared: DataFrame) -> DataFrame:
+    """The lists of (pivot, element of the difference)."""
+    return compared.select(F.xxhash64("pivot").alias("of"), "cls", "n", "score", "rest", F.posexplode("keys").alias("place", "key")).join(_knows(compared), "cls").select(*_ROW)
+
+
+def link_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(a row per document row: id, text_hash, cls, n; the component of each class that has links: node, label). Both are
+    written tables."""
+    every = materialize(_classes(docs, k, id_col, text_col), "classes")
+    rows = every.where("kind = 0").select("_id", "text_hash", "cls", "n")
+    order = Order(*frequent_shingles(every.where("kind = 1")))
+    postings = materialize(_postings(docs, k, percent, order, text_col), "postings")
+    # lists of several classes, of which one has the shared shingle early in its order
+    key = F.xxhash64("cls")
+    # written before the join: a side that is an aggregate keeps Spark from splitting the other side's long lists
+    several = postings.groupBy("shingle").agg(F.min(key).alias("x"), F.max(key).alias("y"), F.max(_leads(percent)).alias("leads")).where("x != y and leads").select("shingle")
+    several = materialize(several, "several")
+    posts = F.collect_set(F.struct(F.col("shingle").alias("key"), "place")).alias("posts")
+    shared = materialize(postings.join(several, "shingle").groupBy("cls", "n", "score").agg(posts), "shared")
+    discard(postings, several)
+    lists = shared.select(F.lit(0).cast("long").alias("of"), "cls", "n", "score", key.alias("known"), F.col("score").alias("weight"), F.col("n").alias("rest"), F.explode("posts").alias("p")).select("*", "p.*").select(*_ROW)
+    nothing = shared.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+
+    def sets_with(more: DataFrame) -> DataFrame:  # what comes in later rounds has been in a long list before
+        return sets_of(more.distinct(), rows, docs, k, id_col, text_col)
+
+    links, sets = links_of(lists, nothing, nothing, sets_with, percent, order)
     labels = connected_components(links)
     discard(shared, sets)
     return rows, labels

@@ -6,25 +6,27 @@ without a shingle takes the register of the first filled one in an order of its
 each of which two sets share with a probability of their Jaccard similarity.
 
 Classes that share a band of ``ROWS`` registers meet in a list. At 0.8, the ``BANDS`` bands miss a pair with a probability of
-(1 - 0.8**4)**32, 5e-8; at 0.9, 2e-15. A list isn't turned into pairs: all its members are compared with its pivot first, the
-class with the most company, in a group of near copies its centre. What is linked then has one label, and members with one label
-need no comparison. The rest goes on with new labels and other pivots, now a random one in each list, so that a class meets as many as
-it has bands. Lists with few pairs of different labels are turned into pairs. Members that no pivot links are compared with all
-members of other labels in the end: where very many texts have 0.6 to 0.8 in common, and none is their centre, that is quadratic.
-Before a pair's sets are read, its similarity is estimated from the registers, corrected for those that are equal by their
-compression only; a pair goes if the estimate is six standard deviations below the threshold.
+(1 - 0.8**4)**32, 5e-8; at 0.9, 2e-15. Lists of a few classes are turned into pairs. Before a pair's sets are read, its similarity is
+estimated from the registers, corrected for those that are equal by their compression only; a pair goes if the estimate is six
+standard deviations below the threshold. What is left is verified on the full sets.
+
+Longer lists are those of groups of copies. They aren't turned into pairs: their classes are compared with the list's pivot, the class
+with the most company, in a group of near copies its centre. Two classes that are linked with each other, but not both with the
+pivot, share elements of their differences from it; such pairs are found by these elements, as in :mod:`jaccard_join`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import arrow_map, discard, materialize
+from quarrygraph.llm.common import arrow_map, cut_batches, discard, materialize
 from quarrygraph.llm.components import connected_components
-from quarrygraph.llm.jaccard_join import components_of, sets_of, verified
+from quarrygraph.llm.jaccard_join import CHUNK, HANDED_ON, Order, compare, components_of, difference_lists, frequent_shingles, links_of, sets_of, verified
 from quarrygraph.llm.shingles import digest, mix, shingle_sets
 
 #: Registers of a sketch, bits of their mantissas, and the bands they form.
@@ -33,9 +35,8 @@ REGISTERS, MANTISSA, BANDS, ROWS = 128, 10, 32, 4
 COLLISIONS = 0.169919487159739
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 DEVIATIONS = 6
-#: A list is turned into pairs if it has at most so many of different labels for each member; four times as many from a round on that
-#: leaves more than the share ``SLOW`` of all such pairs.
-PAIRS_PER_ROW, SLOW = 2, 0.7
+#: Lists of up to so many classes are turned into pairs; the others get a pivot.
+LONGEST = 4
 _BITS = REGISTERS.bit_length() - 1
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _BITS)
 #: For each register, all registers in an order of its own.
@@ -124,22 +125,37 @@ def _banded(sketches: DataFrame) -> DataFrame:
 
 
 def _lists(sketches: DataFrame) -> DataFrame:
-    """(key, cls, company) of the classes that share a band with others; company: how many they meet in all; a written table."""
+    """(key, cls, size, company) of the classes that share a band with others: of how many, and how many they meet in all; a written table."""
     banded = materialize(_banded(sketches), "banded")
     # written before the join: a side that is an aggregate keeps Spark from splitting the other side's long lists
     several = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "several")
     members = materialize(banded.join(several, "key"), "members")
     company = materialize(members.groupBy("cls").agg(F.sum("size").alias("company")), "company")
-    out = materialize(members.join(company, "cls").select("key", "cls", "company"), "lists")
+    out = materialize(members.join(company, "cls").select("key", "cls", "size", "company"), "lists")
     discard(banded, several, members, company)
     return out
 
 
-def _open(lists: DataFrame) -> DataFrame:
-    """(key, members, pairs) of lists with classes of different labels; a written table."""
-    of_label = lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    sums = of_label.groupBy("key").agg(F.sum("n").alias("members"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs"))
-    return materialize(sums.where("pairs > 0"), "open")
+def _counted(sets: DataFrame) -> DataFrame:
+    """(shingle, n): shingles that several classes of a chunk hold, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def frequent() -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(hashes[n >= HANDED_ON].view(np.int64)), pa.array(n[n >= HANDED_ON])], names=["shingle", "n"])
+
+        for batch in cut_batches(batches):
+            for x in batch.column(0):
+                held.append(np.frombuffer(x.as_buffer(), np.uint64))
+                size += len(held[-1])
+            if size > CHUNK:
+                yield frequent()
+                held, size = [], 0
+        yield frequent()
+
+    return sets.select("hashes").mapInArrow(run, "shingle bigint, n bigint")
 
 
 def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,34 +181,25 @@ def _labels(docs: DataFrame, rows: DataFrame, sketches: DataFrame, k: int, perce
     """(node, label) of the classes that have links; a written table."""
     every = _lists(sketches)
     sets = sets_of(every.select("cls").distinct(), rows, docs, k, id_col, text_col)
-    own = F.xxhash64("cls")  # the label of a class without links so far
-    lists, links, labels, allowed, before = every.withColumn("label", own), None, None, PAIRS_PER_ROW, None
-    while True:
-        still = _open(lists)
-        many = still.agg(F.sum("pairs")).first()[0]
-        if not many:
-            discard(still)
-            break
-        if before is not None and many > SLOW * before:
-            allowed *= 4
-        first, few, before = before is None, F.col("pairs") <= F.lit(allowed) * F.col("members"), many
-        held = materialize(lists.join(still.select("key", few.alias("few")), "key"), "held")
-        discard(still, lists)
-        side = lambda x: held.where("few").select("key", F.col("cls").alias(x), F.col("label").alias(f"label{x}"))  # noqa: B023, E731
-        short = side("a").join(side("b"), "key").where("a < b and labela != labelb").select("a", "b")
-        best = F.max_by(F.struct(F.col("cls").alias("b"), F.col("label").alias("labelb")), F.struct("company", "cls") if first else F.xxhash64("cls", "key")).alias("p")
-        pivots = materialize(held.where("not few").groupBy("key").agg(best).select("key", "p.*"), "pivots")
-        rest = materialize(held.where("not few").join(pivots, "key").where("cls != b"), "rest")
-        pairs = materialize(short.union(rest.where("label != labelb").select(F.col("cls").alias("a"), "b")).distinct(), "pairs")
-        found = _linked(pairs, sketches, sets, percent)
-        links = found if links is None else links.union(found)
-        discard(labels)
-        labels = connected_components(links)
-        new = rest.select("key", "cls", "company").join(labels.select(F.col("node").alias("cls"), F.xxhash64("label").alias("new")), "cls", "left")
-        lists = materialize(new.select("key", "cls", "company", F.coalesce("new", own).alias("label")), "lists")
-        discard(held, pivots, rest, pairs)
-    discard(every, lists, sets)
-    return labels if labels is not None else connected_components(sketches.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    order = Order(*frequent_shingles(_counted(sets)))
+    # the pairs of short lists; classes of the others are compared with the list's pivot
+    side = lambda x: every.where(F.col("size") <= LONGEST).select("key", F.col("cls").alias(x))
+    pairs = materialize(side("a").join(side("b"), "key").where("a < b").select("a", "b").distinct(), "pairs")
+    links = _linked(pairs, sketches, sets, percent)
+    own = sketches.select("cls", "n")
+    long = every.where(F.col("size") > LONGEST)
+    pivots = materialize(long.groupBy("key").agg(F.max_by(F.struct("cls", "company"), F.struct("company", "cls")).alias("p")), "pivots")
+    met = long.join(pivots, "key").where(F.col("cls") != F.col("p.cls")).groupBy("cls").agg(F.max("company").cast("float").alias("score"), F.collect_set("p").alias("p"))
+    size = own.select(F.col("cls").alias("pivot"), F.col("n").cast("int").alias("size"))
+    each = met.select("cls", "score", F.explode("p").alias("p")).select("cls", "score", F.col("p.cls").alias("pivot"), F.col("p.company").cast("float").alias("new_weight")).join(size, "pivot")
+    one = each.groupBy("cls").agg(F.max("score").alias("score"), F.collect_set(F.struct("pivot", "size", "new_weight")).alias("pivots"))
+    asked = materialize(one.join(own, "cls").select("cls", F.col("n").cast("int").alias("n"), "score", F.xxhash64("cls").alias("known"), F.col("score").alias("weight"), "pivots"), "asked")
+    compared = compare(asked, sets, percent, order)
+    links = links.union(compared.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+    links, _ = links_of(difference_lists(compared), pairs.limit(0), links, lambda more: sets, percent, order)
+    labels = connected_components(links)
+    discard(every, sets, pairs, pivots, asked, compared)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
