@@ -23,7 +23,7 @@ def validated(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def unique_key(nodes: DataFrame) -> Column:
-    """The id, or else a key made of the type and its parts; rows that lack a part get the md5 of their JSON form."""
+    """The id, or else a key made of the type and its parts; rows that lack a part get the md5 of their fields in order of the names."""
     c = lambda name: F.trim(F.coalesce(F.col(name), F.lit("")))
     path, name, parent = F.replace(c("file_path"), F.lit("\\"), F.lit("/")), c("name"), c("parent")
     line, kind = F.coalesce(F.col("line_number"), F.lit(0)).cast("string"), F.coalesce(F.col("type"), F.lit("unknown"))
@@ -35,7 +35,8 @@ def unique_key(nodes: DataFrame) -> Column:
         .when((kind == "function") & has(path, name), F.concat_ws(":", kind, path, name, line))
         .when((kind == "generated_description") & has(path, name), F.concat_ws(":", F.lit("desc"), path, name, line))
     )
-    fallback = F.concat(F.when(kind == "generated_description", F.lit("desc")).otherwise(kind), F.lit(":unknown_"), F.md5(F.to_json(F.struct(*sorted(nodes.columns)))))
+    row = F.concat_ws("\x1f", *(F.coalesce(F.col(x).cast("string"), F.lit("")) for x in sorted(nodes.columns)))
+    fallback = F.concat(F.when(kind == "generated_description", F.lit("desc")).otherwise(kind), F.lit(":unknown_"), F.md5(row))
     return F.coalesce(truthy(F.col("id")), key, fallback)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.operators import graph, hybrid, triage, vector
 from quarrygraph.schemas import DEBUG_RETRIEVAL, RETRIEVAL
-from quarrygraph.sources.shared import materialize
+from quarrygraph.sources.shared import materialize, running_total
 
 
 def named_seeds(nodes: DataFrame, entities: Sequence[str]) -> DataFrame:
@@ -30,6 +30,46 @@ def retrieve_subgraph(
     return best, graph.induced(graph.distinct_edges(edges), F.broadcast(best)).select("type", "source", "target")
 
 
+#: Queries whose reach is held in one number.
+MASK_BITS = 62
+
+
+def reached_by(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(id, block, mask) of all nodes within ``hops`` undirected steps of ``seeds`` (id, block, mask); a bit of a mask is a query. One
+    search serves all queries: what reaches a node is OR-ed before it is shuffled, and only bits that are new go on."""
+    once = edges.select("source", "target").distinct()
+    both = materialize(once.union(once.select("target", "source")).distinct().toDF("u", "id"), "both-ways")
+    seen = materialize(seeds.groupBy("id", "block").agg(F.bit_or("mask").alias("mask")), "reach")
+    new = seen
+    for _ in range(hops):
+        step = new.select(F.col("id").alias("u"), "block", "mask").join(both, "u").groupBy("id", "block").agg(F.bit_or("mask").alias("mask"))
+        known = seen.groupBy("id", "block").agg(F.bit_or("mask").alias("known"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        new = materialize(step.join(known, ["id", "block"], "left").select("id", "block", fresh.alias("mask")).where("mask != 0"), "reach")
+        seen = seen.unionByName(new)
+    return seen.groupBy("id", "block").agg(F.bit_or("mask").alias("mask"))
+
+
+def retrieve_subgraphs(
+    nodes: DataFrame, edges: DataFrame, vectors: DataFrame, queries: DataFrame,
+    semantic_top_k: int = RETRIEVAL["kg_top_k"], n_hops: int = RETRIEVAL["n_hops"], final_top_k: int = RETRIEVAL["final_top_k"],
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`retrieve_subgraph` for a table of ``queries`` (query_id, query, entities) in one plan: (query_id, rank, id, score) of each
+    query's best nodes, (query_id, type, source, target) of the edges between them. A query without a vector has no rows."""
+    usable = queries.where("query is not null").withColumn("one", F.lit(1).cast("long"))
+    numbered = materialize(running_total(usable, ["query_id"], "one", "no").select("query_id", F.col("query").cast("array<double>").alias("query"), "entities", F.floor(F.col("no") / MASK_BITS).alias("block"), F.expr(f"shiftleft(1L, cast(no % {MASK_BITS} as int))").alias("bit")), "queries")
+    near = vector.batch_top_k(vectors, numbered.select(F.col("query_id").alias("id"), F.col("query").alias("embedding")), semantic_top_k, id_col="id", itself=True).select("query_id", "id")
+    named = numbered.select("query_id", F.explode(F.array_distinct("entities")).alias("name")).join(nodes.select("id", "name"), "name").select("query_id", "id")
+    seeds = near.unionByName(named).join(numbered.select("query_id", "block", F.col("bit").alias("mask")), "query_id").select("id", "block", "mask")
+    held = reached_by(seeds, edges, n_hops).join(nodes.select("id"), "id", "left_semi").join(vectors.where("embedding is not null").select("id", "embedding"), "id")
+    pairs = held.join(numbered.select("query_id", "query", "block", "bit"), "block").where((F.col("mask").bitwiseAND(F.col("bit")) != 0) & (F.size("embedding") == F.size("query")))
+    scored = pairs.select("query_id", "id", vector.cosine(F.col("embedding"), F.col("query")).alias("score")).where("score is not null")
+    rank = F.row_number().over(hybrid.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    best = materialize(scored.withColumn("rank", rank).where(F.col("rank") <= final_top_k).select("query_id", "rank", "id", "score"), "best")
+    end = lambda c: best.select("query_id", F.col("id").alias(c))
+    return best, graph.distinct_edges(edges).join(end("source"), "source").join(end("target"), ["query_id", "target"]).select("query_id", "type", "source", "target")
+
+
 def retrieve(
     nodes: DataFrame, edges: DataFrame, vectors: DataFrame, chunks: DataFrame, query: Sequence[float], entities: Sequence[str] = (),
     kg_top_k: int = RETRIEVAL["kg_top_k"], vector_top_k: int = RETRIEVAL["vector_top_k"], n_hops: int = RETRIEVAL["n_hops"],

@@ -220,7 +220,7 @@ def chunk_classify(spark, sf_dir):
 
 # Hybrid retrieval: the 30 longest documents as graph hits, the 20 nearest vectors' documents as chunk hits.
 
-_KG = "select source as file_path, 'n' || (doc_id % 5) as name, lang as type, substr(text, 1, 50) as content, '' as summary, doc_id as ord from (select * from documents order by n_chars desc, doc_id limit 30)"
+_KG = "select source as file_path, 'n' || (doc_id % 5) as name, lang as type, text as content, '' as summary, doc_id as ord from (select * from documents order by n_chars desc, doc_id limit 30)"
 _HITS = f"select 'c' || v.vec_id as chunk_id, d.source as file_path, ['q', 'n' || (d.doc_id % 5), 'n' || (d.doc_id % 3)] as names, s as score, rank from (select *, row_number() over (order by s desc, vec_id) as rank from ({_TOP}) order by s desc, vec_id limit 20) v join documents d on d.doc_id = v.vec_id"
 _FUSION = """g as (select file_path, name, arg_max(content, ord) as content, min(ord) as place from kg group by 1, 2),
  m as (select chunk_id, rank, score, h.file_path, n.name, row_number() over (partition by chunk_id order by n.pos) as first from hits h, (select unnest([1, 2, 3]) as pos) p, lateral (select h.names[p.pos] as name, p.pos) n join g on g.file_path = h.file_path and g.name = n.name),
@@ -233,13 +233,13 @@ _MERGED = f"with kg as ({_KG}), hits as ({_HITS}), {_FUSION}"
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kg = docs.orderBy(F.desc("n_chars"), "doc_id").limit(30).select(
-        F.col("source").alias("file_path"), F.concat(F.lit("n"), (F.col("doc_id") % 5).cast("string")).alias("name"), F.col("lang").alias("type"), F.substring("text", 1, 50).alias("content"), F.lit("").alias("summary"), F.col("doc_id").alias("ord"))
+        F.col("source").alias("file_path"), F.concat(F.lit("n"), (F.col("doc_id") % 5).cast("string")).alias("name"), F.col("lang").alias("type"), F.col("text").alias("content"), F.lit("").alias("summary"), F.col("doc_id").alias("ord"))
     v, q = _vectors(spark, sf_dir)
     top = vector.top_k(v, q, 20)
     nth = F.row_number().over(hybrid.Window.orderBy(F.desc("score"), "vec_id"))
     name = lambda m: F.concat(F.lit("n"), (F.col("doc_id") % m).cast("string"))
     hits = top.withColumn("rank", nth).join(docs, F.col("doc_id") == F.col("vec_id")).select(
-        F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.col("source").alias("file_path"), F.lit("mixed").alias("chunk_type"), F.substring("text", 1, 50).alias("content"), F.array(F.lit("q"), name(5), name(3)).alias("element_names"), "score", "rank")
+        F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.col("source").alias("file_path"), F.lit("mixed").alias("chunk_type"), F.col("text").alias("content"), F.array(F.lit("q"), name(5), name(3)).alias("element_names"), "score", "rank")
     return hybrid.merge(kg, hits)
 
 
@@ -259,29 +259,31 @@ def hybrid_enrich(spark, sf_dir):
     return hybrid.enrich(_merged(spark, sf_dir), nodes).select("source", "name", "file_path", "line_number")
 
 
-@query("format_context", f"""{_MERGED} select place::int as place, '## Result ' || place || ' (Score: ' || printf('%.3f', combined) || ')' || chr(10) || '**Source:** ' || source || ' | **Type:** x | **Name:** ' || name || chr(10) || '**File:** ' || file_path || chr(10) || chr(10)
- || '**Summary:** s' || chr(10) || chr(10) || '```python' || chr(10) || 'code' || chr(10) || '```' || chr(10) || chr(10) || repeat('-', 60) || chr(10) || chr(10) as text from (select * exclude (place), row_number() over (order by combined desc, kind, place) as place from merged) where place <= 10""")
+@query("format_context", f"""{_MERGED}, t as (select *, row_number() over (order by combined desc, kind, place) as nth from merged), gg as (select file_path, name, arg_max(type, ord) as type, arg_max(content, ord) as content from kg group by 1, 2),
+ x as (select t.*, coalesce(gg.type, 'mixed') as type, coalesce(gg.content, d.text) as content from t left join gg on t.kind = 0 and gg.file_path = t.file_path and gg.name = t.name left join hits on t.kind = 1 and hits.rank = t.place left join documents d on 'c' || d.doc_id = hits.chunk_id where nth <= 10)
+ select nth::int as place, '## Result ' || nth || ' (Score: ' || printf('%.3f', combined) || ')' || chr(10) || '**Source:** ' || source || ' | **Type:** ' || type || ' | **Name:** ' || name || chr(10) || '**File:** ' || file_path || chr(10) || chr(10)
+ || case when kind = 1 then '**Summary:** mixed: ' || name || chr(10) || chr(10) else '' end || '```python' || chr(10) || substr(content, 1, 1000) || chr(10) || '```' || chr(10) || chr(10) || repeat('-', 60) || chr(10) || chr(10) as text from x""")
 def format_context(spark, sf_dir):
-    return hybrid.formatted(hybrid.best(_merged(spark, sf_dir)).withColumns({"type": F.lit("x"), "summary": F.lit("s"), "content": F.lit("code")}))
+    return hybrid.formatted(hybrid.best(_merged(spark, sf_dir)))
 
 
-# Retrieval as single calls. Even vectors belong to parts, odd ones to orders; documents are the texts and the chunks.
+# Retrieval as single calls. The first vectors belong to nations, the others to customers; documents are the texts and the chunks.
 
-_OWNER = "case when vec_id % 2 = 0 then 'part:' else 'orders:' end || vec_id"
+_OWNER = "case when vec_id < 25 then 'nation:' else 'customer:' end || vec_id"
 _NAMED = ("ASIA", "Supplier#000000001")
 _REACHED = f"""with recursive e as (select distinct type, source, target from ({_E})), both_ways as (select source as u, target as v from e union select target, source from e), vs as (select {_OWNER} as id, vec_id, s from ({_TOP})),
  seeds as (select id from ({_N}) where name in {_NAMED} union select id from (select id from vs order by s desc, id limit 3)), ball as (select id, 0 as hop from seeds union select v, hop + 1 from ball join both_ways on u = id where hop < 2),
- best as (select id, vec_id, s from vs where id in (select id from ball) and id in (select id from ({_N})) order by s desc, id limit 20)"""
+ best as (select id, vec_id, s from vs where id in (select id from ball) and id in (select id from ({_N})) order by s desc, id limit 60)"""
 
 
 def _graph_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
     v, q = _vectors(spark, sf_dir)
-    return v.select(F.concat(F.when(F.col("vec_id") % 2 == 0, "part:").otherwise("orders:"), F.col("vec_id").cast("string")).alias("id"), "embedding"), q
+    return v.select(F.concat(F.when(F.col("vec_id") < 25, "nation:").otherwise("customer:"), F.col("vec_id").cast("string")).alias("id"), "embedding"), q
 
 
 def _subgraph(spark, sf_dir):
     v, q = _graph_vectors(spark, sf_dir)
-    return retrieval.retrieve_subgraph(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), v, q, _NAMED, 3, 2, 20)
+    return retrieval.retrieve_subgraph(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), v, q, _NAMED, 3, 2, 60)
 
 
 @query("entity_retrieve_nodes", f"{_REACHED} select id, round(s, 6) as score from best")
@@ -294,6 +296,30 @@ def entity_retrieve_edges(spark, sf_dir):
     return _subgraph(spark, sf_dir)[1]
 
 
+_ASKED = "select vec_id as query_id, embedding::double[] as q, n_name as entity from embeddings left join nation on n_nationkey = vec_id // 50 where vec_id % 50 = 0"
+_MANY = f"""with recursive e as (select distinct type, source, target from ({_E})), both_ways as (select source as u, target as v from e union select target, source from e), vs as (select {_OWNER} as id, vec_id, embedding::double[] as x from embeddings), qs as ({_ASKED}),
+ scored as (select query_id, id, list_cosine_similarity(x, q) as s from vs, qs), seeds as (select query_id, id from (select *, row_number() over (partition by query_id order by s desc, id) as nth from scored) where nth <= 3 union select query_id, n.id from qs join ({_N}) n on n.name = qs.entity),
+ ball as (select query_id, id, 0 as hop from seeds union select query_id, v, hop + 1 from ball join both_ways on u = id where hop < 2),
+ best as (select * from (select query_id, id, s, row_number() over (partition by query_id order by s desc, id) as rank from scored where (query_id, id) in (select query_id, id from ball) and id in (select id from ({_N}))) where rank <= 20)"""
+
+
+def _many(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 50 = 0").join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name"), F.floor(F.col("vec_id") / 50) == F.col("k"), "left")
+    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.array_compact(F.array("n_name")).alias("entities"))
+    return retrieval.retrieve_subgraphs(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), _graph_vectors(spark, sf_dir)[0], queries, 3, 2, 20)
+
+
+@query("retrieve_many_nodes", f"{_MANY} select query_id, rank::int as rank, id, round(s, 6) as score from best")
+def retrieve_many_nodes(spark, sf_dir):
+    return _many(spark, sf_dir)[0].select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("retrieve_many_edges", f"{_MANY} select a.query_id, e.type, e.source, e.target from e join best a on a.id = e.source join best b on b.id = e.target and b.query_id = a.query_id")
+def retrieve_many_edges(spark, sf_dir):
+    return _many(spark, sf_dir)[1].select("query_id", "type", "source", "target")
+
+
 # The graph's parts and the chunks are documents here, with the names and files of those.
 
 _TEXTS = "select *, 'n' || (doc_id % 5) as name from documents"
@@ -340,7 +366,8 @@ def code_context(spark, sf_dir):
 _F = star.FILE_NODES_SQL
 _KEY = f"""case when id <> '' then id when type = 'file' then 'file:' || p when type = 'class' and name <> '' then 'class:' || p || ':' || name when type in ('method', 'attribute') and name <> '' and parent is not null then type || ':' || p || ':' || parent || ':' || name || ':' || line_number
  when type = 'function' and name <> '' then 'function:' || p || ':' || name || ':' || line_number when type = 'generated_description' and name <> '' then 'desc:' || p || ':' || name || ':' || line_number end"""
-_KEYED = f"select *, {_KEY} as key from (select *, replace(file_path, '\\', '/') as p from ({_F}))"
+_ROW = "concat_ws(chr(31), docstring, file_path, full_context, id, line_number, name, ord, coalesce(parent, ''), summary, type)"
+_KEYED = f"select *, coalesce({_KEY}, (case when type = 'generated_description' then 'desc' else type end) || ':unknown_' || md5({_ROW})) as key from (select *, replace(file_path, '\\', '/') as p from ({_F}))"
 
 
 @query("validate_nodes", f"select ord, type <> '' and name <> '' as valid from ({_F})")
@@ -348,11 +375,11 @@ def validate_nodes(spark, sf_dir):
     return star.file_nodes(spark, sf_dir).select("ord", loading.is_valid().alias("valid"))
 
 
-@query("unique_keys", f"select ord, coalesce(key, '?') as unique_key, coalesce(replace(replace(replace(key, ':', '_'), '/', '_'), '.', '_'), '?') as store_key from ({_KEYED})")
+@query("unique_keys", f"select ord, key as unique_key, replace(replace(replace(key, ':', '_'), '/', '_'), '.', '_') as store_key from ({_KEYED})")
 def unique_keys(spark, sf_dir):
     n = star.file_nodes(spark, sf_dir)
-    k = n.withColumn("k", loading.unique_key(n)).withColumn("k", F.when(~F.contains("k", F.lit(":unknown_")), F.col("k")))
-    return k.select("ord", F.coalesce("k", F.lit("?")).alias("unique_key"), F.coalesce(loading.store_key(F.col("k")), F.lit("?")).alias("store_key"))
+    k = n.withColumn("k", loading.unique_key(n))
+    return k.select("ord", F.col("k").alias("unique_key"), loading.store_key(F.col("k")).alias("store_key"))
 
 
 @query("rel_collection", f"select type, (case type when 'in_region' then 'In_Region' when 'in_nation' then 'In_Nation' when 'placed_by' then 'Placed_By' when 'contains_part' then 'Contains_Part' else 'Supplied_By' end) as collection, upper(type) as label, count(*) as n from ({_E}) group by 1")
@@ -367,9 +394,9 @@ def dedup_first_wins(spark, sf_dir):
     return loading.first_of_each(d, "key", "doc_id").select("doc_id", "source")
 
 
-@query("stored_documents", f"""select key as unique_key, ord from (select *, row_number() over (partition by type, replace(replace(replace(key, ':', '_'), '/', '_'), '.', '_') order by ord) as nth from ({_KEYED}) where type <> '' and name <> '' and key is not null) where nth = 1""")
+@query("stored_documents", f"""select key as unique_key, ord from (select *, row_number() over (partition by type, replace(replace(replace(key, ':', '_'), '/', '_'), '.', '_') order by ord) as nth from ({_KEYED}) where type <> '' and name <> '') where nth = 1""")
 def stored_documents(spark, sf_dir):
-    return loading.documents(star.file_nodes(spark, sf_dir)).where(~F.contains("unique_key", F.lit(":unknown_"))).select("unique_key", "ord")
+    return loading.documents(star.file_nodes(spark, sf_dir)).select("unique_key", "ord")
 
 
 _RICH = "select o_orderkey, o_custkey from orders join customer on c_custkey = o_custkey where c_acctbal > 0"
@@ -488,24 +515,32 @@ def extract_steps(spark, sf_dir):
     return star.replies(spark, sf_dir).select("conv_id", "turn", F.array_join(triage.steps(F.col("response")), "|").alias("steps"))
 
 
-@query("fenced_json", f"""select event_id, case when event_id % 3 = 2 then 'other' else 'debug' end as classification, case when event_id % 3 = 2 then 0.5 else 0.9 end::double as confidence from ({_R})""")
+_KIND = "['debug', 'network', 'other', 'environment', 'authentication'][event_id % 5 + 1]"
+
+
+@query("fenced_json", f"""select event_id, case when event_id % 4 = 3 then 'other' else {_KIND} end as classification, case when event_id % 4 = 3 then 0.5 else (event_id % 10) / 10 end::double as confidence,
+ case when event_id % 4 = 3 then 'Failed to parse classification response' else context end as reasoning, case when event_id % 4 = 3 then '' else props || '|' || error_message end as key_indicators from ({_R})""")
 def fenced_json(spark, sf_dir):
-    body = F.lit('{"classification": "debug", "confidence": 0.9, "reasoning": "r", "key_indicators": ["a"]}')
-    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("text ```json\n"), body, F.lit("\n``` more"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```\n"), body, F.lit("```"))).otherwise("not json {")
-    return star.reports(spark, sf_dir).select("event_id", triage.parsed_reply(reply).alias("r")).select("event_id", "r.classification", "r.confidence")
+    """Replies that hold the reports' own texts: in a json fence, in a plain one, bare, and not JSON at all."""
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("debug", "network", "other", "environment", "authentication"))), (F.col("event_id") % 5 + 1).cast("int"))
+    body = F.to_json(F.struct(kind.alias("classification"), ((F.col("event_id") % 10) / 10).alias("confidence"), F.col("context").alias("reasoning"), F.array("props", "error_message").alias("key_indicators")))
+    form = F.col("event_id") % 4
+    reply = F.when(form == 0, F.concat("context", F.lit("\n```json\n"), body, F.lit("\n``` more"))).when(form == 1, F.concat(F.lit("```\n"), body, F.lit("```"))).when(form == 2, F.concat(F.lit("\n "), body)).otherwise(F.concat(F.lit("{"), "stack_trace"))
+    return star.reports(spark, sf_dir).select("event_id", triage.parsed_reply(reply).alias("r")).select("event_id", "r.classification", "r.confidence", "r.reasoning", F.array_join("r.key_indicators", "|").alias("key_indicators"))
 
 
 _EXPLAINED = f"select r.*, '1. Check ' || props || chr(10) || case when event_id % 2 = 0 then '- FIX: restart the job' || chr(10) else '' end || 'Step 2 look at ' || context as explanation from ({_R}) r"
 
 
-@query("debug_reply", f"""with r as ({_EXPLAINED}), code as (select event_id, d.source as file_path from ({_R}) r join documents d on d.doc_id % 500 = r.event_id % 1000), f as (select event_id, count(*) as n, array_to_string(list_sort(list(distinct file_path)), ',') as files from code group by 1)
+@query("debug_reply", f"""with r as ({_EXPLAINED}), code as (select e.event_id, d.source as file_path from events e join documents d on d.doc_id in (e.user_id, e.user_id + 1, 3 * e.user_id) where e.event_type = 'error'), f as (select event_id, count(*) as n, array_to_string(list_sort(list(distinct file_path)), ',') as files from code group by 1)
  select r.event_id, case r.event_id % 5 when 0 then 'debug' when 1 then 'network' when 2 then 'authentication' when 3 then 'environment' else 'other' end as error_classification, case when r.event_id % 5 = 4 then 0.5 else 0.9 end::double as confidence, f.n as relevant_code_count, f.files as relevant_files,
  len(string_split(explanation, chr(10))) - 1 as suggested, len(string_split(explanation, chr(10))) as steps from r left join f using (event_id)""")
 def debug_reply(spark, sf_dir):
     r = retrieval.classify_errors(star.reports(spark, sf_dir))
     fix = F.when(F.col("event_id") % 2 == 0, F.lit("- FIX: restart the job\n")).otherwise("")
     solved = r.withColumn("explanation", F.concat(F.lit("1. Check "), F.col("props"), F.lit("\n"), fix, F.lit("Step 2 look at "), F.col("context")))
-    code = star.reports(spark, sf_dir).select("event_id", (F.col("event_id") % 1000).alias("k")).join(table(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("k"), F.col("source").alias("file_path")), "k")
+    users = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.explode(F.array_distinct(F.array("user_id", F.col("user_id") + 1, F.col("user_id") * 3))).alias("doc_id"))
+    code = users.join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file_path")), "doc_id").select("event_id", "file_path")
     out = retrieval.debug_replies(solved, code)
     return out.select("event_id", "error_classification", "confidence", "relevant_code_count", F.array_join("relevant_files", ",").alias("relevant_files"), F.size("suggested_fixes").cast("long").alias("suggested"), F.size("additional_steps").cast("long").alias("steps"))
 
