@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.text import line_count, node_key, word_count
-from quarrygraph.operators import chunking, context, graph, hybrid, loading, resolve, retrieval, triage, vector
+from quarrygraph.operators import calls, chunking, context, graph, hybrid, loading, resolve, retrieval, triage, vector
 from quarrygraph.plans import source_tree, star
 from quarrygraph.session import table
 from quarrygraph.sources import python_repo, shared, store
@@ -577,6 +577,49 @@ def retry_states(spark, sf_dir):
     return intake.retry(r, "similar", lambda df: df.withColumn("passed", F.col("event_id") % 5 < F.col("retries"))).select("event_id", "retries", "status")
 
 
+@query("stream_retry_states", f"select event_id, case when event_id % 7 = 0 then 0 when event_id % 11 = 1 then 1 when event_id % 5 < 3 then event_id % 5 + 1 else 3 end::int as retries, case when event_id % 7 = 0 then 'similar_ticket' when event_id % 11 = 1 then 'timed_out' when event_id % 5 < 3 then 'fixed' else 'gave_up' end as status from ({_R})")
+def stream_retry_states(spark, sf_dir):
+    """The machine over a stream that is stopped and started again: reports and tickets first, then the attempts, then, much
+    later, nothing but a sign of time. Of some reports no more than one attempt comes, which fails."""
+    root = f"{shared.shared_dir(spark)}/retries-{uuid.uuid4().hex}"
+    r = star.reports(spark, sf_dir).select("event_id")
+    at = lambda minutes: (F.timestamp_seconds(F.lit(0)) + F.make_interval(mins=minutes)).alias("at")
+    no = F.lit(False).alias("passed")
+    opened = r.select("event_id", F.lit("report").alias("kind"), no, at(F.lit(0))).unionByName(r.where("event_id % 7 = 0").select("event_id", F.lit("ticket").alias("kind"), no, at(F.lit(1))))
+    tried = r.where("event_id % 7 != 0").select("event_id", F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 11 == 1, 1).otherwise(3))).alias("n"))
+    passed = ((F.col("event_id") % 5 < F.col("n")) & (F.col("event_id") % 11 != 1)).alias("passed")
+    tried = tried.select("event_id", F.lit("attempt").alias("kind"), passed, at(F.col("n") + 1))
+    later = r.agg(F.lit(-1).cast("long").alias("event_id")).select("event_id", F.lit("report").alias("kind"), no, at(F.lit(100_000)))
+    for part in (opened, tried, later, later):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{root}/in").withWatermark("at", "1 minute")
+        intake.run_available(intake.retry_states(stream), lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/state")
+    return spark.read.parquet(f"{root}/out").where("event_id >= 0").select("event_id", "retries", "status")
+
+
+class _Rules:
+    """A stand-in for a model's client: the class by our own rules, as JSON; now and then it fails or says nothing."""
+
+    def __call__(self, prompt: str) -> str:
+        for mark, label in (("ValueError", "debug"), ("timed out", "network"), ("Permission", "authentication"), ("No module", "environment")):
+            if mark in prompt.split("\n")[1]:
+                if label == "network":
+                    raise ConnectionError("no line")
+                return "" if label == "environment" else '{"classification": "%s", "confidence": 0.75}' % label
+        return "I can't say."
+
+
+@query("model_replies", f"""select event_id, case event_id % 5 when 0 then 'debug' when 2 then 'authentication' else 'other' end as classification, case when event_id % 5 in (0, 2) then 0.75 else 0.5 end::double as confidence,
+ case when event_id % 5 = 1 then 'ConnectionError: no line' end as error, (case when event_id % 5 = 1 then 2 else 1 end)::int as attempts from ({_R})""")
+def model_replies(spark, sf_dir):
+    r = star.reports(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    prompt = triage.classification_prompt(F.col("error_message"), F.col("stack_trace"), F.col("file_path"), F.lit(None).cast("int"), none)
+    asked = calls.with_replies(r.select("event_id", "error_message", "stack_trace", "file_path"), prompt, _Rules)
+    reply = triage.parsed_reply(calls.or_fallback(F.col("reply"), F.col("error"), F.lit("")))
+    return asked.select("event_id", reply.alias("r"), "error", "attempts").select("event_id", "r.classification", "r.confidence", "error", "attempts")
+
+
 @query("stream_error_intake", "select event_type, count(*) as n from events group by event_type")
 def stream_error_intake(spark, sf_dir):
     target = f"{shared.shared_dir(spark)}/stream-{uuid.uuid4().hex}"

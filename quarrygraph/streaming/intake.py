@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,51 @@ def windowed_counts(stream: DataFrame, time: str, width: str = "1 hour", late: s
     return timed.groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The states' table of :func:`retry_states`.
+STATES = "retries int, status string, action string"
+
+
+def retry_states(events: DataFrame, key: str = "event_id", most: int = RETRIES, limit: str = "1 hour") -> DataFrame:
+    """The retry machine on a stream: (key, retries, status, action) of each report once it has ended.
+
+    ``events``: (key, kind, passed, at). ``report`` opens one, ``ticket`` ends it as ``similar_ticket`` without any retrieval, ``attempt`` is
+    the result of one retrieval: the first that passed ends the report as ``fixed``, the ``most``-th that didn't as ``gave_up``. A report that
+    hears of nothing until the watermark is ``limit`` past its last event ends as ``timed_out``, with the retrievals it has had. What comes
+    for a report that has ended is left out. Each report's state is two numbers in Spark's state store, so a query that is
+    stopped goes on from its checkpoint; ended reports keep theirs. The events of a batch are taken by time, then reports before tickets and attempts.
+    Rows with a null key or kind, or an unknown kind, are left out. ``at`` must have a watermark."""
+    import pandas as pd
+
+    kind_of_key = events.schema[key].dataType.simpleString()
+    wait = pd.Timedelta(limit)
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        retries, ended = state.get if state.exists else (0, False)
+        status = None
+        if state.hasTimedOut:
+            status = None if ended else "timed_out"
+        else:
+            rows = pd.concat(list(batches))
+            rows["first"] = rows["kind"] != "report"
+            for row in rows.sort_values(["at", "first", "kind"], kind="stable").itertuples():
+                if ended or status:
+                    break
+                if row.kind == "ticket":
+                    status = "similar_ticket"
+                elif row.kind == "attempt":
+                    retries += 1
+                    status = "fixed" if row.passed else "gave_up" if retries >= most else None
+            if not (ended or status):
+                last = int(rows["at"].max().timestamp() * 1000)
+                state.setTimeoutTimestamp(max(last + int(wait.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
+        state.update((retries, ended or status is not None))
+        if status:
+            yield pd.DataFrame({key: [keys[0]], "retries": [retries], "status": [status], "action": ["create_ticket"]})
+
+    known = events.where(F.col(key).isNotNull() & F.col("kind").isin("report", "ticket", "attempt")).select(key, "kind", F.coalesce("passed", F.lit(False)).alias("passed"), "at")
+    return known.groupBy(key).applyInPandasWithState(step, f"{key} {kind_of_key}, {STATES}", "retries int, ended boolean", "append", "EventTimeTimeout")
+
+
 def retry(reports: DataFrame, has_ticket: str, attempt: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The states of reports: those with a similar ticket end in a ticket at once; the others are retrieved and tested by
     ``attempt`` (which adds a boolean ``passed``) until they pass or have had ``RETRIES`` retrievals, then end in a ticket too."""
