@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.sources.shared import discard, materialize, shared_dir  # noqa: F401
+from quarrygraph.sources.shared import discard, free_names, materialize, shared_dir  # noqa: F401
 
 #: Rows, and bytes of their columns, that a step works on at a time: what comes in larger batches is cut up.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
@@ -75,6 +75,8 @@ def labelled_pieces(
     """
     own = [] if docs is not None else [F.col(text_col).alias("text")]
     rows = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), *own, *([F.col(id_col).alias("_id")] if docs is not None else []))
+    if docs is not None:  # a row for each id, with the largest of its labels, so that what is broadcast is bounded
+        rows = rows.groupBy("_id").agg(F.max("label").alias("label"))
     counts = rows.groupBy("label").count().limit(1001).collect()
     if len(counts) > 1000:
         raise ValueError(f"{label} has over 1,000 values")

@@ -261,9 +261,11 @@ def search(block: Block, texts: list[str]) -> list[tuple[int, int, int, int, flo
         low = max(int(laid.begins[t]), min(min(e - int(block.lengths[s]), p) for s, _, e, _, _, p in rows))
         high = max(max(e, p + z - a) for _, _, e, a, z, p in rows)
         out.append((t, i, len(edits), int((block.item_of == i).sum()), float(held.mean()), sum(edits.values()), max(laid.origin(low, t), 0), laid.origin(high - 1, t) + 1))
-    for t, x in enumerate(texts) if block.short else ():
-        for i in block.short.get(normalize(x).tobytes(), ()) if len(x) <= 1000 * block.q else ():
-            out.append((t, i, 0, 0, 1.0, 0, 0, len(x)))
+    # a text between the space that begins it and that of the next one; one space at most may end it
+    for t in np.flatnonzero(np.diff(laid.begins) <= block.q + 1).tolist() if block.short else ():
+        own = laid.codes[laid.begins[t] + 1 : laid.begins[t + 1]]
+        for i in block.short.get((own[:-1] if len(own) and own[-1] == 32 else own).tobytes(), ()):
+            out.append((t, i, 0, 0, 1.0, 0, 0, len(texts[t])))
     return out
 
 

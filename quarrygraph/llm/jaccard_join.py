@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import arrow_map, cut_batches, discard, materialize
+from quarrygraph.llm.common import arrow_map, cut_batches, discard, free_names, materialize
 from quarrygraph.llm.components import connected_components
 from quarrygraph.llm.shingles import digest, mix, shingle_sets
 
@@ -378,18 +378,18 @@ def sets_of(classes: DataFrame, rows: DataFrame, docs: DataFrame, k: int, id_col
     return materialize(found.groupBy("cls").agg(F.first("hashes").alias("hashes")), "sets")
 
 
-def links_of(lists: DataFrame, candidates: DataFrame, links: DataFrame, sets_with: Callable[[DataFrame], DataFrame], percent: int, order: Order, turns: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
+def links_of(lists: DataFrame, candidates: DataFrame, links: DataFrame, sets_with: Callable[[DataFrame], DataFrame], percent: int, order: Order) -> tuple[DataFrame, DataFrame | None]:
     """(links (a, b) of the classes in the lists, as many as their components need, with the given ``links`` and those of the
-    ``candidates``; the sets (cls, hashes) of classes, by ``sets_with`` of those that need any). ``turns``: rounds of pivots at most."""
+    ``candidates``; the sets (cls, hashes) of classes, by ``sets_with`` of those that need any)."""
     sets, before = None, None
-    for turn in range(turns + 1):
+    for turn in range(ROUNDS + 1):
         still = _open(lists, percent)
         many = F.col("pairs") > F.lit(PAIRS_PER_ROW) * F.col("members")
         of_all, of_long = still.agg(F.sum("pairs"), F.sum(F.when(many, F.col("pairs")))).first()
         if not of_all:
             discard(still)
             break
-        split = bool(of_long) and turn < turns and (before is None or of_long <= before / 4)
+        split = bool(of_long) and turn < ROUNDS and (before is None or of_long <= before / 4)
         before = of_long
         lists = materialize(lists.join(still.select("key", many.alias("long")), "key").select(*_ROW, "long"), "lists")
         discard(still)
@@ -472,12 +472,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 def keep_one_of_each(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all columns: that with the least id (of equal ids, the least hash of the text). Rows
     with a null id and rows without words stay, all of them; so do texts of other components under the same id, while
-    repeated rows are one. Very long texts are read whole; an empty table stays empty.
+    repeated rows are one. Very long texts are read whole; an empty table stays empty. Columns may have any names.
     """
     rows, labels = link_classes(docs, k, percent, id_col, text_col)
     one = components_of(rows, labels, F.when(F.col("_id").isNotNull(), F.struct("_id", "text_hash"))).where("value is not null").select("value._id", "value.text_hash")
     kept = materialize(one.distinct(), "kept")
     stays = F.col(id_col).isNull() | F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit("^[ \\x09-\\x0D]*$"))
-    named = docs.where(~stays).withColumns({"_quarry_id": F.col(id_col), "_quarry_text": F.xxhash64(text_col)})
-    found = named.join(kept.toDF("_quarry_id", "_quarry_text"), ["_quarry_id", "_quarry_text"], "left_semi").dropDuplicates(["_quarry_id", "_quarry_text"])
-    return found.select(docs.columns).unionByName(docs.where(stays))
+    keys = free_names(docs, "kept_id", "kept_text")
+    named = docs.where(~stays).withColumns(dict(zip(keys, (F.col(id_col), F.xxhash64(text_col)), strict=True)))
+    found = named.join(kept.toDF(*keys), keys, "left_semi").dropDuplicates(keys)
+    return found.drop(*keys).union(docs.where(stays))

@@ -128,6 +128,9 @@ class PhraseIndex:
             self.postings[words[offset]].append((i, offset))
         self.base = {number[p]: label for p, label in base.items()}
         self.templates = [(t, [(number[p], at, must) for p, at, must in t.phrases()]) for t in templates]
+        self.labels: dict[int, set[str]] = defaultdict(set)
+        for p, label in (*self.base.items(), *((p, t.label) for t, phrases in self.templates for p, *_ in phrases)):
+            self.labels[p].add(label)
 
     def places(self, words: list[bytes]) -> dict[int, list[int]]:
         """Where each phrase that occurs starts, all its places in order."""
@@ -140,6 +143,22 @@ class PhraseIndex:
                     found[phrase].append(start)
         return found
 
+    def own_places(self, found: dict[int, list[int]], label: str) -> dict[int, list[int]]:
+        """The places that speak for a label: not those where a phrase of other licences only begins before the end and
+        ends behind it (``licensed under cc by`` in ``licensed under cc by nc``)."""
+        others = sorted((s, s + len(self.phrases[p])) for p, starts in found.items() if label not in self.labels[p] for s in starts)
+        if not others:
+            return found
+        begins, longest = [s for s, _ in others], max(e - s for s, e in others)
+        out: dict[int, list[int]] = {}
+        for p, starts in found.items():
+            if label in self.labels[p]:
+                n = len(self.phrases[p])
+                free = [a for a in starts if not any(e > a + n for _, e in others[bisect_left(begins, a + n - longest) : bisect_left(begins, a + n)])]
+                if free:
+                    out[p] = free
+        return out
+
     def template_score(self, t: Template, phrases: list[tuple[int, int, bool]], found: dict[int, list[int]]) -> float:
         """The largest share of the template's weight whose places agree on one beginning; 0 if it falls short."""
         must = [k for k, (*_, m) in enumerate(phrases) if m]
@@ -166,7 +185,7 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row of ``docs``: id, number of words, ``places`` (start, label) of every base phrase in order, ``labels``
     (sorted, distinct: of base phrases and templates) and ``score``: 1 with a base phrase, else the largest share of a
-    template's IDF weight that was found, 0 without any.
+    template's IDF weight that was found, 0 without any. Where a phrase of one licence goes on to one of another, the longer one counts.
 
     A null or empty text has no words, places or labels; very long texts are read whole, in time that grows as they do;
     repeated rows give repeated rows; an empty table gives no rows. Only the two named columns are read.
@@ -185,8 +204,9 @@ def scan_licenses(
                 found = index.places(words)
                 of_base = sorted((s, index.base[p]) for p, starts in found.items() if p in index.base for s in starts)
                 held: dict[str, float] = {}
+                own = {label: index.own_places(found, label) for p in found for label in index.labels[p]}
                 for t, phrases in index.templates if found else ():
-                    if share := index.template_score(t, phrases, found):
+                    if share := index.template_score(t, phrases, own.get(t.label, {})):
                         held[t.label] = max(held.get(t.label, 0.0), share)
                 n.append(len(words))
                 places.append([{"start": s, "label": x} for s, x in of_base])

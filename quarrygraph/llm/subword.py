@@ -63,6 +63,8 @@ class Block:
 
 #: Positions whose class scores are held at a time.
 STRETCH = 1 << 16
+#: Length of what one training step adds to an embedding, at most.
+FARTHEST = 1.0
 
 
 @dataclass
@@ -128,7 +130,10 @@ def train(
     texts: list[str], labels: list, orders: tuple[int, ...], bits: int = 17, dim: int = 12, epochs: int = 4, rate: float = 0.3, batch: int = 32, seed: int = 7,
     weights: np.ndarray | None = None,
 ) -> SubwordModel:
-    """Embeddings and softmax trained jointly by minibatch SGD with a linearly falling rate. Texts without n-grams are left out."""
+    """Embeddings and softmax trained jointly by minibatch SGD with a linearly falling rate. Texts without n-grams are left out.
+
+    What a step adds to a bucket's embedding has a length of ``FARTHEST`` at most: a bucket that a batch holds very often would
+    overshoot and diverge otherwise. A model that isn't finite is an error."""
     classes = sorted(set(labels))
     y = np.array([classes.index(x) for x in labels])
     at, n = [], np.zeros(len(texts), np.int64)
@@ -171,7 +176,11 @@ def train(
             uniq, inverse = np.unique(idx, return_inverse=True)
             grad = np.zeros((len(uniq), dim), np.float32)
             np.add.at(grad, inverse, np.repeat(back, size, axis=0))
-            e[uniq] -= lr * dim * grad
+            move = lr * dim * grad
+            move *= np.minimum(1, FARTHEST / np.maximum(np.sqrt((move * move).sum(axis=1)), 1e-12))[:, None].astype(np.float32)
+            e[uniq] -= move
+    if not (np.isfinite(e).all() and np.isfinite(w).all() and np.isfinite(b).all()):
+        raise ArithmeticError("training diverged")
     table = np.zeros(((1 << bits) + 1, len(classes)), np.float32)
     table[met] = e @ w
     return SubwordModel(classes, table, b.astype(np.float64), seen, orders, bits)

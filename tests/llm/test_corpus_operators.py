@@ -317,3 +317,66 @@ def test_pipeline_joins_near_copies_of_five_words(spark, tmp_path):
     docs = frame(spark, [" ".join(x) for x in (base, near, far)])
     kept = corpus_pipeline.join_near_copies(spark, docs, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in kept) == [0, 2]
+
+
+def test_texts_of_few_words_make_few_pairs(spark, monkeypatch):
+    made = []
+    merged, chained = jaccard_join._merged, jaccard_join._chained
+
+    def tried(lists, percent):
+        of_known = lists.groupBy("key", "known").agg(F.count(F.lit(1)).alias("n"))
+        made.append(of_known.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("p")).agg(F.sum("p")).first()[0] or 0)
+        return merged(lists, percent)
+
+    def chains(*args):
+        out = chained(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_merged", tried)
+    monkeypatch.setattr(jaccard_join, "_chained", chains)
+    rng, sums = random.Random(1), []
+    for n in (1000, 4000):
+        texts = [" ".join(rng.choice("abcdef") for _ in range(30)) for _ in range(n)]
+        made.clear()
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+        sums.append(sum(made))
+        sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for t in texts)]
+        linked = [(i, j) for i in range(0, n, 7) for j in range(n) if i != j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+        assert all(found[i] == found[j] for i, j in linked)
+    assert sums[1] < 6 * sums[0], sums
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_chains_find_all_links(spark, seed, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(jaccard_join, "CHAIN_PAIRS", 0)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(120):
+        words = [rng.choice("abcdefgh") for _ in range(rng.choice([4, 8, 30, 60]))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 3)):
+            words = [rng.choice("abcdefgh") if rng.random() < 0.02 else w for w in words]
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links, sets = [], [{" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                links.append((i, j))
+    for _ in texts:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    found = jaccard_join.jaccard_components(docs).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(label))
+
+
+def test_kept_rows_have_all_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", "x", 7, "p"), (2, "one two three four five six", "y", 8, "q"), (3, "", "z", 9, None)], "doc_id long, text string, _quarry_id string, `a.b` int, kept_id string")
+    kept = jaccard_join.keep_one_of_each(docs, k=5, percent=80)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "one two three four five six", "x", 7, "p"), (3, "", "z", 9, None)]

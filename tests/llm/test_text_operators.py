@@ -421,3 +421,32 @@ def test_scores_equal_plain_loops(spark, two_languages):
         leads = [np.mean([toxic.model.table[b, 1] - toxic.model.table[b, 0] for w in words[i : i + size] for b in w]) for i in range(len(words) - size + 1)]
         z = toxic.slope * (max(leads) + toxic.model.bias[1] - toxic.model.bias[0]) + toxic.shift
         assert abs(toxic.score([text])[0] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_short_items_in_texts_of_any_length(spark):
+    items = spark.createDataFrame([(0, "yes"), (1, "a b"), (2, "")], "item_id long, text string")
+    texts = ["yes", "yes" + "." * 9010, "!" * 50_000 + "YES " + " " * 100_000, "yes no", "A--b", "-" * 3_000_000, "", None, "ayes"]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(documents(spark, texts), items).collect()}
+    assert found == {(0, 0), (1, 0), (2, 0), (4, 1)}
+
+
+def test_longer_licence_phrases_take_precedence(spark):
+    texts = ["licensed under CC BY NC", "licensed under cc by", "licensed under cc by sa, and elsewhere licensed under cc by", "gnu general public license version 3", "gnu general public license", "creative commons attribution noncommercial", "licensed under cc by nd"]
+    rows = {r.doc_id: r.labels for r in license_scan.scan_licenses(documents(spark, texts)).collect()}
+    assert [rows[i] for i in range(7)] == [["cc-by-nc"], ["cc-by"], ["cc-by", "cc-by-sa"], ["gpl-3"], ["gpl"], ["cc-by-nc"], ["cc-by-nd"]]
+
+
+def test_training_stays_finite():
+    texts = ["bad word " * 8] * 300 + ["good " * 60 + f"w{i}" for i in range(900)] + ["zzzz"] * 40
+    with np.errstate(over="raise", invalid="raise", divide="raise"):
+        model = subword.train(texts, [1] * 300 + [0] * 900 + [1] * 40, toxicity.ORDERS, epochs=20, rate=0.9)
+    assert np.isfinite(model.table).all() and np.isfinite(model.bias).all()
+    lead = np.subtract(*model.score_texts(["bad word bad", "good good", "zzzz"])[0].T[::-1])
+    assert lead[0] > 0 > lead[1] and lead[2] > 0
+
+
+def test_repeated_labels_count_once(spark):
+    docs = documents(spark, [f"some text of document {i}" for i in range(6)])
+    labels = spark.createDataFrame([(i % 3, int(i == 1)) for i in range(3000)] + [(4, None), (None, 1)], "doc_id long, toxic int")
+    found = langid.labelled_pieces(labels, "toxic", 100, lambda text, h: [text], "text", docs, "doc_id")
+    assert sorted((p[0][-1], y) for _, y, p in found) == [("0", 0), ("1", 1), ("2", 0)]
