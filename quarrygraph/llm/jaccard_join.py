@@ -46,7 +46,7 @@ MERGED = 3
 #: A list is merged if that tries at most so many pairs for each of its rows; the others get a pivot, until a round of pivots (of so
 #: many at most) has left more than a quarter of the pairs. What is left then is split into chains.
 PAIRS_PER_ROW, ROUNDS = 16, 4
-#: Elements of a chain at most, and pairs for each row up to which a chain's list is turned into pairs.
+#: Elements of a chain at most, and pairs up to which a list isn't split, for each row that would come of it.
 LEVELS, CHAIN_PAIRS = 8, 2
 #: Hash buckets of wanted ids, broadcast to drop other documents before their texts are shuffled: at most so many numbers.
 BUCKETS = 1 << 19
@@ -295,41 +295,63 @@ def _prefixes(rows: DataFrame, sets: DataFrame, percent: int, order: Order) -> D
     return materialize(arrow_map(held, make, "cls binary, of bigint, share int, elements array<bigint>"), "prefixes")
 
 
+def _chain_lists(rows: DataFrame, level: int) -> tuple[DataFrame, int]:
+    """((key, of, long) of the lists with classes not known to be linked; how many pairs the long ones have). A list is long if it has
+    over CHAIN_PAIRS times as many pairs as rows come of it, when it is split."""
+    window = F.greatest(F.least(_window(level), F.col("rest") - 1 - F.col("place")), F.lit(0))
+    by_known = rows.groupBy("key", "of", "known").agg(F.count(F.lit(1)).alias("n"), F.sum(window).alias("more"))
+    pairs = ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs")
+    sums = by_known.groupBy("key", "of").agg(pairs, F.sum("more").alias("more")).where("pairs > 0")
+    out = materialize(sums.select("key", "of", "pairs", (F.col("pairs") > CHAIN_PAIRS * F.col("more")).alias("long")), "chain-lists")
+    return out, out.where("long").agg(F.sum("pairs")).first()[0] or 0
+
+
+def _window(level: int) -> Column:
+    """Among how many elements behind its place the next shared one is, if this one is shared as the level-th to (level + MERGED - 1)-th."""
+    return F.col("rest") - F.col("share") - F.col("place") + (level + MERGED - 1)
+
+
 def _chained(lists: DataFrame, sets: DataFrame, percent: int, order: Order) -> DataFrame:
     """(a, b) of the classes that may be linked, of lists that no pivot splits.
 
     A list's classes share its element. Those of a link share the next one too, as many as they need, and it is among the
-    first ones behind: so the list is split by what comes next in each class's order, which gives chains of two elements, then
-    of three and so on. Each chain's list is shorter, unless its classes have more in common. A list is turned into pairs when it
-    has few for its members. A pair that meets in such a list may share up to MERGED - 1 elements before it; those
-    with more of them are found by the counts of the short lists. Classes that may share no more than the chain holds are paired there."""
+    first ones behind: so a list can be split by what comes next in each class's order, which gives chains of two elements, then
+    of three and so on. That is done where a list has more pairs than rows come of it, which is so where texts are short and
+    have few different words, and as long as it halves the pairs. The others are merged by counts like short ones. A pair that meets in a chain's list may
+    share up to MERGED - 1 elements before it; those with more of them are found by the counts of the other lists. Classes
+    that may share no more than the chain holds are paired there."""
     prefixes = _prefixes(lists, sets, percent, order)
-    rows = lists.select("key", "of", "cls", "n", "rest", "place", "known").join(prefixes.select("cls", "of", "share"), ["cls", "of"])
+    rows = materialize(lists.select(*_ROW).join(prefixes.select("cls", "of", "share"), ["cls", "of"]), "chains")
     columns = ("key", "of", "cls", "n", "rest", "place", "known", "share")
-    out, held = None, None
-    for level in range(1, LEVELS + 1):
-        rows = materialize(rows.select(*columns), "chains")
-        discard(held)
-        held = rows
-        by_known = rows.groupBy("key", "of", "known").agg(F.count(F.lit(1)).alias("n"))
-        sums = by_known.groupBy("key", "of").agg(F.sum("n").alias("members"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0")
-        still = materialize(sums.select("key", "of", (F.col("pairs") > CHAIN_PAIRS * F.col("members")).alias("long")), "open-chains")
-        marked = rows.join(still, ["key", "of"])
-        last = level == LEVELS
-        short = marked if last else marked.where(~F.col("long") | (F.col("share") < level + MERGED))
-        side = lambda x: short.select("key", *(F.col(c).alias(c + x) for c in ("of", "cls", "n", "rest", "place", "known", "long")))  # noqa: B023, E731
+    still, before = _chain_lists(rows, 1)
+    found = [_merged(rows.join(still.where("not long"), ["key", "of"], "left_semi").select(*_ROW), percent)]
+    marked = rows.join(still.where("long").select("key", "of"), ["key", "of"], "left_semi").select(*columns)
+
+    def paired(chosen: DataFrame, level: int) -> None:
+        side = lambda x: chosen.select("key", *(F.col(c).alias(c + x) for c in columns[1:]))
         na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
         shared = F.least(F.col("resta") - F.col("placea"), F.col("restb") - F.col("placeb")) + (MERGED + level - 2)
         possible = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (2 * shared >= F.col("resta") + F.col("restb") - _apart(na, nb, percent))
-        found = materialize(side("a").join(side("b"), "key").where("clsa < clsb and knowna != knownb and ofa = ofb").where(possible).select(F.col("clsa").alias("a"), F.col("clsb").alias("b")).distinct(), "candidates")
-        out = found if out is None else out.union(found)
-        if last or still.where("long").limit(1).count() == 0:
-            discard(still)
+        pairs = side("a").join(side("b"), "key").where("clsa < clsb and knowna != knownb and ofa = ofb").where(possible)
+        found.append(materialize(pairs.select(F.col("clsa").alias("a"), F.col("clsb").alias("b")).distinct(), "candidates"))
+
+    for level in range(1, LEVELS + 1):
+        if not before:
+            break
+        following = marked.join(prefixes.select("cls", "of", "elements"), ["cls", "of"]).select(*columns, F.posexplode(F.slice("elements", F.col("place") + 2, F.greatest(_window(level), F.lit(0)))).alias("step", "element"))
+        longer = materialize(following.withColumns({"key": F.xxhash64("key", "element"), "place": F.col("place") + F.col("step") + 1}).select(*columns), "chains")
+        lists_of, after = _chain_lists(longer, level + 1)
+        every = lists_of.agg(F.sum("pairs")).first()[0] or 0
+        if every > before / 2 or level == LEVELS:  # no gain: paired where they are
+            paired(marked, level)
+            discard(longer, lists_of)
             break
-        window = F.col("rest") - F.col("share") - F.col("place") + (level + MERGED - 1)
-        following = marked.where("long").join(prefixes.select("cls", "of", "elements"), ["cls", "of"]).select(*columns, F.posexplode(F.slice("elements", F.col("place") + 2, F.greatest(window, F.lit(0)))).alias("step", "element"))
-        rows = following.withColumns({"key": F.xxhash64("key", "element"), "place": F.col("place") + F.col("step") + 1})
-    discard(held, prefixes)
+        paired(marked.where(F.col("share") < level + MERGED), level)
+        paired(longer.join(lists_of.where("not long"), ["key", "of"], "left_semi"), level + 1)
+        marked, before = longer.join(lists_of.where("long"), ["key", "of"], "left_semi").select(*columns), after
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
     return out
 
 
@@ -399,7 +421,7 @@ def links_of(lists: DataFrame, candidates: DataFrame, links: DataFrame, sets_wit
             sets = sets_with(candidates.select("a").union(candidates.select("b")).union(long.select("cls")).toDF("cls"))
         if not split:
             if of_long:
-                candidates = candidates.union(_chained(long, sets, percent, order))
+                candidates = candidates.union(_chained(long.select(*_ROW), sets, percent, order))
             discard(lists)
             break
         pairs = _with_pivots(long, percent)
