@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import arrow_map, materialize
+from quarrygraph.llm.common import arrow_map, discard, materialize
 
 #: Projections; the chance that a nearest neighbour passes the stopping test; vectors of a leaf.
 PROJECTIONS, SURE, LEAF = 8, 0.98, 128
-#: Vectors the top tree is fitted on; vectors of a cell, aimed at; most cells; queries of one broadcast block.
-SAMPLE, CELL, MOST_CELLS, QUERY_BLOCK = 16_384, 4096, 4096, 4096
+#: Vectors the top tree is fitted on; vectors of a cell, aimed at, and of a block; most cells; queries of a block; tasks that a cell's queries are dealt to.
+SAMPLE, CELL, MOST_CELLS, QUERY_BLOCK, SALTS = 16_384, 4096, 4096, 1024, 4
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -175,25 +175,86 @@ def _prepared(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return arrow_map(vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col), make, "id bigint, x binary, dim int, length double", 4096)
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held = []
-    for row in queries.toLocalIterator():
-        held.append(row)
-        if len(held) == size:
-            yield np.array([r[0] for r in held]), np.stack([np.frombuffer(r[1]) for r in held])
-            held = []
-    if held:
-        yield np.array([r[0] for r in held]), np.stack([np.frombuffer(r[1]) for r in held])
+def _block_rows(rows: DataFrame, size: int, salts: int) -> DataFrame:
+    """(cell, ids, xs, bounds): ``rows`` (cell, id, x, bound) put together, at most ``size`` of a cell in a row; a written table. The rows
+    of a cell are dealt to ``salts`` tasks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, xs, bounds = None, [], [], []
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 17) -> DataFrame:
+        def row() -> pa.RecordBatch:
+            columns = [pa.array([cell], pa.int32()), *(pa.array([v], pa.binary()) for v in (np.array(ids, np.int64).tobytes(), b"".join(xs), np.array(bounds, np.float64).tobytes()))]
+            return pa.RecordBatch.from_arrays(columns, names=["cell", "ids", "xs", "bounds"])
+
+        for batch in batches:
+            for c, i, x, b in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if ids and (c != cell or len(ids) >= size):
+                    yield row()
+                    ids, xs, bounds = [], [], []
+                cell = c
+                ids.append(i)
+                xs.append(x)
+                bounds.append(b)
+        if ids:
+            yield row()
+
+    dealt = rows.select("cell", "id", "x", "bound").repartition("cell", F.pmod(F.xxhash64("id"), F.lit(salts))).sortWithinPartitions("cell")
+    return materialize(dealt.mapInArrow(run, "cell int, ids binary, xs binary, bounds binary"), "blocks")
+
+
+def _searched(index: DataFrame, asked: DataFrame, projection: Projection, top: float, k: int) -> DataFrame:
+    """(query_id, id, score): the best of each block of vectors for each query that is dealt to its cell."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, near, scores = [], [], []
+            for own, xs, who, qs, bounds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, who = np.frombuffer(own, np.int64), np.frombuffer(who, np.int64)
+                x, q = np.frombuffer(xs).reshape(len(own), -1), np.frombuffer(qs).reshape(len(who), -1)
+                found = search_block(x, own, projection.points(x), q, who, projection.queries(q), np.frombuffer(bounds), top, k)
+                good = np.isfinite(found.score)
+                ids.append(np.broadcast_to(who[:, None], good.shape)[good])
+                near.append(found.id[good])
+                scores.append(found.score[good])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (ids, near, scores)], names=["query_id", "id", "score"])
+
+        return step
+
+    queries = asked.select("cell", F.col("ids").alias("who"), F.col("xs").alias("qs"), F.col("bounds").alias("least"))
+    return arrow_map(index.join(queries, "cell").select("ids", "xs", "who", "qs", "least"), make, "query_id bigint, id bigint, score double", 1)
+
+
+def _boxes(index: DataFrame, projection: Projection) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, least and largest projections in each), of at most ``MOST_CELLS`` cells."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            points = [projection.points(np.frombuffer(xs).reshape(len(ids) // 8, -1)) for ids, xs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            sides = np.array([[*p.min(axis=0), *p.max(axis=0)] for p in points])
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in sides.T)], names=["cell", *names])
+
+        return step
+
+    names = [f"{side}{i}" for side in ("low", "high") for i in range(PROJECTIONS)]
+    each = arrow_map(index.select("cell", "ids", "xs"), make, ", ".join(["cell int", *(f"{c} double" for c in names)]), 1)
+    rows = each.groupBy("cell").agg(*(F.min(c).alias(c) for c in names[:PROJECTIONS]), *(F.max(c).alias(c) for c in names[PROJECTIONS:])).collect()
+    sides = np.array([r[1:] for r in rows]).reshape(len(rows), 2 * PROJECTIONS)
+    return np.array([r[0] for r in rows], np.int64), sides[:, :PROJECTIONS], sides[:, PROJECTIONS:]
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 17, cell: int = CELL) -> DataFrame:
     """(query_id, rank, id, score): for each vector whose id is divisible by ``every``, the k others with the largest inner
     product found, all of them where there are fewer; best first, ties to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another dimension
     than the most frequent one, or with a null id. Repeated rows count once. Of equal vectors only the k + 1 smallest ids can
     be among the k nearest of any query, so only these are indexed. An empty table gives no rows; other columns aren't
-    read. Queries are broadcast in blocks of ``QUERY_BLOCK``, and every block is searched for in all vectors.
+    read.
+
+    Queries are dealt to cells (of about ``cell`` vectors) like the vectors, and both meet there in blocks: first in each query's own cell, which
+    gives the score that its k-th neighbour reaches at least, and then in the other cells that the chi-square test on a cell's bounds
+    doesn't rule out for that score. So the index is read twice, however many queries there are, and nothing passes the driver but the top tree
+    and the bounds of its cells.
     """
     spark = vectors.sparkSession
     every_row = materialize(_prepared(vectors, id_col, vector_col).distinct(), "vectors")
@@ -207,41 +268,47 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     projection = Projection(dim, top, seed)
     held = rows.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("nth") <= k + 1).select("id", "x")
     sample = rows.select("x").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < min(1.0, SAMPLE / n) * (1 << 20)).toArrow()["x"].to_pylist()
-    tree = TopTree(projection.points(np.stack([np.frombuffer(x) for x in sample])) if sample else np.zeros((0, PROJECTIONS)), min(MOST_CELLS, max(1, n // CELL)))
-
-    def deal():
+    tree = TopTree(projection.points(np.stack([np.frombuffer(x) for x in sample])) if sample else np.zeros((0, PROJECTIONS)), min(MOST_CELLS, max(1, n // cell)))
+    salts = 1 + n // (cell * MOST_CELLS)
+
+    def dealt(df: DataFrame, project) -> DataFrame:
+        def make():
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                x = np.stack([np.frombuffer(v) for v in batch.column(1).to_pylist()])
+                return pa.RecordBatch.from_arrays([pa.array(tree.cell_of(project(x)).astype(np.int32)), batch.column(0), batch.column(1), pa.array(np.full(len(x), -np.inf))], names=["cell", "id", "x", "bound"])
+
+            return step
+
+        return arrow_map(df.select("id", "x"), make, "cell int, id bigint, x binary, bound double", 4096)
+
+    index = _block_rows(dealt(held, projection.points), cell, salts)
+    home = materialize(dealt(rows.where(F.col("id") % every == 0), projection.queries), "home")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))).where(F.col("rank") <= k)
+    asked = _block_rows(home, QUERY_BLOCK, SALTS)
+    first = materialize(ranked(_searched(index, asked, projection, top, k)), "first")
+    if tree.cells == 1:
+        discard(every_row, index, home, asked)
+        return first.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    reached = first.groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("found")).where(F.col("found") == k).select("id", "least")
+    cells, low, high = _boxes(index, projection)
+    far = chi_square_quantile(SURE, PROJECTIONS)
+
+    def others():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.stack([np.frombuffer(v) for v in batch.column(1).to_pylist()])
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tree.cell_of(projection.points(x)).astype(np.int32))], names=["id", "x", "cell"])
+            q, bound = np.stack([np.frombuffer(v) for v in batch.column(2).to_pylist()]), batch.column(3).to_numpy()
+            points, length, gap = projection.queries(q), (q * q).sum(axis=1), np.zeros((len(q), len(cells)))
+            for side in range(PROJECTIONS):
+                at = points[:, side, None]
+                gap += np.maximum(np.maximum(low[:, side] - at, at - high[:, side]), 0) ** 2
+            reach = far * np.maximum(length + top - 2 * bound, 0) + 1e-9 * (top + length)
+            who, other = np.nonzero((gap <= reach[:, None]) & (cells != batch.column(0).to_numpy()[:, None]))
+            take = pa.array(who)
+            return pa.RecordBatch.from_arrays([pa.array(cells[other].astype(np.int32)), *(batch.column(i).take(take) for i in (1, 2, 3))], names=["cell", "id", "x", "bound"])
 
         return step
 
-    index = materialize(arrow_map(held, deal, "id bigint, x binary, cell int", 4096).repartition("cell").sortWithinPartitions("cell"), "cells")
-    out = None
-    for q_ids, q in _blocks(rows.where(F.col("id") % every == 0).select("id", "x").orderBy("id"), QUERY_BLOCK):
-        home = tree.cell_of(projection.queries(q))
-        bound = np.full(len(q), -np.inf)
-
-        def find(only_home: bool, q_ids=q_ids, q=q, home=home, bound=bound):
-            def make():
-                q_points = projection.queries(q)
-
-                def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                    x, ids = np.stack([np.frombuffer(v) for v in batch.column(1).to_pylist()]), batch.column(0).to_numpy()
-                    who = np.flatnonzero(np.isin(home, batch.column(2).to_numpy())) if only_home else np.arange(len(q))
-                    found = search_block(x, ids, projection.points(x), q[who], q_ids[who], q_points[who], bound[who], top, k)
-                    good = np.isfinite(found.score)
-                    of = np.broadcast_to(q_ids[who][:, None], good.shape)[good]
-                    return pa.RecordBatch.from_arrays([pa.array(of), pa.array(found.id[good]), pa.array(found.score[good])], names=["query_id", "id", "score"])
-
-                return step
-
-            return arrow_map(index, make, "query_id bigint, id bigint, score double", CELL)
-
-        ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))).where(F.col("rank") <= k)
-        # a first pass over each query's own cell gives the score that its k-th neighbour reaches at least
-        reached = {r[0]: r[1] for r in ranked(find(True)).groupBy("query_id").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).collect()}
-        bound[:] = [reached.get(i, -np.inf) for i in q_ids.tolist()]
-        part = ranked(find(False)).select("query_id", "rank", F.col("id").alias(id_col), "score")
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    bounded = home.drop("bound").join(reached, "id", "left").select("cell", "id", "x", F.coalesce("least", F.lit(float("-inf"))).alias("bound"))
+    more = _block_rows(arrow_map(bounded, others, "cell int, id bigint, x binary, bound double", 256), QUERY_BLOCK, SALTS)
+    every_one = materialize(first.drop("rank").unionByName(_searched(index, more, projection, top, k)), "found")
+    discard(every_row, index, home, asked, first, more)
+    return ranked(every_one).select("query_id", "rank", F.col("id").alias(id_col), "score")

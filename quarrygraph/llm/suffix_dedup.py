@@ -32,6 +32,7 @@ NEAR_RUNS = 10
 #: Hash buckets of suffixes, broadcast to drop other records before they are shuffled: at most so many numbers.
 BUCKETS = 1 << 19
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+_RECORD = "suffix bigint, cls binary, at int, last int, after binary, before binary"
 
 
 def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -100,28 +101,40 @@ def _anchors(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFra
 
 
 def _contexts(texts: DataFrame, least: int) -> DataFrame:
-    """(suffix, cls, at, after, before) of the wanted positions: 32-bit hashes of the words that follow and go before."""
+    """(suffix, cls, at, last, after, before) of the wanted positions: 32-bit hashes of the words that follow and go before.
+
+    Positions of a text that have all this in common, as those in a repeated word or phrase have, and follow each other by ``least`` words
+    at most, are one record, from ``at`` to ``last``: what the first one shares with another text, they all share, each moved
+    along, and these stretches join. So a text that repeats itself has as many records as it has different contexts."""
     side = least - K
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            suffix, cls, at, after, before = [], [], [], [], []
+            suffix, cls, at, last, after, before = [], [], [], [], [], []
             for (words, key, places, runs), wanted in zip(_documents([t or "" for t in batch.column(0).to_pylist()], least), batch.column(1).to_pylist(), strict=True):
                 keep = np.isin(places, np.array(wanted, np.int64))
                 small = (words >> np.uint64(32)).astype("<u4")
                 padded = np.concatenate([np.zeros(side, "<u4"), small, np.zeros(side, "<u4")])
+                known: dict[tuple, int] = {}
                 for p, s in zip(places[keep].tolist(), runs.view(np.int64)[keep].tolist(), strict=True):
+                    context = s, padded[p + K + side : p + K + 2 * side].tobytes(), padded[p : p + side][::-1].tobytes()
+                    i = known.get(context)
+                    if i is not None and p - last[i] <= least:
+                        last[i] = p
+                        continue
+                    known[context] = len(at)
                     suffix.append(s)
                     cls.append(key)
                     at.append(p)
-                    before.append(padded[p : p + side][::-1].tobytes())
-                    after.append(padded[p + K + side : p + K + 2 * side].tobytes())
-            columns = [pa.array(suffix, pa.int64()), pa.array(cls, pa.binary()), pa.array(at, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["suffix", "cls", "at", "after", "before"])
+                    last.append(p)
+                    after.append(context[1])
+                    before.append(context[2])
+            columns = [pa.array(suffix, pa.int64()), pa.array(cls, pa.binary()), pa.array(at, pa.int32()), pa.array(last, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["suffix", "cls", "at", "last", "after", "before"])
 
         return step
 
-    return arrow_map(texts, make, "suffix bigint, cls binary, at int, after binary, before binary", 128)
+    return arrow_map(texts, make, _RECORD, 128)
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,7 +142,6 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
 
 
-_RECORD = "suffix bigint, cls binary, at int, after binary, before binary"
 
 
 def _neighbours(records: DataFrame, least: int, order: list[str]) -> DataFrame:
@@ -140,7 +152,7 @@ def _neighbours(records: DataFrame, least: int, order: list[str]) -> DataFrame:
     side of the order the neighbours share, end the windows that matches hold (bit j: the one with j words behind the suffix);
     kind 4, matches with neighbours further off that hold more of these. ``silent`` records get none of their own."""
     side = least - K
-    fields = ["suffix", "cls", "at", "after", "before"]
+    fields = ["suffix", "cls", "at", "last", "after", "before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last run so far, whose next one isn't known yet, and the record before it
@@ -153,7 +165,7 @@ def _neighbours(records: DataFrame, least: int, order: list[str]) -> DataFrame:
             n = t.num_rows
             suffix, cls = t["suffix"].to_numpy(), np.array(t["cls"].to_pylist(), object)
             wide = [np.frombuffer(b"".join(t[c].to_pylist()), "<u4").reshape(n, side) for c in ("after", "before")]
-            at = t["at"].to_numpy().astype(np.int64)
+            at, last = t["at"].to_numpy().astype(np.int64), t["last"].to_numpy().astype(np.int64)
             new = np.ones(n, bool)
             new[1:] = (suffix[1:] != suffix[:-1]) | (cls[1:] != cls[:-1])
             begin = np.flatnonzero(new)
@@ -169,7 +181,7 @@ def _neighbours(records: DataFrame, least: int, order: list[str]) -> DataFrame:
                 a, b = a[same], b[same]
                 r, before = _alike(wide[0][a], wide[0][b]), _alike(wide[1][a], wide[1][b])
                 good = r + before + K >= least
-                out.append((a[good], b[good], at[a[good]] - before[good], at[a[good]] + K + r[good]))
+                out.append((a[good], b[good], at[a[good]] - before[good], last[a[good]] + K + r[good]))
                 reach[a] = np.maximum(reach[a], r if order[0] == "after" else before)
                 windows[a[good]] |= (bits[r] * np.uint64(2) - np.uint64(1) - (bits[side - before] - np.uint64(1)))[good]
             # all windows that the neighbours on this side allow
@@ -188,14 +200,14 @@ def _neighbours(records: DataFrame, least: int, order: list[str]) -> DataFrame:
                 good = (r + before + K >= least) & (held & ~windows[a] & allowed[a] != 0)
                 a, b = a[good], b[good]
                 windows[a] |= held[good]
-                more.append((a, b, at[a] - before[good], at[a] + K + r[good]))
+                more.append((a, b, at[a] - before[good], last[a] + K + r[good]))
                 left = left[allowed[left] & ~windows[left] != 0]
             a, b, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
             more = [np.concatenate(x) for x in zip(*more, strict=True)]
             kinds = np.repeat([0, 4, 3], [len(a), len(more[0]), len(left)]).astype(np.int8)
             a, b, start, end = (np.concatenate(x) for x in zip((a, b, start, end), more, strict=True))
             own = np.concatenate([a, left])
-            columns = [pa.array(kinds), pa.array(suffix[own]), pa.array(list(cls[own]), pa.binary()), pa.array(at[own].astype(np.int32)), *[pa.nulls(len(own), pa.binary())] * 2,
+            columns = [pa.array(kinds), pa.array(suffix[own]), pa.array(list(cls[own]), pa.binary()), pa.array(at[own].astype(np.int32)), pa.array(last[own].astype(np.int32)), *[pa.nulls(len(own), pa.binary())] * 2,
                        pa.array(np.concatenate([start, reach[left]]).astype(np.int64)), pa.array(np.concatenate([end, windows[left].view(np.int64)]).astype(np.int64)), pa.array(list(cls[b]) + [None] * len(left), pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["kind", *fields, "start", "end", "other"]), begin
 
@@ -235,7 +247,7 @@ def _compared(records: DataFrame, least: int, order: list[str]) -> DataFrame:
     ordered = records.repartitionByRange(*keys).sortWithinPartitions(*keys)
     found = materialize(_neighbours(ordered.withColumn("silent", F.lit(False)), least, order), "neighbours")
     # two runs of each partition at most and two records beside: some rows for each partition, and a document's repeats
-    edges = found.where("kind in (1, 2)").groupBy("suffix", "cls", "at", "after", "before").agg((F.min("kind") == 2).alias("silent"))
+    edges = found.where("kind in (1, 2)").groupBy("suffix", "cls", "at", "last", "after", "before").agg((F.min("kind") == 2).alias("silent"))
     between = _neighbours(edges.repartition(1).sortWithinPartitions(*keys), least, order)
     return found.where("kind in (0, 3, 4)").unionByName(between.where("kind in (0, 3, 4)")).drop("after", "before")
 
@@ -258,13 +270,14 @@ def _open_windows(after: DataFrame, before: DataFrame, side: int) -> DataFrame:
 
 
 def _window_hashes(records: DataFrame, side: int) -> DataFrame:
-    """(window, cls, start, bucket) of the records' ``windows`` that lie within their texts."""
+    """(window, cls, start, more, bucket) of the records' ``windows`` that lie within their texts; more: how far the record's last position is."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n = batch.num_rows
             wide = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(n, side).astype(np.uint64) for c in (3, 4)]
             suffix, at, wanted = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64), batch.column(5).to_numpy()
+            more = batch.column(6).to_numpy().astype(np.int64) - at
             rows, hashes, begins = [], [], []
             for j in range(side + 1):
                 words = np.concatenate([wide[1][:, : side - j], wide[0][:, :j]], axis=1)
@@ -276,11 +289,11 @@ def _window_hashes(records: DataFrame, side: int) -> DataFrame:
                 hashes.append(h.view(np.int64))
                 begins.append(at[i] - (side - j))
             of = pa.array(np.concatenate(rows))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column(1).take(of), pa.array(np.concatenate(begins))], names=["window", "cls", "start"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column(1).take(of), pa.array(np.concatenate(begins)), pa.array(more[np.concatenate(rows)])], names=["window", "cls", "start", "more"])
 
         return step
 
-    found = arrow_map(records.select("suffix", "cls", "at", "after", "before", "windows"), make, "window bigint, cls binary, start bigint", SORTED_ROWS)
+    found = arrow_map(records.select("suffix", "cls", "at", "after", "before", "windows", "last"), make, "window bigint, cls binary, start bigint, more bigint", SORTED_ROWS)
     return found.withColumn("bucket", F.pmod(F.col("window"), F.lit(BUCKETS)))
 
 
@@ -295,7 +308,7 @@ def _window_matches(records: DataFrame, windows: DataFrame, least: int) -> DataF
     several = materialize(found.groupBy("window").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y"), "several")
     discard(of_suffix, near)
     # only for those that ask: the others' matches hold all the windows that they share
-    return asked.join(several, "window").select("cls", "start", (F.col("start") + least).alias("end"), F.when(F.col("cls") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("other"))
+    return asked.join(several, "window").select("cls", "start", (F.col("start") + least + F.col("more")).alias("end"), F.when(F.col("cls") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("other"))
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

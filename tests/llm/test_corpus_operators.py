@@ -180,6 +180,21 @@ def test_passages_that_no_neighbour_shares_in_full(spark):
     assert len(expected) > 100 and {i: sorted(x) for i, x in found.items()} == expected
 
 
+def test_texts_that_repeat_themselves(spark):
+    rng = random.Random(6)
+    head, tail = ([f"{c}{i}" for i in range(80)] for c in "ht")
+    phrase = [f"p{i}" for i in range(7)]
+    texts = [" ".join(x) for x in (["w"] * 300, ["w"] * 420 + ["z"], head + ["w"] * 260 + tail, phrase * 40, tail[:60] + phrase * 55 + ["q"] * 10, ["q"] * 49, [rng.choice("ab") for _ in range(400)], phrase * 9 + ["w"] * 20 + phrase * 9, ["w"] * 55, head[30:] + ["w"] * 51)]
+    found = defaultdict(list)
+    for r in suffix_dedup.repeated_passages(frame(spark, texts).repartition(3)).collect():
+        found[r.doc_id].append((r.start_word, r.end_word))
+    expected = _repeats(texts, 50)
+    assert len(expected) > 6 and {i: sorted(x) for i, x in found.items()} == expected
+    # a text of one word has as many records as contexts, however long it is
+    docs = spark.createDataFrame([("w " * 20_000, list(range(19_950)))], "text string, wanted array<int>")
+    assert suffix_dedup._contexts(docs, 50).count() < 100
+
+
 def _runs_compared(records, least, order):
     """(cls, start, end, other) of each record with the last one of the run before it and the first one of the run behind."""
     rows = sorted(records, key=lambda r: (r["suffix"], *(r[c] for c in order), r["cls"], r["at"]))
@@ -213,7 +228,7 @@ def test_neighbours_over_borders(spark, batch, partitions, monkeypatch):
         for side in sides:
             side[rng.integers(8, 31) :] = rng.integers(1, 4)
         cls = b"a" if rng.random() < 0.85 else bytes([98 + int(rng.integers(0, 3))])
-        records.append({"suffix": at // 150, "cls": cls, "at": 100 + at, "after": sides[0].tobytes(), "before": sides[1].tobytes()})
+        records.append({"suffix": at // 150, "cls": cls, "at": 100 + at, "last": 100 + at, "after": sides[0].tobytes(), "before": sides[1].tobytes()})
     keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
     try:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
@@ -260,6 +275,21 @@ def test_nearest(spark, level):
     assert [(r.query_id, r["rank"]) for r in few.orderBy("rank").collect()] == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_nearest_over_many_cells(spark, clustered):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 16))
+    x = x * 0.2 + rng.standard_normal((40, 16))[rng.integers(0, 40, 6000)] if clustered else x
+    x = x.astype(np.float32).astype(np.float64)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = defaultdict(list)
+    for r in ann.nearest(vectors, 20, 20, cell=200).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    expected = _brute(np.arange(6000), x, 20, 20)
+    assert set(found) == set(expected) and all(len(v) == 20 for v in found.values())
+    assert np.mean([len(set(found[i]) & set(expected[i])) / 20 for i in expected]) >= 0.9
+
+
 def test_projected_cells_cover_all_points():
     points = np.random.default_rng(0).standard_normal((5000, 4))
     tree = ann.TopTree(points[:500], 13)
