@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.text import line_count, node_key, word_count
-from quarrygraph.operators import calls, chunking, context, graph, hybrid, loading, resolve, retrieval, triage, vector
+from quarrygraph.operators import calls, cells, chunking, context, graph, hybrid, loading, resolve, retrieval, triage, vector
 from quarrygraph.plans import source_tree, star
 from quarrygraph.session import table
 from quarrygraph.sources import python_repo, shared, store
@@ -200,6 +200,29 @@ def graph_retrieve(spark, sf_dir):
     return best.select("id", F.round("score", 6).alias("score"))
 
 
+# Searches over an inverted file of cells.
+
+def _cell_index(spark: SparkSession, sf_dir: str) -> tuple[cells.CellIndex, DataFrame]:
+    v = table(spark, sf_dir, "embeddings")
+    return cells.build_index(v, cells.fit_centres(v, 32)), v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+_PAIRS = "select q.vec_id as query_id, v.vec_id as id, v.label, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) as score from embeddings q join embeddings v on q.vec_id <> v.vec_id"
+
+
+@query("similar_reports", f"select query_id, rank::int as rank, id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, id) as rank from ({_PAIRS}) where score >= 0.4) where rank <= 5")
+def similar_reports(spark, sf_dir):
+    """All vectors are reports and stored tickets alike."""
+    index, asked = _cell_index(spark, sf_dir)
+    return cells.above_threshold(index, asked, 0.4).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("cells_filtered_topk", f"select query_id, rank::int as rank, id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, id) as rank from ({_PAIRS}) where label in (1, 3) and query_id % 10 = 0) where rank <= 10")
+def cells_filtered_topk(spark, sf_dir):
+    index, asked = _cell_index(spark, sf_dir)
+    return cells.nearest(index, asked.where("query_id % 10 = 0"), 10, types=(1, 3)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 # Chunks.
 
 @query("chunk_pack", """with recursive d as (select source, doc_id, length(text)::bigint as size, row_number() over (partition by source order by doc_id) as k from documents),

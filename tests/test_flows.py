@@ -92,3 +92,36 @@ def test_batches_of_queries_equal_single_searches(spark):
         query = v.where(F.col("vec_id") == q).first().embedding
         assert [r.vec_id for r in vector.top_k(v.where(F.col("vec_id") != q), query, 2).collect()] == [got[q, 1], got[q, 2]]
     assert vector.batch_top_k(v, v.limit(0), 2).count() == 0
+
+
+def test_cells_equal_plain_search_and_recall(spark):
+    import numpy as np
+
+    from quarrygraph.operators import cells
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((30, 12))[rng.integers(0, 30, 3000)] + 0.5 * rng.standard_normal((3000, 12))
+    rows = [(i, v.tolist(), i % 5) for i, v in enumerate(x)] + [(5000, None, 1), (5001, [0.0] * 12, 1), (5002, [1.0], 1), (5003, [float("nan")] * 12, 1), (5004, [None] * 12, 1), (7, x[7].tolist(), 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    index = cells.build_index(v, cells.fit_centres(v, 40))
+    assert index.rows.count() == 3001 and len(index.cells) > 20
+    asked = v.where("vec_id % 60 = 0 or vec_id >= 5000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    score = unit @ unit.T
+    found = {}
+    for r in cells.above_threshold(index, asked, 0.8, 100_000).collect():
+        found.setdefault(r.query_id, set()).add(r.id)
+    assert {q: s for q, s in found.items()} == {q: s for q in range(0, 3000, 60) if (s := {int(i) for i in np.flatnonzero(score[q] >= 0.8) if i != q})}
+    # only cells that can hold such rows are read
+    read = cells._scored(index, cells._probes(index, cells._asked(asked, F.lit(float(np.arccos(0.8)))), None, None), None, False).count()
+    assert read < 0.6 * 50 * 3000
+    for types in (None, (1, 3)):
+        best = {q: [int(i) for i in np.argsort(-score[q]) if i != q and (types is None or i % 5 in types)][:10] for q in range(0, 3000, 60)}
+        exact, near = ({}, {})
+        for out, probes in ((exact, None), (near, 8)):
+            for r in cells.nearest(index, asked, 10, probes, types).orderBy("query_id", "rank").collect():
+                out.setdefault(r.query_id, []).append(r.id)
+        assert all(len(set(exact[q]) & set(best[q])) >= 9 for q in best) and set(exact) == set(best)
+        assert np.mean([len(set(near[q]) & set(best[q])) / 10 for q in best]) >= 0.9
+    none = cells.build_index(v.limit(0), cells.fit_centres(v.limit(0), 4))
+    assert cells.above_threshold(none, asked).count() == 0 and cells.nearest(none, asked, 3).count() == 0
