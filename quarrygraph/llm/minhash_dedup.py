@@ -10,8 +10,8 @@ Classes that share a band of ``ROWS`` registers meet in a list. At 0.8, the ``BA
 estimated from the registers, corrected for those that are equal by their compression only; a pair goes if the estimate is six
 standard deviations below the threshold. What is left is verified on the full sets.
 
-Longer lists are those of groups of copies. They aren't turned into pairs: their classes are compared with the list's pivot, the class
-with the most company, in a group of near copies its centre. Two classes that are linked with each other, but not both with the
+Longer lists are those of groups of copies. They aren't turned into pairs: their classes are compared with the list's pivot, a class
+with much company, in a group of near copies its centre. Two classes that are linked with each other, but not both with the
 pivot, share elements of their differences from it; such pairs are found by these elements, as in :mod:`jaccard_join`.
 """
 
@@ -188,8 +188,12 @@ def _labels(docs: DataFrame, rows: DataFrame, sketches: DataFrame, k: int, perce
     links = _linked(pairs, sketches, sets, percent)
     own = sketches.select("cls", "n")
     long = every.where(F.col("size") > LONGEST)
-    pivots = materialize(long.groupBy("key").agg(F.max_by(F.struct("cls", "company"), F.struct("company", "cls")).alias("p")), "pivots")
-    met = long.join(pivots, "key").where(F.col("cls") != F.col("p.cls")).groupBy("cls").agg(F.max("company").cast("float").alias("score"), F.collect_set("p").alias("p"))
+    # of each class the best of its lists' members, and of each list the best one of its classes: a pivot needn't be in the list,
+    # and so a group's lists have one pivot, wherever its centre is
+    pivots = materialize(long.groupBy("key").agg(F.max(F.struct("company", "cls")).alias("p")), "pivots")
+    best = materialize(long.join(pivots, "key").groupBy("cls").agg(F.max("p").alias("p")), "best")
+    shared = materialize(long.select("key", "cls").join(best, "cls").groupBy("key").agg(F.max("p").alias("p")), "shared")
+    met = long.join(shared, "key").where(F.col("cls") != F.col("p.cls")).groupBy("cls").agg(F.max("company").cast("float").alias("score"), F.collect_set("p").alias("p"))
     size = own.select(F.col("cls").alias("pivot"), F.col("n").cast("int").alias("size"))
     each = met.select("cls", "score", F.explode("p").alias("p")).select("cls", "score", F.col("p.cls").alias("pivot"), F.col("p.company").cast("float").alias("new_weight")).join(size, "pivot")
     one = each.groupBy("cls").agg(F.max("score").alias("score"), F.collect_set(F.struct("pivot", "size", "new_weight")).alias("pivots"))
@@ -198,7 +202,7 @@ def _labels(docs: DataFrame, rows: DataFrame, sketches: DataFrame, k: int, perce
     links = links.union(compared.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
     links, _ = links_of(difference_lists(compared), pairs.limit(0), links, lambda more: sets, percent, order)
     labels = connected_components(links)
-    discard(every, sets, pairs, pivots, asked, compared)
+    discard(every, sets, pairs, pivots, best, shared, asked, compared)
     return labels
 
 
