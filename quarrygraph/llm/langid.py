@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from quarrygraph.llm.common import arrow_map, crc_mod, labelled_pieces, word_windows
 from quarrygraph.llm.subword import SubwordModel, softmax, train
 
-#: Texts with fewer n-grams aren't rejected for n-grams that training hasn't met.
-LEAST_GRAMS = 30
+#: Standard deviations by which the share of n-grams that training has met may lie below the least one: of few n-grams, chance explains more.
+DEVIATIONS = 3.0
+#: N-grams of the held-back pieces that the least share is fitted on, at least.
+FITTED_GRAMS = 30
 
 
 @dataclass
 class LanguageModel:
     """``heat``: the temperature that fits probabilities to held-back rows. A text is rejected if its probability is below
-    ``least_score``, or the share of its n-grams that training met below ``least_known``."""
+    ``least_score``, or the share of its n-grams that training met too far below ``least_known`` for so many n-grams."""
 
     model: SubwordModel | None
     heat: float = 1.0
@@ -39,7 +41,8 @@ class LanguageModel:
                 out.append(("und", 0.0, False))
                 continue
             score = float(p[i, best[i]])
-            sure = score >= self.least_score and (grams[i] < LEAST_GRAMS or known[i] >= self.least_known)
+            chance = DEVIATIONS * np.sqrt(self.least_known * (1 - self.least_known) / max(grams[i], 1))
+            sure = score >= self.least_score and known[i] + chance >= self.least_known
             out.append((self.model.classes[best[i]], score, bool(sure)))
         return out
 
@@ -68,7 +71,7 @@ def fit_languages(docs: DataFrame, per_class: int = 1000, lang_col: str = "lang"
         loss = [-np.log(np.maximum(softmax(z / h)[np.arange(len(y)), y], 1e-9)).mean() for h in heats]
         found.heat = float(heats[int(np.argmin(loss))])
         p = softmax(z / found.heat)
-        right = (p.argmax(axis=1) == y) & (grams >= LEAST_GRAMS)
+        right = (p.argmax(axis=1) == y) & (grams >= FITTED_GRAMS)
         if right.any():
             found.least_score = 0.8 * float(np.quantile(p.max(axis=1)[right], tail))
             found.least_known = 0.8 * float(np.quantile(known[right], tail))
