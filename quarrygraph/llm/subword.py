@@ -64,7 +64,7 @@ class Block:
 #: Positions whose class scores are held at a time.
 STRETCH = 1 << 16
 #: Length of what one training step adds to an embedding, at most.
-FARTHEST = 1.0
+FARTHEST = 3.0
 
 
 @dataclass
