@@ -46,8 +46,9 @@ MERGED = 3
 #: A list is merged if that tries at most so many pairs for each of its rows; the others get a pivot, until a round of pivots (of so
 #: many at most) has left more than a quarter of the pairs. What is left then is split into chains.
 PAIRS_PER_ROW, ROUNDS = 64, 4
-#: Elements of a chain at most, and pairs up to which a list isn't split, for each row that would come of it.
-LEVELS, CHAIN_PAIRS = 8, 2
+#: Elements of a chain at most; pairs up to which a list isn't split, for each row that would come of it; and shingles of a list's
+#: classes, on average, up to which it is split at all: those of longer texts can go on in too many ways.
+LEVELS, CHAIN_PAIRS, CHAIN_SHINGLES = 8, 2, 48
 #: Hash buckets of wanted ids, broadcast to drop other documents before their texts are shuffled: at most so many numbers.
 BUCKETS = 1 << 19
 
@@ -297,12 +298,13 @@ def _prefixes(rows: DataFrame, sets: DataFrame, percent: int, order: Order) -> D
 
 def _chain_lists(rows: DataFrame, level: int) -> tuple[DataFrame, int]:
     """((key, of, long) of the lists with classes not known to be linked; how many pairs the long ones have). A list is long if it has
-    over CHAIN_PAIRS times as many pairs as rows come of it, when it is split."""
+    over CHAIN_PAIRS times as many pairs as rows come of it, when it is split, and short texts."""
     window = F.greatest(F.least(_window(level), F.col("rest") - 1 - F.col("place")), F.lit(0))
-    by_known = rows.groupBy("key", "of", "known").agg(F.count(F.lit(1)).alias("n"), F.sum(window).alias("more"))
+    by_known = rows.groupBy("key", "of", "known").agg(F.count(F.lit(1)).alias("n"), F.sum(window).alias("more"), F.sum(F.col("n").cast("long")).alias("size"))
     pairs = ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs")
-    sums = by_known.groupBy("key", "of").agg(pairs, F.sum("more").alias("more")).where("pairs > 0")
-    out = materialize(sums.select("key", "of", "pairs", (F.col("pairs") > CHAIN_PAIRS * F.col("more")).alias("long")), "chain-lists")
+    sums = by_known.groupBy("key", "of").agg(pairs, F.sum("more").alias("more"), F.sum("n").alias("members"), F.sum("size").alias("size")).where("pairs > 0")
+    splits = (F.col("pairs") > CHAIN_PAIRS * F.col("more")) & (F.lit(level > 1) | (F.col("size") <= CHAIN_SHINGLES * F.col("members")))
+    out = materialize(sums.select("key", "of", "pairs", splits.alias("long")), "chain-lists")
     return out, out.where("long").agg(F.sum("pairs")).first()[0] or 0
 
 
@@ -311,20 +313,21 @@ def _window(level: int) -> Column:
     return F.col("rest") - F.col("share") - F.col("place") + (level + MERGED - 1)
 
 
-def _chained(lists: DataFrame, sets: DataFrame, percent: int, order: Order) -> DataFrame:
-    """(a, b) of the classes that may be linked, of lists that no pivot splits.
+def _chained(lists: DataFrame, sets: DataFrame, percent: int, order: Order) -> tuple[DataFrame, DataFrame]:
+    """((a, b) of the classes that may be linked, of lists that no pivot splits; the lists that aren't split here either).
 
     A list's classes share its element. Those of a link share the next one too, as many as they need, and it is among the
     first ones behind: so a list can be split by what comes next in each class's order, which gives chains of two elements, then
     of three and so on. That is done where a list has more pairs than rows come of it, which is so where texts are short and
-    have few different words, and as long as it halves the pairs. The others are merged by counts like short ones. A pair that meets in a chain's list may
+    have few different words, and as long as it halves the pairs; where the first step doesn't, no list is split. A pair that meets in a chain's list may
     share up to MERGED - 1 elements before it; those with more of them are found by the counts of the other lists. Classes
     that may share no more than the chain holds are paired there."""
     prefixes = _prefixes(lists, sets, percent, order)
     rows = materialize(lists.select(*_ROW).join(prefixes.select("cls", "of", "share"), ["cls", "of"]), "chains")
     columns = ("key", "of", "cls", "n", "rest", "place", "known", "share")
     still, before = _chain_lists(rows, 1)
-    found = [_merged(rows.join(still.where("not long"), ["key", "of"], "left_semi").select(*_ROW), percent)]
+    rest = rows.join(still.where("not long"), ["key", "of"], "left_semi").select(*_ROW)
+    found = [rows.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))]
     marked = rows.join(still.where("long").select("key", "of"), ["key", "of"], "left_semi").select(*columns)
 
     def paired(chosen: DataFrame, level: int) -> None:
@@ -342,17 +345,24 @@ def _chained(lists: DataFrame, sets: DataFrame, percent: int, order: Order) -> D
         longer = materialize(following.withColumns({"key": F.xxhash64("key", "element"), "place": F.col("place") + F.col("step") + 1}).select(*columns), "chains")
         lists_of, after = _chain_lists(longer, level + 1)
         every = lists_of.agg(F.sum("pairs")).first()[0] or 0
-        if every > before / 2 or level == LEVELS:  # no gain: paired where they are
-            paired(marked, level)
+        # a pair stands in the lists of several short chains, so the first steps may hold more
+        if every > (before * 4 if level < MERGED else before / 2) or level == LEVELS:  # no gain: paired where they are, or merged by counts
+            if level == 1:
+                rest = lists
+            else:
+                paired(marked, level)
             discard(longer, lists_of)
             break
         paired(marked.where(F.col("share") < level + MERGED), level)
+        if level + 1 < MERGED:  # pairs have MERGED elements in common, as those that are merged by counts
+            marked, before = longer.join(lists_of, ["key", "of"], "left_semi").select(*columns), every
+            continue
         paired(longer.join(lists_of.where("not long"), ["key", "of"], "left_semi"), level + 1)
         marked, before = longer.join(lists_of.where("long"), ["key", "of"], "left_semi").select(*columns), after
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out
+    return out, rest
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -415,13 +425,18 @@ def links_of(lists: DataFrame, candidates: DataFrame, links: DataFrame, sets_wit
         before = of_long
         lists = materialize(lists.join(still.select("key", many.alias("long")), "key").select(*_ROW, "long"), "lists")
         discard(still)
-        candidates = candidates.union(_merged(lists.where("not long"), percent))
-        long = lists.where("long")
+        long, short = lists.where("long"), lists.where("not long").select(*_ROW)
+        if of_long and not split:  # what isn't chained is merged with the short ones: its occurrences add up
+            if sets is None:
+                sets = sets_with(lists.select("cls"))
+            chains, rest = _chained(long.select(*_ROW), sets, percent, order)
+            candidates = candidates.union(chains).union(_merged(short.unionByName(rest), percent))
+            discard(lists)
+            break
+        candidates = candidates.union(_merged(short, percent))
         if sets is None:
             sets = sets_with(candidates.select("a").union(candidates.select("b")).union(long.select("cls")).toDF("cls"))
         if not split:
-            if of_long:
-                candidates = candidates.union(_chained(long.select(*_ROW), sets, percent, order))
             discard(lists)
             break
         pairs = _with_pivots(long, percent)

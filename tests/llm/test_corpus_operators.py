@@ -359,11 +359,12 @@ def test_texts_of_few_words_make_few_pairs(spark, monkeypatch):
         return merged(lists, percent)
 
     def chains(*args):
-        out = chained(*args)
+        out, rest = chained(*args)
         made.append(out.count())
-        return out
+        return out, rest
 
     monkeypatch.setattr(jaccard_join, "_merged", tried)
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", 16)  # with 64, lists this short are merged as they are
     monkeypatch.setattr(jaccard_join, "_chained", chains)
     rng, sums = random.Random(1), []
     for n in (1000, 4000):
@@ -382,6 +383,7 @@ def test_texts_of_few_words_make_few_pairs(spark, monkeypatch):
 def test_chains_find_all_links(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", 0)
     monkeypatch.setattr(jaccard_join, "CHAIN_PAIRS", 0)
+    monkeypatch.setattr(jaccard_join, "CHAIN_SHINGLES", 1000)
     monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
     rng = random.Random(seed)
     texts = []
