@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrygraph.llm.common import arrow_map, cut_batches, discard, materialize
@@ -112,27 +112,28 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def _banded(sketches: DataFrame) -> DataFrame:
-    """(key, cls) of every band."""
+    """(key, cls, n) of every band."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = band_keys(_registers(batch.column(1)))
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))], names=["key", "cls"])
+            keys = band_keys(_registers(batch.column(2)))
+            of = pa.array(np.repeat(np.arange(len(keys)), BANDS))
+            return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(of), batch.column(1).take(of)], names=["key", "cls", "n"])
 
         return step
 
-    return arrow_map(sketches.select("cls", "sketch"), make, "key bigint, cls binary", 1024)
+    return arrow_map(sketches.select("cls", F.col("n").cast("int").alias("n"), "sketch"), make, "key bigint, cls binary, n int", 1024)
 
 
 def _lists(sketches: DataFrame) -> DataFrame:
-    """(key, cls, size, company) of the classes that share a band with others: of how many, and how many they meet in all; a written table."""
+    """(key, cls, n, size, company) of the classes that share a band with others: of how many, and how many they meet in all; a written table."""
     banded = materialize(_banded(sketches), "banded")
     # written before the join: a side that is an aggregate keeps Spark from splitting the other side's long lists
     several = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "several")
     members = materialize(banded.join(several, "key"), "members")
-    company = materialize(members.groupBy("cls").agg(F.sum("size").alias("company")), "company")
-    out = materialize(members.join(company, "cls").select("key", "cls", "size", "company"), "lists")
-    discard(banded, several, members, company)
+    # a class has a row for each of its bands at most
+    out = materialize(members.select("key", "cls", "n", "size", F.sum("size").over(Window.partitionBy("cls")).alias("company")), "lists")
+    discard(banded, several, members)
     return out
 
 
@@ -186,18 +187,15 @@ def _labels(docs: DataFrame, rows: DataFrame, sketches: DataFrame, k: int, perce
     side = lambda x: every.where(F.col("size") <= LONGEST).select("key", F.col("cls").alias(x))
     pairs = materialize(side("a").join(side("b"), "key").where("a < b").select("a", "b").distinct(), "pairs")
     links = _linked(pairs, sketches, sets, percent)
-    own = sketches.select("cls", "n")
     long = every.where(F.col("size") > LONGEST)
     # of each class the best of its lists' members, and of each list the best one of its classes: a pivot needn't be in the list,
     # and so a group's lists have one pivot, wherever its centre is
-    pivots = materialize(long.groupBy("key").agg(F.max(F.struct("company", "cls")).alias("p")), "pivots")
+    pivots = materialize(long.groupBy("key").agg(F.max(F.struct("company", "cls", "n")).alias("p")), "pivots")
     best = materialize(long.join(pivots, "key").groupBy("cls").agg(F.max("p").alias("p")), "best")
     shared = materialize(long.select("key", "cls").join(best, "cls").groupBy("key").agg(F.max("p").alias("p")), "shared")
-    met = long.join(shared, "key").where(F.col("cls") != F.col("p.cls")).groupBy("cls").agg(F.max("company").cast("float").alias("score"), F.collect_set("p").alias("p"))
-    size = own.select(F.col("cls").alias("pivot"), F.col("n").cast("int").alias("size"))
-    each = met.select("cls", "score", F.explode("p").alias("p")).select("cls", "score", F.col("p.cls").alias("pivot"), F.col("p.company").cast("float").alias("new_weight")).join(size, "pivot")
-    one = each.groupBy("cls").agg(F.max("score").alias("score"), F.collect_set(F.struct("pivot", "size", "new_weight")).alias("pivots"))
-    asked = materialize(one.join(own, "cls").select("cls", F.col("n").cast("int").alias("n"), "score", F.xxhash64("cls").alias("known"), F.col("score").alias("weight"), "pivots"), "asked")
+    met = long.join(shared, "key").where(F.col("cls") != F.col("p.cls")).groupBy("cls").agg(F.max("n").alias("n"), F.max("company").cast("float").alias("score"), F.collect_set("p").alias("p"))
+    each = F.transform("p", lambda p: F.struct(p["cls"].alias("pivot"), p["n"].alias("size"), p["company"].cast("float").alias("new_weight")))
+    asked = materialize(met.select("cls", "n", "score", F.xxhash64("cls").alias("known"), F.col("score").alias("weight"), each.alias("pivots")), "asked")
     compared = compare(asked, sets, percent, order)
     links = links.union(compared.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
     links, _ = links_of(difference_lists(compared), pairs.limit(0), links, lambda more: sets, percent, order)
