@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrygraph.operators import dense, vector
+from quarrygraph.operators import cells, dense, vector
 
 
 def _rows(df):
@@ -46,3 +46,13 @@ def test_batches_by_blocks(spark, small):
     named = v.select(F.concat(F.lit("n"), "vec_id").alias("id"), "embedding")
     asked = v.where("vec_id in (0, 10)").select(F.col("vec_id").alias("id"), "embedding")
     assert [r.id for r in vector.batch_top_k(named, asked, 3, id_col="id", itself=True).where("query_id = 0").orderBy("rank").collect()] == ["n0", "n102", "n105"]
+
+
+def test_thresholds_of_cells_by_blocks(spark, small):
+    x = _equal_ones()
+    v = spark.createDataFrame([(i, r.tolist(), i % 4) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    index = cells.build_index(v, cells.fit_centres(v, 9))
+    asked = v.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = cells.above_threshold(index, asked, 0.5, 6)
+    assert _rows(found) == sorted(t for q in range(0, 400, 9) for t in _best(x, q, 6, least=0.5))
+    assert "Join" not in _plan(found)
