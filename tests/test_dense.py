@@ -56,3 +56,13 @@ def test_thresholds_of_cells_by_blocks(spark, small):
     found = cells.above_threshold(index, asked, 0.5, 6)
     assert _rows(found) == sorted(t for q in range(0, 400, 9) for t in _best(x, q, 6, least=0.5))
     assert "Join" not in _plan(found)
+
+
+def test_filtered_cells_by_blocks(spark, small):
+    x = _equal_ones()
+    v = spark.createDataFrame([(i, r.tolist(), i % 4) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    index = cells.build_index(v, cells.fit_centres(v, 9))
+    asked = v.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = cells.nearest(index, asked, 8, types=(1, 3))
+    assert _rows(found) == sorted(t for q in range(0, 400, 9) for t in _best(x, q, 8, lambda i: i % 4 in (1, 3)))
+    assert "Join" not in _plan(found)
