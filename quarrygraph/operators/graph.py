@@ -36,7 +36,8 @@ def statistics(nodes: DataFrame, edges: DataFrame, contexts: Sequence[str] = ("f
     return kinds(nodes).unionByName(flat).unionByName(edges.agg(F.count(F.lit(1)).alias("value")).select(F.lit("total_relationships").alias("key"), "value")).unionByName(kinds(edges))
 
 
-def _small(ids: DataFrame) -> DataFrame:
+def small(ids: DataFrame) -> DataFrame:
+    """``ids``, broadcast if they are few."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
@@ -46,13 +47,13 @@ def n_hop(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int) -> tu
     seen = materialize(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "hop")
     frontier, touched = seen.select("id"), None
     for hop in range(1, hops + 1):
-        at = _small(frontier)
+        at = small(frontier)
         out = edges.join(at.withColumnRenamed("id", "source"), "source", "left_semi").select("type", "source", "target")
         back = edges.join(at.withColumnRenamed("id", "target"), "target", "left_semi").select("type", "source", "target")
         step = materialize(out.unionByName(back).distinct(), "hop-edges")
         touched = step if touched is None else touched.unionByName(step)
         ends = step.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-        new = materialize(ends.join(_small(seen.select("id")), "id", "left_anti").withColumn("hop", F.lit(hop)), "hop")
+        new = materialize(ends.join(small(seen.select("id")), "id", "left_anti").withColumn("hop", F.lit(hop)), "hop")
         seen, frontier = seen.unionByName(new), new.select("id")
     if touched is None:
         touched = edges.select("type", "source", "target").limit(0)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.operators import graph, hybrid, triage, vector
+from quarrygraph.operators import dense, graph, hybrid, triage, vector
 from quarrygraph.schemas import DEBUG_RETRIEVAL, RETRIEVAL
-from quarrygraph.sources.shared import materialize, running_total
+from quarrygraph.sources.shared import discard, materialize, running_total
 
 
 def named_seeds(nodes: DataFrame, entities: Sequence[str]) -> DataFrame:
@@ -34,20 +37,25 @@ def retrieve_subgraph(
 MASK_BITS = 62
 
 
-def reached_by(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(id, block, mask) of all nodes within ``hops`` undirected steps of ``seeds`` (id, block, mask); a bit of a mask is a query. One
-    search serves all queries: what reaches a node is OR-ed before it is shuffled, and only bits that are new go on."""
-    once = edges.select("source", "target").distinct()
-    both = materialize(once.union(once.select("target", "source")).distinct().toDF("u", "id"), "both-ways")
+def reached_by(seeds: DataFrame, edges: DataFrame, hops: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, block, mask) of all nodes (of those among the ids of ``wanted``) within ``hops`` undirected steps of ``seeds`` (id, block, mask); a bit of a
+    mask is a query. One search serves all queries: what reaches a node is OR-ed before it is shuffled, and only bits that are new
+    go on. A step reads the edges at the nodes that have new bits, the last one those that lead to a wanted node."""
+    both = edges.select(F.col("source").alias("u"), F.col("target").alias("id")).union(edges.select("target", "source"))
     seen = materialize(seeds.groupBy("id", "block").agg(F.bit_or("mask").alias("mask")), "reach")
     new = seen
-    for _ in range(hops):
-        step = new.select(F.col("id").alias("u"), "block", "mask").join(both, "u").groupBy("id", "block").agg(F.bit_or("mask").alias("mask"))
+    for hop in range(hops):
+        near = both.join(graph.small(new.select(F.col("id").alias("u")).distinct()), "u", "left_semi")
+        if wanted is not None and hop == hops - 1:
+            near = both.join(graph.small(wanted), "id", "left_semi").select("u", "id")
+        # the edges that are left, each once: a join with all blocks of a node follows
+        step = new.select(F.col("id").alias("u"), "block", "mask").join(near.distinct(), "u").groupBy("id", "block").agg(F.bit_or("mask").alias("mask"))
         known = seen.groupBy("id", "block").agg(F.bit_or("mask").alias("known"))
         fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
         new = materialize(step.join(known, ["id", "block"], "left").select("id", "block", fresh.alias("mask")).where("mask != 0"), "reach")
         seen = seen.unionByName(new)
-    return seen.groupBy("id", "block").agg(F.bit_or("mask").alias("mask"))
+    out = seen if wanted is None else seen.join(graph.small(wanted), "id", "left_semi")
+    return out.groupBy("id", "block").agg(F.bit_or("mask").alias("mask"))
 
 
 def retrieve_subgraphs(
@@ -57,17 +65,37 @@ def retrieve_subgraphs(
     """:func:`retrieve_subgraph` for a table of ``queries`` (query_id, query, entities) in one plan: (query_id, rank, id, score) of each
     query's best nodes, (query_id, type, source, target) of the edges between them. A query without a vector has no rows."""
     usable = queries.where("query is not null").withColumn("one", F.lit(1).cast("long"))
-    numbered = materialize(running_total(usable, ["query_id"], "one", "no").select("query_id", F.col("query").cast("array<double>").alias("query"), "entities", F.floor(F.col("no") / MASK_BITS).alias("block"), F.expr(f"shiftleft(1L, cast(no % {MASK_BITS} as int))").alias("bit")), "queries")
+    numbered = materialize(running_total(usable, ["query_id"], "one", "no").select("query_id", F.col("query").cast("array<double>").alias("query"), "entities", "no", F.floor(F.col("no") / MASK_BITS).alias("block"), F.expr(f"shiftleft(1L, cast(no % {MASK_BITS} as int))").alias("bit")), "queries")
     near = vector.batch_top_k(vectors, numbered.select(F.col("query_id").alias("id"), F.col("query").alias("embedding")), semantic_top_k, id_col="id", itself=True).select("query_id", "id")
-    named = numbered.select("query_id", F.explode(F.array_distinct("entities")).alias("name")).join(nodes.select("id", "name"), "name").select("query_id", "id")
+    asked_names = numbered.select("query_id", F.explode(F.array_distinct("entities")).alias("name"))
+    of_names = nodes.select("id", "name").join(graph.small(asked_names.select("name").distinct()), "name", "left_semi")
+    named = asked_names.join(of_names, "name").select("query_id", "id")
     seeds = near.unionByName(named).join(numbered.select("query_id", "block", F.col("bit").alias("mask")), "query_id").select("id", "block", "mask")
-    held = reached_by(seeds, edges, n_hops).join(nodes.select("id"), "id", "left_semi").join(vectors.where("embedding is not null").select("id", "embedding"), "id")
-    pairs = held.join(numbered.select("query_id", "query", "block", "bit"), "block").where((F.col("mask").bitwiseAND(F.col("bit")) != 0) & (F.size("embedding") == F.size("query")))
-    scored = pairs.select("query_id", "id", vector.cosine(F.col("embedding"), F.col("query")).alias("score")).where("score is not null")
-    rank = F.row_number().over(hybrid.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    best = materialize(scored.withColumn("rank", rank).where(F.col("rank") <= final_top_k).select("query_id", "rank", "id", "score"), "best")
+    owners = vectors.where("embedding is not null").select("id").distinct()
+    wanted = materialize(nodes.select("id").join(graph.small(owners), "id", "left_semi").distinct(), "wanted")
+    masks = reached_by(seeds, edges, n_hops, wanted).groupBy("id").agg(F.collect_list("block").alias("blocks"), F.collect_list("mask").alias("masks"))
+    held = vectors.where("embedding is not null").select("id", "embedding").join(masks, "id")
+    width = (numbered.agg(F.max("block")).first()[0] or 0) + 1
+
+    def bits(batch: pa.RecordBatch) -> np.ndarray:
+        of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))
+        out = np.zeros((batch.num_rows, width), np.int64)
+        out[of, batch.column(3).flatten().to_numpy(zero_copy_only=False)] = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+        return out.view(np.float64)  # as they are, in the type that extras have
+
+    def reaches(asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        is_set = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little")
+        return is_set[:, asked[:, 0].astype(np.int64)].T.astype(bool)
+
+    place = (F.col("block") * 64 + F.col("no") % MASK_BITS).alias("place")
+    asked = dense.packed(numbered.select("query_id", "query", F.lit(0).alias("cell"), place), "asked", lambda batch: batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)[:, None])
+    rows = dense.packed(held.select("id", "embedding", F.lit(0).alias("cell"), "blocks", "masks"), "reached", bits)
+    best = materialize(dense.best_rows(asked, rows, final_top_k, itself=True, allowed=reaches).select("query_id", "rank", "id", "score"), "best")
+    discard(asked, rows)
+    # only edges between any of the best nodes are sorted out by query
+    between = graph.induced(edges, graph.small(best.select("id").distinct()))
     end = lambda c: best.select("query_id", F.col("id").alias(c))
-    return best, graph.distinct_edges(edges).join(end("source"), "source").join(end("target"), ["query_id", "target"]).select("query_id", "type", "source", "target")
+    return best, graph.distinct_edges(between).join(end("source"), "source").join(end("target"), ["query_id", "target"]).select("query_id", "type", "source", "target")
 
 
 def retrieve(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrygraph.operators import cells, dense, vector
+from quarrygraph.operators import cells, dense, retrieval, vector
 
 
 def _rows(df):
@@ -66,3 +66,13 @@ def test_filtered_cells_by_blocks(spark, small):
     found = cells.nearest(index, asked, 8, types=(1, 3))
     assert _rows(found) == sorted(t for q in range(0, 400, 9) for t in _best(x, q, 8, lambda i: i % 4 in (1, 3)))
     assert "Join" not in _plan(found)
+
+
+def test_reach_of_many_queries_keeps_to_wanted_nodes(spark):
+    """A hub with many neighbours, few of which have a vector: the last step goes to those only, and edges between best nodes alone are grouped."""
+    edges = spark.createDataFrame([("in", f"c{i}", "hub", i) for i in range(300)] + [("in", "hub", "top", 300), ("in", "c1", "hub", 301)], "type string, source string, target string, ord long")
+    seeds = spark.createDataFrame([("c0", 0, 1), ("c1", 0, 2), ("top", 1, 4)], "id string, block long, mask long")
+    wanted = spark.createDataFrame([("c2",), ("c1",), ("c299",), ("hub",)], "id string")
+    got = sorted(tuple(r) for r in retrieval.reached_by(seeds, edges, 2, wanted).collect())
+    assert got == sorted([("c1", 0, 3), ("c1", 1, 4), ("c2", 0, 3), ("c2", 1, 4), ("c299", 0, 3), ("c299", 1, 4), ("hub", 0, 3), ("hub", 1, 4)])
+    assert len(retrieval.reached_by(seeds, edges, 2).select("id").distinct().collect()) == 302
