@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from quarrygraph.sources.shared import materialize
 _QUOTE, _ESCAPE, _OPEN, _CLOSE = (np.uint8(ord(c)) for c in '"\\{}')
 _STEPS = np.zeros(256, np.int8)
 _STEPS[[ord("{"), ord("[")]], _STEPS[[ord("}"), ord("]")]] = 1, -1
+#: Bytes that are worked on at once.
+STRETCH_BYTES = 1 << 20
 #: Splits whose beginnings are broadcast, some 60 bytes each; a join beyond.
 BROADCAST_SPLITS = 1_000_000
 
@@ -28,28 +31,39 @@ BROADCAST_SPLITS = 1_000_000
 def _structure(data: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(places of brackets outside of strings, their steps of depth, whether a string is open at the end) if ``inside`` says whether
     one is open before. The data don't begin within an escape."""
-    at = np.arange(len(data))
-    last = np.maximum.accumulate(np.where(data != _ESCAPE, at, -1))  # the last byte up to each that isn't a backslash
-    quotes = np.flatnonzero(data == _QUOTE)
-    run = np.where(quotes > 0, quotes - 1 - last[quotes - 1], 0)
-    quotes = quotes[run % 2 == 0]
+    quotes, escapes = np.flatnonzero(data == _QUOTE), np.flatnonzero(data == _ESCAPE)
+    if len(escapes):  # quotes behind an odd number of backslashes don't count
+        first = np.r_[True, escapes[1:] != escapes[:-1] + 1]
+        begin = np.maximum.accumulate(np.where(first, escapes, 0))  # of the run that each is in
+        before = np.searchsorted(escapes, quotes) - 1
+        run = np.where((before >= 0) & (escapes[before] == quotes - 1), quotes - begin[before], 0)
+        quotes = quotes[run % 2 == 0]
     brackets = np.flatnonzero(_STEPS[data])
     brackets = brackets[(np.searchsorted(quotes, brackets) + inside) % 2 == 0]
     return brackets, _STEPS[data[brackets]].astype(np.int64), (len(quotes) + inside) % 2
 
 
 def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    """Rows of one split that follow each other."""
-    keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    """Rows of one split that follow each other, of ``STRETCH_BYTES`` unless one alone has more."""
+    file, block = (batch.column(i) for i in (0, 1))
+    other = np.zeros(batch.num_rows, bool)
+    for c in (file, block):
+        other[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    cuts = [*np.flatnonzero(other).tolist(), batch.num_rows]
     a = 0
-    for b in range(1, len(keys) + 1):
-        if b == len(keys) or keys[b] != keys[a]:
+    for cut in cuts:
+        while a < cut:
+            begin = ends[a - 1] if a else 0
+            b = min(cut, max(a + 1, int(np.searchsorted(ends, begin + STRETCH_BYTES, "right"))))
             yield a, b
             a = b
 
 
 def _bytes(column: pa.Array, a: int, b: int) -> bytes:
-    return "".join(f"{x}}}" for x in column[a:b].to_pylist()).encode()
+    part = column[a:b]
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), "}")
+    return whole[0].as_buffer().to_pybytes() + b"}"
 
 
 def _functions(pieces: DataFrame) -> DataFrame:
@@ -78,6 +92,15 @@ def _objects(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, held, n, inside, depth, going = None, b"", 0, 0, 0, False
 
+        def whole(data: bytes, begins: np.ndarray, ends: np.ndarray, n: int) -> pa.RecordBatch | None:
+            """Objects that lie in ``data``; none if there is more between them than commas and blanks."""
+            offsets = np.r_[begins, ends[-1] + 1].astype(np.int32)
+            cut = pc.ascii_rtrim(pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data)), ", \t\r\n")
+            if not np.array_equal(pc.binary_length(cut).to_numpy(zero_copy_only=False), ends + 1 - begins):
+                return None
+            m = len(begins)
+            return pa.RecordBatch.from_arrays([pa.array([split[0]], pa.string()).take(pa.array(np.zeros(m, np.int64))), pa.array(np.full(m, split[1])), pa.array(np.arange(n, n + m)), pa.array(np.zeros(m, np.int8)), cut.cast(pa.binary())], names=["file", "block", "n", "part", "text"])
+
         def rows_of(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
             n, part, text = zip(*found, strict=True) if found else ((), (), ())
             m = len(found)
@@ -104,6 +127,14 @@ def _objects(pieces: DataFrame) -> DataFrame:
                 ends = brackets[(steps < 0) & (deep == 1)]
                 found, at = [], 0
                 open_ = depth > 1
+                if not open_ and len(ends) and not going:
+                    done = whole(data, begins[: len(ends)], ends, n)
+                    if done is not None:
+                        yield done
+                        held = data[begins[len(ends)] :] if len(begins) > len(ends) else b""
+                        n += len(ends)
+                        inside, depth = after, int(deep[-1])
+                        continue
                 starts = [0, *begins.tolist()] if open_ else begins.tolist()
                 for k, end in enumerate(ends.tolist()):
                     text = (held if k == 0 and open_ else b"") + data[starts[k] : end + 1]

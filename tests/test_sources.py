@@ -130,3 +130,33 @@ def test_packed_keeps_every_row_once(spark, most):
     assert sorted(((r.source, r.ord, r["size"] or 0, r.group) for r in got), key=str) == sorted(expected, key=str)
     assert sorted(r.range for r in got) == sorted(r[3] for r in rows)
     assert chunking.packed(df.limit(0), "source", "ord", F.col("size")).count() == 0
+
+
+def test_long_texts_take_little_memory_and_are_worked_on_in_stretches():
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    data = np.frombuffer((b'{"a": "' + b"x" * 4_000_000 + b'\\\\\\" {", "b": [1]}'), np.uint8)
+    tracemalloc.start()
+    brackets, steps, after = json_array._structure(data, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(data) and steps.tolist() == [1, 1, -1, -1] and after == 0
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 9 + ["g"]), pa.array([0] * 5 + [1] * 5), pa.array(["y" * 400_000] * 10)], names=["file", "block", "value"])
+    assert list(json_array._stretches(batch)) == [(0, 2), (2, 4), (4, 5), (5, 7), (7, 9), (9, 10)]
+    rng = random.Random(3)
+    for _ in range(300):  # against one byte at a time
+        text = "".join(rng.choice('\\\\"{}[]a') for _ in range(30)) + "}"
+        for inside in (0, 1):
+            open_, escaped, places = inside, False, []
+            for i, c in enumerate(text):
+                if c == '"' and not escaped:
+                    open_ = 1 - open_
+                elif c in "{}[]" and not open_:
+                    places.append(i)
+                escaped = c == "\\" and not escaped
+            got, _, end = json_array._structure(np.frombuffer(text.encode(), np.uint8), inside)
+            assert got.tolist() == places and end == open_, text
