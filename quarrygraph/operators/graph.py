@@ -122,3 +122,17 @@ def outside_domain(edges: DataFrame, nodes: DataFrame, allowed: DataFrame) -> Da
     typed = edges.join(kind.select(F.col("id").alias("source"), F.col("kind").alias("source_type")), "source", "left").join(
         kind.select(F.col("id").alias("target"), F.col("kind").alias("target_type")), "target", "left")
     return typed.join(F.broadcast(allowed), ["type", "source_type", "target_type"], "left_anti")
+
+
+def outside_domain_counts(edges: DataFrame, nodes: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(type, source_type, n) of :func:`outside_domain`. ``nodes`` have each id once. Only edges of types that ``allowed`` names are dealt by target, to
+    nodes of the types that it allows there; then edges are counted by source before they are dealt to those."""
+    kind = nodes.select("id", F.col("type").alias("kind"))
+    named = F.broadcast(allowed.select("type").distinct())
+    ends = kind.join(F.broadcast(allowed.select(F.col("target_type").alias("kind")).distinct()), "kind", "left_semi")
+    free = edges.join(named, "type", "left_anti").select("type", "source", F.lit(None).cast("string").alias("target_type"))
+    bound = edges.join(named, "type", "left_semi").join(ends.select(F.col("id").alias("target"), F.col("kind").alias("target_type")), "target", "left").select("type", "source", "target_type")
+    counted = lambda df: df.groupBy("type", "source", "target_type").agg(F.count(F.lit(1)).alias("n"))
+    typed = counted(free).unionByName(counted(bound)).join(kind.select(F.col("id").alias("source"), F.col("kind").alias("source_type")), "source", "left")
+    outside = typed.join(F.broadcast(allowed), ["type", "source_type", "target_type"], "left_anti")
+    return outside.groupBy("type", "source_type").agg(F.sum("n").alias("n"))
