@@ -269,32 +269,62 @@ def _open_windows(after: DataFrame, before: DataFrame, side: int) -> DataFrame:
     return materialize(each.where(f"after is not null and before is not null and after + before >= {side}").select("suffix", "cls", "at", left.alias("windows")).where("windows != 0"), "windows")
 
 
+def _windows_of(batch: pa.RecordBatch, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, words from the window's first one to the suffix) of the ``windows`` of (suffix, after, before, windows) that lie within their texts."""
+    n = batch.num_rows
+    wide = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(n, side).astype(np.uint64) for c in ("after", "before")]
+    suffix, wanted = batch.column("suffix").to_numpy(), batch.column("windows").to_numpy()
+    rows, hashes, ahead = [], [], []
+    for j in range(side + 1):
+        words = np.concatenate([wide[1][:, : side - j], wide[0][:, :j]], axis=1)
+        i = np.flatnonzero((wanted >> j & 1 == 1) & (words != 0).all(axis=1))
+        h = mix(suffix[i].view(np.uint64), j)
+        for c in range(side):
+            h = mix(h * _ODD + words[i, c], 1)
+        rows.append(i)
+        hashes.append(h.view(np.int64))
+        ahead.append(np.full(len(i), side - j))
+    return np.concatenate(rows), np.concatenate(hashes), np.concatenate(ahead)
+
+
 def _window_hashes(records: DataFrame, side: int) -> DataFrame:
-    """(window, cls, start, more, bucket) of the records' ``windows`` that lie within their texts; more: how far the record's last position is."""
+    """(window, cls, start, more) of the records' ``windows``; more: how far the record's last position is."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = batch.num_rows
-            wide = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(n, side).astype(np.uint64) for c in (3, 4)]
-            suffix, at, wanted = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64), batch.column(5).to_numpy()
-            more = batch.column(6).to_numpy().astype(np.int64) - at
-            rows, hashes, begins = [], [], []
-            for j in range(side + 1):
-                words = np.concatenate([wide[1][:, : side - j], wide[0][:, :j]], axis=1)
-                i = np.flatnonzero((wanted >> j & 1 == 1) & (words != 0).all(axis=1))
-                h = mix(suffix[i].view(np.uint64), j)
-                for c in range(side):
-                    h = mix(h * _ODD + words[i, c], 1)
-                rows.append(i)
-                hashes.append(h.view(np.int64))
-                begins.append(at[i] - (side - j))
-            of = pa.array(np.concatenate(rows))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column(1).take(of), pa.array(np.concatenate(begins)), pa.array(more[np.concatenate(rows)])], names=["window", "cls", "start", "more"])
+            rows, hashes, ahead = _windows_of(batch, side)
+            at = batch.column("at").to_numpy().astype(np.int64)
+            more = batch.column("last").to_numpy().astype(np.int64) - at
+            return pa.RecordBatch.from_arrays([pa.array(hashes), batch.column("cls").take(pa.array(rows)), pa.array(at[rows] - ahead), pa.array(more[rows])], names=["window", "cls", "start", "more"])
 
         return step
 
-    found = arrow_map(records.select("suffix", "cls", "at", "after", "before", "windows", "last"), make, "window bigint, cls binary, start bigint, more bigint", SORTED_ROWS)
-    return found.withColumn("bucket", F.pmod(F.col("window"), F.lit(BUCKETS)))
+    return arrow_map(records.select("suffix", "cls", "at", "after", "before", "windows", "last"), make, "window bigint, cls binary, start bigint, more bigint", SORTED_ROWS)
+
+
+def _window_classes(records: DataFrame, side: int) -> DataFrame:
+    """(window, cls): the least and the largest class of those that hold a window, among records that are read together."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows, hashes, _ = _windows_of(batch, side)
+            _, rank = np.unique(np.array(batch.column("cls").to_pylist(), object), return_inverse=True)
+            order = np.lexsort((rank[rows], hashes))
+            rows, hashes, rank = rows[order], hashes[order], rank[rows[order]]
+            new = np.ones(len(rows) + 1, bool)
+            new[1:-1] = hashes[1:] != hashes[:-1]
+            keep = new[:-1] | new[1:] & (rank != rank[np.flatnonzero(new[:-1])][np.cumsum(new[:-1]) - 1])
+            return pa.RecordBatch.from_arrays([pa.array(hashes[keep]), batch.column("cls").take(pa.array(rows[keep]))], names=["window", "cls"])
+
+        return step
+
+    return arrow_map(records.select("suffix", "cls", "after", "before", "windows"), make, "window bigint, cls binary", SORTED_ROWS)
+
+
+def _held_windows(near: DataFrame, asked: DataFrame, side: int) -> DataFrame:
+    """(window, cls) of the records' windows that are asked for. They meet by the whole hash: what passes is held by an asked window's
+    classes, however many windows there are."""
+    return _window_classes(near, side).join(asked.select("window").distinct(), "window", "left_semi")
 
 
 def _window_matches(records: DataFrame, windows: DataFrame, least: int) -> DataFrame:
@@ -304,7 +334,7 @@ def _window_matches(records: DataFrame, windows: DataFrame, least: int) -> DataF
     near = records.withColumn("bucket", bucket).join(F.broadcast(of_suffix.select(bucket).distinct()), "bucket", "left_semi").drop("bucket").join(of_suffix, "suffix")
     near = materialize(near.join(windows.select("suffix", "cls", "at", F.col("windows").alias("asked")), ["suffix", "cls", "at"], "left"), "near")
     asked = materialize(_window_hashes(near.where("asked is not null").withColumn("windows", F.col("asked")), least - K), "asked")
-    found = _window_hashes(near, least - K).join(F.broadcast(asked.select("bucket").distinct()), "bucket", "left_semi")
+    found = _held_windows(near, asked, least - K)
     several = materialize(found.groupBy("window").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y"), "several")
     discard(of_suffix, near)
     # only for those that ask: the others' matches hold all the windows that they share

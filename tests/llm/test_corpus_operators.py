@@ -180,6 +180,31 @@ def test_passages_that_no_neighbour_shares_in_full(spark):
     assert len(expected) > 100 and {i: sorted(x) for i, x in found.items()} == expected
 
 
+def test_only_windows_in_question_are_looked_up(spark, monkeypatch):
+    """What goes on to be grouped by window is asked for, even where all windows fall into one bucket, as most do in large tables."""
+    kept, written = {}, suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "BUCKETS", 1)
+    monkeypatch.setattr(suffix_dedup, "discard", lambda *tables: None)
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, label: kept.update({label: written(df, label)}) or kept[label])
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(500)]
+    fresh = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = []
+    for _ in range(3):  # one pair shares a passage, and on either side of it many share more words of it
+        core = fresh(76)
+        texts += [" ".join(fresh(5) + core[a:b] + fresh(5)) for a, b in ((0, 76), (20, 70))]
+        for _ in range(40):
+            head = fresh(20)
+            texts += [" ".join(x + fresh(5)) for x in (head + core[24:], head + core[24:], fresh(5) + core[:65])]
+    found = defaultdict(list)
+    for r in suffix_dedup.repeated_passages(frame(spark, texts)).collect():
+        found[r.doc_id].append((r.start_word, r.end_word))
+    assert {i: sorted(x) for i, x in found.items()} == _repeats(texts, 50)
+    asked = {r.window for r in kept["asked"].collect()}
+    several = {r.window for r in kept["several"].collect()}
+    assert several and several <= asked
+
+
 def test_texts_that_repeat_themselves(spark):
     rng = random.Random(6)
     head, tail = ([f"{c}{i}" for i in range(80)] for c in "ht")
