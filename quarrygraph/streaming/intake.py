@@ -47,6 +47,8 @@ def windowed_counts(stream: DataFrame, time: str, width: str = "1 hour", late: s
 
 #: The states' table of :func:`retry_states`.
 STATES = "retries int, status string, action string"
+#: Where an event without a time stands: behind those that have one.
+_NEVER = (1 << 63) - 1
 
 
 def retry_states(events: DataFrame, key: str = "event_id", most: int = RETRIES, limit: str = "1 hour") -> DataFrame:
@@ -69,24 +71,25 @@ def retry_states(events: DataFrame, key: str = "event_id", most: int = RETRIES,
         if state.hasTimedOut:
             status = None if ended else "timed_out"
         else:
-            rows = pd.concat(list(batches))
-            rows["first"] = rows["kind"] != "report"
-            for row in rows.sort_values(["at", "first", "kind"], kind="stable").itertuples():
+            rows = sorted((x for batch in batches for x in zip(batch["micros"].tolist(), batch["what"].tolist(), strict=True)), key=lambda x: (x[0], abs(x[1])))
+            for _, what in rows:
                 if ended or status:
                     break
-                if row.kind == "ticket":
+                if what == 2:
                     status = "similar_ticket"
-                elif row.kind == "attempt":
+                elif what:
                     retries += 1
-                    status = "fixed" if row.passed else "gave_up" if retries >= most else None
+                    status = "fixed" if what > 0 else "gave_up" if retries >= most else None
             if not (ended or status):
-                last = int(rows["at"].max().timestamp() * 1000)
+                last = max((x // 1000 for x, _ in rows if x < _NEVER), default=state.getCurrentWatermarkMs())
                 state.setTimeoutTimestamp(max(last + int(wait.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
         state.update((retries, ended or status is not None))
         if status:
             yield pd.DataFrame({key: [keys[0]], "retries": [retries], "status": [status], "action": ["create_ticket"]})
 
-    known = events.where(F.col(key).isNotNull() & F.col("kind").isin("report", "ticket", "attempt")).select(key, "kind", F.coalesce("passed", F.lit(False)).alias("passed"), "at")
+    # two numbers of each event, so that a report costs no pandas operations: 0 a report, 1 and -1 attempts that passed and didn't, 2 a ticket
+    what = F.when(F.col("kind") == "report", 0).when(F.col("kind") == "ticket", 2).when(F.col("passed"), 1).otherwise(-1)
+    known = events.where(F.col(key).isNotNull() & F.col("kind").isin("report", "ticket", "attempt")).select(key, what.alias("what"), F.coalesce(F.unix_micros("at"), F.lit(_NEVER)).alias("micros"), "at")
     return known.groupBy(key).applyInPandasWithState(step, f"{key} {kind_of_key}, {STATES}", "retries int, ended boolean", "append", "EventTimeTimeout")
 
 

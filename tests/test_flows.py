@@ -62,6 +62,20 @@ def test_retry_states_go_on_after_a_stop(spark, tmp_path):
     assert rows == [(1, 2, "fixed"), (2, 3, "gave_up"), (3, 0, "similar_ticket"), (4, 1, "timed_out"), (6, 1, "timed_out")]
 
 
+def test_retry_states_time_out_alike_in_any_time_zone(spark, tmp_path):
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    schema, zone = "event_id long, kind string, passed boolean, at timestamp", spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        for part in ([(1, "report", None, at(0))], [(9, "report", None, at(30))], [(1, "attempt", True, at(40))]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withWatermark("at", "1 minute")
+            intake.run_available(intake.retry_states(stream), lambda batch, n: batch.write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/state")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [(r.event_id, r.retries, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, 1, "fixed")]
+
+
 def test_many_queries_equal_single_ones(spark):
     rng = random.Random(2)
     names = [f"n{i}" for i in range(60)]
