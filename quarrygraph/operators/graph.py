@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.sources.shared import materialize
+from quarrygraph.sources.shared import discard, materialize
 
 #: A frontier of up to this many ids is broadcast; larger ones are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Bits of a bitmap of ids at most; it is broadcast as a row for each 64.
+BITMAP_BITS = 1 << 25
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -107,13 +109,72 @@ def element_view(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.drop("related_elements").join(related(nodes, nodes.select("id", "related_elements")), "id").join(neighbours(nodes, edges), "id")
 
 
+def _steps(edges: DataFrame, mark: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """(u, v) of each edge from either end, if ``mark`` holds it true; one that leads back to its own node once. ``mark`` adds to edges, for an end, a flag."""
+    marked = mark(mark(edges.select("source", "target"), "source", "out"), "target", "back").where("out or back")
+    way = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    back = F.col("back") & ~F.col("source").eqNullSafe(F.col("target"))
+    ways = marked.select(F.explode(F.array(F.when(F.col("out"), way("source", "target")), F.when(back, way("target", "source")))).alias("way"))
+    return ways.where("way is not null").select("way.u", "way.v")
+
+
+def _perhaps_among(ids: DataFrame, n: int) -> Callable[[DataFrame, str, str], DataFrame]:
+    """Adds a flag that is true for all of the ``n`` ``ids`` (id) and for few other values, so that few rows need dealing before they are joined with ids:
+    hashes are held against a broadcast bitmap, of 16 bits an id and ``BITMAP_BITS`` at most, in words of 64."""
+    bits = min(BITMAP_BITS, 1 << max(10, (16 * n).bit_length()))
+    word = F.shiftright(F.pmod("hash", F.lit(bits).cast("long")), 6)
+    bit = F.expr("shiftleft(1L, cast(pmod(hash, 64L) as int))")
+    words = F.broadcast(ids.select(F.xxhash64("id").alias("hash")).select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("held")))
+
+    def mark(df: DataFrame, end: str, flag: str) -> DataFrame:
+        met = df.withColumn("hash", F.xxhash64(end)).join(words, (word == F.col("word")) & (F.col("held").bitwiseAND(bit) != 0), "left")
+        return met.select(*df.columns, (F.col("word").isNotNull() & F.col(end).isNotNull()).alias(flag))
+
+    return mark
+
+
+def _numbered(starts: DataFrame) -> DataFrame:
+    """(start, no, rows) of each of the ``starts`` (id): a number of its own, and how many rows it has."""
+    own = starts.where("id is not null").groupBy(F.col("id").alias("start")).agg(F.count(F.lit(1)).alias("rows"))
+    return materialize(own.withColumn("no", F.monotonically_increasing_id()), "starts")
+
+
+def _path_copies(starts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(start, no, end, copies), and a written table that this reads: from each of the ``starts`` (start, no), how many undirected paths of one or two
+    different edges lead to an end; several rows may name the same two.
+
+    Edges at a start are counted by their other end. A second step over an edge at this end can follow each of the ``m`` first ones, less itself
+    if it leads back to the start, so edges need no number of their own. Only edges at these ends are dealt out."""
+    at = small(starts.select("start", "no"))
+    ones = _steps(edges, lambda df, end, flag: df.join(at.select(F.col("start").alias(end), F.lit(True).alias(flag)), end, "left"))
+    near = materialize(ones.groupBy("u", "v").agg(F.count(F.lit(1)).alias("m")).join(at.withColumnRenamed("start", "u"), "u").select(F.col("u").alias("start"), "no", "v", "m"), "near")
+    ends = near.where("v is not null").withColumnRenamed("v", "u")
+    met = _steps(edges, _perhaps_among(ends.select(F.col("u").alias("id")), ends.count())).join(small(ends), "u")
+    two = met.select("start", "no", F.col("v").alias("end"), (F.col("m") - F.col("v").eqNullSafe(F.col("start")).cast("long")).alias("copies"))
+    return near.select("start", "no", F.col("v").alias("end"), F.col("m").alias("copies")).unionByName(two).where("copies > 0"), near
+
+
 def paths_up_to_two(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(start, end) over undirected paths of one or two different edges; ``edges`` need an ``ord`` of their own."""
-    a = edges.select(F.col("source").alias("u"), F.col("target").alias("v"), "ord")
-    both = a.unionByName(edges.select(F.col("target").alias("u"), F.col("source").alias("v"), "ord").where("u != v"))
-    one = starts.select(F.col("id").alias("start")).join(both.withColumnRenamed("u", "start"), "start")
-    two = one.select("start", F.col("v").alias("u"), F.col("ord").alias("first")).join(both, "u").where(F.col("ord") != F.col("first"))
-    return one.select("start", F.col("v").alias("end")).unionByName(two.select("start", F.col("v").alias("end")))
+    """(start, end) over undirected paths of one or two different edges, from each row of ``starts``; each row of ``edges`` is an edge."""
+    own = _numbered(starts)
+    one_by_one = _path_copies(own, edges)[0].select("start", "end", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return one_by_one.join(small(own.select("start", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"))), "start").select("start", "end")
+
+
+def path_counts(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, n_paths, n_ends) of :func:`paths_up_to_two`, without a row for each path: an end has a row for each 64 starts, with those that reach it as bits."""
+    own = _numbered(starts)
+    found, near = _path_copies(own, edges)
+    paths = found.select("no", "end", "copies", F.shiftright("no", 6).alias("block"), F.expr("shiftleft(1L, cast(no & 63 as int))").alias("bit"))
+    both = paths.groupingSets([["end", "block"], ["no"]], "end", "block", "no").agg(
+        F.grouping("no").alias("of_end"), F.bit_or("bit").alias("bits"), F.sum("copies").alias("n"))
+    both = materialize(both.where("of_end = 0 or end is not null").groupBy("of_end", "no", "block", F.when(F.col("of_end") == 1, F.col("bits")).alias("bits")).agg(F.sum("n").alias("n"), F.count("end").alias("ends")), "paths")
+    discard(near)
+    number = F.explode(F.sequence(F.lit(0), F.lit(63)))
+    reached = both.where("of_end = 1").select("block", "bits", "ends", number.alias("i")).where("shiftright(bits, i) & 1 = 1")
+    n_ends = reached.groupBy((F.shiftleft("block", 6) + F.col("i")).alias("no")).agg(F.sum("ends").alias("n_ends"))
+    counted = both.where("of_end = 0").select("no", "n").join(n_ends, "no", "left").join(own, "no")
+    return counted.select("start", (F.col("n") * F.col("rows")).alias("n_paths"), F.coalesce("n_ends", F.lit(0)).cast("long").alias("n_ends"))
 
 
 def outside_domain(edges: DataFrame, nodes: DataFrame, allowed: DataFrame) -> DataFrame:
