@@ -17,11 +17,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,33 +30,32 @@ from quarrygraph.llm.common import arrow_map, materialize
 
 #: Rank bases (one row for each task and length) are broadcast up to this many rows, 24 bytes each; joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
+#: Texts that are tokenized at a time, or fewer of the bytes that a batch may have: the more, the fewer distinct units are looked up.
+TEXT_ROWS = 4096
 
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+_SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: Fixed value: the word pattern of byte-level BPE.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_UNSAFE = re.compile(r" \s|\s ")
-
-
-class _Units(dict):
-    """The ids of units behind a space; those that aren't known yet are encoded, and kept if they are short."""
-
-    def __init__(self, encoder: UnitEncoder):
-        self.encoder = encoder
-
-    def __missing__(self, part: str) -> bytes:
-        found = self.encoder._bpe(" " + part) if part.isalpha() else self.encoder._unit(" " + part)
-        if len(part) <= self.encoder.longest:
-            self[part] = found
-        return found
+#: White space as Python's ``\s`` has it, for RE2: texts with a space beside it, at their end, or with the mark, aren't split at marks.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNSAFE = f" {_WHITE}|{_WHITE} | $|\\x00"
+#: More places where a token always begins: after a Latin letter, before a mark of punctuation; after one line feed, before such a letter.
+_LATIN = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"
+_BEGINS = ((f"({_LATIN})([.,;:!?])", "\\1\0\\2"), (f"([^\\pZ\\pC])\\n({_LATIN})", "\\1\n\0\\2"))
+#: Units with characters from here on go to the tokenizer: which of them are letters differs between versions of Unicode.
+BEYOND = "\u0250"
+#: New words that go to the tokenizer's model at a time.
+MODEL_WORDS = 20_000
 
 
 class UnitEncoder:
     """Ids of whole texts, as little-endian integers, by a tokenizer file of the ``tokenizers`` library.
 
     With a byte-level BPE (as checked here), a space between two characters that aren't white space always begins a
-    token: the ids of a text are those of the units split at such spaces, one after the other. Units and words are then
-    looked up in bounded caches, and the tokenizer's BPE model runs on new words only. Texts that hold one of the file's
-    added tokens, such as ``<|endoftext|>``, go to the tokenizer whole; so do all texts of any other tokenizer.
+    token: the ids of a text are those of the units split at such spaces, one after the other. Most texts are also split at
+    punctuation after letters. The distinct units of a batch are looked up in a bounded cache, and the tokenizer's BPE model
+    runs on new words only, many at a time. Texts that hold one of the file's added tokens, such as ``<|endoftext|>``, go to
+    the tokenizer whole; so do all texts of any other tokenizer.
     """
 
     def __init__(self, path: str, limit: int = 800_000, longest: int = 64):
@@ -65,67 +64,102 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, "rb") as f:
             spec = json.load(f)
-        before = spec.get("pre_tokenizer") or {}
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        # the alphabet of byte-level BPE: printable Latin-1 characters stand for themselves, the others follow from 256
+        plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+        other = [c for c in range(256) if c not in set(plain)]
+        self.alphabet = dict(zip(plain, map(chr, plain), strict=True)) | {c: chr(256 + i) for i, c in enumerate(other)}
         self.byte_level = (
-            (before.get("type"), before.get("add_prefix_space"), before.get("use_regex"), spec["model"]["type"]) == ("ByteLevel", False, True, "BPE")
-            and spec.get("normalizer") is None and spec.get("truncation") is None and spec.get("padding") is None
+            (before.get("type"), before.get("add_prefix_space"), before.get("use_regex"), model["type"]) == ("ByteLevel", False, True, "BPE")
+            and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+            and all(c in model["vocab"] for c in self.alphabet.values())
         )
-        self.units = _Units(self)
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.limit, self.longest = limit, longest
         if self.byte_level:
             import regex
 
             self.added = [a["content"] for a in spec.get("added_tokens") or () if a["content"]]
-            self.model = self.tokenizer.model
+            self.model = Tokenizer(self.tokenizer.model)  # no splitting: a word is what it is given
             self.find = regex.compile(_WORDS).findall
-            # the alphabet of byte-level BPE: printable Latin-1 characters stand for themselves, the others follow from 256
-            plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
-            other = [c for c in range(256) if c not in set(plain)]
-            self.alphabet = dict(zip(plain, map(chr, plain), strict=True)) | {c: chr(256 + i) for i, c in enumerate(other)}
-
-    def _bpe(self, word: str) -> bytes:
-        data = word.encode().decode("latin-1").translate(self.alphabet)
-        return array(self.code, [t.id for t in self.model.tokenize(data)]).tobytes()
-
-    def _unit(self, unit: str) -> bytes:
-        words, out = self.words, []
-        for word in self.find(unit):
-            found = words.get(word)
-            if found is None:
-                found = self._bpe(word)
-                if len(word) <= self.longest:
-                    words[word] = found
-            out.append(found)
-        return b"".join(out)
+            self.sizes = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # bytes of each id
+            self.sizes[list(model["vocab"].values())] = [len(token) for token in model["vocab"]]
+
+    def _bpe(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the model, which says nothing of where a word ends: as every byte is in some token, their sizes tell."""
+        out, space, alphabet, width = [], self.alphabet[32], self.alphabet, self.dtype.itemsize
+        for at in range(0, len(words), MODEL_WORDS):
+            data = [
+                w.replace(" ", space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(alphabet)
+                for w in words[at : at + MODEL_WORDS]
+            ]
+            ids = np.array(self.model.encode_batch_fast([data], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(d) for d in data])) + 1
+            raw, start = ids.tobytes(), 0
+            for end in (ends * width).tolist():
+                out.append(raw[start:end])
+                start = end
+        return out
+
+    def _ids_of(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units; those that aren't known yet are encoded, and kept if they are short, as their words are."""
+        known = self.known
+        out = list(map(known.get, units))
+        new = [unit for unit, ids in zip(units, out, strict=True) if ids is None]
+        if new:
+            beyond = [unit for unit in new if not unit.isascii() and max(unit) >= BEYOND]
+            whole = dict(zip(beyond, self._whole(beyond), strict=True))
+            more = dict.fromkeys(unit for unit in new if unit.removeprefix(" ").isalpha() and unit not in whole)
+            mixed = {unit: self.find(unit) for unit in new if unit not in more and unit not in whole}
+            more.update(dict.fromkeys(word for words in mixed.values() for word in words if word not in known))
+            more = whole | dict(zip(more, self._bpe(list(more)), strict=True))
+            for unit, words in mixed.items():
+                if unit not in more:
+                    more[unit] = b"".join([more[word] if word in more else known[word] for word in words])
+            out = [more[unit] if ids is None else ids for unit, ids in zip(units, out, strict=True)]
+            known.update(more if max(map(len, more)) <= self.longest else {k: v for k, v in more.items() if len(k) <= self.longest})
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.byte_level:
-            return self._whole(texts)
-        special = [i for i, text in enumerate(texts) if any(a in text for a in self.added)]
-        if special:
-            ids = dict(zip(special, self._whole([texts[i] for i in special]), strict=True))
-            rest = iter(self._units_of([text for i, text in enumerate(texts) if i not in ids]))
-            return [ids[i] if i in ids else next(rest) for i in range(len(texts))]
-        return self._units_of(texts)
-
-    def _units_of(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.units, self.words):
-            if len(cache) > self.limit:
-                cache.clear()
-        units, split = self.units, []
-        for text in texts:
-            parts = text.split(" ")
-            if not all(parts[1:]) or _UNSAFE.search(text):
-                parts = _SAFE.split(text)
-            split.append((parts[0], parts[1:]))
-        return [self._unit(head) + b"".join(map(units.__getitem__, rest)) for head, rest in split]
+            return self._whole(texts.to_pylist())
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False) & ~special
+        out = [b""] * len(texts)
+        for rows, ids in ((special, lambda of: self._whole(of.to_pylist())), (odd, self._split), (~(special | odd), self._marked)):
+            at = np.flatnonzero(rows)
+            if len(at):
+                for i, data in zip(at.tolist(), ids(texts.take(pa.array(at))), strict=True):
+                    out[i] = data
+        return out
+
+    def _split(self, texts: pa.Array) -> list[bytes]:
+        return self._joined(pa.array(map(_SAFE.split, texts.to_pylist()), pa.list_(pa.string())))
+
+    def _marked(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.replace_substring(texts, " ", "\0 ")
+        for pattern, to in _BEGINS:
+            texts = pc.replace_substring_regex(texts, pattern, to)
+        return self._joined(pc.split_pattern(texts, "\0"))
+
+    def _joined(self, units: pa.ListArray) -> list[bytes]:
+        """Ids of texts that are given in units."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        coded = units.flatten().dictionary_encode()
+        ids = pa.array(self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[units.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[start:end]) for start, end in zip(ends, ends[1:])]  # noqa: B905
 
 
 class CapacityTree:
@@ -263,8 +297,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, totals, starts, lengths, ids, rank = [], [], [], [], [], []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, data in enumerate(encoder.encode(texts)):
+            for i, data in enumerate(encoder.encode(batch.column(1))):
                 data += end
                 total = len(data) // width
                 for start in range(0, total, window):
@@ -283,7 +316,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col
 
         return step
 
-    return arrow_map(docs.select(id_col, text_col), make, f"_id {kind}, doc_tokens bigint, start bigint, length int, ids binary, width int, task int, rank bigint")
+    return arrow_map(docs.select(id_col, text_col), make, f"_id {kind}, doc_tokens bigint, start bigint, length int, ids binary, width int, task int, rank bigint", TEXT_ROWS)
 
 
 def pack_documents(

@@ -32,6 +32,25 @@ def test_unit_encoder_equals_tokenizer():
         assert [list(np.frombuffer(x, encoder.dtype)) for x in encoder.encode(texts)] == expected
 
 
+def test_unit_encoder_asks_the_model_for_new_words_at_once():
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.model, name)
+
+    encoder = packing.UnitEncoder(TOKENIZER)
+    encoder.model = counted = Counted(encoder.model)
+    words = ["".join(chr(97 + int(d)) for d in str(i)) + "é" * (i % 3) for i in range(1000)]
+    texts = [" ".join(words), ", ".join(words), ".\n".join(words) + " and more;", "\U00018fe2's end", "a\n\n b\0 c.\0d"]
+    for _ in range(2):
+        expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [list(np.frombuffer(x, encoder.dtype)) for x in encoder.encode(texts)] == expected
+        assert counted.calls <= 2  # one for texts with a mark's character or odd spaces, one for the others
+
+
 def test_unit_encoder_keeps_added_tokens(spark):
     from tokenizers import Tokenizer
 
