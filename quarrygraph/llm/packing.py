@@ -18,6 +18,8 @@ import json
 import os
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +164,12 @@ class UnitEncoder:
         return [bytes(data[start:end]) for start, end in zip(ends, ends[1:])]  # noqa: B905
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str, job: str) -> UnitEncoder:
+    """The encoder of this Python worker for one packing: its tasks there go on with the units known so far, other packings don't."""
+    return UnitEncoder(path)
+
+
 class CapacityTree:
     """A segment tree over remaining capacities 0 .. n that counts runs of open windows."""
 
@@ -288,10 +296,10 @@ def _fill_gaps(plan: Plan, runs: list[tuple[int, int, int]], least_gap: int) ->
 
 def _tokenized(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Full windows and rests with their ids, and each one's rank among those of its task and length."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, job = docs.schema[id_col].dataType.simpleString(), uuid4().hex
 
     def make():
-        encoder, ranks, task = UnitEncoder(tokenizer), {}, TaskContext.get().partitionId()
+        encoder, ranks, task = shared_encoder(tokenizer, job), {}, TaskContext.get().partitionId()
         end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
 

@@ -51,6 +51,12 @@ def test_unit_encoder_asks_the_model_for_new_words_at_once():
         assert counted.calls <= 2  # one for texts with a mark's character or odd spaces, one for the others
 
 
+def test_tasks_of_a_packing_share_a_worker_s_encoder():
+    first = packing.shared_encoder(TOKENIZER, "one")
+    assert packing.shared_encoder(TOKENIZER, "one") is first
+    assert packing.shared_encoder(TOKENIZER, "other") is not first
+
+
 def test_unit_encoder_keeps_added_tokens(spark):
     from tokenizers import Tokenizer
 
