@@ -176,7 +176,7 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     # in the order of the text: a broadcast join keeps it, and a sort brings it back
     given = text.join(of_splits(begins, "inside bigint, depth bigint"), ["file", "block"]).select("file", "block", "value", "inside", "depth")
-    found = materialize(_objects(given), "objects")
+    found = materialize(_objects(given), "objects", "zstd")  # beside the file, which may be as large as the disk allows
     counts = {(r["file"], r["block"]): r["n"] for r in found.groupBy("file", "block").agg(F.max("n").alias("n")).toLocalIterator()}
     before, n, file = [], 0, None
     for f, b, *_ in begins:
@@ -194,25 +194,28 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_json_array(df: DataFrame, path: str) -> None:
     """The rows of ``df`` in its order as one JSON array in the file ``path``, a row on each line, nulls written out. The tasks write
-    parts; these are then joined to one file under another name, which takes the place of ``path`` when it is whole."""
+    compressed parts; these are then joined to one file under another name, each deleted once it is in there, and the file takes the
+    place of ``path`` when it is whole. So the disk holds no second copy of the array."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     of = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     mark = uuid.uuid4().hex
     parts, whole = of(f"{path}.parts-{mark}"), of(f"{path}.whole-{mark}")
     fields = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
-    df.select(F.concat(F.lit(","), fields).alias("value")).write.text(parts.toString())
+    df.select(F.concat(F.lit(","), fields).alias("value")).write.text(parts.toString(), compression="lz4")
     fs = parts.getFileSystem(conf)
-    names = sorted(s.getPath().toString() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-") and s.getLen() > 0)
+    names = sorted(s.getPath().toString() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-"))
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
     out = fs.create(whole, True)
     try:
         out.write(bytearray(b"[\n"))
-        for k, name in enumerate(names):
-            part = fs.open(of(name))
-            if k == 0:
-                part.skip(1)  # no comma before the first
+        begun = False
+        for name in names:
+            part = codecs.getCodec(of(name)).createInputStream(fs.open(of(name)))
+            begun = begun or part.read() >= 0  # no comma before the first
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
             part.close()
+            fs.delete(of(name), False)
         out.write(bytearray(b"]\n"))
     finally:
         out.close()

@@ -12,23 +12,48 @@ from quarrygraph.schemas import EDGE_ENDS, EDGE_TYPES, EDGES, EMBEDDING_DIM, NOD
 from quarrygraph.sources.json_array import read_json_array, write_json_array
 
 
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return read_json_array(spark, path, schema).withColumn("ord", F.coalesce("ord", "place")).drop("place")
+
+
+def read_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of nodes.json, one JSON array; ``ord`` is the place in the array where a row has none."""
+    return _read(spark, f"{folder}/nodes.json", NODES)
+
+
+def read_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges of relationships.json in the same way; those without a type are UNKNOWN."""
+    return _read(spark, f"{folder}/relationships.json", EDGES).withColumn("type", F.coalesce("type", F.lit("UNKNOWN")))
+
+
 def read_export(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of nodes.json and relationships.json, each one JSON array; edges without a type are UNKNOWN, and ``ord`` is
-    the place in the array where a row has none."""
-    read = lambda name, schema: read_json_array(spark, f"{folder}/{name}", schema).withColumn("ord", F.coalesce("ord", "place")).drop("place")
-    edges = read("relationships.json", EDGES).withColumn("type", F.coalesce("type", F.lit("UNKNOWN")))
-    return read("nodes.json", NODES), edges
+    """(nodes, edges) of an export."""
+    return read_nodes(spark, folder), read_edges(spark, folder)
 
 
-def write_export(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """nodes.json and relationships.json as JSON arrays, in the order of ``ord`` where there is such a column, with forward slashes in
-    paths and an empty array for a missing embedding; schema.json with the types and fields, index_config.json with what is looked up by."""
+def _ordered(df: DataFrame) -> DataFrame:
+    return df.orderBy("ord") if "ord" in df.columns else df
+
+
+def write_nodes(nodes: DataFrame, folder: str) -> DataFrame:
+    """nodes.json as a JSON array, in the order of ``ord`` where there is such a column, with forward slashes in paths and an empty array
+    for a missing embedding. Returns the nodes as written."""
     out = nodes.withColumn("file_path", F.replace("file_path", F.lit("\\"), F.lit("/")))
     if "embedding" in nodes.columns:
         out = out.withColumn("embedding", F.coalesce("embedding", F.array().cast("array<float>")))
-    ordered = lambda df: df.orderBy("ord") if "ord" in df.columns else df
-    write_json_array(ordered(out), f"{folder}/nodes.json")
-    write_json_array(ordered(edges), f"{folder}/relationships.json")
+    write_json_array(_ordered(out), f"{folder}/nodes.json")
+    return out
+
+
+def write_edges(edges: DataFrame, folder: str) -> None:
+    """relationships.json as a JSON array, in the order of ``ord`` where there is such a column."""
+    write_json_array(_ordered(edges), f"{folder}/relationships.json")
+
+
+def write_export(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """nodes.json, relationships.json, schema.json with the types and fields, index_config.json with what is looked up by."""
+    out = write_nodes(nodes, folder)
+    write_edges(edges, folder)
     spark = nodes.sparkSession
     fields = [(f.name, f.dataType.simpleString()) for f in out.schema]
     ends = [(kind, list(a), list(b)) for kind, (a, b) in EDGE_ENDS.items()]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrygraph.operators import chunking
-from quarrygraph.sources import folders, json_array, python_repo, store
+from quarrygraph.sources import folders, json_array, python_repo, shared, store
 from quarrygraph.sources.shared import free_names, running_total
 
 
@@ -160,3 +160,53 @@ def test_long_texts_take_little_memory_and_are_worked_on_in_stretches():
                 escaped = c == "\\" and not escaped
             got, _, end = json_array._structure(np.frombuffer(text.encode(), np.uint8), inside)
             assert got.tolist() == places and end == open_, text
+
+
+def test_array_is_written_without_a_second_copy(spark, tmp_path):
+    import threading
+
+    df = spark.range(0, 300_000, 1, 8).select("id", F.md5(F.col("id").cast("string")).alias("text"))
+    most, done = [0], threading.Event()
+
+    def watch():
+        while not done.is_set():
+            total = 0
+            for p in tmp_path.rglob("*"):
+                try:
+                    total += p.stat().st_size if p.suffix != ".crc" and p.is_file() else 0
+                except OSError:  # gone meanwhile
+                    pass
+            most.append(total)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        json_array.write_json_array(df, f"{tmp_path}/out.json")
+    finally:
+        done.set()
+        watcher.join()
+    size = (tmp_path / "out.json").stat().st_size
+    assert len(most) > 20 and size <= max(most) < 1.5 * size
+    assert [r["id"] for r in json.loads((tmp_path / "out.json").read_text())] == list(range(300_000))
+
+
+def test_export_of_edges_takes_one_shuffle_and_leaves_no_files(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from quarrygraph.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).is_dir():
+        pytest.skip("no tables")
+    edges = catalog._edges_in_order(spark, data)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Exchange rangepartitioning" in plan
+    rows = [tuple(r) for r in edges.collect()]
+    assert rows == sorted(set(rows), key=lambda r: (r[0] is None, r[0] or "", *r[1:])) and len(rows) > 10_000
+    own = shared.passing_session(spark)
+    assert own.conf.get("spark.sql.shuffle.partitions") == "4" and own.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    found = catalog.queries()["export_edges"](spark, data)
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["objects"]
+    assert sorted((tuple(r) for r in found.collect()), key=lambda r: r[3]) == [(t or "UNKNOWN", a, b, i) for i, (t, a, b) in enumerate(rows)]
