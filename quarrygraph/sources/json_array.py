@@ -163,7 +163,7 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     An object lies in one task (up to 2 GB); the array needn't."""
     text = spark.read.text(path, lineSep="}").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     begins, now = [], {}
-    for r in _functions(text).orderBy("file", "block").toLocalIterator():  # a row for each split
+    for r in sorted(_functions(text).collect(), key=lambda r: (r["file"], r["block"])):  # a row for each split; a sort in Spark reads all twice
         inside, depth = now.get(r["file"], (0, 0))
         begins.append((r["file"], r["block"], inside, depth))
         now = {r["file"]: (r[f"after{inside}"], depth + r[f"step{inside}"])}
@@ -177,7 +177,7 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     # in the order of the text: a broadcast join keeps it, and a sort brings it back
     given = text.join(of_splits(begins, "inside bigint, depth bigint"), ["file", "block"]).select("file", "block", "value", "inside", "depth")
     found = materialize(_objects(given), "objects", "zstd")  # beside the file, which may be as large as the disk allows
-    counts = {(r["file"], r["block"]): r["n"] for r in found.groupBy("file", "block").agg(F.max("n").alias("n")).toLocalIterator()}
+    counts = {(r["file"], r["block"]): r["n"] for r in found.groupBy("file", "block").agg(F.max("n").alias("n")).collect()}
     before, n, file = [], 0, None
     for f, b, *_ in begins:
         n = 0 if f != file else n
